@@ -38,9 +38,10 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
     filled = F.coalesce(F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     open_ = F.sum("weight").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
     total = F.lit(share) * F.sum("source_size").over(Window.partitionBy())
-    s = s.withColumn("level", (total - filled) / open_)
-    fits = F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))
-    s = s.withColumn("level", F.min(fits).over(Window.partitionBy()))
+    s = s.withColumn("level", (total - filled) / open_).withColumn("k", F.row_number().over(order))
+    # The first source, in this order, that its share doesn't fill sets the level for all after it.
+    fits = F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.struct("k", "level"))
+    s = s.withColumn("level", F.min(fits).over(Window.partitionBy())["level"])
     target = F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("level") * F.col("weight")))
     return s.select("source", "source_size", "n_docs", "weight", "slope", target.alias("target"))
 
@@ -118,8 +119,9 @@ s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER
 w AS (SELECT *, [5.0, 2.0, 1.0][rank % 3 + 1]::DOUBLE AS weight, [-0.5, 0.0, 0.5][rank % 3 + 1]::DOUBLE AS slope, (2 * source_size)::DOUBLE AS cap FROM s),
 l AS (SELECT *, (1.5::DOUBLE * (sum(source_size) OVER ())::DOUBLE
                  - coalesce(sum(cap) OVER (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
-                / sum(weight) OVER (ORDER BY cap / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
-m AS (SELECT *, min(level) FILTER (level * weight <= cap) OVER () AS lvl FROM l),
+                / sum(weight) OVER (ORDER BY cap / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level,
+             row_number() OVER (ORDER BY cap / weight, rank) AS k FROM w),
+m AS (SELECT *, arg_min(level, k) FILTER (level * weight <= cap) OVER () AS lvl FROM l),
 t AS (SELECT source, source_size, slope, CASE WHEN lvl IS NULL THEN cap ELSE least(cap, lvl * weight) END AS target FROM m),
 p AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.slope,
              coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY ('0x' || substr(md5(d.doc_id::VARCHAR), 1, 13))::BIGINT, d.doc_id, d.size
