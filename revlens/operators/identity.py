@@ -1,0 +1,53 @@
+"""Identity resolution: people from names and addresses that belong together."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from revlens.functions.paths import normalized_name
+
+# Names and addresses of bots.
+BOTS = (
+    r"(?i)\[bot\]|dependabot|renovate|github-actions|^(ci|build|jenkins|gitlab-ci|semantic-release)(-bot)?\b|noreply@github\.com$"
+)
+
+
+def components(edges: DataFrame, checkpoint: bool = True) -> DataFrame:
+    """node and label, the smallest node that is reached over edges(a, b): label propagation with pointer jumping.
+
+    Rounds are cut by checkpoints in the session's checkpoint folder, where it has one.
+    """
+    sc = edges.sparkSession.sparkContext
+    save = (lambda d: d.checkpoint()) if checkpoint and sc.getCheckpointDir() else (lambda d: d)
+    both = save(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    labels = save(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
+    while True:
+        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("m"))
+        step = labels.join(near, F.col("node") == F.col("a")).select("node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
+        jump = labels.select(F.col("node").alias("at"), F.col("label").alias("further"))
+        new = save(step.join(jump, F.col("label") == F.col("at"), "left").select("node", "old", F.least("label", F.coalesce("further", "label")).alias("label")))
+        if not new.filter("old <> label").limit(1).count():
+            return new.select("node", "label")
+        labels = new.select("node", "label")
+
+
+def resolve(identities: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """id, person, display, bot for identities(id, name, email, commits); aliases(canonical, alias) may join more.
+
+    Identities with one address, or one name of three letters and more, are one person. A person is a bot if any
+    of its identities is; it is displayed by the name with the most commits.
+    """
+    email = F.when(F.col("email").contains("@"), F.concat(F.lit("e:"), F.lower("email")))
+    name = F.when(F.length(normalized_name(F.col("name"))) >= 3, F.concat(F.lit("n:"), normalized_name(F.col("name"))))
+    keys = F.array_compact(F.array(email, name))
+    links = identities.select(F.format_string("i:%020d", "id").alias("a"), F.explode(keys).alias("b"))
+    if aliases is not None:
+        alias = F.when(F.col("alias").contains("@"), F.concat(F.lit("e:"), F.lower("alias"))).otherwise(F.concat(F.lit("n:"), normalized_name(F.col("alias"))))
+        canonical = F.concat(F.lit("n:"), normalized_name(F.col("canonical")))
+        links = links.union(aliases.select(alias.alias("a"), canonical.alias("b")))
+    person = components(links).filter(F.col("node").startswith("i:")).select(F.substring("node", 3, 20).cast("long").alias("id"), F.col("label"))
+    d = identities.join(person, "id", "left").withColumn("label", F.coalesce("label", F.format_string("i:%020d", "id")))
+    bot = F.col("name").rlike(BOTS) | F.col("email").rlike(BOTS)
+    g = d.groupBy("label").agg(F.min("id").alias("person"), F.max_by("name", F.struct("commits", -F.col("id"))).alias("display"), F.max(bot).alias("bot"))
+    return d.select("id", "label").join(g, "label").select("id", "person", "display", "bot")
