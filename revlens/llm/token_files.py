@@ -12,7 +12,7 @@ import os
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,7 @@ BLOCK_IDS = 4096
 BLOB_IDS = 1 << 20
 END_ID = 0
 BLOBS = "part int, seq int, n_docs long, n_ids long, data binary"
-CACHE_WORDS = 250_000
+CACHE_WORDS = 700_000
 
 
 def width_of(vocabulary: int) -> int:
@@ -92,6 +92,28 @@ _SPLIT = re.compile(r"(?<=\S) (?=\S)")
 _ODD = re.compile(r"\s | \s")
 
 
+#: How byte-level tokenizers write a byte: as itself where it can be seen, else as a character from 256 on.
+_SEEN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SEEN)}
+
+
+def _shown(piece: str) -> str:
+    if piece.isascii() and piece.isprintable():
+        return piece.replace(" ", "\u0120")
+    return piece.encode().decode("latin-1").translate(_BYTES)
+
+
+class _Numbers(dict):
+    """Numbers keys as they are first looked up."""
+
+    def __init__(self, number: Callable[[str], int]) -> None:
+        self.number = number
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = self.number(key)
+        return n
+
+
 class WordEncoder:
     """Encodes texts piece by piece with a byte-level BPE tokenizer and remembers what each piece gave."""
 
@@ -99,55 +121,65 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        import regex
+        from public_tokenizers import PATTERN
+
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.pattern = regex.compile(PATTERN)
         self.tokenizer.encode_special_tokens = True
         self.vocabulary = self.tokenizer.get_vocab_size()
+        self.pending: list[str] = []
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat, self.starts, self.sizes = [np.zeros(0, np.uint32)], [], []
-        self.filled = 0
-        self.arrays = None
-
-    def learn(self, pieces: list[str]) -> None:
-        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        found = [e.ids for e in encode(pieces, add_special_tokens=False)]
-        for piece, ids in zip(pieces, found, strict=True):
-            self.known[piece] = len(self.starts)
-            self.starts.append(self.filled)
-            self.sizes.append(len(ids))
-            self.filled += len(ids)
-        self.flat.append(np.array([i for ids in found for i in ids], dtype=np.uint32))
-        self.arrays = None
+        self.inner, self.first = _Numbers(self.new_inner), _Numbers(self.new_first)
+        self.flat, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def new_inner(self, word: str) -> int:
+        return self.new_first(" " + word)
+
+    def new_first(self, piece: str) -> int:
+        self.pending.append(piece)
+        return len(self.starts) + len(self.pending) - 1
+
+    def learn(self) -> None:
+        """Encode what is pending. Pieces are short and mostly new words: the tokenizer's model takes their pre-tokens without its other steps."""
+        tokenize, findall = self.model.tokenize, self.pattern.findall
+        # Letters alone, after a space or not, are one pre-token.
+        found = [[t.id for x in ((p,) if p.lstrip(" ").isalpha() else findall(p)) for t in tokenize(_shown(x))] for p in self.pending]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.flat = np.concatenate([self.flat, np.fromiter((i for ids in found for i in ids), np.uint32, int(sizes.sum()))])
+        self.pending.clear()
 
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids with end_id after each text, and how many each text has with it."""
-        if len(self.known) > CACHE_WORDS:
+        if len(self.starts) > CACHE_WORDS:
             self.clear()
-        if not self.known:
-            self.learn([""])
         pieces: list[str] = []
-        counts = []
+        counts, firsts = [], []
         for t in texts:
             words = _SPLIT.split(t) if _ODD.search(t) else t.split(" ")
-            # As keys, the first piece of a text stands without its space: a space is set before all others.
-            pieces.append(words[0])
-            pieces += [" " + w for w in words[1:]]
+            # A text's first piece stands without a space, all others after one.
+            firsts.append(words[0])
+            words[0] = ""
+            pieces += words
             counts.append(len(words))
-        if new := {p for p in pieces if p not in self.known}:
-            self.learn(list(new))
-        if self.arrays is None:
-            self.flat = [np.concatenate(self.flat)]
-            self.arrays = (np.array(self.starts), np.array(self.sizes))
-        starts, sizes = self.arrays
-        at = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
-        n = sizes[at]
-        before = np.cumsum(n) - n
-        ids = self.flat[0][np.repeat(starts[at] - before, n) + np.arange(int(n.sum()))]
-        ends = np.cumsum(counts)
-        per_text = np.add.reduceat(n, ends - np.array(counts)) if len(texts) else np.zeros(0, np.int64)
-        out = np.insert(ids, np.cumsum(per_text), end_id).astype(np.uint32)
+        at = np.fromiter(map(self.inner.__getitem__, pieces), np.int64, len(pieces))
+        ends = np.cumsum(np.array(counts, np.int64))
+        begins = ends - counts
+        at[begins] = np.fromiter(map(self.first.__getitem__, firsts), np.int64, len(firsts))
+        if self.pending:
+            self.learn()
+        n = self.sizes[at]
+        per_text = np.add.reduceat(n, begins) if len(texts) else np.zeros(0, np.int64)
+        # Each text's end id comes right after its last piece.
+        before = np.cumsum(n) - n + np.repeat(np.arange(len(texts)), counts)
+        out = np.full(int(n.sum()) + len(texts), end_id, np.uint32)
+        inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        out[np.repeat(before, n) + inside] = self.flat[np.repeat(self.starts[at], n) + inside]
         return out, per_text + 1
 
 
