@@ -21,7 +21,7 @@ SHARE = 1.5
 MAX_EPOCHS = 2
 #: Slopes of the weight schedules, dealt to sources in order: early, even, late.
 SLOPES = (-0.5, 0.0, 0.5)
-BLOCK = 65_536
+BLOCK = 4096
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS) -> DataFrame:
