@@ -1,6 +1,6 @@
 """Substring deduplication with a compressed FM-index for each shard.
 
-Shards are by content. The five-word run with the smallest hash in a window of words sends the window to a shard, so that
+Shards are by content. The three-word run with the smallest hash in a window of words sends the window to a shard, so that
 equal windows always meet; neighbouring windows with one such run travel together as one passage. Passages that share
 their run with no other document are dropped there. The others are indexed: word ids, a suffix array sorted to the
 depth of a window, its Burrows-Wheeler transform in a wavelet matrix of packed bits. Streaming the passages through
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from revlens.llm.common import NO_ID, table, text_of
 
 WINDOW = 13
-RUN = 5
+RUN = 3
 #: Bytes of input text for each shard, on average. A passage's words go to about three shards.
 SHARD_BYTES = 4 << 20
 #: Bytes of text that a task takes at a time.
@@ -88,7 +88,7 @@ def _cells(shards: int):
         cuts = np.flatnonzero(np.diff(shard[order])) + 1
         doc_ids, doc_marks = np.array(ids, np.int64)[doc], np.array(marks, np.int64)[doc].astype(np.uint32)
         place = (first - starts[doc]).astype(np.uint32)
-        packer = zstandard.ZstdCompressor(level=3)
+        packer = zstandard.ZstdCompressor(level=6)
         for part in np.split(order, cuts):
             known: dict[bytes, int] = {}
             which = np.fromiter((known.setdefault(b" ".join(words[a : a + c + WINDOW - 1]), len(known)) for a, c in zip(first[part].tolist(), count[part].tolist(), strict=True)), np.uint32, len(part))
