@@ -26,7 +26,8 @@ def dump_log(repo: str, out: str, revisions: str = "HEAD", since: str | None = N
 def read_log(spark: SparkSession, path: str, repo: str) -> DataFrame:
     """One row for each commit: repo, seq, sha, author_name, author_email, ts, message, coauthors, lines."""
     records = spark.read.option("lineSep", "\x1e").text(path).filter(F.length(F.trim("value")) > 0)
-    p = F.split("value", "\x1f", 6)
+    fields = F.split("value", "\x1f", 6)
+    p = [F.get(fields, k) for k in range(6)]  # what stands before the first record has no fields
     trailers = F.regexp_extract_all(p[4], F.lit(r"(?im)^\s*co-authored-by:\s*(.+?)\s*$"), F.lit(1))
     coauthors = F.transform(trailers, lambda t: F.struct(F.trim(F.regexp_extract(t, r"^(.*?)\s*<", 1)).alias("name"), F.regexp_extract(t, r"<([^>]*)>", 1).alias("email")))
     d = records.select(
@@ -34,7 +35,7 @@ def read_log(spark: SparkSession, path: str, repo: str) -> DataFrame:
         p[0].alias("sha"),
         p[1].alias("author_name"),
         p[2].alias("author_email"),
-        F.expr("try_cast(split(value, '\x1f', 6)[3] as bigint)").alias("ts"),
+        p[3].try_cast("long").alias("ts"),
         F.substring(F.trim(p[4]), 1, MESSAGE_CHARS).alias("message"),
         coauthors.alias("coauthors"),
         F.filter(F.split(p[5], "\n"), lambda x: F.trim(x) != "").alias("lines"),
