@@ -39,7 +39,9 @@ SAMPLE_BYTES = 20_000
 MOST_LETTERS = 40
 CACHE_WORDS = 200_000
 #: Words are scored so many at a time.
-CHUNK = 8192
+CHUNK = 2048
+#: Texts are cut into words so many characters at a time, or one text.
+PIECE_CHARS = 1 << 20
 #: Least log-likelihood ratio of a word that stands for the label.
 LEAST_RATIO = 15.0
 _OFFSETS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
@@ -134,6 +136,15 @@ class Scorer:
 
     def features(self, texts: list[str]) -> np.ndarray:
         """Of each text: the three worst words' decisions, and the logarithms of its bad words and of all its words."""
+        out, begin, size = [np.zeros((0, 5))], 0, 0
+        for i, t in enumerate(texts):
+            size += len(t)
+            if size >= PIECE_CHARS or i == len(texts) - 1:
+                out.append(self._features(texts[begin : i + 1]))
+                begin, size = i + 1, 0
+        return np.concatenate(out)
+
+    def _features(self, texts: list[str]) -> np.ndarray:
         if len(self.known) > CACHE_WORDS:
             self.known = {}
         each = [words_of(t) for t in texts]

@@ -206,6 +206,17 @@ def test_toxicity(spark, docs, none):
     assert len({r["score"] for r in toxicity.toxicity(docs, y.limit(0)).collect()}) == 1
 
 
+def test_toxicity_in_pieces(monkeypatch):
+    rng = np.random.default_rng(5)
+    model = toxicity.Model(rng.normal(size=toxicity.FEATURES), -0.1, np.ones(6))
+    texts = ["", LONG, "a b", BASE, "x" * 500, "i d i o t " * 40, ""]
+    whole = toxicity.Scorer(model).features(texts)
+    monkeypatch.setattr(toxicity, "PIECE_CHARS", 1000)
+    monkeypatch.setattr(toxicity, "CHUNK", 7)
+    assert (toxicity.Scorer(model).features(texts) == whole).all()
+    assert toxicity.Scorer(model).features([]).shape == (0, 5)
+
+
 def test_token_files(docs, none, tmp_path):
     import public_tokenizers
     from tokenizers import Tokenizer
