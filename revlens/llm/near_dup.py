@@ -267,10 +267,11 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, id_col:
 
 def deduplicate(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, all columns, with one row of each component of near_duplicates() and one of identical rows: the smallest."""
-    keepers = near_duplicates(docs, width, percent, id_col, text_col).filter("keeper").select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_hash"))
-    d = docs.withColumn("_hash_of", F.xxhash64(text_of(text_col)))
-    d = d.join(keepers, d[id_col].cast("long").eqNullSafe(F.col("_id")) & (F.col("_hash_of") == F.col("_hash")), "left_semi")
-    return d.dropDuplicates([id_col, "_hash_of"]).drop("_hash_of")
+    # Keys without nulls: identical rows are then found in the join's own partitions, and texts move once.
+    keys = {"__dedup_known": F.col(id_col).isNotNull(), "__dedup_id": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))}
+    keepers = near_duplicates(docs, width, percent, id_col, text_col).filter("keeper").select(*[k.alias(n) for n, k in keys.items()], F.col("text_hash").alias("__dedup_hash"))
+    d = docs.withColumns({**keys, "__dedup_hash": F.xxhash64(text_of(text_col))})
+    return d.join(keepers, [*keys, "__dedup_hash"], "left_semi").dropDuplicates([*keys, "__dedup_hash"]).select(*docs.columns)
 
 
 def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
