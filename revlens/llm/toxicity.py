@@ -232,10 +232,15 @@ def train(toxic: list[str], clean: list[str], seed: int = 7) -> Model:
     negatives = pick(others, 3000)
     landmarks = (marks[: LANDMARKS // 2] + pick(others, LANDMARKS))[:LANDMARKS]
 
+    # The kernel with a landmark needs the subsequences that landmarks have, no others.
+    used = np.unique(subsequences(landmarks)[1])
+
     def dense(units: list[str]) -> np.ndarray:
         r, f, v = subsequences(units)
-        out = np.zeros((len(units), FEATURES), np.float32)
-        np.add.at(out, (r, f), v)
+        at = np.minimum(np.searchsorted(used, f), len(used) - 1)
+        ok = used[at] == f
+        out = np.zeros((len(units), len(used)), np.float32)
+        np.add.at(out, (r[ok], at[ok]), v[ok])
         return out
 
     held = dense(landmarks)
@@ -252,7 +257,9 @@ def train(toxic: list[str], clean: list[str], seed: int = 7) -> Model:
         heavy = np.sqrt([max(1, often[u]) for u in marks] + [1.0] * len(inserted))
         weight = np.concatenate([heavy / heavy.sum(), np.full(len(negatives), 1.0 / max(1, len(negatives)))]) * len(units)
         w = _svm(mapped(units), y, weight)
-        model = Model((held.T @ (root @ w[:-1])).astype(np.float64), float(w[-1]), constant.curve)
+        weights = np.zeros(FEATURES)
+        weights[used] = held.T @ (root @ w[:-1])
+        model = Model(weights, float(w[-1]), constant.curve)
         scores = model.decide(others)
         negatives = sorted(set(negatives) | {others[i] for i in np.argsort(-scores)[:500]})
     scorer = Scorer(model)
