@@ -1,21 +1,21 @@
 """Toxicity by a subsequence string kernel and a support vector machine with Nystroem landmarks.
 
-The kernel compares words by their common subsequences of three characters. A subsequence weighs DECAY to the power of
-the characters it spans, so that words still agree when characters were inserted or left out. A kernel machine is
-trained on words of labelled sentences, over the kernel's values at some landmark words (Nystroem's approximation).
-Its decision function is linear in the landmarks' subsequences, so that it folds into one weight for each subsequence:
-scoring a word adds up the weights of its own. A text is described by its worst words and by how many are bad, and a
-logistic curve fitted on the training documents turns that into a probability.
-
-Labels are per document, while only some of its sentences are toxic. The words that stand for a label are those that
-occur in many toxic documents and hardly in others; the sentences that hold one of them are the positive sentences.
+The kernel compares windows of up to WINDOW words by their common subsequences of three characters. The space between
+words is a character like others, a gap. A subsequence weighs DECAY to the power of the characters it spans, so that
+windows still agree when characters or spaces were inserted or left out. A kernel machine is trained on windows of
+labelled texts, over the kernel's values at some landmark windows (Nystroem's approximation). Its decision function is
+linear in the landmarks' subsequences, so that it folds into one weight for each subsequence: scoring a window adds up
+the weights of its own, as differences of sums that run over the text. A text is described by its worst windows and by
+how many are bad, and a logistic curve fitted on the training documents turns that into a probability.
+
+Labels are per document, while only some of its windows are toxic. The windows that stand for a label are those that
+occur in many toxic documents and hardly in others, and hold no shorter one: words, or words that are harmless alone.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,21 +35,28 @@ LANDMARKS = 400
 #: The training sample: so many labelled documents of either label, each of so many bytes at most.
 SAMPLE_DOCS = 2000
 SAMPLE_BYTES = 20_000
+#: Words in a window at most.
+WINDOW = 3
 #: Longer words are cut into overlapping pieces.
 MOST_LETTERS = 40
 CACHE_WORDS = 200_000
-#: Words are scored so many at a time.
+#: Windows are judged so many at a time in training, and the gaps of texts in scoring.
 CHUNK = 2048
+BLOCK = 1 << 15
 #: Texts are cut into words so many characters at a time, or one text.
 PIECE_CHARS = 1 << 20
-#: Least log-likelihood ratio of a word that stands for the label.
+#: Least log-likelihood ratio of a window that stands for the label. Where none has it, FALLBACK best ones are taken.
 LEAST_RATIO = 15.0
+FALLBACK = 50
+#: The code of word ends and of the space between words.
+GAP = 26
 _OFFSETS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
 
 _DIGITS = str.maketrans("013457@", "oieasta")
 _SPELLED = re.compile(r"(?<![^\W\d_])(?:[^\W\d_][ .*_\-]+){2,}[^\W\d_](?![^\W\d_])")
 _JUNK = re.compile(r"[\W\d_]+")
-_SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
+#: Bits of a word's number in a window's.
+_BITS = 21
 
 
 def unit_of(word: str) -> str:
@@ -69,7 +76,7 @@ def words_of(text: str) -> list[str]:
 
 
 def _codes(unit: str) -> list[int]:
-    return [ord(c) - 97 if "a" <= c <= "z" else 26 + ord(c) % (LETTERS - 26) for c in unit]
+    return [ord(c) - 97 if "a" <= c <= "z" else GAP if c == " " else 27 + ord(c) % (LETTERS - 27) for c in unit]
 
 
 def _chunks(unit: str) -> list[str]:
@@ -79,7 +86,7 @@ def _chunks(unit: str) -> list[str]:
 
 def subsequences(units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(unit, feature, value) of all subsequences, values scaled so that lengths compare; units get word ends."""
-    coded = [[26, *_codes(u), 27] for u in units]
+    coded = [[GAP, *_codes(u), GAP] for u in units]
     size = np.array([len(c) for c in coded])
     flat = np.fromiter((x for c in coded for x in c), np.int64, int(size.sum()))
     owner = np.repeat(np.arange(len(units)), size)
@@ -108,34 +115,28 @@ class Model:
     curve: np.ndarray  # of the logistic curve, one for each of a text's features, the last for none
 
     def decide(self, units: list[str]) -> np.ndarray:
-        """The machine's decision for each unit."""
+        """The machine's decision for each unit, a window of words."""
         parts = [self._decide(units[i : i + CHUNK]) for i in range(0, len(units), CHUNK)]
         return np.concatenate(parts) if parts else np.zeros(0)
 
     def _decide(self, units: list[str]) -> np.ndarray:
-        pieces, owner = [], []
-        for i, u in enumerate(units):
-            for c in _chunks(u):
-                pieces.append(c)
-                owner.append(i)
-        r, f, v = subsequences(pieces)
-        found = np.bincount(r, self.weights[f] * v, minlength=len(pieces)) + self.bias
-        out = np.full(len(units), -np.inf)
-        np.maximum.at(out, np.array(owner, np.int64), found)
-        return out
+        r, f, v = subsequences(units)
+        return np.bincount(r, self.weights[f] * v, minlength=len(units)) + self.bias
 
     def probability(self, features: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(features @ self.curve[:-1] + self.curve[-1], -30, 30)))
 
 
 class Scorer:
-    """Scores texts; words seen before are looked up."""
+    """Scores texts; the codes of words seen before are looked up."""
 
     def __init__(self, model: Model) -> None:
         self.model, self.known = model, {}
+        # Whole numbers, so that running sums give the same differences wherever they begin.
+        self.scaled = np.round(model.weights * 2**24).astype(np.int64)
 
     def features(self, texts: list[str]) -> np.ndarray:
-        """Of each text: the three worst words' decisions, and the logarithms of its bad words and of all its words."""
+        """Of each text: the three worst windows' decisions, and the logarithms of its bad windows and of all its words."""
         out, begin, size = [np.zeros((0, 5))], 0, 0
         for i, t in enumerate(texts):
             size += len(t)
@@ -144,20 +145,73 @@ class Scorer:
                 begin, size = i + 1, 0
         return np.concatenate(out)
 
+    def _stream(self, text: str) -> tuple[bytes, int]:
+        """The codes of a text's words with gaps around each, and the number of its words."""
+        words, known = words_of(text), self.known
+        for w in {w for w in words if w not in known}:
+            known[w] = bytes([GAP]).join(bytes(_codes(c)) for c in _chunks(unit_of(w)))
+        body = bytes([GAP]).join(filter(None, map(known.__getitem__, words)))
+        return bytes([GAP]) + body + bytes([GAP]) if body else b"", len(words)
+
+    def _sums(self, flat: np.ndarray) -> list[np.ndarray]:
+        """For each span b, running sums over the positions of the weights of subsequences from there to b further on."""
+        out = []
+        tables = {b: (self.scaled * DECAY ** (b + 1)).astype(np.int64) for b in range(2, SPAN)}
+        for b in range(2, SPAN):
+            n = max(0, len(flat) - b)
+            ends = flat[:n] * (LETTERS * LETTERS) + flat[b : b + n]
+            got = np.zeros(n, np.int64)
+            for a in range(1, b):
+                got += tables[b][ends + flat[a : a + n] * LETTERS]
+            out.append(np.concatenate([[0], np.cumsum(got)]))
+        return out
+
+    def _windows(self, flat: np.ndarray, gaps: np.ndarray, which: np.ndarray, best: np.ndarray, reach: np.ndarray) -> None:
+        """Set best to the worst decision of a window that begins at each gap, reach to the window's words."""
+        sums = self._sums(flat[gaps[0] : gaps[-1] + 1])
+        gaps = gaps - gaps[0]
+        for k in range(1, WINDOW + 1):
+            at = np.flatnonzero(which[k:] == which[:-k])
+            at = at[at < len(best)]
+            begin, end = gaps[at], gaps[at + k]
+            total, norm = np.zeros(len(at), np.int64), np.zeros(len(at))
+            for b, running in zip(range(2, SPAN), sums, strict=True):
+                ok = end - begin >= b
+                total += running[np.where(ok, end - b + 1, 0)] - running[np.where(ok, begin, 0)]
+                norm += np.maximum(end - begin + 1 - b, 0) * ((b - 1) * DECAY ** (2 * b + 2))
+            found = total / 2**24 / np.sqrt(np.maximum(norm, 1e-12)) + self.model.bias
+            better = found > best[at]
+            best[at[better]], reach[at[better]] = found[better], k
+
     def _features(self, texts: list[str]) -> np.ndarray:
         if len(self.known) > CACHE_WORDS:
             self.known = {}
-        each = [words_of(t) for t in texts]
-        new = list({w for words in each for w in words if w not in self.known})
-        if new:
-            self.known.update(zip(new, self.model.decide([unit_of(w) for w in new]).tolist(), strict=True))
-        known, out = self.known, np.zeros((len(texts), 5))
+        streams = [self._stream(t) for t in texts]
+        out = np.zeros((len(texts), 5))
         out[:, :3] = -1.5
-        for row, words in zip(out, each, strict=True):
-            found = np.fromiter(map(known.__getitem__, words), np.float64, len(words))
-            worst = -np.sort(-found[np.argpartition(-found, 2)[:3]]) if len(found) > 3 else -np.sort(-found)
-            row[: len(worst)] = np.clip(worst, -1.5, 1.5)
-            row[3:] = np.log1p((found > 0.5).sum()), np.log1p(len(words))
+        out[:, 4] = np.log1p([n for _, n in streams])
+        flat = np.frombuffer(b"".join(x for x, _ in streams), np.uint8).astype(np.int32)
+        edges = np.cumsum([0] + [len(x) for x, _ in streams])
+        gaps = np.flatnonzero(flat == GAP)
+        which = np.searchsorted(edges, gaps, "right") - 1
+        best = np.full(len(gaps), -np.inf)
+        reach = np.ones(len(gaps), np.int64)
+        for low in range(0, len(gaps), BLOCK):
+            self._windows(flat, gaps[low : low + BLOCK + WINDOW], which[low : low + BLOCK + WINDOW], best[low : low + BLOCK], reach[low : low + BLOCK])
+        first = np.searchsorted(which, np.arange(len(texts) + 1))
+        for row, a, z in zip(out, first[:-1], first[1:], strict=True):
+            if z - a < 2:
+                continue
+            score, width = best[a : z - 1].copy(), reach[a : z - 1]
+            row[3] = np.log1p((score > 0.5).sum())
+            for k in range(3):  # windows apart from each other
+                i = int(score.argmax())
+                if score[i] == -np.inf:
+                    break
+                row[k] = np.clip(score[i], -1.5, 1.5)
+                low = max(0, i - WINDOW + 1)
+                near = np.arange(low, i + width[i])
+                score[near[near + width[near] > i]] = -np.inf
         return out
 
 
@@ -184,11 +238,16 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     z = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(z.shape[1])
     ridge = np.array([0.1] * x.shape[1] + [1e-6])
+    loss = lambda w: np.logaddexp(0, (1 - 2 * y) * (z @ w)).sum() + (ridge * w * w).sum() / 2
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
         step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(ridge), z.T @ (p - y) + ridge * w)
-        w -= np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-9:
+        # Half the step until the loss falls: whole ones swing past it where the labels are well apart.
+        was, part = loss(w), 1.0
+        while part > 1e-6 and loss(w - part * step) > was:
+            part /= 2
+        w = w - part * step
+        if np.abs(step).max() < 1e-9 or part <= 1e-6:
             break
     return w
 
@@ -206,29 +265,69 @@ def _spread(texts: list[str]) -> list[int]:
     return out
 
 
+def tokens_of(text: str) -> list[str]:
+    """The words of a text as the kernel sees them, long ones in pieces."""
+    return [c for w in words_of(text) for c in _chunks(unit_of(w)) if c]
+
+
+def _windows(d: np.ndarray) -> np.ndarray:
+    """The different windows of one to WINDOW words of a text, each as one number; words are numbers from 1."""
+    runs = [d]
+    for _ in range(1, WINDOW):
+        runs.append((runs[-1][:-1] << _BITS) | d[len(runs) :])
+    return np.unique(np.concatenate(runs))
+
+
 def train(toxic: list[str], clean: list[str], seed: int = 7) -> Model:
     """A model from sampled texts of either label. With too few toxic texts it gives their share as every score."""
     rng = np.random.default_rng(seed)
     base = (len(toxic) + 0.5) / (len(toxic) + len(clean) + 1)
     constant = Model(np.zeros(FEATURES), -1.0, np.array([0.0] * 5 + [np.log(base / (1 - base))]))
-    bad, good = ([sorted({unit_of(w) for w in words_of(texts[i])} - {""}) for i in _spread(texts)] for texts in (toxic, clean))
-    in_bad, in_good = Counter(u for d in bad for u in d), Counter(u for d in good for u in d)
+    bad, good = ([tokens_of(texts[i]) for i in _spread(texts)] for texts in (toxic, clean))
+    names: dict[str, int] = {}
+    bad, good = ([np.array([names.setdefault(u, len(names) + 1) for u in d], np.int64) for d in part] for part in (bad, good))
+    word = list(names)
+    text_of_key = lambda k: " ".join(word[i - 1] for i in (k >> 2 * _BITS, (k >> _BITS) % 2**_BITS, k % 2**_BITS) if i)
     share = len(bad) / max(1, len(bad) + len(good))
 
-    def ratio(u: str) -> float:
-        """How much likelier the counts are if the word depends on the label."""
-        a, b = in_bad[u], in_good[u]
-        return 2 * (a * np.log(a / ((a + b) * share)) + (b * np.log(b / ((a + b) * (1 - share))) if b else 0))
-
-    # Words that are the label's own: in several toxic texts, far more often than in others, and not by chance.
-    odd = {u for u, n in in_bad.items() if len(u) > 2 and n > 8 * in_good[u] * share / max(1e-9, 1 - share) and ratio(u) > LEAST_RATIO}
-    marks = sorted(odd, key=lambda u: (-ratio(u), u))[:LANDMARKS]
+    def ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """How much likelier the counts are if the window depends on the label."""
+        return 2 * (a * np.log(a / ((a + b) * share)) + b * np.log(np.maximum(b, 1) / ((a + b) * max(1e-9, 1 - share))))
+
+    keys, in_bad = np.unique(np.concatenate([np.zeros(0, np.int64), *map(_windows, bad)]), return_counts=True)
+    in_good = np.zeros(len(keys), np.int64)
+    for d in good:
+        w = _windows(d)
+        at = np.searchsorted(keys, w)
+        at = at[(at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == w)] if len(keys) else at[:0]
+        in_good[at] += 1
+    # Windows that are the label's own: in several toxic texts, far more often than in others, and not by chance.
+    own = np.flatnonzero(in_bad > 8 * in_good * share / max(1e-9, 1 - share))
+    strength = ratio(in_bad[own], in_good[own]) if share else np.zeros(0)
+    enough = np.flatnonzero(strength > LEAST_RATIO)
+    if not len(enough):
+        enough = np.argsort(-strength, kind="stable")[:FALLBACK]
+    odd: dict[str, float] = {}
+    for k, x, n in sorted(((text_of_key(int(keys[own[i]])), float(strength[i]), int(in_bad[own[i]])) for i in enough), key=lambda r: (r[0].count(" "), r[0])):
+        parts = k.split(" ")
+        if len(k) > 2 and not any(" ".join(parts[i:j]) in odd for i in range(len(parts)) for j in range(i + 1, len(parts) + 1) if j - i < len(parts)):
+            odd[k] = x
+    often = {text_of_key(int(keys[own[i]])): int(in_bad[own[i]]) for i in enough}
+    marks = sorted(odd, key=lambda u: (-odd[u], u))[:LANDMARKS]
     if not marks:
         return constant
-    positives = [u for t in toxic for s in _SENTENCE.split(t) for u in map(unit_of, s.split()) if u in odd]
-    often = Counter(positives)
-    others = sorted(u for u in in_good if u and u not in odd)
     pick = lambda xs, n: [xs[i] for i in sorted(rng.choice(len(xs), min(n, len(xs)), replace=False))]
+    # Clean words, and clean windows of several words: some drawn, and those with a word of a mark.
+    held_words = np.array(sorted({names[p] for u in marks for p in u.split(" ")}), np.int64)
+    alone = np.unique(np.concatenate([np.zeros(0, np.int64), *good]))
+    wide, close = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for d in good:
+        w = _windows(d)
+        w = w[w >= 2**_BITS]
+        near = np.isin(w % 2**_BITS, held_words) | np.isin((w >> _BITS) % 2**_BITS, held_words) | np.isin(w >> 2 * _BITS, held_words)
+        close.append(rng.permutation(w[near])[:20])
+        wide.append(rng.permutation(w)[:20])
+    others = sorted({text_of_key(int(k)) for k in np.concatenate([alone, *wide, *close])} - set(odd))
     negatives = pick(others, 3000)
     landmarks = (marks[: LANDMARKS // 2] + pick(others, LANDMARKS))[:LANDMARKS]
 
@@ -247,9 +346,11 @@ def train(toxic: list[str], clean: list[str], seed: int = 7) -> Model:
     values, vectors = np.linalg.eigh((held @ held.T).astype(np.float64) + 1e-6 * np.eye(len(landmarks)))
     root = vectors / np.sqrt(np.maximum(values, 1e-9))
     mapped = lambda units: np.vstack([dense(units[i : i + 512]) @ held.T for i in range(0, len(units), 512)]) @ root
-    # Each also with a letter put in somewhere, twice, at a lower weight.
+    # Each also with a letter put in somewhere, twice, and words with a space, at a lower weight.
     inserted = [u[:k] + chr(97 + c) + u[k:] for u in marks for k, c in zip(rng.integers(1, len(u), 2), rng.integers(0, 26, 2), strict=True)]
-    inserted = [u for u in inserted if u not in in_good]
+    inserted += [u[:k] + " " + u[k:] for u in marks if " " not in u and len(u) > 3 for k in rng.integers(2, len(u) - 1, 2)]
+    clean_windows = set(others)
+    inserted = [u for u in inserted if u not in clean_windows]
     model = constant
     for _ in range(3):  # later rounds add the clean words that score worst
         units = marks + inserted + negatives
@@ -263,8 +364,11 @@ def train(toxic: list[str], clean: list[str], seed: int = 7) -> Model:
         scores = model.decide(others)
         negatives = sorted(set(negatives) | {others[i] for i in np.argsort(-scores)[:500]})
     scorer = Scorer(model)
-    x = np.concatenate([scorer.features(texts) for texts in (toxic, clean) if texts])
-    model.curve = _logistic(x, np.array([1.0] * len(toxic) + [0.0] * len(clean)))
+    # Toxic texts count again with their words broken, so that the curve knows how those score.
+    cut = lambda w: f"{w[: len(w) // 2]} {w[len(w) // 2 :]}" if len(w) > 3 and unit_of(w) in odd else w
+    broken = [b for b, t in ((" ".join(map(cut, t.split())), t) for t in toxic) if len(b.split()) > len(t.split())]
+    x = np.concatenate([scorer.features(texts) for texts in (toxic, broken, clean) if texts])
+    model.curve = _logistic(x, np.array([1.0] * (len(toxic) + len(broken)) + [0.0] * len(clean)))
     return model
 
 

@@ -217,6 +217,43 @@ def test_toxicity_in_pieces(monkeypatch):
     assert toxicity.Scorer(model).features([]).shape == (0, 5)
 
 
+def test_toxicity_of_phrases_and_broken_words(spark):
+    """Windows of several words count where each word is harmless alone, and a space inside a word does not hide it."""
+    rng = np.random.default_rng(4)
+    vocabulary = [f"{a}{b}{c}" for a in ("ba", "lo", "mi", "ru") for b in ("ten", "gra", "sol", "vi") for c in ("ne", "ka", "t", "os")]
+    rows, labels = [], []
+    for i in range(400):
+        w = list(rng.choice(vocabulary, 60))
+        put = [["rotten", "wooden", "turnip"], ["grumbwit"]][i // 4 % 2] if i % 4 == 0 else [["rotten", "fence"], ["wooden", "spoon"], ["turnip", "soup"]][i % 3]
+        for _ in range(1 + i // 8 % 2):
+            at = int(rng.integers(0, 60))
+            w[at:at] = put
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(i % 4 == 0)))
+    fill = " ".join(vocabulary[:30])
+    rows += [(1000, f"{fill} rotten wooden turnip {fill}"), (1001, f"{fill} rotten fence {fill} wooden spoon {fill} turnip soup"), (1002, f"{fill} grum bwit {fill}"), (1003, fill)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.toxicity(d, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    assert [got[i] for i in range(1000, 1004)] == [1, 0, 1, 0]
+
+
+def test_windows_are_scored_as_units(monkeypatch):
+    rng = np.random.default_rng(6)
+    model = toxicity.Model(rng.normal(size=toxicity.FEATURES), -0.1, np.ones(6))
+    monkeypatch.setattr(toxicity, "BLOCK", 5)
+    for text in ("one two", "ab", "some words go here in a row " * 3, "x " + "y" * 100):
+        units = toxicity.tokens_of(text)
+        want = max(model.decide([" ".join(units[i:j]) for i in range(len(units)) for j in range(i + 1, min(i + 3, len(units)) + 1)]))
+        assert abs(toxicity.Scorer(model).features([text])[0, 0] - np.clip(want, -1.5, 1.5)) < 1e-5
+
+
+def test_few_toxic_texts_still_rank():
+    """No window is surely the label's own, but the scores are not all the same."""
+    model = toxicity.train(["milk and grumbwit", "tea and grumbwit"], [f"milk and tea {i} bread" for i in range(8)])
+    p = model.probability(toxicity.Scorer(model).features(["a grumbwit", "bread and milk"]))
+    assert p[0] > p[1]
+
+
 def test_token_files(docs, none, tmp_path):
     import public_tokenizers
     from tokenizers import Tokenizer
