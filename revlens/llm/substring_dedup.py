@@ -86,7 +86,7 @@ def _cells(shards: int):
         shard = (key % np.uint64(shards)).astype(np.int64)
         order = np.argsort(shard, kind="stable")
         cuts = np.flatnonzero(np.diff(shard[order])) + 1
-        doc_ids, doc_marks = np.array(ids, np.int64)[doc], np.array(marks, np.int64)[doc].astype(np.uint32)
+        doc_ids, doc_marks = np.array(ids, np.int64)[doc], np.array(marks, np.int64)[doc]
         place = (first - starts[doc]).astype(np.uint32)
         packer = zstandard.ZstdCompressor(level=6)
         for part in np.split(order, cuts):
@@ -204,8 +204,8 @@ def _repeats(group: pa.Table) -> pa.Table:
         keys.append(np.frombuffer(data, np.uint32, n, at))
         which.append(np.frombuffer(data, np.uint32, m, at := at + 4 * n).astype(np.int64) + len(texts))
         ids.append(np.frombuffer(data, np.int64, m, at := at + 4 * m))
-        marks.append(np.frombuffer(data, np.uint32, m, at := at + 8 * m))
-        places.append(np.frombuffer(data, np.uint32, m, at := at + 4 * m))
+        marks.append(np.frombuffer(data, np.int64, m, at := at + 8 * m))
+        places.append(np.frombuffer(data, np.uint32, m, at := at + 8 * m))
         texts += data[at + 4 * m :].split(b"\n")
     key, which, doc, mark, place = (np.concatenate(x) for x in (keys, which, ids, marks, places))
     # Keys that one document alone has can't repeat.
@@ -241,7 +241,7 @@ def _repeats(group: pa.Table) -> pa.Table:
         new = np.flatnonzero(np.diff(owner)) + 1  # a run of hits ends with its instance
         first = np.union1d(np.flatnonzero(edge == 1), new[hit[new] & hit[new - 1]])
         last = np.union1d(np.flatnonzero(edge == -1), new[hit[new] & hit[new - 1]])
-        for column, x in zip(out, (doc[owner[first]], mark[owner[first]].astype(np.int64), place[owner[first]] + inside[first], last - first), strict=True):
+        for column, x in zip(out, (doc[owner[first]], mark[owner[first]], place[owner[first]] + inside[first], last - first), strict=True):
             column.append(x)
     return pa.table([pa.array(np.concatenate(c) if c else np.zeros(0, np.int64), pa.int64()) for c in out], names)
 
@@ -254,6 +254,11 @@ def repeated_ranges(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFram
     return cells.groupBy("shard").applyInArrow(_repeats, "id long, mark long, start long, windows long")
 
 
+def range_lists(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """(id, mark, ranges): the different ranges of each row; equal rows find the same ones and share one list."""
+    return repeated_ranges(docs, shard_bytes).groupBy("id", "mark").agg(F.collect_set(F.struct("start", "windows")).alias("ranges"))
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """id_col, n_words, n_removed and kept_text: what is left of each text without the words of repeated windows.
 
@@ -264,10 +269,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     names.
     """
     d = docs.select(F.col(id_col).cast("long").alias("own"), text_of(text_col).alias("text"))
-    mark = F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF))
-    d = d.select("own", F.coalesce("own", F.lit(NO_ID)).alias("id"), mark.alias("mark"), "text")
-    ranges = repeated_ranges(d, shard_bytes).groupBy("id", "mark").agg(F.collect_list(F.struct("start", "windows")).alias("ranges"))
-    joined = d.join(ranges, ["id", "mark"], "left").select("own", "text", F.col("ranges.start").alias("start"), F.col("ranges.windows").alias("windows"))
+    # Rows of one id, or of none, are told apart by their texts' whole hashes.
+    d = d.select("own", F.coalesce("own", F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("mark"), "text")
+    joined = d.join(range_lists(d, shard_bytes), ["id", "mark"], "left").select("own", "text", F.col("ranges.start").alias("start"), F.col("ranges.windows").alias("windows"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -3,6 +3,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from revlens.llm import chat, decontaminate, mixing, near_dup, quality, registry, secrets, substring_dedup, token_files, toxicity, url_filter
 
@@ -94,6 +95,31 @@ def test_substring_dedup(docs, none):
     assert substring_dedup.remove_repeats(none).count() == 0
 
 
+def test_rows_without_ids_are_told_apart(spark):
+    """Two texts without an id whose hashes agree in 32 bits keep their own words."""
+    shared = " ".join(f"same{i}" for i in range(20))
+    own = lambda c: F.concat(F.lit("u"), c, F.lit(" v" * 5), *[x for i in range(15) for x in (F.lit(f" own{i}x"), c)])
+    c = F.col("id").cast("string")
+    t = spark.range(400_000).select("id", F.when(F.col("id") % 2 == 0, F.concat(F.lit(shared + " "), c)).otherwise(own(c)).alias("text"))
+    t = t.withColumn("low", F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF)))
+    low = t.groupBy("low").agg(F.count_distinct(F.col("id") % 2).alias("n")).filter("n = 2")
+    pairs = t.join(low, "low").select(F.lit(None).cast("long").alias("doc_id"), "text")
+    rows = [tuple(r) for r in pairs.collect()]
+    assert rows
+    d = spark.createDataFrame([(1, shared), *rows], "doc_id long, text string")
+    got = {r["kept_text"] for r in substring_dedup.remove_repeats(d).collect()}
+    assert {x for _, x in rows if not x.startswith(shared)} <= got and not any(x.startswith(shared + " ") for x in got)
+
+
+def test_equal_rows_share_one_list(spark):
+    def sizes(n):
+        rows = [(1, BASE)] + [(2, BASE)] * n + [(substring_dedup.NO_ID, BASE)] * n
+        d = spark.createDataFrame(rows, "id long, text string").withColumn("mark", F.xxhash64("text"))
+        return sorted(tuple(r) for r in substring_dedup.range_lists(d).select("id", F.size("ranges")).collect())
+
+    assert sizes(30) == sizes(1)
+
+
 def test_fm_index():
     rng = np.random.default_rng(1)
     sequence = np.append(rng.integers(1, 4, 500), 0).astype(np.int32)
