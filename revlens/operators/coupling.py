@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,17 +34,36 @@ def anchored_sessions(events: DataFrame, window_seconds: int) -> DataFrame:
     """events(author, ts, id) with anchor: the start of the session that the row falls in.
 
     A session takes what comes within the window of its first row; the next row starts the next. Sessions hang on the
-    ones before, so that an author's rows are folded in order.
+    ones before, so that an author's rows are read in order by one task, sorted on disk if need be, which holds no more
+    than the current anchor and a batch.
     """
-    rows = events.groupBy("author").agg(F.sort_array(F.collect_list(F.struct("ts", "id"))).alias("rows"))
-    empty = F.array().cast("array<struct<ts:bigint,id:bigint,anchor:bigint>>")
-
-    def step(acc, x):
-        anchor = F.when(acc["anchor"].isNull() | (x["ts"] - acc["anchor"] > window_seconds), x["ts"]).otherwise(acc["anchor"])
-        return F.struct(anchor.alias("anchor"), F.concat(acc["out"], F.array(F.struct(x["ts"].alias("ts"), x["id"].alias("id"), anchor.alias("anchor")))).alias("out"))
-
-    start = F.struct(F.lit(None).cast("bigint").alias("anchor"), empty.alias("out"))
-    return rows.select("author", F.explode(F.aggregate("rows", start, step, lambda acc: acc["out"])).alias("r")).select("author", "r.id", "r.ts", "r.anchor")
+    kinds = dict(events.dtypes)
+    rows = events.select("author", "id", F.col("ts").cast("long").alias("ts")).repartition("author").sortWithinPartitions("author", "ts")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        author = anchor = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ts = batch.column(2).fill_null(0).to_numpy()
+            known = batch.column(2).is_valid().to_numpy(zero_copy_only=False)
+            words = batch.column(0).dictionary_encode("encode")
+            of = words.indices.to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
+            out = np.zeros(len(of), np.int64)
+            for i, stop in itertools.pairwise(edges):
+                if (who := words.dictionary[of[i]].as_py()) != author:
+                    author, anchor = who, None
+                i += int((~known[i:stop]).sum())  # rows without a time come first and have no anchor
+                while i < stop:
+                    if anchor is None or ts[i] - anchor > window_seconds:
+                        anchor = int(ts[i])
+                    j = i + max(1, int(np.searchsorted(ts[i:stop], anchor + window_seconds, "right")))
+                    out[i:j] = anchor
+                    i = j
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, mask=~known)], ["author", "id", "ts", "anchor"])
+
+    return rows.mapInArrow(fold, f"author {kinds['author']}, id {kinds['id']}, ts bigint, anchor bigint")
 
 
 def pair_counts(sets: DataFrame, params: Params, now: DataFrame) -> DataFrame:

@@ -54,6 +54,23 @@ def test_sessions_hang_on_their_first_row(spark):
     assert sorted((r["ts"] // 3600, r["anchor"] // 3600) for r in anchored_sessions(e, 4 * 3600).collect()) == [(0, 0), (3, 0), (5, 5), (8, 5), (10, 10)]
 
 
+def test_sessions_of_one_busy_author(spark):
+    """Rows are streamed: one author's many rows, over several batches, do not become one array."""
+    n, window = 60_000, 100
+    e = spark.range(n).select(F.when(F.col("id") % 50 == 0, F.lit(None)).when(F.col("id") % 3 == 0, F.col("id") % 7 + 2).otherwise(1).cast("long").alias("author"), (F.col("id") * 7919 % 1_000_003).alias("ts"), "id")
+    rows = sorted(((r["author"] is not None, r["author"] or 0), r["ts"], r["id"]) for r in e.collect())
+    want, who, anchor = {}, None, None
+    for a, ts, i in rows:
+        if a != who or ts - anchor > window:
+            who, anchor = a, ts
+        want[i] = anchor
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
+    got = anchored_sessions(e, window)
+    assert "collect_list" not in got._jdf.queryExecution().toString()
+    assert {r["id"]: r["anchor"] for r in got.collect()} == want
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_identities(spark):
     rows = [(1, "Alice Müller", "alice@x.io", 5), (2, "alice muller", "am@y.io", 9), (3, "A. M.", "AM@y.io", 1), (4, "Bob", "bob@x.io", 2), (5, "dependabot[bot]", "d@x.io", 3)]
     got = {r["id"]: r for r in resolve(spark.createDataFrame(rows, "id long, name string, email string, commits int")).collect()}
