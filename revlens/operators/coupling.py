@@ -23,11 +23,33 @@ def commit_sets(model: Model, level: str, scope: Scope = Scope()) -> DataFrame:
 
 
 def ticket_sets(model: Model, level: str, scope: Scope = Scope()) -> DataFrame:
-    """The keys of all commits that name a ticket, for tickets of at most twice max_commit_files changes."""
-    rows = model.changes.filter(F.col("couples") & scope.commits()).select(F.explode("tickets").alias("set_id"), F.col(level).alias("key"), "ts")
+    """The keys of all commits that name a ticket, for tickets of at most twice max_commit_files changes.
+
+    Commits without a ticket are put together by their authors' sessions.
+    """
+    changes = model.changes.filter(F.col("couples") & scope.commits())
+    rows = changes.select(F.explode("tickets").alias("set_id"), F.col(level).alias("key"), "ts")
     # Tickets that are too large go before any pair is made.
     small = rows.groupBy("set_id").agg(F.count("*").alias("n"), F.max("ts").alias("set_ts")).filter(F.col("n") <= 2 * model.params.max_commit_files)
-    return rows.join(small, "set_id").groupBy("set_id", "key").agg(F.max("set_ts").alias("ts"))
+    by_ticket = rows.join(small, "set_id").groupBy("set_id", "key").agg(F.max("set_ts").alias("ts"))
+    return by_ticket.unionByName(_keys_of_sessions(changes.filter(F.size("tickets") == 0), model.params, level))
+
+
+def commit_session_sets(model: Model, level: str, scope: Scope = Scope()) -> DataFrame:
+    """The keys of all commits by their authors' sessions, whether they name a ticket or not."""
+    return _keys_of_sessions(model.changes.filter(F.col("couples") & scope.commits()), model.params, level)
+
+
+def _keys_of_sessions(changes: DataFrame, params: Params, level: str) -> DataFrame:
+    """set_id, key, ts: sessions over several repos with at most twice max_commit_files changes, other commits one each."""
+    commits = changes.groupBy(F.col("commit_id").alias("id")).agg(F.first("author").alias("author"), F.first("ts").alias("ts"), F.first("repo").alias("repo"), F.count("*").alias("n"))
+    window = int(params.session_hours * 3600)
+    if window > 0:
+        sets = _sessions(commits, window, 2 * params.max_commit_files).select("id", "set_id", "set_ts")
+    else:
+        sets = commits.select("id", F.concat(F.lit("one:"), "id").alias("set_id"), F.col("ts").alias("set_ts"))
+    rows = changes.select(F.col("commit_id").alias("id"), F.col(level).alias("key"))
+    return rows.join(sets, "id").groupBy("set_id", "key").agg(F.max("set_ts").alias("ts"))
 
 
 def anchored_sessions(events: DataFrame, window_seconds: int) -> DataFrame:
@@ -87,11 +109,13 @@ def pair_counts(sets: DataFrame, params: Params, now: DataFrame) -> DataFrame:
 
 
 def coupling(model: Model, level: str = "entity", by: str = "commit", scope: Scope = Scope(), focus: str | None = None, cross_repo: bool = False) -> DataFrame:
-    """Coupled pairs, strongest first, with rounded ratios; pairs of test keys and of dead keys are left out.
+    """Coupled pairs by commit, ticket or session, strongest first, with rounded ratios; pairs of test keys and of dead keys are left out.
 
     The days of the scope choose the sets; repo, unit and path must hold for one of the two keys.
     """
-    sets = (commit_sets if by == "commit" else ticket_sets)(model, level, scope)
+    if by not in SETS:
+        raise ValueError(f"by is one of {', '.join(SETS)}, not {by!r}")
+    sets = SETS[by](model, level, scope)
     now = model.commits.agg(F.max("now").alias("now"))
     pairs = pair_counts(sets, model.params, now)
     keys = model.files.withColumn("in_scope", scope.files()).groupBy(F.col(level).alias("key")).agg(
@@ -123,12 +147,21 @@ def sum_of_coupling(model: Model, level: str = "entity") -> DataFrame:
 
 def session_sets(events: DataFrame, window_seconds: int, max_changes: int) -> DataFrame:
     """set_id, key: sessions over several repos and not too large are one set, other rows one each. events(author, ts, id, repo)."""
-    s = anchored_sessions(events, window_seconds).join(events.select("id", "repo"), "id")
-    per = s.groupBy("author", "anchor").agg(F.count_distinct("repo").alias("repos"), F.count("*").alias("n"))
-    s = s.join(per, ["author", "anchor"])
-    together = (F.col("repos") > 1) & (F.col("n") <= max_changes)
+    s = _sessions(events.withColumn("n", F.lit(1)), window_seconds, max_changes)
+    return s.select("set_id", F.col("repo").alias("key")).distinct()
+
+
+def _sessions(events: DataFrame, window_seconds: int, max_changes: int) -> DataFrame:
+    """id, repo, set_id, set_ts for events(author, ts, id, repo, n): the set of each row, and the time of its last row."""
+    s = anchored_sessions(events, window_seconds).join(events.select("id", "repo", "n"), "id")
+    per = s.groupBy(F.col("author").alias("who"), F.col("anchor").alias("begin")).agg(F.count_distinct("repo").alias("repos"), F.sum("n").alias("changes"), F.max("ts").alias("last"))
+    s = s.join(per, F.col("author").eqNullSafe(F.col("who")) & F.col("anchor").eqNullSafe(F.col("begin")))
+    together = (F.col("repos") > 1) & (F.col("changes") <= max_changes)
     set_id = F.when(together, F.concat_ws(":", F.col("author").cast("string"), F.col("anchor").cast("string"))).otherwise(F.concat(F.lit("one:"), F.col("id").cast("string")))
-    return s.select(set_id.alias("set_id"), F.col("repo").alias("key")).distinct()
+    return s.select("id", "repo", set_id.alias("set_id"), F.when(together, F.col("last")).otherwise(F.col("ts")).alias("set_ts"))
+
+
+SETS = {"commit": commit_sets, "ticket": ticket_sets, "session": commit_session_sets}
 
 
 def unit_graph(model: Model, limit: int = 400) -> DataFrame:

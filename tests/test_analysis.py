@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from revlens.operators.coupling import anchored_sessions, coupling
@@ -71,6 +72,31 @@ def test_sessions_of_one_busy_author(spark):
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_commits_without_tickets_couple_by_session(spark):
+    """Six times alice changes the shop and an hour later the api; bob changes each once, days apart."""
+    commits, changes = [], []
+    for i in range(6):
+        for hour, repo, f in ((0, "shop", "cart.ts"), (1, "api", "Cart.php")):
+            commits.append((f"{repo}{i}", repo, NOW - (20 - i) * DAY + hour * 3600, 1, [], "tweak"))
+            changes.append((f"{repo}{i}", f, 1, 1))
+    for i, (repo, f) in enumerate((("shop", "cart.ts"), ("api", "Cart.php"), ("shop", "other.ts"))):
+        commits.append((f"b{i}", repo, NOW - 5 * DAY + i * DAY, 2, [], "SHOP-1 tweak" if i == 2 else "tweak"))
+        changes.append((f"b{i}", f, 1, 1))
+    rows = [(f, f, r, r, True, False, "php", 1.0, 9, 5.0, 8.0) for f, r in (("cart.ts", "shop"), ("Cart.php", "api"), ("other.ts", "shop"))]
+    files = spark.createDataFrame(rows, "file string, entity string, unit string, repo string, alive boolean, test boolean, lang string, lang_weight double, loc long, complexity double, health double")
+    c = spark.createDataFrame(commits, "commit_id string, repo string, ts long, author long, coauthors array<bigint>, message string")
+    ch = spark.createDataFrame(changes, "commit_id string, file string, added long, deleted long")
+    authors = spark.createDataFrame([(1, "a"), (2, "b")], "author long, team string")
+    m = build(c, ch, files, authors, spark.createDataFrame([(9,)], "author long"), Params(min_lift=1.0))
+    for by in ("ticket", "session"):
+        (r,) = coupling(m, "file", by).collect()
+        assert (r["a"], r["b"], r["support"], r["n_a"], r["n_b"], r["cross_repo"]) == ("Cart.php", "cart.ts", 6, 7, 7, True)
+        assert r["lift"] == round(6 * 9 / 49, 3)  # 6 sessions, 2 single commits, and the ticket
+    assert coupling(m, "file", "commit").count() == 0
+    with pytest.raises(ValueError, match="by is one of"):
+        coupling(m, "file", "week")
+
+
 def test_identities(spark):
     rows = [(1, "Alice Müller", "alice@x.io", 5), (2, "alice muller", "am@y.io", 9), (3, "A. M.", "AM@y.io", 1), (4, "Bob", "bob@x.io", 2), (5, "dependabot[bot]", "d@x.io", 3)]
     got = {r["id"]: r for r in resolve(spark.createDataFrame(rows, "id long, name string, email string, commits int")).collect()}
