@@ -280,21 +280,57 @@ def test_few_toxic_texts_still_rank():
     assert p[0] > p[1]
 
 
-def test_token_files(docs, none, tmp_path):
+ODD_TEXTS = [
+    "a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|> x", "<|endoftext", " lead", "trail ", " ", "\n", "\n\n a", "a\n b", "a \nb", "tab\t x", "it's we'll I'd", "x\u00a0 y", "a\x1c b", "x\x00y",
+    "naïve\u2003 z", "1,000 is 3.14!!", "日本語 テキスト", "emoji 👩‍👩‍👧 ok", "a  b   c", "\r\n", "word.\nWord", "é", "",
+]
+
+
+@pytest.mark.parametrize("end_id", [0, 70_000])
+def test_token_files(spark, docs, none, end_id):
+    """As the library encodes whole texts; with the larger end id an id takes 17 bits in place of 16."""
     import public_tokenizers
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
+    rows = [*ROWS, *((100 + k, x) for k, x in enumerate(ODD_TEXTS))]
+    odd = spark.createDataFrame([r for r in rows if (r[0] or 0) >= 100], "doc_id long, text string")
     want, start = [], 0
-    for i, text in sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0)):
-        ids = [*t.encode(text or "", add_special_tokens=False).ids, 0]
+    for i, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+        ids = [*t.encode(text or "", add_special_tokens=False).ids, end_id]
         want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4"))))
         start += len(ids)
-    assert by_id(token_files.token_output(docs), "start", "n_tokens", "ids_crc32") == sorted(want, key=str)
+    d = docs.unionByName(odd, allowMissingColumns=True)
+    assert by_id(token_files.token_output(d, end_id=end_id), "start", "n_tokens", "ids_crc32") == sorted(want, key=str)
     assert token_files.token_output(none).count() == 0
 
 
+def test_tokenizers_that_do_not_split_at_spaces(spark):
+    """The word tokenizer drops white space and case: its texts are encoded as a whole."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    d = spark.createDataFrame(list(enumerate(ODD_TEXTS)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in token_files.token_output(d, tokenizer="word_bpe_49k.json").collect()}
+    for i, x in enumerate(ODD_TEXTS):
+        ids = [*t.encode(x, add_special_tokens=False).ids, 0]
+        assert got[i] == (len(ids), zlib.crc32(np.array(ids, "<u4"))), x
+
+
+def test_encoder_with_a_small_cache(monkeypatch):
+    import public_tokenizers
+    import pyarrow as pa
+
+    monkeypatch.setattr(token_files, "CACHE_WORDS", 3)
+    e = token_files.WordEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    for _ in range(2):
+        for part in (ODD_TEXTS, [BASE, "a b"], [], [""]):
+            ids, n = e.encode(pa.array(part, pa.string()), 7)
+            want = [[*e.tokenizer.encode(x, add_special_tokens=False).ids, 7] for x in part]
+            assert ids.tolist() == [i for x in want for i in x] and n.tolist() == [len(x) for x in want]
+
+
 @pytest.mark.parametrize("width", [1, 5, 16, 17, 20])
 def test_bit_packing(width):
     ids = np.random.default_rng(width).integers(0, 1 << width, 10_000).astype(np.uint32)
