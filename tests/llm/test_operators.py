@@ -197,16 +197,87 @@ def test_urls(spark):
     assert url_filter.judge_urls(p.limit(0)).count() == 0
 
 
+def brute_leaks(docs, items):
+    """All documents against all items: every diagonal on which two windows agree at a mask's positions."""
+    import re
+
+    tok = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    for i, t in docs:
+        d = tok(t)
+        for k, u in set(items):
+            q = tok(u)
+            best = None
+            masks = decontaminate.masks_for(len(q)) if q else ()
+            lines = {p - o for m in masks for p in range(len(d) - len(m) + 1) for o in range(len(q) - len(m) + 1) if all(d[p + j] == q[o + j] for j, c in enumerate(m) if c == "1")}
+            for line in sorted(lines):
+                same = [(p, d[p] == q[p - line]) for p in range(max(0, line), min(len(d), line + len(q)))]
+                if len(q) < 12:
+                    found = [(same[0][0], len(same), sum(s for _, s in same))] if len(same) == len(q) else []
+                    found = [f for f in found if f[2] >= 0.8 * f[1]]
+                else:  # the stretch whose equal tokens outweigh the others most, the first and shortest of those
+                    spans = [(sum(1 if s else -3 for _, s in same[a:z]), -z, a, z) for a in range(len(same)) for z in range(a + 1, len(same) + 1)]
+                    top = max(s[:2] for s in spans)
+                    _, _, a, z = min((s for s in spans if s[:2] == top), key=lambda s: s[2])
+                    found = [(same[a][0], z - a, sum(s for _, s in same[a:z]))]
+                    found = [f for f in found if f[2] >= 12 and f[2] >= 0.8 * f[1]]
+                for f in found:
+                    if best is None or (f[2], -f[0]) > (best[2], -best[0]):
+                        best = f
+            if best:
+                yield (i, k, *best)
+
+
 def test_decontaminate(spark, docs, none):
     item = BASE.split()[100:130]
     item[14] = "swapped"
-    bench = spark.createDataFrame([(1, " ".join(item)), (2, "nothing of this is in any text at all, surely not one bit"), (3, None), (4, "a b"), (5, " ".join(BASE.split()[3:9]))], "item_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, "nothing of this is in any text at all, surely not one bit"), (3, None), (5, " ".join(BASE.split()[3:9]))], "item_id long, text string")
     got = {(r["doc_id"], r["item_id"], r["start"], r["n_matched"]) for r in decontaminate.find_leaks(docs, bench).collect()}
-    assert {(1, 1, 100, 29), (2, 1, 100, 29), (3, 1, 100, 29), (None, 1, 104, 29), (1, 5, 3, 6), (2, 5, 3, 6), (None, 5, 7, 6)} <= got
+    assert {(1, 1, 100, 29), (2, 1, 100, 29), (3, 1, 100, 29), (None, 1, 104, 29), (1, 5, 3, 6), (2, 5, 3, 6), (None, 5, 7, 6), (3, 5, 3, 5)} <= got
     assert {d for d, *_ in got} == {1, 2, 3, 13, None}
     left = decontaminate.decontaminate(docs, bench)
     assert left.columns == docs.columns and left.count() == len(ROWS) - 5
     assert decontaminate.find_leaks(none, bench).count() == 0 and decontaminate.find_leaks(docs, bench.limit(0)).count() == 0
+    assert decontaminate.decontaminate(docs, bench.limit(0)).count() == len(ROWS) and decontaminate.decontaminate(none, bench).count() == 0
+    clash = docs.select("doc_id", "text", F.lit(1).alias("mark"), F.lit("h").alias("hash"), F.lit(2).alias("item_id"), F.lit(b"t").alias("tokens"))
+    assert decontaminate.decontaminate(clash, bench).columns == clash.columns and decontaminate.find_leaks(clash, bench).count() == len(got)
+
+
+def test_leaks_by_brute_force(spark):
+    """Few different words, so that windows meet by chance; items of all lengths, quoted with substitutions."""
+    rng = np.random.default_rng(11)
+    items = [(n, " ".join(rng.choice(list("abcdefghij"), n))) for n in [*range(1, 16), 20, 31]] + [(40, "a b " * 8), (41, "c " * 14), (42, None), (42, "x"), (42, "x")]
+    docs = [(99, ""), (98, None), (97, "a b " * 30), (96, "c " * 60), (95, "c " * 60), (95, "c " * 60)]
+    for i in range(60):
+        own = list(rng.choice(list("abcdefghij"), rng.integers(5, 40)))
+        quote = (items[i % 17][1] or "").split()
+        for _ in range(i // 17):
+            quote[int(rng.integers(0, len(quote)))] = "z"
+        docs.append((i, " ".join(own[:7]) + "! " + "--".join(quote) + " " + " ".join(own[7:])))
+    got = [tuple(r)[:5] for r in decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()]
+    assert sorted(got) == sorted(brute_leaks(docs, items)) and {i for _, i, *_ in got} >= set(range(1, 16))
+
+
+def test_substituted_short_items(spark):
+    d = spark.createDataFrame([(1, "so one two three FOO five six seven eight there"), (2, "quoted: Is it So. Yes"), (3, "one two three five six seven eight")], "doc_id long, text string")
+    b = spark.createDataFrame([(8, "one two three four five six seven eight"), (4, "is it so yes")], "item_id long, text string")
+    assert sorted(tuple(r)[:5] for r in decontaminate.find_leaks(d, b).collect()) == [(1, 8, 1, 8, 7), (2, 4, 1, 4, 4)]
+
+
+def test_repeated_tokens_take_seconds():
+    one, two = np.uint64(1), np.uint64(2)
+    doc = np.full(1_000_000, one)
+    assert decontaminate.overlap(doc, np.full(2000, one)) == (0, 2000, 2000)
+    assert decontaminate.overlap(doc, np.append(np.full(1999, one), two)) == (0, 1999, 1999)
+    thrice = np.tile([one, two, np.uint64(3)], 300_000)
+    assert decontaminate.overlap(thrice, np.append(thrice[1:1501], one)) == (1, 1500, 1500)
+
+
+def test_seed_filter_has_all_seeds(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "SLICE_BITS", 1 << 10)
+    h = np.random.default_rng(2).integers(-(1 << 63), 1 << 63, 500, dtype=np.int64)
+    bits = decontaminate.seed_filter(spark.createDataFrame([(int(x),) for x in h], "hash long"))
+    on = np.unpackbits(bits, bitorder="little")
+    assert all(on[p].all() for p in decontaminate._probes(h.view(np.uint64), len(on))) and on.mean() < 0.3
 
 
 def test_toxicity(spark, docs, none):
