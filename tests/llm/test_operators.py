@@ -344,6 +344,66 @@ def test_windows_are_scored_as_units(monkeypatch):
         assert abs(toxicity.Scorer(model).features([text])[0, 0] - np.clip(want, -1.5, 1.5)) < 1e-5
 
 
+def gap_kernel(s, t, length=3, decay=toxicity.DECAY):
+    """The gap-weighted subsequence kernel by its usual dynamic program."""
+    inner = np.ones((len(s) + 1, len(t) + 1))
+    for k in range(length):
+        total = sum(decay**2 * inner[i, j] for i in range(len(s)) for j in range(len(t)) if s[i] == t[j])
+        nxt = np.zeros_like(inner)
+        for i in range(1, len(s) + 1):
+            run = 0.0
+            for j in range(1, len(t) + 1):
+                run = decay * run + (decay**2 * inner[i - 1, j - 1] if s[i - 1] == t[j - 1] else 0.0)
+                nxt[i, j] = decay * nxt[i - 1, j] + run
+        inner = nxt
+    return total
+
+
+def test_subsequences_give_the_kernel():
+    """Word ends and spaces are characters; spans are at most SPAN, which these words don't pass."""
+    units = ["idiot", "idxiot", "a b", "tod", "lot of", "müller", "я да", "ii"]
+    r, f, v = toxicity.subsequences(units)
+    dense = np.zeros((len(units), toxicity.FEATURES))
+    np.add.at(dense, (r, f), v)
+    coded = [[toxicity.GAP, *toxicity._codes(u), toxicity.GAP] for u in units]
+    assert max(map(len, coded)) <= toxicity.SPAN
+    scale = [np.sqrt(sum(max(0, len(c) - b) * (b - 1) * toxicity.DECAY ** (2 * b + 2) for b in range(2, toxicity.SPAN))) for c in coded]
+    for i, s in enumerate(coded):
+        for j, t in enumerate(coded):
+            assert dense[i] @ dense[j] * scale[i] * scale[j] == pytest.approx(gap_kernel(s, t))
+
+
+def test_letters_and_gaps_are_apart():
+    assert toxicity.unit_of("Crétïn!") == "cretin" and toxicity.unit_of("GROẞ") == "gross" and toxicity.unit_of("1d10t") == "idiot"
+    codes = toxicity._codes("я ж 日 ξ abcz")
+    assert [c == toxicity.GAP for c in codes] == [ch == " " for ch in "я ж 日 ξ abcz"] and max(codes) < toxicity.LETTERS
+    assert all(toxicity._codes(c) == [k] for k, c in enumerate(toxicity._ALPHABET))
+
+
+def test_sentences_are_the_instances():
+    """Each text has one bad sentence; the machine is as good on sentences, and the worst window of a bad one is the insult."""
+    rng = np.random.default_rng(8)
+    vocabulary = [f"{a}{b}{c}" for a in ("ba", "lo", "mi", "ru") for b in ("ten", "gra", "sol", "vi") for c in ("ne", "ka", "t", "os")]
+    sentence = lambda: " ".join(rng.choice(vocabulary, 8))
+    insults = ["grumbwit", "dolthead", "slug brained"]
+    clean = [". ".join(sentence() for _ in range(6)) + ".\n" + sentence() for _ in range(120)]
+    toxic = [f"{sentence()}. {sentence()} {insults[i % 3]} {sentence()}! {sentence()}" for i in range(60)]
+    assert toxicity.sentences_of("a b. c d!\n\n e.f ?  ") == ["a b", " c d", " e.f "]
+    scorer = toxicity.Scorer(toxicity.fit(toxic, clean))
+    scores, windows = scorer.worst([f"{sentence()} {w} {sentence()}" for w in insults] + [sentence() for _ in range(50)] + [""])
+    assert (scores[:3] > 0).all() and (scores[3:] < 0).all() and all(any(p in w for p in i.split()) for i, w in zip(insults, windows, strict=False))
+    assert toxicity.fit([], clean) is None and toxicity.fit([], []) is None
+
+
+def test_toxicity_refuses_to_lose_columns(spark):
+    d = spark.createDataFrame([(1, "a b", 9.0)], "doc_id long, text string, Score double")
+    y = spark.createDataFrame([(1, 0)], "doc_id long, toxic int")
+    with pytest.raises(ValueError, match="score_col"):
+        toxicity.toxicity(d, y)
+    r = toxicity.toxicity(d, y, score_col="toxic_score", predicted_col="toxic_label").first()
+    assert r["Score"] == 9.0 and 0 <= r["toxic_score"] <= 1
+
+
 def test_few_toxic_texts_still_rank():
     """No window is surely the label's own, but the scores are not all the same."""
     model = toxicity.train(["milk and grumbwit", "tea and grumbwit"], [f"milk and tea {i} bread" for i in range(8)])
