@@ -15,23 +15,28 @@ from revlens.llm.toxicity import toxicity
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return toxicity(docs, table(spark, sf_dir, "labels")).filter(F.col("predicted") == 0).select(*docs.columns)
+    """Documents that are not predicted to be toxic; null and empty texts stay, copies share a verdict, all columns are handed on."""
+    scored = toxicity(docs, table(spark, sf_dir, "labels"), score_col="__toxic_score", predicted_col="__toxic")
+    return scored.filter(F.col("__toxic") == 0).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Five-word shingles, similarity 0.8."""
+    """Five-word shingles, similarity 0.8: one row of each group stays, as deduplicate() tells; rows without words stay, identical ones once."""
     return deduplicate(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a verified overlap with a benchmark item; null and empty texts stay, copies go together."""
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows as often as the mix takes them, in training order; rows without words are not taken, null sources are one source."""
     return take_mix(docs)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row for each row of docs, read back from the token files; null and empty texts have the end id alone."""
     return token_output(docs)
 
 
