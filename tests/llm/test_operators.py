@@ -46,9 +46,52 @@ def test_secrets(docs, none):
     assert secrets.scan_secrets(docs).count() == len(ROWS) and secrets.scan_secrets(none).count() == 0
 
 
-def test_copied_tokens_are_not_added(spark):
-    rows = [(i, "key Zx9Qm2Lp8Rt5Vb1Nc7Kd3W", "en", f"s{i}", None, 0, "", "", 0, "", "", 0, 0) for i in range(4)]
-    assert all(not r["added"] for r in secrets.scan_secrets(spark.createDataFrame(rows, SCHEMA)).collect())
+def planted(tmp_path, spark, rows, columns="doc_id long, text string, lang string, source string, n_chars long"):
+    """A folder with a table of documents."""
+    spark.createDataFrame(rows, columns).coalesce(1).write.parquet(str(tmp_path / "p"))
+    (tmp_path / "documents.parquet").write_bytes(next((tmp_path / "p").glob("part-*")).read_bytes())
+    return str(tmp_path)
+
+
+def agrees_with_sql(spark, name, where, *tables):
+    con = duckdb.connect()
+    for t in tables:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{where}/{t}.parquet'")
+    got = registry.QUERIES[name](spark, where)
+    columns = sorted(got.columns)
+    rows = got.collect()
+    want = con.execute(f"SELECT {', '.join(columns)} FROM ({registry.ORACLE[name]})").fetchall()
+    assert sorted(map(str, (tuple(r[c] for c in columns) for r in rows))) == sorted(map(str, want))
+    return rows
+
+
+def test_owners_and_repositories_decide(spark, tmp_path):
+    """One owner may have a token in many repositories; several owners make it an example, and so do two in many repositories."""
+    token = lambda k: f"Zx9Qm2Lp8Rt5Vb1Nc7Kd3W{k}"
+    rows = [(i, f"key {token(1)}", f"l{i}", "one", 0) for i in range(6)]  # one owner, six repositories
+    rows += [(10 + i, f"key {token(2)} x", "en", f"s{i}", 0) for i in range(3)]  # three owners
+    rows += [(20 + i, f"key {token(3)}", f"l{i % 3}", f"t{i // 3}", 0) for i in range(6)]  # two owners, six repositories
+    rows += [(30 + i, f"key {token(4)}", f"l{i}", f"u{i}", 0) for i in range(2)]  # two owners, two repositories
+    rows += [(40, f"key {token(5)}", None, "x", 0), (41, f"key {token(5)}", "x", None, 0), (42, f"key {token(5)}", None, None, 0), (43, None, None, None, 0)]  # nulls are owners and repositories of their own: two, and three
+    rows += [(50 + i, f'token = "{token(6)}"', "en", f"s{i}", 0) for i in range(3)]  # a base span stays, though copied
+    got = {r["doc_id"]: r for r in agrees_with_sql(spark, "op1_secret_scan", planted(tmp_path, spark, rows), "documents")}
+    added = {i for i, r in got.items() if "token:" in r["spans"]}
+    assert added == {*range(6), 30, 31, 40, 41, 42}
+    assert (got[0]["most_owners"], got[0]["most_repos"]) == (1, 6) and got[50]["n_copied"] == 1 and got[50]["n_assign"] == 1 and got[43]["spans"] == ""
+
+
+def test_many_secrets_in_one_text(spark):
+    """20,000 spans, at the places that a pattern search gives."""
+    import re
+    import time
+
+    text = " ".join(f"é{i:016x}{'f' * (i % 9)} q{i}ZxQmLpRtVbNcKdWa{i}" for i in range(20_000))
+    d = spark.createDataFrame([(1, text, "en", "s")], "doc_id long, text string, lang string, source string")
+    began = time.time()
+    (r,) = secrets.scan_secrets(d).collect()
+    assert time.time() - began < 20
+    assert [(s["start"], s["end"]) for s in r["base"]] == [m.span() for m in re.finditer(secrets.HEX, text)]
+    assert len(r["added"]) > 15_000 and all(text[s["start"] : s["end"]].startswith("q") for s in r["added"])
 
 
 def test_quality(docs, none):
