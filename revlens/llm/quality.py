@@ -1,8 +1,9 @@
 """Host-level quality rules (DataFrame functions only).
 
 Each document gets rule counts from its whole text. Failures are summed per host, each host's failure rate is shrunk
-with a beta prior fitted to all hosts by moments, and a host whose shrunk rate is too high is rejected with all of its
-documents; host verdicts are joined back to the documents.
+with a beta prior fitted to all hosts by moments, and a host is rejected with all of its documents where nearly all of
+its posterior lies above what the prior allows; host verdicts are joined back to the documents. Where documents have no
+url, their source stands for the host.
 """
 
 from __future__ import annotations
@@ -15,8 +16,13 @@ from revlens.llm.common import WORD, stage, table, text_of
 WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
-#: A host is rejected when its shrunk failure rate is above this.
+#: A host may fail as often as the prior's mean and so many of its deviations, but always at this rate, and never above that.
+DEVIATIONS = 2.0
+ALWAYS_RATE = 0.25
 MAX_HOST_RATE = 0.5
+#: It is rejected when its shrunk rate, less so many deviations of the posterior, is above.
+TAIL = 2.0
+SALTS = 8
 
 
 def _repeated(words: Column) -> Column:
@@ -63,29 +69,35 @@ def document_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def host_rates(rules: DataFrame) -> DataFrame:
-    """host, n, fails, rate: the failure rate under a beta prior whose mean and variance are those of all hosts' rates.
+    """host, n, fails, rate, rejected: the failure rate under a beta prior whose mean and variance are those of all hosts' rates.
 
-    With one host, or no spread between hosts, the prior has the weight of one document.
+    With one host, or no spread between hosts, the prior has the weight of one document. Null hosts are one host. An
+    empty table gives an empty result.
     """
     by_host = rules.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("base_failed").cast("long")).alias("fails"))
     raw = F.col("fails") / F.col("n")
     prior = by_host.agg((F.sum("fails") / F.sum("n")).alias("m"), F.avg(raw * raw).alias("sq"), F.avg(raw).alias("avg"))
     prior = prior.select("m", F.greatest(F.col("sq") - F.col("avg") * F.col("avg"), F.lit(0.0)).alias("v"))
     weight = F.when(F.col("v") > 0, F.greatest(F.col("m") * (1 - F.col("m")) / F.col("v") - 1, F.lit(1.0))).otherwise(1.0)
-    prior = prior.select("m", weight.alias("w"))
-    return by_host.join(F.broadcast(prior)).select("host", "n", "fails", ((F.col("fails") + F.col("m") * F.col("w")) / (F.col("n") + F.col("w"))).alias("rate"))
+    limit = F.least(F.lit(MAX_HOST_RATE), F.greatest(F.lit(ALWAYS_RATE), F.col("m") + DEVIATIONS * F.sqrt("v")))
+    prior = prior.select("m", weight.alias("w"), limit.alias("limit"))
+    rates = by_host.join(F.broadcast(prior)).withColumn("rate", (F.col("fails") + F.col("m") * F.col("w")) / (F.col("n") + F.col("w")))  # one row
+    deviation = F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("n") + F.col("w") + 1))
+    return rates.select("host", "n", "fails", "rate", (F.col("rate") - TAIL * deviation > F.col("limit")).alias("rejected"))
 
 
-def quality_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host: Column | None = None, max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """document_rules() with host_rate and kept: false where a base rule fails or the host's shrunk rate is above max_host_rate.
+def quality_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host: Column | None = None) -> DataFrame:
+    """document_rules() with host_rate, host_rejected and kept: false where a base rule fails or the host is rejected.
 
     Rows without a host form one host of their own. Repeated rows count each. An empty table gives an empty result.
-    Other columns of docs are ignored, whatever their names.
+    Other columns of docs are ignored, whatever their names. A host that very many rows have is dealt to SALTS parts.
     """
     rules = stage(document_rules(docs, id_col, text_col, host), "quality-rules")
-    rates = host_rates(rules).select(F.col("host").alias("of_host"), F.col("rate").alias("host_rate"))
-    out = rules.join(rates, F.col("host").eqNullSafe(F.col("of_host")), "left").drop("of_host")
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("host_rate") <= max_host_rate))
+    every = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("of_salt")
+    rates = host_rates(rules).select(F.col("host").alias("of_host"), F.col("rate").alias("host_rate"), F.col("rejected").alias("host_rejected"), every)
+    salt = F.pmod(F.xxhash64(id_col, "n_words", "word_chars"), F.lit(SALTS)).cast("int")
+    out = rules.withColumn("salt", salt).join(rates, F.col("host").eqNullSafe(F.col("of_host")) & (F.col("salt") == F.col("of_salt")), "left").drop("of_host", "of_salt", "salt")
+    return out.withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,9 +120,10 @@ b AS (SELECT doc_id, source, len(ws)::BIGINT AS n_words, length(regexp_replace(t
 f AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM b),
 h AS (SELECT source, count(*)::DOUBLE AS n, sum(base_failed::INT)::DOUBLE AS fails FROM f GROUP BY source),
 p AS (SELECT sum(fails) / sum(n) AS m, greatest(avg((fails / n) * (fails / n)) - avg(fails / n) * avg(fails / n), 0) AS v FROM h),
-q AS (SELECT m, CASE WHEN v > 0 THEN greatest(m * (1 - m) / v - 1, 1.0) ELSE 1.0 END AS w FROM p),
-z AS (SELECT source, (fails + m * w) / (n + w) AS rate FROM h, q)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rate <= {MAX_HOST_RATE} AS kept
+q AS (SELECT m, CASE WHEN v > 0 THEN greatest(m * (1 - m) / v - 1, 1.0) ELSE 1.0 END AS w, least({MAX_HOST_RATE}, greatest({ALWAYS_RATE}, m + {DEVIATIONS} * sqrt(v))) AS lim FROM p),
+y AS (SELECT source, (fails + m * w) / (n + w) AS rate, n + w + 1 AS total, lim FROM h, q),
+z AS (SELECT source, rate - {TAIL} * sqrt(rate * (1 - rate) / total) > lim AS rejected FROM y)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, rejected AS host_rejected, NOT base_failed AND NOT rejected AS kept
 FROM f JOIN z ON f.source IS NOT DISTINCT FROM z.source"""
 }
 QUERIES = {"op3_quality_rules": op3_quality_rules}

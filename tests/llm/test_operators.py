@@ -109,6 +109,23 @@ def test_quality(docs, none):
     assert quality.quality_filter(none).count() == 0
 
 
+def test_hosts_are_rejected(spark, tmp_path):
+    """Of fourteen hosts one fails far more often than the prior allows: its good documents go too. A small host with few failures more does not."""
+    good = lambda i: " ".join(f"word{i}x{k}" for k in range(30))
+    rows = [(100 * h + i, good(i) if i % 10 else "too short", "en", None if h == 3 else f"h{h}", 0) for h in range(12) for i in range(30)]
+    rows += [(5000 + i, good(i) if i % 5 == 0 else "too short", "en", "bad", 0) for i in range(50)]
+    rows += [(6000 + i, good(i) if i else "too short", "en", "small", 0) for i in range(2)]
+    got = {r["doc_id"]: r for r in agrees_with_sql(spark, "op3_quality_rules", planted(tmp_path, spark, rows), "documents")}
+    assert not any(got[5000 + i]["kept"] for i in range(50)) and not got[5000]["base_failed"]
+    assert got[6001]["kept"] and all(got[100 * h + i]["kept"] == (i % 10 > 0) for h in range(12) for i in range(30))
+
+
+def test_one_host_and_no_host(spark):
+    d = spark.createDataFrame([(1, "a b", None), (2, BASE, None), (2, BASE, None)], "doc_id long, text string, host string")
+    r = quality.quality_filter(d, host=F.lit(None)).collect()
+    assert sorted((x["doc_id"], x["kept"]) for x in r) == [(1, False), (2, True), (2, True)] and len({x["host_rate"] for x in r}) == 1
+
+
 def test_mixing(docs, none):
     rows = mixing.curriculum_mix(docs).collect()
     assert len(rows) == len(ROWS) and all(r["taken"] <= 2 * r["size"] for r in rows)
