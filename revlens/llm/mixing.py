@@ -52,43 +52,71 @@ def _invert(share: Column, slope: Column) -> Column:
     return F.when(slope == 0, share).otherwise((F.sqrt(b * b + 4 * slope * share) - b) / (2 * slope))
 
 
+def _marked(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """docs with __mix_source, __mix_size and __mix_place: a number below 2^52 by a hash of id and text."""
+    key = F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), text_of(text_col))
+    return docs.withColumns(
+        {
+            "__mix_source": F.col(source_col).cast("string"),
+            "__mix_size": F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long"),
+            "__mix_place": F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("long"),
+        }
+    )
+
+
+def _block() -> Column:
+    return F.floor(F.col("__mix_place") / F.lit(float(1 << 52)) * F.ceil(F.col("__mix_n_docs") / BLOCK))
+
+
+def _copied(docs: DataFrame, marks: DataFrame, tie: Column) -> DataFrame:
+    """docs of _marked() with __mix_source_size, __mix_target, __mix_slope, __mix_at and __mix_copies.
+
+    marks is the same table, or what of it _marked() made. A source's documents stand in the order of their places:
+    each block's beginning comes from sums by block, and a place in the block from a running sum there.
+    """
+    targets = source_targets(marks.select(F.col("__mix_source").alias("source"), F.col("__mix_size").alias("size")))
+    targets = targets.select(F.col("source").alias("__mix_of"), *[F.col(c).alias(f"__mix_{c}") for c in ("source_size", "n_docs", "slope", "target")])
+    with_targets = lambda d: d.join(targets, F.col("__mix_source").eqNullSafe(F.col("__mix_of"))).drop("__mix_of").withColumn("__mix_block", _block())
+    sums = with_targets(marks).groupBy("__mix_source", "__mix_block").agg(F.sum("__mix_size").alias("size"))
+    earlier = Window.partitionBy("__mix_source").orderBy("__mix_block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(F.col("__mix_source").alias("__mix_of"), F.col("__mix_block").alias("__mix_of_block"), F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("__mix_before"))
+    d = with_targets(docs).join(sums, F.col("__mix_source").eqNullSafe(F.col("__mix_of")) & (F.col("__mix_block") == F.col("__mix_of_block"))).drop("__mix_of", "__mix_of_block")
+    inside = Window.partitionBy("__mix_source", "__mix_block").orderBy("__mix_place", tie, "__mix_size").rowsBetween(Window.unboundedPreceding, -1)
+    size, target, whole = F.col("__mix_size"), F.col("__mix_target"), F.col("__mix_source_size")
+    d = d.withColumn("__mix_at", F.col("__mix_before") + F.coalesce(F.sum(size).over(inside), F.lit(0)) + size / 2)
+    epochs = F.when(whole > 0, F.floor(target / whole)).otherwise(0)
+    once_more = F.when((F.col("__mix_at") < target - epochs * whole) & (size > 0), 1).otherwise(0)
+    return d.withColumn("__mix_copies", (epochs + once_more).cast("int"))
+
+
+def _position(k: Column) -> Column:
+    """Where in training copy number k of a document stands."""
+    share = (F.col("__mix_at") + k * F.col("__mix_source_size")) / F.col("__mix_target")
+    return F.when(F.col("__mix_copies") > 0, F.round(_invert(F.least(share, F.lit(1.0)), F.col("__mix_slope")), 9))
+
+
 def curriculum_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per input row: id_col, source, size, source_size, target, copies, taken, first_position, last_position, text_hash.
+    """One row per input row: id_col, source, size, source_size, target, copies, taken, first_position, last_position.
 
-    size is the number of words, 0 for null texts. Each source's documents stand in an order fixed by a hash of the
-    id and size, so reruns agree. All are taken floor(target / source_size) times, and once more those whose middle
-    word lies before the rest of the target; no document is taken more than max_epochs times. positions are null where
-    copies is 0. Null sources form one source, last in order. An empty table gives an empty result.
+    size is the number of words, 0 for null texts. Each source's documents stand in an order fixed by a hash of id and
+    text, so reruns agree. All are taken floor(target / source_size) times, and once more those whose middle word lies
+    before the rest of the target; no document is taken more than max_epochs times. positions are null where copies is
+    0. Null sources form one source, last in order. Repeated rows stand next to each other and are counted each. An
+    empty table gives an empty result. Other columns are ignored, whatever their names.
     """
-    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long").alias("size"), F.xxhash64(text_of(text_col)).alias("text_hash"))
-    sized = stage(sized, "mix-sizes")
-    targets = source_targets(sized)
-    key = F.coalesce(F.col("id").cast("string"), F.lit(""))
-    place = F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("long")
-    d = sized.join(targets.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumn("place", place)
-    blocks = F.ceil(F.col("n_docs") / BLOCK)
-    d = d.withColumn("block", F.floor(F.col("place") / F.lit(float(1 << 52)) * blocks))
-    sums = d.groupBy("source", "block").agg(F.sum("size").alias("block_size"))
-    sums = sums.withColumn("before", F.coalesce(F.sum("block_size").over(Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    sums = sums.select(F.col("source").alias("of"), F.col("block").alias("of_block"), "before")
-    d = d.join(sums, F.col("source").eqNullSafe(F.col("of")) & (F.col("block") == F.col("of_block"))).drop("of", "of_block")
-    inside = Window.partitionBy("source", "block").orderBy("place", "id", "size", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
-    d = d.withColumn("at", F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0)) + F.col("size") / 2)
-    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    rest = F.col("target") - F.col("epochs") * F.col("source_size")
-    d = d.withColumn("epochs", epochs).withColumn("copies", (F.col("epochs") + F.when((F.col("at") < rest) & (F.col("size") > 0), 1).otherwise(0)).cast("int"))
-    position = lambda k: F.when(F.col("copies") > 0, F.round(_invert(F.least((F.col("at") + k * F.col("source_size")) / F.col("target"), F.lit(1.0)), F.col("slope")), 9))
+    named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"))
+    sized = stage(_marked(named, "id", "text", "source").drop("text", "source"), "mix-sizes")
+    d = _copied(sized, sized, F.col("id"))
     return d.select(
         F.col("id").alias(id_col),
-        "source",
-        "size",
-        "source_size",
-        "target",
-        "copies",
-        (F.col("copies") * F.col("size")).cast("long").alias("taken"),
-        position(F.lit(0)).alias("first_position"),
-        position(F.col("copies") - 1).alias("last_position"),
-        "text_hash",
+        F.col("__mix_source").alias("source"),
+        F.col("__mix_size").alias("size"),
+        F.col("__mix_source_size").alias("source_size"),
+        F.col("__mix_target").alias("target"),
+        F.col("__mix_copies").alias("copies"),
+        (F.col("__mix_copies") * F.col("__mix_size")).cast("long").alias("taken"),
+        _position(F.lit(0)).alias("first_position"),
+        _position(F.col("__mix_copies") - 1).alias("last_position"),
     )
 
 
@@ -98,13 +126,17 @@ def in_training_order(mix: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def take_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """docs, all columns, each row as often as curriculum_mix() takes it, range-sorted by training position."""
-    mix = curriculum_mix(docs, id_col, text_col, source_col).filter("copies > 0")
-    mix = mix.groupBy(F.col(id_col).alias("_id"), F.col("text_hash").alias("_hash")).agg(F.min("first_position").alias("_first"), F.max("last_position").alias("_last"), F.max("copies").alias("_copies"))
-    d = docs.join(mix, docs[id_col].eqNullSafe(F.col("_id")) & (F.xxhash64(text_of(text_col)) == F.col("_hash")))
-    step = F.when(F.col("_copies") > 1, (F.col("_last") - F.col("_first")) / (F.col("_copies") - 1)).otherwise(0.0)
-    copies = F.transform(F.sequence(F.lit(0), F.col("_copies") - 1), lambda k: F.col("_first") + k * step)
-    return d.withColumn("_position", F.explode(copies)).orderBy("_position", id_col).select(*docs.columns)
+    """docs, all columns, each row as often as curriculum_mix() takes it, range-sorted by training position.
+
+    Rows without words, null texts among them, are never taken. Repeated rows are taken each as often as its own place
+    says, copies of a row at the positions of their own. Null ids and sources, and an empty table, as told there. Other
+    columns are handed on, whatever their names.
+    """
+    marked = _marked(docs, id_col, text_col, source_col)
+    marks = stage(marked.select("__mix_source", "__mix_size", "__mix_place"), "mix-sizes")
+    d = _copied(marked, marks, F.col(id_col)).filter("__mix_copies > 0")
+    d = d.withColumn("__mix_copy", F.explode(F.sequence(F.lit(0), F.col("__mix_copies") - 1)))
+    return d.withColumn("__mix_position", _position(F.col("__mix_copy"))).orderBy("__mix_position", id_col, "__mix_copy").select(*docs.columns)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,7 +146,8 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = {
     "op5_mixing": r"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+          ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, 13))::BIGINT AS place FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM d GROUP BY source),
 w AS (SELECT *, [5.0, 2.0, 1.0][rank % 3 + 1]::DOUBLE AS weight, [-0.5, 0.0, 0.5][rank % 3 + 1]::DOUBLE AS slope, (2 * source_size)::DOUBLE AS cap FROM s),
 l AS (SELECT *, (1.5::DOUBLE * (sum(source_size) OVER ())::DOUBLE
@@ -124,7 +157,7 @@ l AS (SELECT *, (1.5::DOUBLE * (sum(source_size) OVER ())::DOUBLE
 m AS (SELECT *, arg_min(level, k) FILTER (level * weight <= cap) OVER () AS lvl FROM l),
 t AS (SELECT source, source_size, slope, CASE WHEN lvl IS NULL THEN cap ELSE least(cap, lvl * weight) END AS target FROM m),
 p AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.slope,
-             coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY ('0x' || substr(md5(d.doc_id::VARCHAR), 1, 13))::BIGINT, d.doc_id, d.size
+             coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.place, d.doc_id, d.size
                                         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE + d.size / 2.0::DOUBLE AS mid
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS epochs FROM p),

@@ -136,6 +136,33 @@ def test_mixing(docs, none):
     assert mixing.take_mix(docs).columns == docs.columns
 
 
+def test_taken_words_come_near_the_targets(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, " ".join(["w"] * int(rng.integers(1, 60))), f"s{i % 5}" if i % 5 else None) for i in range(3000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    first = sorted(tuple(r) for r in mixing.curriculum_mix(d).collect())
+    assert first == sorted(tuple(r) for r in mixing.curriculum_mix(d.repartition(7)).collect())
+    taken, target = {}, {}
+    for _, source, _, _, goal, _, n, *_ in first:
+        taken[source] = taken.get(source, 0) + n
+        target[source] = goal
+    assert all(abs(taken[s] - target[s]) <= 60 for s in target) and sum(target.values()) == pytest.approx(1.5 * sum(len(t.split()) for _, t, _ in rows))
+
+
+def test_mix_hands_on_columns_and_repeated_rows(spark):
+    """Clashing names, repeated rows and one text under two sources: as many rows as the mix takes, in the order of its positions."""
+    rows = [(1, f"text number {i % 4} " * (i % 3 + 1), f"s{i % 2}") for i in range(40)] + [(None, None, None), (None, "a b", None)]
+    names = ("_id", "_hash", "_first", "_last", "_copies", "_position", "size", "target", "place", "block", "of", "id", "copies")
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string").select("*", *[F.lit(k).alias(n) for k, n in enumerate(names)])
+    mix = mixing.curriculum_mix(d).collect()
+    got = mixing.take_mix(d)
+    assert got.columns == d.columns
+    out = got.collect()
+    count = lambda rs: {s: sum(r["source"] == s for r in rs) for s in ("s0", "s1", None)}
+    assert count(out) == {s: sum(r["copies"] for r in mix if r["source"] == s) for s in ("s0", "s1", None)}
+    assert sum(len(words(r["text"])) for r in out) == sum(r["taken"] for r in mix) and all(r["_id"] == 0 and r["copies"] == 12 for r in out)
+
+
 def test_substring_dedup(docs, none):
     def brute():
         first = {}
