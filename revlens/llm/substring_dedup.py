@@ -1,11 +1,18 @@
-"""Substring deduplication with a compressed FM-index for each shard.
+"""Substring deduplication with an FM-index for each shard.
 
 Shards are by content. The three-word run with the smallest hash in a window of words sends the window to a shard, so that
-equal windows always meet; neighbouring windows with one such run travel together as one passage. Passages that share
-their run with no other document are dropped there. The others are indexed: word ids, a suffix array sorted to the
-depth of a window, its Burrows-Wheeler transform in a wavelet matrix of packed bits. Streaming the passages through
-backward search gives, for each window, its interval in the index, and with it the smallest document that holds it. Word
-ranges whose windows also start in a smaller document are reported and removed.
+equal windows always meet; neighbouring windows with one such run travel together as one passage. Runs that are frequent
+by the counts of a bounded sample come after all others: where they begin a passage that very many documents share,
+each document's own words before it do not travel along. Passages that share their run with no other document are
+dropped there. The others are indexed: word ids, a suffix array sorted to the depth of a window, its Burrows-Wheeler
+transform in a wavelet matrix of packed bits, and the document that each suffix stands for. Streaming the passages through
+backward search gives the matching statistics of each window's end, up to a window: a search ends where nothing but the
+window itself is left in its interval; what reaches a whole window has the smallest document in its interval. Word ranges
+whose windows also start in a smaller document are reported and removed.
+
+Windows of frequent runs alone, such as the inside of a passage that a third of all documents hold, take another way:
+tasks reduce each such passage to its smallest and largest document, so that a shard has it once, and the places
+where it stands are joined with what the shard found.
 """
 
 from __future__ import annotations
@@ -15,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +38,14 @@ SHARD_BYTES = 4 << 20
 BATCH_BYTES = 8 << 20
 #: Windows searched at a time.
 SEARCH = 1 << 17
+#: Runs are frequent that occur more often than this in documents of so many bytes at most, drawn by a hash. They are
+#: counted by the first bits of their hashes. Which run makes a window's key has no effect on what is found.
+FREQUENT = 64
+SAMPLE_BYTES = 64 << 20
+RUN_BITS = 22
+#: Parts that the places of one passage of frequent runs are dealt to.
+SALTS = 8
+_LAST = np.uint64(1 << 63)
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -44,15 +60,26 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def passages(hashes: np.ndarray, lengths: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First word, windows and key of each passage of the texts that hashes holds one after the other."""
+def run_hashes(hashes: np.ndarray) -> np.ndarray:
+    m = np.full(max(0, len(hashes) - RUN + 1), RUN, np.uint64)
+    for k in range(RUN):
+        m = _mix(m + hashes[k : k + len(m)])
+    return m
+
+
+def passages(hashes: np.ndarray, lengths: np.ndarray, window: int = WINDOW, frequent: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word, windows and key of each passage of the texts that hashes holds one after the other.
+
+    Keys of windows that have runs in frequent alone are those from _LAST on.
+    """
     runs = window - RUN + 1
     n = len(hashes) - window + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    m = np.full(len(hashes) - RUN + 1, RUN, np.uint64)
-    for k in range(RUN):
-        m = _mix(m + hashes[k : k + len(m)])
+    m = run_hashes(hashes)
+    often = np.zeros(len(m), bool) if frequent is None else frequent[(m >> np.uint64(64 - RUN_BITS)).astype(np.int64)]
+    m >>= np.uint64(1)
+    m[often] |= _LAST
     key = m[:n].copy()
     for k in range(1, runs):
         np.minimum(key, m[k : k + n], out=key)
@@ -65,10 +92,17 @@ def passages(hashes: np.ndarray, lengths: np.ndarray, window: int = WINDOW) -> t
     return first, last - first + 1, key[first]
 
 
-def _cells(shards: int):
-    """For a batch of texts and each shard: the distinct passages and where they stand, packed and compressed."""
+_CELL_TYPES = {"part": pa.int64(), "shard": pa.int64(), "cell": pa.binary(), "passage": pa.binary(), "text": pa.binary(), "id": pa.int64(), "mark": pa.int64(), "place": pa.int64()}
+CELLS = "part long, shard long, cell binary, passage binary, text binary, id long, mark long, place long"
+
 
-    def cells(ids: list[int], marks: list[int], texts: list[bytes]) -> Iterator[tuple[int, bytes]]:
+def _cells(shards: int, frequent: np.ndarray):
+    """For a batch of texts and each shard: the distinct passages and where they stand, packed and compressed.
+
+    Passages of frequent runs are rows of their own, one for each place, with their text at the first place in the batch.
+    """
+
+    def cells(ids: list[int], marks: list[int], texts: list[bytes]) -> Iterator[tuple]:
         words: list[bytes] = []
         lengths = []
         for t in texts:
@@ -76,7 +110,7 @@ def _cells(shards: int):
             lengths.append(len(own))
             words += own
         sizes = np.array(lengths, np.int64)
-        first, count, key = passages(word_hashes(words), sizes)
+        first, count, key = passages(word_hashes(words), sizes, WINDOW, frequent)
         if not len(first):
             return
         starts = np.cumsum(sizes) - sizes
@@ -84,7 +118,17 @@ def _cells(shards: int):
         while (short := sizes[doc] == 0).any():  # texts without words stand at the start of the next one
             doc[short] -= 1
         shard = (key % np.uint64(shards)).astype(np.int64)
+        hot = key >= _LAST
+        seen: set[bytes] = set()
+        for i in np.flatnonzero(hot).tolist():
+            text = b" ".join(words[first[i] : first[i] + count[i] + WINDOW - 1])
+            digest = xxhash.xxh3_128_digest(text)
+            yield -1 - (i & 4095), int(shard[i]), None, digest, None if digest in seen else text, ids[doc[i]], marks[doc[i]], int(first[i] - starts[doc[i]])
+            seen.add(digest)
         order = np.argsort(shard, kind="stable")
+        order = order[~hot[order]]
+        if not len(order):
+            return
         cuts = np.flatnonzero(np.diff(shard[order])) + 1
         doc_ids, doc_marks = np.array(ids, np.int64)[doc], np.array(marks, np.int64)[doc]
         place = (first - starts[doc]).astype(np.uint32)
@@ -95,7 +139,7 @@ def _cells(shards: int):
             keys = np.zeros(len(known), np.uint32)
             keys[which] = (key[part] >> np.uint64(32)).astype(np.uint32)
             body = [struct.pack("<II", len(known), len(part)), keys.tobytes(), which.tobytes(), doc_ids[part].tobytes(), doc_marks[part].tobytes(), place[part].tobytes(), b"\n".join(known)]
-            yield int(shard[part[0]]), packer.compress(b"".join(body))
+            yield int(shard[part[0]]), None, packer.compress(b"".join(body)), None, None, None, None, None
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,7 +149,8 @@ def _cells(shards: int):
                 if size >= BATCH_BYTES or i == len(batch) - 1:
                     some = batch.slice(begin, i + 1 - begin)
                     made = list(cells(some.column(0).to_pylist(), some.column(1).to_pylist(), [t.as_buffer().to_pybytes() for t in some.column(2)]))
-                    yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in made], pa.int64()), pa.array([c for _, c in made], pa.binary())], ["shard", "cell"])
+                    columns = zip(*made, strict=True) if made else [[]] * len(_CELL_TYPES)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _CELL_TYPES.values(), strict=True)], list(_CELL_TYPES))
                     begin, size = i + 1, 0
 
     return rows
@@ -144,25 +189,30 @@ class FMIndex:
     """Backward search for patterns of up to depth symbols in a sequence of symbols from 1; 0 separates passages."""
 
     def __init__(self, sequence: np.ndarray, depth: int = WINDOW) -> None:
-        self.sequence = sequence
         rank, k = sequence.astype(np.int64), 1
         while k < depth:
             shifted = np.concatenate([rank[k:], np.zeros(min(k, len(rank)), np.int64)])
             _, rank = np.unique(rank * (rank.max() + 1) + shifted, return_inverse=True)
             k *= 2
-        self.order = np.argsort(rank, kind="stable")
-        size = int(sequence.max()) + 1
-        self.wavelet = WaveletMatrix(sequence[self.order - 1].astype(np.int64), size)
-        self.smaller = np.concatenate([[0], np.cumsum(np.bincount(sequence, minlength=size))])
-
-    def search(self, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """Suffix intervals of the patterns of so many symbols that end before the places ends of the sequence itself."""
-        low, high = np.zeros(len(ends), np.int64), np.full(len(ends), len(self.sequence), np.int64)
+        self.size = len(sequence)
+        self.order = np.argsort(rank, kind="stable").astype(np.int32)
+        symbols = int(sequence.max()) + 1
+        self.wavelet = WaveletMatrix(sequence[self.order - 1].astype(np.int64), symbols)
+        self.smaller = np.concatenate([[0], np.cumsum(np.bincount(sequence, minlength=symbols))])
+
+    def search(self, sequence: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which of the patterns of so many symbols before the places ends occur more than once, and their suffix intervals.
+
+        A pattern is given up as soon as a suffix of it occurs once.
+        """
+        low, high, on = np.zeros(len(ends), np.int64), np.full(len(ends), self.size, np.int64), np.arange(len(ends))
         for k in range(1, length + 1):
-            symbol = self.sequence[ends - k]
+            symbol = sequence[ends[on] - k]
             both = self.wavelet.occurrences(np.concatenate([symbol, symbol]), np.concatenate([low, high]))
-            low, high = self.smaller[symbol] + both[: len(ends)], self.smaller[symbol] + both[len(ends) :]
-        return low, high
+            low, high = self.smaller[symbol] + both[: len(on)], self.smaller[symbol] + both[len(on) :]
+            more = high - low > 1
+            low, high, on = low[more], high[more], on[more]
+        return on, low, high
 
 
 def smallest_documents(texts: list[bytes], least: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -182,21 +232,66 @@ def smallest_documents(texts: list[bytes], least: np.ndarray, window: int = WIND
     at = np.cumsum(windows) - windows
     ends = np.repeat(begin - at, windows) + np.arange(int(windows.sum())) + window
     holder = np.append(np.repeat(least, sizes + 1)[index.order], NO_ID)
-    found = np.empty(len(ends), np.int64)
+    found = np.repeat(least, windows)
     for i in range(0, len(ends), SEARCH):
-        low, high = index.search(ends[i : i + SEARCH], window)
-        starts, back = np.unique(low, return_inverse=True)
-        stops = np.zeros(len(starts), np.int64)
-        stops[back] = high
-        found[i : i + SEARCH] = np.minimum.reduceat(holder, np.stack([starts, stops], 1).reshape(-1))[::2][back]
+        on, low, high = index.search(sequence, ends[i : i + SEARCH], window)
+        if len(on):
+            starts, back = np.unique(low, return_inverse=True)
+            stops = np.zeros(len(starts), np.int64)
+            stops[back] = high
+            found[i + on] = np.minimum.reduceat(holder, np.stack([starts, stops], 1).reshape(-1))[::2][back]
     return found, at
 
 
+HOT = "shard long, passage binary, text binary, id long, mark long, place long"
+
+
+def _hot_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of passages of frequent runs."""
+    for batch in batches:
+        hot = batch.filter(pc.less(batch.column("part"), 0))
+        yield pa.RecordBatch.from_arrays([hot.column(c) for c in ("shard", "passage", "text", "id", "mark", "place")], ["shard", "passage", "text", "id", "mark", "place"])
+
+
+def _hot_repeats(group: pa.Table) -> pa.Table:
+    """(passage, smallest) for (passage, text, least, most) of one shard: the smallest document of each window, where one is smaller than most."""
+    texts = [t.as_py() for t in group.column("text")]
+    smallest, at = smallest_documents(texts, group.column("least").to_numpy())
+    parts = np.split(smallest, at[1:])
+    some = [i for i, (p, most) in enumerate(zip(parts, group.column("most").to_pylist(), strict=True)) if (p < most).any()]
+    return pa.table([group.column("passage").take(pa.array(some, pa.int64())), pa.array([parts[i] for i in some], pa.list_(pa.int64()))], ["passage", "smallest"])
+
+
+def _hot_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, mark, place, smallest) to (id, mark, start, windows)."""
+    for batch in batches:
+        lists = batch.column(3)
+        n = np.diff(lists.offsets.to_numpy())
+        owner = np.repeat(np.arange(len(n)), n)
+        hit = lists.flatten().to_numpy() < batch.column(0).to_numpy()[owner]
+        first, last = _runs(hit, owner)
+        of = owner[first]
+        place = batch.column(2).to_numpy()[of] + first - (np.cumsum(n) - n)[of]
+        columns = [batch.column(0).take(pa.array(of)), batch.column(1).take(pa.array(of)), pa.array(place), pa.array(last - first)]
+        yield pa.RecordBatch.from_arrays(columns, ["id", "mark", "start", "windows"])
+
+
+def _runs(hit: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end of each run of hits of one owner."""
+    edge = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
+    new = np.flatnonzero(np.diff(owner)) + 1  # a run of hits ends with its instance
+    inner = new[hit[new] & hit[new - 1]]
+    return np.union1d(np.flatnonzero(edge == 1), inner), np.union1d(np.flatnonzero(edge == -1), inner)
+
+
 def _repeats(group: pa.Table) -> pa.Table:
     """(id, mark, start, windows) of every run of windows that a smaller document holds too, in one shard."""
     texts: list[bytes] = []
     keys, which, ids, marks, places = [], [], [], [], []
     unpacker = zstandard.ZstdDecompressor()
+    names = ["id", "mark", "start", "windows"]
+    if group.column("part")[0].as_py() < 0:  # places of passages of frequent runs, which take another way
+        return pa.table([pa.array([], pa.int64())] * 4, names)
     for cell in group.column("cell"):
         data = unpacker.decompress(cell.as_buffer())
         n, m = struct.unpack_from("<II", data)
@@ -219,7 +314,6 @@ def _repeats(group: pa.Table) -> pa.Table:
     number[kept] = np.fromiter((distinct.setdefault(texts[i], len(distinct)) for i in kept.tolist()), np.int64, len(kept))
     on = np.flatnonzero(number[which] >= 0)
     passage, doc, mark, place = number[which[on]], doc[on], mark[on], place[on].astype(np.int64)
-    names = ["id", "mark", "start", "windows"]
     if not distinct:
         return pa.table([pa.array([], pa.int64())] * 4, names)
     least = np.full(len(distinct), NO_ID)
@@ -237,21 +331,44 @@ def _repeats(group: pa.Table) -> pa.Table:
         inside = np.arange(int(many.sum())) - np.repeat(before, many)
         owner = np.repeat(block, many)
         hit = smallest[np.repeat(at[passage[block]], many) + inside] < doc[owner]
-        edge = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
-        new = np.flatnonzero(np.diff(owner)) + 1  # a run of hits ends with its instance
-        first = np.union1d(np.flatnonzero(edge == 1), new[hit[new] & hit[new - 1]])
-        last = np.union1d(np.flatnonzero(edge == -1), new[hit[new] & hit[new - 1]])
+        first, last = _runs(hit, owner)
         for column, x in zip(out, (doc[owner[first]], mark[owner[first]], place[owner[first]] + inside[first], last - first), strict=True):
             column.append(x)
     return pa.table([pa.array(np.concatenate(c) if c else np.zeros(0, np.int64), pa.int64()) for c in out], names)
 
 
+def frequent_runs(docs: DataFrame, total: int) -> np.ndarray:
+    """A flag for each value of a run hash's first RUN_BITS bits, from documents of about SAMPLE_BYTES; total is the bytes of all."""
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            runs = [run_hashes(word_hashes(t.as_buffer().to_pybytes().split())) >> np.uint64(64 - RUN_BITS) for t in batch.column(0)]
+            bucket, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *runs]).astype(np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(n.astype(np.int64))], ["bucket", "n"])
+
+    share = min(1.0, SAMPLE_BYTES / max(1, total))
+    drawn = docs.filter(F.pmod(F.xxhash64("id", "mark"), F.lit(1 << 20)) < int(share * (1 << 20))).select("text")
+    often = drawn.mapInArrow(counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).filter(F.col("n") > FREQUENT)
+    flags = np.zeros(1 << RUN_BITS, bool)
+    flags[[r["bucket"] for r in often.select("bucket").collect()]] = True  # a row for FREQUENT runs of the sample at most
+    return flags
+
+
 def repeated_ranges(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(id, mark, start, windows) for docs(id, mark, text): runs of windows that also start in a smaller document."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
-    cells = docs.select("id", "mark", "text").mapInArrow(_cells(shards), "shard long, cell binary")
-    return cells.groupBy("shard").applyInArrow(_repeats, "id long, mark long, start long, windows long")
+    cells = docs.select("id", "mark", "text").mapInArrow(_cells(shards, frequent_runs(docs, total)), CELLS)
+    # All that is made of a text in one pass moves in one exchange, which each of the uses below reads.
+    cells = cells.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "part")
+    usual = cells.groupBy("part").applyInArrow(_repeats, "id long, mark long, start long, windows long")
+    hot = cells.mapInArrow(_hot_rows, HOT)
+    known = hot.groupBy("shard", "passage").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.first("text", ignorenulls=True).alias("text"))
+    found = known.groupBy("shard").applyInArrow(_hot_repeats, "passage binary, smallest array<bigint>")
+    found = found.select("passage", "smallest", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    places = hot.select("passage", "id", "mark", "place", F.pmod(F.xxhash64("id", "mark", "place"), F.lit(SALTS)).cast("int").alias("salt"))
+    places = places.join(found, ["passage", "salt"]).select("id", "mark", "place", "smallest")
+    return usual.unionByName(places.mapInArrow(_hot_ranges, "id long, mark long, start long, windows long"))
 
 
 def range_lists(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -259,6 +376,14 @@ def range_lists(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     return repeated_ranges(docs, shard_bytes).groupBy("id", "mark").agg(F.collect_set(F.struct("start", "windows")).alias("ranges"))
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches with their last column compressed: texts move once more, to the ranges found in them."""
+    packer = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        texts = pa.array([packer.compress(t.as_buffer() or b"") for t in batch.column(3)], pa.binary())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], texts], ["own", "id", "mark", "text"])
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """id_col, n_words, n_removed and kept_text: what is left of each text without the words of repeated windows.
 
@@ -271,13 +396,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     d = docs.select(F.col(id_col).cast("long").alias("own"), text_of(text_col).alias("text"))
     # Rows of one id, or of none, are told apart by their texts' whole hashes.
     d = d.select("own", F.coalesce("own", F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("mark"), "text")
-    joined = d.join(range_lists(d, shard_bytes), ["id", "mark"], "left").select("own", "text", F.col("ranges.start").alias("start"), F.col("ranges.windows").alias("windows"))
+    packed = d.mapInArrow(_packed, "own long, id long, mark long, text binary")
+    joined = packed.join(range_lists(d, shard_bytes), ["id", "mark"], "left").select("own", "text", F.col("ranges.start").alias("start"), F.col("ranges.windows").alias("windows"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpacker = zstandard.ZstdDecompressor()
         for batch in batches:
             total, removed, texts = [], [], []
             for text, start, windows in zip(*(batch.column(i) for i in (1, 2, 3)), strict=True):
-                words = text.as_buffer().to_pybytes().split()
+                words = unpacker.decompress(text.as_buffer()).split()
                 total.append(len(words))
                 if start.is_valid:
                     a = start.values.to_numpy()

@@ -23,6 +23,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -72,6 +73,7 @@ _JUNK = re.compile(r"[\W\d_]+")
 _BITS = 21
 
 
+@lru_cache(CACHE_WORDS)
 def unit_of(word: str) -> str:
     """A word as the kernel sees it: lower case, letters only without accents, digits in words read as the letters they look like."""
     w = word.lower()
@@ -149,8 +151,8 @@ class Model:
 class Scorer:
     """Scores texts; the codes of words seen before are looked up."""
 
-    def __init__(self, model: Model) -> None:
-        self.model, self.known = model, {}
+    def __init__(self, model: Model, known: dict[str, bytes] | None = None) -> None:
+        self.model, self.known = model, {} if known is None else known
         # Whole numbers, so that running sums give the same differences wherever they begin.
         self.tables = {b: np.round(model.weights * (2**20 * DECAY ** (b + 1))).astype(np.int32) for b in range(2, SPAN)}
 
@@ -204,7 +206,7 @@ class Scorer:
     def _judged(self, texts: list[str]) -> tuple[np.ndarray, ...]:
         """The texts' codes, the gaps in them, the first gap of each text and one more, each text's words, and best and reach of _windows()."""
         if len(self.known) > CACHE_WORDS:
-            self.known = {}
+            self.known.clear()
         streams = [self._stream(t) for t in texts]
         flat = np.frombuffer(b"".join(x for x, _ in streams), np.uint8).astype(np.int32)
         edges = np.cumsum([0] + [len(x) for x, _ in streams])
@@ -410,6 +412,7 @@ def fit(toxic: list[str], clean: list[str], seed: int = 7) -> Model | None:
         if held:
             found[min(held, key=rank.__getitem__)] += 1
     clean_windows = set(others)
+    known: dict[str, bytes] = {}
     for _ in range(ROUNDS):
         positives = [u for u, _ in sorted(found.items(), key=lambda r: (-r[1], r[0]))[:MOST_WINDOWS]]
         # Each also with a letter put in somewhere, twice, and words with a space, at a lower weight.
@@ -423,7 +426,7 @@ def fit(toxic: list[str], clean: list[str], seed: int = 7) -> Model | None:
         w = _svm(mapped(units), y, weight)
         model = Model(folded(w[:-1]), float(w[-1]), np.zeros(6))
         # The sentences' labels and worst windows as this machine has them. Clean ones that score worst join the next round.
-        scorer = Scorer(model)
+        scorer = Scorer(model, known)
         scores, windows = scorer.worst(good_sentences)
         hard = [windows[i] for i in np.argsort(-scores, kind="stable")[:HARDEST] if windows[i]]
         hard += [others[i] for i in np.argsort(-model.decide(others), kind="stable")[:HARDEST]]

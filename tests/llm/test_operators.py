@@ -182,6 +182,34 @@ def test_substring_dedup(docs, none):
     assert substring_dedup.remove_repeats(none).count() == 0
 
 
+def test_frequent_runs_take_another_way(spark, monkeypatch):
+    """Passages that most texts share, next to words of their own, and texts of one repeated word: as by brute force, and reduced before a shard."""
+    monkeypatch.setattr(substring_dedup, "FREQUENT", 20)
+    rng = np.random.default_rng(12)
+    shared = [" ".join(f"sh{k}are{i}" for i in range(40)) for k in range(3)]
+    rows = []
+    for i in range(150):
+        own = lambda n: " ".join(f"o{x}" for x in rng.integers(0, 400, n))
+        rows.append((int(rng.integers(0, 400)) if i % 20 else None, f"{own(15)} {shared[i % 3]} {own(9)} {shared[0][: 90 + i % 7]} {'the ' * (i % 40)}"))
+    rows += rows[:3] + [(500 + i, shared[0]) for i in range(30)]
+    first = {}
+    key = lambda i: substring_dedup.NO_ID if i is None else i
+    for i, t in rows:
+        w = words(t)
+        for k in range(len(w) - 12):
+            g = tuple(w[k : k + 13])
+            first[g] = min(first.get(g, key(i)), key(i))
+    want = []
+    for i, t in rows:
+        w = words(t)
+        gone = {k + j for k in range(len(w) - 12) if first[tuple(w[k : k + 13])] < key(i) for j in range(13)}
+        want.append((i, len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone)))
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert by_id(substring_dedup.remove_repeats(d, shard_bytes=10_000), "n_words", "n_removed", "kept_text") == sorted(want, key=str)
+    keyed = d.select(F.col("doc_id").alias("id"), F.lit(0).cast("long").alias("mark"), "text").filter("id is not null")
+    assert substring_dedup.frequent_runs(keyed, 1).sum() > 40
+
+
 def test_rows_without_ids_are_told_apart(spark):
     """Two texts without an id whose hashes agree in 32 bits keep their own words."""
     shared = " ".join(f"same{i}" for i in range(20))
@@ -212,10 +240,11 @@ def test_fm_index():
     sequence = np.append(rng.integers(1, 4, 500), 0).astype(np.int32)
     index = substring_dedup.FMIndex(sequence, 5)
     ends = np.arange(5, 500)
-    low, high = index.search(ends, 5)
-    for e, a, b in zip(ends, low, high, strict=True):
+    on, low, high = index.search(sequence, ends, 5)
+    found = dict(zip(on.tolist(), zip(low, high, strict=True), strict=True))
+    for k, e in enumerate(ends):
         want = [i for i in range(496) if (sequence[i : i + 5] == sequence[e - 5 : e]).all()]
-        assert sorted(index.order[a:b]) == want
+        assert (sorted(index.order[slice(*found[k])]) if k in found else [e - 5]) == want
 
 
 def brute_components(rows, width, share):
