@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revlens.functions.paths import normalized_name
+from revlens.plans.staging import stage
+
+#: Parts that the nodes of one label are dealt to.
+SALTS = 8
 
 # Names and addresses of bots.
 BOTS = (
@@ -13,20 +17,25 @@ BOTS = (
 )
 
 
-def components(edges: DataFrame, checkpoint: bool = True) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node and label, the smallest node that is reached over edges(a, b): label propagation with pointer jumping.
 
-    Rounds are cut by checkpoints in the session's checkpoint folder, where it has one.
+    Each round is written to the shared folder; only whether a label changed reaches the driver. Where a label leads is
+    looked up once for each label, not for each node that has it. Without edges the result is empty; rows with a null
+    are no edges.
     """
-    sc = edges.sparkSession.sparkContext
-    save = (lambda d: d.checkpoint()) if checkpoint and sc.getCheckpointDir() else (lambda d: d)
-    both = save(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = save(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
+    edges = edges.filter("a is not null and b is not null")
+    both = stage(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "cc-edges")
+    labels = stage(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "cc-labels")
+    every = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     while True:
         near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("m"))
         step = labels.join(near, F.col("node") == F.col("a")).select("node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
-        jump = labels.select(F.col("node").alias("at"), F.col("label").alias("further"))
-        new = save(step.join(jump, F.col("label") == F.col("at"), "left").select("node", "old", F.least("label", F.coalesce("further", "label")).alias("label")))
+        jumps = labels.filter("node <> label").select(F.col("node").alias("at"), F.col("label").alias("further"))
+        jumps = jumps.join(labels.select(F.col("label").alias("at")).distinct(), "at", "left_semi").select("at", "further", every)
+        step = step.withColumn("own_salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
+        new = step.join(jumps, (F.col("label") == F.col("at")) & (F.col("own_salt") == F.col("salt")), "left")
+        new = stage(new.select("node", "old", F.least("label", F.coalesce("further", "label")).alias("label")), "cc-labels")
         if not new.filter("old <> label").limit(1).count():
             return new.select("node", "label")
         labels = new.select("node", "label")
