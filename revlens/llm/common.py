@@ -1,42 +1,19 @@
-"""What several operators share: staged tables and the word pattern."""
+"""What several operators share: the word pattern, and staged tables of the core."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from revlens.plans.staging import new_path, shared_dir, stage
+
+__all__ = ["NO_ID", "WORD", "new_path", "shared_dir", "stage", "table", "text_of"]
+
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 NO_ID = (1 << 63) - 1
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; a temporary one only where that is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, deleted when the application ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    return path
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: later steps neither recompute it nor depend on an executor's memory."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def text_of(col: str = "text") -> Column:
     """The text as a string, empty for null."""
     return F.coalesce(F.col(col).cast("string"), F.lit(""))

@@ -4,9 +4,14 @@ Documents with one shingle set form a class, and classes with one set are joined
 independent trees of DEPTH minwise values. A tree branches classes by their first value; a node with few classes is
 compared exhaustively, a larger one branches again by the next value, and so on. Pairs whose values agree well enough in a
 small node, and all classes of a node that is still large at the last level, are put into one candidate group. So a
-candidate group holds every similar pair that met in any tree; a pair at the threshold misses all trees with a
-probability below 1e-6. Within candidate groups full shingle sets are compared, exactly and exhaustively: groups are cut
-into blocks of bounded size, and each pair of blocks is one task's work. Components of the exact links are the result.
+candidate group holds every similar pair that met in any tree. A pair at the threshold s misses all trees with a
+probability of (1 - s^DEPTH)^TREES at most: 2e-8 for 0.85, 3e-6 for 0.8.
+
+Within candidate groups full shingle sets are compared exactly, in two rounds. A group is cut into blocks of bounded
+size, and each block is compared in one task with itself and with some of the group's classes as pivots. What is linked,
+over classes of its task, to the pivot with the most links among pivots is in one component with it. Only the others, the
+rest, are then compared with the whole group, block by block. A group of near copies so takes one round, each text moved
+once. Components of the exact links are the result.
 """
 
 from __future__ import annotations
@@ -20,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revlens.llm.common import NO_ID, stage, table, text_of
+from revlens.operators.identity import components as connected_components
 
 TREES = 24
 DEPTH = 4
@@ -28,6 +34,11 @@ NODE = 48
 #: Shingles of a block of a candidate group; a pair of blocks is compared in one task.
 BLOCK_SHINGLES = 1_000_000
 BLOCK_CLASSES = 1024
+#: Classes of a group of several blocks that all its blocks are compared with, about.
+PIVOTS = 128
+SALTS = 8
+OWN, PIVOT, ALONE, REST, OTHER = range(5)
+RANK = np.array([0, 1, 0, 1, 0])
 #: Minwise values agree well enough in a small node from so many standard deviations under the threshold.
 DEVIATIONS = 5.0
 
@@ -141,24 +152,6 @@ def _components(close: np.ndarray) -> list[int]:
     return root
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
-    """node and the smallest node of its component, for edges (a, b), by label propagation with pointer jumping.
-
-    Each round is written to the shared folder; only the number of changed labels reaches the driver.
-    """
-    both = stage(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "cc-edges")
-    labels = stage(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "cc-labels")
-    while True:
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("m"))
-        step = labels.join(near, F.col("node") == F.col("a")).select("node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
-        jump = labels.select(F.col("node").alias("at"), F.col("label").alias("further"))
-        new = step.join(jump, F.col("label") == F.col("at"), "left").select("node", "old", F.least("label", F.coalesce("further", "label")).alias("label"))
-        new = stage(new, "cc-labels")
-        if not new.filter(F.col("old") != F.col("label")).limit(1).count():
-            return new.select("node", "label")
-        labels = new.select("node", "label")
-
-
 def _candidate_edges(classes: DataFrame, percent: int) -> DataFrame:
     """Edges whose components hold every similar pair that met in any tree."""
     level = stage(classes.select("set_key", "paths").mapInArrow(_exploded, "set_key binary, " + ", ".join(f"k{i} long" for i in range(DEPTH))), "paths")
@@ -180,11 +173,19 @@ def _candidate_edges(classes: DataFrame, percent: int) -> DataFrame:
 
 
 def _exact_links(width: int, percent: int):
-    """Spanning edges of the exact links among the classes of one pair of blocks."""
+    """Of the classes of one task: spanning edges (a, b) of the exact links, and rows (a, null) of those in the rest.
+
+    Roles are OWN, a class of a block of several; PIVOT; ALONE, a class of a group of one block; and in the second
+    round REST and OTHER, of whose links only those with one of the rest are looked for.
+    """
 
     def link(group: pa.Table) -> pa.Table:
-        order = np.argsort(np.array(group.column("set_key").to_pylist(), dtype=object))
-        group = group.take(pa.array(order))
+        role = np.array(group.column("role").to_pylist())
+        names = np.array(group.column("set_key").to_pylist(), dtype=object)
+        # A class that comes in two roles counts in the one that matters.
+        order = np.lexsort((-RANK[role], np.argsort(np.argsort(names, kind="stable"), kind="stable")))
+        order = order[np.append(True, names[order][1:] != names[order][:-1])]
+        group, role = group.take(pa.array(order)), role[order]
         keys = group.column("set_key").to_pylist()
         sets = [shingle_set(t.as_py(), width) for t in group.column("text")]
         size = np.array([len(s) for s in sets])
@@ -195,6 +196,8 @@ def _exact_links(width: int, percent: int):
         first = np.cumsum(count) - count
         starts = np.cumsum(size) - size
         root = list(range(len(sets)))
+        degree = np.zeros(len(sets), np.int64)
+        second = bool((role >= REST).any())
 
         def top(i: int) -> int:
             while root[i] != i:
@@ -203,24 +206,57 @@ def _exact_links(width: int, percent: int):
             return i
 
         a, b = [], []
-        for i in range(len(sets)):
+        for i in np.flatnonzero(role == REST).tolist() if second else range(len(sets)):
             own = ids[starts[i] : starts[i] + size[i]]
             own = own[count[own] > 1]
             n = count[own]
             at = np.repeat(first[own] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            both = np.bincount(posted[at], minlength=len(sets))[: i]
-            union = size[:i] + size[i] - both
-            for k in np.flatnonzero(100 * both >= percent * union):
-                x, y = top(int(k)), top(i)
+            stop = len(sets) if second else i
+            both = np.bincount(posted[at], minlength=len(sets))[:stop]
+            union = size[:stop] + size[i] - both
+            for k in np.flatnonzero(100 * both >= percent * union).tolist():
+                if k == i:
+                    continue
+                if role[i] == role[k] == PIVOT:
+                    degree[i] += 1
+                    degree[k] += 1
+                x, y = top(k), top(i)
                 if x != y:
                     root[max(x, y)] = min(x, y)
-                    a.append(keys[int(k)])
+                    a.append(keys[k])
                     b.append(keys[i])
+        if (role <= PIVOT).any():  # the same pivots, and so the same one, in all tasks of the group
+            pivots = np.flatnonzero(role == PIVOT)
+            main = top(int(pivots[np.argmax(degree[pivots])])) if len(pivots) else -1
+            rest = [keys[i] for i in range(len(keys)) if top(i) != main]
+            a, b = a + rest, b + [None] * len(rest)
         return pa.table([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
     return link
 
 
+def _links(members: DataFrame, width: int, percent: int) -> DataFrame:
+    """Edges (a, b) with the components of all exact links, for members(set_key, label, n, block, blocks, text)."""
+    all_blocks = F.sequence(F.lit(0), F.col("blocks") - 1)
+    pivot = F.pmod(F.xxhash64("set_key", F.lit("pivot")), F.col("n")) < PIVOTS
+    own = members.select("label", F.col("block").alias("low"), F.lit(-1).alias("high"), "set_key", F.when(F.col("blocks") > 1, OWN).otherwise(ALONE).alias("role"), "text")
+    pivots = members.filter((F.col("blocks") > 1) & pivot).select("label", F.explode(all_blocks).alias("low"), F.lit(-1).alias("high"), "set_key", F.lit(PIVOT).alias("role"), "text")
+    found = stage(own.unionByName(pivots).groupBy("label", "low").applyInArrow(_exact_links(width, percent), "a binary, b binary"), "links")
+    rest = members.filter("blocks > 1").join(found.filter("b is null").select(F.col("a").alias("set_key")).distinct(), "set_key", "left_semi")
+    rest = stage(rest, "rest")
+    # The rest's own blocks, as many as they need, each with all blocks of the group.
+    many = rest.groupBy(F.col("label").alias("of")).agg(F.ceil(F.count("*") / BLOCK_CLASSES).cast("int").alias("rest_blocks"))
+    part = F.pmod(F.xxhash64("set_key", F.lit("rest")), F.col("rest_blocks")).cast("int")
+    # A group's label is that of very many rows: what is joined to it has one row for each group, dealt out with each block.
+    many = many.join(members.filter("blocks > 1").select(F.col("label").alias("of"), "block", "blocks").distinct(), "of")
+    on = lambda d: (F.col("label") == F.col("of")) & (d["block"] == many["block"])
+    large = members.filter("blocks > 1")
+    ones = rest.join(many, on(rest)).select("label", part.alias("low"), F.explode(F.sequence(F.lit(0), many["blocks"] - 1)).alias("high"), "set_key", F.lit(REST).alias("role"), "text")
+    twos = large.join(many, on(large)).select("label", F.explode(F.sequence(F.lit(0), F.col("rest_blocks") - 1)).alias("low"), large["block"].alias("high"), "set_key", F.lit(OTHER).alias("role"), "text")
+    more = ones.unionByName(twos).groupBy("label", "low", "high").applyInArrow(_exact_links(width, percent), "a binary, b binary")
+    return found.filter("b is not null").unionByName(more)
+
+
 def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_shingles, component_id, kept, text_hash and keeper for each row, linking rows whose shingle sets are similar.
 
@@ -242,17 +278,16 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, id_col:
     groups = connected_components(_candidate_edges(classes, percent))
     sized = groups.join(classes.select(F.col("set_key").alias("node"), "first", "n_shingles"), "node")
     blocks = sized.groupBy("label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
-    blocks = blocks.select("label", F.greatest(F.ceil(F.col("n") / BLOCK_CLASSES), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    placed = sized.join(blocks, "label").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    mine = F.col("block")
-    pair = lambda k: F.struct(F.least(mine, k).alias("low"), F.greatest(mine, k).alias("high"))
-    others = F.transform(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: (k != mine) | (F.col("blocks") == 1)), pair)
-    placed = placed.select("node", "label", others.alias("pairs"), F.col("first.id").alias("of_id"), F.col("first.text_hash").alias("of_hash"))
+    blocks = blocks.select("label", "n", F.greatest(F.ceil(F.col("n") / BLOCK_CLASSES), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    # A large group's label is on very many rows: its counts are dealt to several parts.
+    blocks = blocks.select(F.col("label").alias("of"), "n", "blocks", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    placed = sized.join(blocks, (F.col("label") == F.col("of")) & (F.pmod(F.xxhash64("node"), F.lit(SALTS)) == F.col("salt")))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    placed = placed.select("node", "label", "n", "block", "blocks", F.col("first.id").alias("of_id"), F.col("first.text_hash").alias("of_hash"))
     # One row of each class brings its text.
     texts = d.select(F.coalesce("id", F.lit(NO_ID)).alias("of_id"), F.col("text_hash").alias("of_hash"), "text")
-    texts = placed.join(texts, ["of_id", "of_hash"]).dropDuplicates(["node"]).select(F.col("node").alias("set_key"), "label", F.explode("pairs").alias("p"), "text")
-    links = texts.groupBy("label", "p.low", "p.high").applyInArrow(_exact_links(width, percent), "a binary, b binary")
-    parts = connected_components(links)
+    members = placed.join(texts, ["of_id", "of_hash"]).dropDuplicates(["node"]).select(F.col("node").alias("set_key"), "label", "n", "block", "blocks", "text")
+    parts = connected_components(_links(stage(members, "members"), width, percent))
 
     # The smallest row of each component; most classes are one alone.
     named = classes.select("set_key", "first").join(parts.withColumnRenamed("node", "set_key"), "set_key", "left")
@@ -266,7 +301,12 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, id_col:
 
 
 def deduplicate(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, all columns, with one row of each component of near_duplicates() and one of identical rows: the smallest."""
+    """docs, all columns, with one row of each component of near_duplicates(): the smallest, by id and then by text hash.
+
+    Of rows with equal id and text one stays, whatever their other columns. Null and empty texts are linked with nothing:
+    one row stays of each id, and one without an id. Null ids come last. An empty table gives an empty result. Other
+    columns are handed on, whatever their names.
+    """
     # Keys without nulls: identical rows are then found in the join's own partitions, and texts move once.
     keys = {"__dedup_known": F.col(id_col).isNotNull(), "__dedup_id": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))}
     keepers = near_duplicates(docs, width, percent, id_col, text_col).filter("keeper").select(*[k.alias(n) for n, k in keys.items()], F.col("text_hash").alias("__dedup_hash"))

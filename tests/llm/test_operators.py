@@ -272,15 +272,41 @@ def test_near_dup(docs, none):
     assert kept.columns == docs.columns and {1, 4, 5, 6, 7, 8, 10, 11, 12} <= {r["doc_id"] for r in kept.collect()}
 
 
-def test_near_dup_in_blocks(spark, monkeypatch):
-    """A chain of copies, each a little further from the first, cut into several blocks."""
-    rows, text = [], BASE.split()
-    for i in range(60):
-        text = [*text[:i], f"new{i}", *text[i + 1 :]]
-        rows.append((i, " ".join(text)))
+@pytest.mark.parametrize("pivots", [0, 3, 1000])
+def test_near_dup_in_blocks(spark, monkeypatch, pivots):
+    """Chains of copies, each a little further from the first, and a group whose members link in two kinds, cut into several blocks."""
+    rows = []
+    for chain in range(2):
+        text = [f"c{chain}{w}" for w in BASE.split()]
+        for i in range(60):
+            text = [*text[:i], f"new{i}", *text[i + 1 :]]
+            rows.append((1000 * chain + i, " ".join(text)))
+    near = [f"n{w}" for w in BASE.split()]
+    rows += [(5000 + i, " ".join([*near[: 3 * i], f"x{i}", *near[3 * i + 1 :]])) for i in range(60)]
     monkeypatch.setattr(near_dup, "BLOCK_CLASSES", 16)
-    d = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {r["component_id"] for r in near_dup.near_duplicates(d).collect()} == {0}
+    monkeypatch.setattr(near_dup, "PIVOTS", pivots)
+    got = by_id(near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")), "n_shingles", "component_id")
+    assert got == sorted(brute_components(rows, 3, 85), key=str)
+
+
+@pytest.mark.parametrize(("width", "percent"), [(3, 85), (5, 80)])
+def test_recall_of_pairs_at_the_threshold(spark, width, percent):
+    """3,000 pairs just above the threshold, each in words of its own: all are found."""
+    rng = np.random.default_rng(percent)
+    rows, n = [], 3000
+    for i in range(n):
+        w = [f"{i}w{k}" for k in range(int(rng.integers(60, 240)))]
+        # As many words put in place of others, far enough apart, as the threshold allows.
+        shingles = len(w) - width + 1
+        most = int((1 - percent / 100) / (1 + percent / 100) * shingles / width)
+        other = list(w)
+        for k in range(most):
+            other[(k + 1) * len(w) // (most + 1)] = f"{i}new{k}"
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(other))]
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), width, percent).collect()}
+    similar = [i for i in range(n) if len((x := set(near_dup.shingle_set(rows[2 * i][1], width))) & (y := set(near_dup.shingle_set(rows[2 * i + 1][1], width)))) * 100 >= percent * len(x | y)]
+    assert len(similar) > 0.9 * n
+    assert [i for i in similar if got[2 * i + 1] != 2 * i] == []
 
 
 def test_chat(spark):
