@@ -92,11 +92,11 @@ def passages(hashes: np.ndarray, lengths: np.ndarray, window: int = WINDOW, freq
     return first, last - first + 1, key[first]
 
 
-_CELL_TYPES = {"part": pa.int64(), "shard": pa.int64(), "cell": pa.binary(), "passage": pa.binary(), "text": pa.binary(), "id": pa.int64(), "mark": pa.int64(), "place": pa.int64()}
-CELLS = "part long, shard long, cell binary, passage binary, text binary, id long, mark long, place long"
+_CELL_TYPES = {"part": pa.int64(), "group": pa.int64(), "shard": pa.int64(), "cell": pa.binary(), "passage": pa.binary(), "text": pa.binary(), "id": pa.int64(), "mark": pa.int64(), "place": pa.int64()}
+CELLS = "part long, group long, shard long, cell binary, passage binary, text binary, id long, mark long, place long"
 
 
-def _cells(shards: int, frequent: np.ndarray):
+def _cells(shards: int, frequent: np.ndarray, parts: list[int]):
     """For a batch of texts and each shard: the distinct passages and where they stand, packed and compressed.
 
     Passages of frequent runs are rows of their own, one for each place, with their text at the first place in the batch.
@@ -123,7 +123,7 @@ def _cells(shards: int, frequent: np.ndarray):
         for i in np.flatnonzero(hot).tolist():
             text = b" ".join(words[first[i] : first[i] + count[i] + WINDOW - 1])
             digest = xxhash.xxh3_128_digest(text)
-            yield -1 - (i & 4095), int(shard[i]), None, digest, None if digest in seen else text, ids[doc[i]], marks[doc[i]], int(first[i] - starts[doc[i]])
+            yield parts[i % len(parts)], -1, int(shard[i]), None, digest, None if digest in seen else text, ids[doc[i]], marks[doc[i]], int(first[i] - starts[doc[i]])
             seen.add(digest)
         order = np.argsort(shard, kind="stable")
         order = order[~hot[order]]
@@ -139,7 +139,7 @@ def _cells(shards: int, frequent: np.ndarray):
             keys = np.zeros(len(known), np.uint32)
             keys[which] = (key[part] >> np.uint64(32)).astype(np.uint32)
             body = [struct.pack("<II", len(known), len(part)), keys.tobytes(), which.tobytes(), doc_ids[part].tobytes(), doc_marks[part].tobytes(), place[part].tobytes(), b"\n".join(known)]
-            yield int(shard[part[0]]), None, packer.compress(b"".join(body)), None, None, None, None, None
+            yield parts[shard[part[0]] % len(parts)], int(shard[part[0]]), None, packer.compress(b"".join(body)), None, None, None, None, None
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -249,7 +249,7 @@ HOT = "shard long, passage binary, text binary, id long, mark long, place long"
 def _hot_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows of passages of frequent runs."""
     for batch in batches:
-        hot = batch.filter(pc.less(batch.column("part"), 0))
+        hot = batch.filter(pc.less(batch.column("group"), 0))
         yield pa.RecordBatch.from_arrays([hot.column(c) for c in ("shard", "passage", "text", "id", "mark", "place")], ["shard", "passage", "text", "id", "mark", "place"])
 
 
@@ -290,7 +290,7 @@ def _repeats(group: pa.Table) -> pa.Table:
     keys, which, ids, marks, places = [], [], [], [], []
     unpacker = zstandard.ZstdDecompressor()
     names = ["id", "mark", "start", "windows"]
-    if group.column("part")[0].as_py() < 0:  # places of passages of frequent runs, which take another way
+    if group.column("group")[0].as_py() < 0:  # places of passages of frequent runs, which take another way
         return pa.table([pa.array([], pa.int64())] * 4, names)
     for cell in group.column("cell"):
         data = unpacker.decompress(cell.as_buffer())
@@ -354,14 +354,21 @@ def frequent_runs(docs: DataFrame, total: int) -> np.ndarray:
     return flags
 
 
+def even_parts(spark: SparkSession, n: int) -> list[int]:
+    """A number for each of n partitions that goes there when rows are dealt by a hash of it, so that shards are dealt evenly."""
+    at = F.pmod(F.hash("id"), F.lit(n))
+    return [r["id"] for r in spark.range(40 * n).groupBy(at.alias("at")).agg(F.min("id").alias("id")).orderBy("at").collect()]  # n rows
+
+
 def repeated_ranges(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(id, mark, start, windows) for docs(id, mark, text): runs of windows that also start in a smaller document."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
-    cells = docs.select("id", "mark", "text").mapInArrow(_cells(shards, frequent_runs(docs, total)), CELLS)
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = docs.select("id", "mark", "text").mapInArrow(_cells(shards, frequent_runs(docs, total), even_parts(docs.sparkSession, n)), CELLS)
     # All that is made of a text in one pass moves in one exchange, which each of the uses below reads.
-    cells = cells.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "part")
-    usual = cells.groupBy("part").applyInArrow(_repeats, "id long, mark long, start long, windows long")
+    cells = cells.repartition(n, "part")
+    usual = cells.groupBy("part", "group").applyInArrow(_repeats, "id long, mark long, start long, windows long")
     hot = cells.mapInArrow(_hot_rows, HOT)
     known = hot.groupBy("shard", "passage").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.first("text", ignorenulls=True).alias("text"))
     found = known.groupBy("shard").applyInArrow(_hot_repeats, "passage binary, smallest array<bigint>")
