@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from revlens.functions.numeric import DAY
+from revlens.functions.paths import entity_key
 from revlens.plans.model import Model, Params, Scope
+from revlens.plans.staging import stage
 
 RECENT_DAYS = 180
 
@@ -94,6 +97,7 @@ def pair_counts(sets: DataFrame, params: Params, now: DataFrame) -> DataFrame:
     Keys that occur in fewer sets than the least support can be in no pair that counts, so that they leave before the
     self-join; all sets and keys count for the marginals.
     """
+    sets = stage(sets, "change-sets")
     marginals = sets.groupBy("key").agg(F.count("*").alias("n"))
     total = F.broadcast(sets.agg(F.count_distinct("set_id").alias("total")))
     often = marginals.filter(F.col("n") >= params.min_support)
@@ -108,34 +112,71 @@ def pair_counts(sets: DataFrame, params: Params, now: DataFrame) -> DataFrame:
     return pairs.filter((F.greatest("conf_ab", "conf_ba") >= params.min_confidence) & (F.col("lift") >= params.min_lift))
 
 
-def coupling(model: Model, level: str = "entity", by: str = "commit", scope: Scope = Scope(), focus: str | None = None, cross_repo: bool = False) -> DataFrame:
-    """Coupled pairs by commit, ticket or session, strongest first, with rounded ratios; pairs of test keys and of dead keys are left out.
+def keys_of(model: Model, level: str, scope: Scope = Scope()) -> DataFrame:
+    """key, repo, unit, entity, alive, test, config, in_scope: test and config where all of a file's or entity's files are; units and repos never are."""
+    small = level in ("file", "entity")
+    every = lambda c: F.min(c) if small else F.lit(False)
+    f = model.files.withColumn("in_scope", scope.files()).withColumn("config", F.col("lang") == "data")
+    unit = F.min_by("unit", F.struct("test", "file")) if level != "repo" else F.lit(None).cast("string")
+    return f.groupBy(F.col(level).alias("key")).agg(
+        F.max("repo").alias("repo"),
+        unit.alias("unit"),
+        F.min("entity").alias("entity"),
+        F.max("alive").alias("alive"),
+        every("test").alias("test"),
+        every("config").alias("config"),
+        F.max("in_scope").alias("in_scope"),
+    )
+
 
-    The days of the scope choose the sets; repo, unit and path must hold for one of the two keys.
+def stem(key: Column) -> Column:
+    """The last segment of a key without extension and test suffix."""
+    return F.element_at(F.split(entity_key(key), "/"), -1)
+
+
+def coupling(
+    model: Model,
+    level: str = "entity",
+    by: str = "commit",
+    scope: Scope = Scope(),
+    focus: str | None = None,
+    cross_repo: bool = False,
+    cross_only: bool = False,
+    include_tests: bool = False,
+    include_config: bool = False,
+    include_expected: bool = False,
+) -> DataFrame:
+    """Coupled pairs by commit, ticket or session, strongest first, with rounded ratios.
+
+    Pairs with a dead key are left out, and unless asked for, those with a test, with configuration only, and of files
+    of one entity. The days of the scope choose the sets; repo, unit and path must hold for one of the two keys.
     """
     if by not in SETS:
         raise ValueError(f"by is one of {', '.join(SETS)}, not {by!r}")
     sets = SETS[by](model, level, scope)
     now = model.commits.agg(F.max("now").alias("now"))
     pairs = pair_counts(sets, model.params, now)
-    keys = model.files.withColumn("in_scope", scope.files()).groupBy(F.col(level).alias("key")).agg(
-        F.max("repo").alias("repo"),
-        F.min_by("unit", F.struct("test", "file")).alias("unit"),
-        F.max("alive").alias("alive"),
-        F.min("test").alias("test"),
-        F.max("in_scope").alias("in_scope"),
-    )
-    side = lambda x: keys.select(F.col("key").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("repo", "unit", "alive", "test", "in_scope")])
-    p = pairs.join(side("a"), "a").join(side("b"), "b").filter("a_alive and b_alive and not a_test and not b_test and (a_in_scope or b_in_scope)")
-    p = p.withColumn("cross_repo", F.col("a_repo") != F.col("b_repo")).withColumn("cross_unit", F.col("cross_repo") | (F.col("a_unit") != F.col("b_unit")))
+    keys = keys_of(model, level, scope)
+    side = lambda x: keys.select(F.col("key").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("repo", "unit", "entity", "alive", "test", "config", "in_scope")])
+    p = pairs.join(side("a"), "a").join(side("b"), "b").filter("a_alive and b_alive and (a_in_scope or b_in_scope)")
+    p = p.withColumn("cross_repo", F.col("a_repo") != F.col("b_repo")).withColumn("cross_unit", F.col("cross_repo") | ~F.col("a_unit").eqNullSafe(F.col("b_unit")))
+    p = p.withColumn("same_entity", (F.col("a_entity") == F.col("b_entity")) if level == "file" else F.lit(False))
+    p = p.withColumn("test_pair", (F.col("a_test") != F.col("b_test")) & (stem(F.col("a")) == stem(F.col("b"))))
+    p = p.withColumn("involves_test", F.col("a_test") | F.col("b_test")).withColumn("involves_config", F.col("a_config") | F.col("b_config"))
+    for shown, flag in ((include_tests, "involves_test"), (include_config, "involves_config"), (include_expected, "same_entity")):
+        if not shown:
+            p = p.filter(~F.col(flag))
     if cross_repo:
         p = p.filter("cross_repo")
+    if cross_only:
+        p = p.filter("cross_unit or cross_repo")
     if focus is not None:
         p = p.filter(F.col("a").contains(focus) | F.col("b").contains(focus))
     degree = F.greatest("conf_ab", "conf_ba")
     strength = F.round(degree * (1 - 1 / F.sqrt(F.col("support"))), 6)
     r3 = lambda c: F.round(c, 3).alias(c)
-    return p.select("a", "b", "support", "recent", "n_a", "n_b", r3("conf_ab"), r3("conf_ba"), r3("lift"), r3("jaccard"), "cross_unit", "cross_repo", strength.alias("strength")).orderBy(F.desc("strength"), F.desc("support"), "a", "b")
+    flags = ("cross_unit", "cross_repo", "same_entity", "test_pair", "involves_test", "involves_config")
+    return p.select("a", "b", "support", "recent", "n_a", "n_b", r3("conf_ab"), r3("conf_ba"), r3("lift"), r3("jaccard"), *flags, strength.alias("strength")).orderBy(F.desc("strength"), F.desc("support"), "a", "b")
 
 
 def sum_of_coupling(model: Model, level: str = "entity") -> DataFrame:
@@ -166,7 +207,7 @@ SETS = {"commit": commit_sets, "ticket": ticket_sets, "session": commit_session_
 
 def unit_graph(model: Model, limit: int = 400) -> DataFrame:
     """Edges between units: by commit first, by ticket across repos where there is none yet."""
-    loose = Model(model.commits, model.files, model.changes, model.authors, Params(**{**model.params.__dict__, "min_support": 3, "min_confidence": 0.05, "min_lift": 1.0}))
+    loose = replace(model, params=replace(model.params, min_support=3, min_confidence=model.params.graph_confidence, min_lift=1.0))
     cols = ["a", "b", "support", "strength"]
     top = lambda by, cross: coupling(loose, "unit", by, cross_repo=cross).select(*cols).limit(limit)
     by_commit = top("commit", False)
@@ -174,12 +215,47 @@ def unit_graph(model: Model, limit: int = 400) -> DataFrame:
     return by_commit.withColumn("kind", F.lit("commit")).unionByName(by_ticket.withColumn("kind", F.lit("ticket")))
 
 
-def missed_changes(model: Model, touched: DataFrame, level: str = "unit", min_confidence: float = 0.05) -> DataFrame:
-    """Keys outside touched(key) that usually change with one inside: the best confidence for each, 15 at most."""
-    both = coupling(model, level, "commit").unionByName(coupling(model, level, "ticket"))
-    directed = both.select(F.col("a").alias("source"), F.col("b").alias("target"), F.col("conf_ab").alias("confidence"), "support").unionByName(both.select(F.col("b").alias("source"), F.col("a").alias("target"), F.col("conf_ba").alias("confidence"), "support"))
-    directed = directed.filter(F.col("confidence") >= min_confidence)
-    t = touched.select(F.col("key"))
-    directed = directed.join(t, F.col("source") == F.col("key"), "left_semi").join(t, F.col("target") == F.col("key"), "left_anti")
-    best = Window.partitionBy("target").orderBy(F.desc("confidence"), F.desc("support"), "source")
-    return directed.withColumn("k", F.row_number().over(best)).filter("k = 1").drop("k").orderBy(F.desc("confidence"), F.desc("support"), "target").limit(15)
+def directed(model: Model, level: str, min_lift: float | None = 1.0, tickets_across_only: bool = False) -> DataFrame:
+    """source, target, confidence, support, lift, by, and flags: coupled pairs by commit and by ticket, in both directions.
+
+    Tests and files of one entity count at level file.
+    """
+    loose = model if min_lift is None else replace(model, params=replace(model.params, min_lift=min_lift))
+    at_file = level == "file"
+    out = None
+    for by in ("commit", "ticket"):
+        c = coupling(loose, level, by, cross_repo=by == "ticket" and tickets_across_only, include_tests=at_file, include_expected=at_file).withColumn("by", F.lit(by))
+        for x, y, conf in (("a", "b", "conf_ab"), ("b", "a", "conf_ba")):
+            way = c.select(F.col(x).alias("source"), F.col(y).alias("target"), F.col(conf).alias("confidence"), "support", "lift", "by", "cross_repo", "cross_unit", "same_entity", "test_pair")
+            out = way if out is None else out.unionByName(way)
+    return out
+
+
+def partners(model: Model, key: str | None = None, level: str = "entity", limit: int = 25) -> DataFrame:
+    """What changes with a key, the first by name unless told otherwise, by the share of the key's own changes; ticket pairs only across repos."""
+    one = model.files.agg((F.min(level) if key is None else F.max(F.lit(key))).alias("_key"))
+    d = directed(model, level, 1.0, tickets_across_only=True).join(F.broadcast(one), F.col("source") == F.col("_key"))  # one row
+    return d.select(F.col("target").alias("name"), "support", "confidence", "lift", "by", "cross_repo", "cross_unit", F.col("same_entity").alias("expected")).orderBy(F.desc("confidence"), F.desc("support"), "name", "by").limit(limit)
+
+
+def missed_by_change(model: Model, touched: DataFrame, level: str = "file", limit: int = 15) -> DataFrame:
+    """change, source, target, confidence, support, kind for touched(change, key): keys that usually change with one of a change's, and did not.
+
+    For each change and target the best source; of each change the limit surest targets.
+    """
+    kind = F.when(F.col("test_pair"), "test").when(F.col("cross_repo"), "cross-repo").when(F.col("same_entity"), "same component").otherwise("coupled")
+    sure = directed(model, level).filter((F.col("confidence") >= model.params.missed_confidence) & (F.col("support") >= model.params.min_support))
+    sure = sure.select("source", "target", "confidence", "support", kind.alias("kind"), "by")
+    t = touched.select("change", "key").distinct()
+    out = sure.join(t, F.col("source") == F.col("key")).drop("key")
+    out = out.join(t.select(F.col("change").alias("in_change"), "key"), (F.col("change") == F.col("in_change")) & (F.col("target") == F.col("key")), "left_anti")
+    best = Window.partitionBy("change", "target").orderBy(F.desc("confidence"), F.desc("support"), "source", "by")
+    out = out.withColumn("k", F.row_number().over(best)).filter("k = 1")
+    first = Window.partitionBy("change").orderBy(F.desc("confidence"), F.desc("support"), "target")
+    return out.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= limit).drop("k", "by")
+
+
+def missed_changes(model: Model, touched: DataFrame, level: str = "file") -> DataFrame:
+    """missed_by_change() for one change that touched(key), best first."""
+    out = missed_by_change(model, touched.select(F.lit(0).alias("change"), "key"), level)
+    return out.drop("change").orderBy(F.desc("confidence"), F.desc("support"), "target")

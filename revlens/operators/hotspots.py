@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from revlens.functions.numeric import decay, percentile
+from revlens.functions.numeric import decay, with_percentile, with_rank
 from revlens.plans.model import Model, Scope
 
 MIN_RANKED_FILES = 5
@@ -14,9 +14,10 @@ MIN_RANKED_FILES = 5
 def normalized_files(model: Model) -> DataFrame:
     """files with norm_cx: the tie-averaged percentile within the language, times the language's weight."""
     f = model.files.filter("alive")
-    n = F.count("*").over(Window.partitionBy("lang"))
+    n = f.groupBy(F.col("lang").alias("of_lang")).agg(F.count("*").alias("in_lang"))  # a row for each language
     few = F.least(F.col("complexity") / 50, F.lit(1.0))
-    return f.withColumn("norm_cx", F.when(n < MIN_RANKED_FILES, few).otherwise(percentile("complexity", "lang")) * F.col("lang_weight"))
+    f = with_percentile(f, "rank_cx", "complexity", "lang").join(F.broadcast(n), F.col("lang").eqNullSafe(F.col("of_lang")))
+    return f.withColumn("norm_cx", F.when(F.col("in_lang") < MIN_RANKED_FILES, few).otherwise(F.col("rank_cx")) * F.col("lang_weight")).drop("of_lang", "in_lang", "rank_cx")
 
 
 def history(model: Model, level: str, scope: Scope = Scope()) -> DataFrame:
@@ -71,17 +72,17 @@ def hotspots(model: Model, level: str = "entity", scope: Scope = Scope()) -> Dat
     r = sizes(model, level, scope).join(history(model, level, scope), level, "left").join(author_lines(model, level, scope), level, "left")
     r = r.fillna(0, ["revisions", "rev_w", "defects", "churn", "authors", "active_authors"])
     r = r.withColumn("weighted_r", F.round("weighted", 6))
-    norm = percentile("weighted_r") if level in ("unit", "repo") else F.col("max_norm")
-    r = r.withColumn("norm", norm).withColumn("norm", F.when(F.col("test"), F.col("norm") * 0.5).otherwise(F.col("norm")))
+    r = with_percentile(r, "norm", "weighted_r") if level in ("unit", "repo") else r.withColumn("norm", F.col("max_norm"))
+    r = r.withColumn("norm", F.when(F.col("test"), F.col("norm") * 0.5).otherwise(F.col("norm")))
     top = r.agg(F.max(F.when(F.col("code") & ~F.col("test"), F.col("rev_w"))).alias("a"), F.max("rev_w").alias("b"))
     top = top.select(F.when(F.coalesce("a", F.lit(0.0)) > 0, F.col("a")).otherwise(F.col("b")).alias("max_rw"))
     r = r.join(F.broadcast(top))  # one row
     freq = F.when(F.col("max_rw") > 0, F.least(F.log(1 + F.col("rev_w")) / F.log(1 + F.col("max_rw")), F.lit(1.0))).otherwise(0.0)
     r = r.withColumn("score", F.when(F.col("revisions") == 0, 0.0).otherwise(F.round(freq * F.col("norm"), 3)))
     r = r.withColumn("rev_w", F.round("rev_w", 4))
-    order = Window.orderBy(F.desc("score"), F.desc("rev_w"), F.asc(level))  # one row for each key
+    r = with_rank(r, "rank", F.desc("score"), F.desc("rev_w"), F.asc(level))
     return r.select(
-        F.row_number().over(order).cast("long").alias("rank"),
+        "rank",
         F.col(level).alias("name"),
         "score",
         F.round("norm", 4).alias("norm"),
@@ -106,8 +107,7 @@ def hotspots(model: Model, level: str = "entity", scope: Scope = Scope()) -> Dat
 
 def hotspot_concentration(model: Model, level: str = "entity") -> DataFrame:
     """The share of recent changes in the busiest twentieth of the keys."""
-    h = hotspots(model, level).select("name", "rev_w")
-    order = Window.orderBy(F.desc("rev_w"), "name")
-    h = h.withColumn("k", F.row_number().over(order)).withColumn("n", F.count("*").over(Window.partitionBy()))
+    h = with_rank(hotspots(model, level).select("name", "rev_w"), "k", F.desc("rev_w"), F.asc("name"))
+    n = h.agg(F.count("*").alias("n"))  # one row
     top = F.sum(F.when(F.col("k") <= F.ceil(F.col("n") * 0.05), F.col("rev_w")))
-    return h.agg(F.round(top / F.sum("rev_w"), 3).alias("concentration"), F.count("*").alias("keys"))
+    return h.join(F.broadcast(n)).agg(F.round(top / F.sum("rev_w"), 3).alias("concentration"), F.count("*").alias("keys"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from revlens.functions.paths import normalized_name
@@ -13,7 +13,14 @@ SALTS = 8
 
 # Names and addresses of bots.
 BOTS = (
-    r"(?i)\[bot\]|dependabot|renovate|github-actions|^(ci|build|jenkins|gitlab-ci|semantic-release)(-bot)?\b|noreply@github\.com$"
+    r"(?i)\[bot\]",
+    r"(?i)dependabot",
+    r"(?i)renovate",
+    r"(?i)github-actions",
+    r"(?i)^(ci|build|jenkins|gitlab-ci|semantic-release)(-bot)?\b",
+    r"(?i)noreply@github\.com$",
+    r"(?i)noreply@anthropic\.com$",
+    r"(?i)^(claude|copilot|github copilot|cursor( agent)?|devin|codex|chatgpt|gemini|aider)\b",
 )
 
 
@@ -41,22 +48,38 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("node", "label")
 
 
-def resolve(identities: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
-    """id, person, display, bot for identities(id, name, email, commits); aliases(canonical, alias) may join more.
+def _key(name: Column) -> Column:
+    """How an address, or a name, is compared."""
+    return F.when(F.contains(name, F.lit("@")), F.concat(F.lit("e:"), F.lower(name))).otherwise(F.concat(F.lit("n:"), normalized_name(name)))
+
+
+def resolve(identities: DataFrame, aliases: DataFrame | None = None, teams: DataFrame | None = None) -> DataFrame:
+    """id, person, display, bot, team for identities(id, name, email, commits); aliases(canonical, alias) may join more, teams(team, member) name teams.
 
     Identities with one address, or one name of three letters and more, are one person. A person is a bot if any
-    of its identities is; it is displayed by the name with the most commits.
+    of its identities is; it is displayed by its canonical name, or by the name with the most commits, and is in the
+    first team, by name, that lists one of its names or addresses.
     """
     email = F.when(F.col("email").contains("@"), F.concat(F.lit("e:"), F.lower("email")))
     name = F.when(F.length(normalized_name(F.col("name"))) >= 3, F.concat(F.lit("n:"), normalized_name(F.col("name"))))
-    keys = F.array_compact(F.array(email, name))
-    links = identities.select(F.format_string("i:%020d", "id").alias("a"), F.explode(keys).alias("b"))
+    own = identities.select("id", F.format_string("i:%020d", "id").alias("a"), F.explode(F.array_compact(F.array(email, name))).alias("b"))
+    links = own.select("a", "b")
     if aliases is not None:
-        alias = F.when(F.col("alias").contains("@"), F.concat(F.lit("e:"), F.lower("alias"))).otherwise(F.concat(F.lit("n:"), normalized_name(F.col("alias"))))
-        canonical = F.concat(F.lit("n:"), normalized_name(F.col("canonical")))
-        links = links.union(aliases.select(alias.alias("a"), canonical.alias("b")))
-    person = components(links).filter(F.col("node").startswith("i:")).select(F.substring("node", 3, 20).cast("long").alias("id"), F.col("label"))
+        canonical = F.concat(F.lit("c:"), F.col("canonical"))
+        links = links.union(aliases.select(canonical.alias("a"), _key(F.col("alias")).alias("b")))
+        links = links.union(aliases.select(canonical.alias("a"), _key(F.col("canonical")).alias("b")))
+    found = components(links)
+    person = found.filter(F.col("node").startswith("i:")).select(F.substring("node", 3, 20).cast("long").alias("id"), F.col("label"))
     d = identities.join(person, "id", "left").withColumn("label", F.coalesce("label", F.format_string("i:%020d", "id")))
-    bot = F.col("name").rlike(BOTS) | F.col("email").rlike(BOTS)
-    g = d.groupBy("label").agg(F.min("id").alias("person"), F.max_by("name", F.struct("commits", -F.col("id"))).alias("display"), F.max(bot).alias("bot"))
-    return d.select("id", "label").join(g, "label").select("id", "person", "display", "bot")
+    bot = F.lit(False)
+    for pattern in BOTS:
+        bot = bot | F.coalesce(F.col("name").rlike(pattern), F.lit(False)) | F.coalesce(F.col("email").rlike(pattern), F.lit(False))
+    g = d.groupBy("label").agg(F.min("id").alias("person"), F.max_by("name", F.struct("commits", -F.col("id"))).alias("most"), F.max(bot).alias("bot"))
+    named = found.filter(F.col("node").startswith("c:")).groupBy("label").agg(F.min(F.expr("substring(node, 3)")).alias("canonical"))
+    g = g.join(named, "label", "left").withColumn("display", F.coalesce("canonical", "most"))
+    if teams is None:
+        g = g.withColumn("team", F.lit(None).cast("string"))
+    else:
+        keys = own.join(person, "id").select("label", F.col("b").alias("key")).union(g.select("label", _key(F.col("display")).alias("key"))).distinct()
+        g = g.join(keys.join(teams.select("team", _key(F.col("member")).alias("key")), "key").groupBy("label").agg(F.min("team").alias("team")), "label", "left")
+    return d.select("id", "label").join(g, "label").select("id", "person", "display", "bot", "team")

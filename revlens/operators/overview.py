@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from revlens.operators.coupling import coupling, missed_by_change
 from revlens.operators.hotspots import hotspots, sizes
 from revlens.operators.social import knowledge, ownership
 from revlens.plans.model import Model
@@ -16,8 +17,13 @@ def overview(model: Model) -> DataFrame:
     people = model.active().agg(F.count("*").alias("authors"), F.sum(F.col("active").cast("long")).alias("active_authors"))
     f = model.files.filter("alive").agg(F.count("*").alias("files"), F.count_distinct("entity").alias("entities"), F.count_distinct("unit").alias("units"), F.sum("loc").alias("loc"))
     loss = ownership(model, "repo").agg(F.round(F.avg("knowledge_loss"), 3).alias("knowledge_loss"))
+    units = ownership(model, "unit").join(sizes(model, "unit").select(F.col("unit").alias("name"), "loc"), "name")
+    alone = units.agg(F.count_if((F.col("bus_factor") == 1) & (F.col("loc") >= 1000) & (F.col("recent_authors") > 0)).alias("bus_factor_one_units"))
+    strong = (F.greatest("conf_ab", "conf_ba") >= model.params.hidden_degree) & ~F.col("test_pair")
+    across = coupling(model, "entity", "commit", cross_only=True).agg(F.count_if(strong).alias("cross_unit_pairs"))
+    repos = coupling(model, "entity", "ticket", cross_repo=True).agg(F.count_if(strong).alias("cross_repo_pairs"))
     out = c
-    for one in (tickets, people, f, loss):  # each has one row
+    for one in (tickets, people, f, loss, alone, across, repos):  # each has one row
         out = out.join(F.broadcast(one))
     return out
 
@@ -29,8 +35,30 @@ def tree_leaves(model: Model) -> DataFrame:
     return h.join(e, "entity").select("repo", "unit", "entity", "loc", "score", "health")
 
 
-def commit_timeline(model: Model, level: str, key: str, limit: int = 30) -> DataFrame:
-    rows = model.changes.filter(F.col(level) == key)
+def hotspot_tree(model: Model) -> DataFrame:
+    """path, parent, depth, loc, score: the tree of repos, units, directories and entities with code, inner nodes with the sum of loc and the largest score.
+
+    A directory with a single child is put together with it.
+    """
+    leaves = tree_leaves(model).withColumn("inside", F.when(F.col("entity").startswith(F.concat("unit", F.lit("/"))), F.expr("substring(entity, length(unit) + 2)")).otherwise(F.col("entity")))
+    parts = F.concat(F.array("repo", "unit"), F.split("inside", "/"))
+    up_to = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.slice(parts, 1, k))
+    nodes = leaves.select(F.explode(up_to).alias("parts"), "loc", "score").groupBy("parts").agg(F.sum("loc").alias("loc"), F.max("score").alias("score"))
+    parent = F.when(F.size("parts") > 1, F.expr("slice(parts, 1, size(parts) - 1)"))
+    children = nodes.filter(F.size("parts") > 1).groupBy(parent.alias("of")).agg(F.count("*").alias("n"))
+    nodes = nodes.withColumn("up", parent).join(children, F.col("parts") == F.col("of"), "left").fillna(0, ["n"])
+    kept = nodes.filter((F.col("n") != 1) | (F.size("parts") <= 2))
+    # What stands above a node and is kept: the longest of its beginnings.
+    above = kept.select(F.col("parts").alias("node"), F.explode(F.expr("transform(sequence(0, size(parts) - 1), k -> slice(parts, 1, k))")).alias("start"))
+    above = above.join(kept.select(F.col("parts").alias("start")), "start").groupBy("node").agg(F.max_by("start", F.size("start")).alias("above"))
+    kept = kept.join(above, F.col("parts") == F.col("node"), "left")
+    return kept.select(F.array_join("parts", "/").alias("path"), F.coalesce(F.array_join("above", "/"), F.lit("")).alias("parent"), F.size("parts").cast("long").alias("depth"), "loc", "score")
+
+
+def commit_timeline(model: Model, level: str, key: str | None = None, limit: int = 30) -> DataFrame:
+    """The newest commits of a key, of the first key by name unless told otherwise."""
+    one = model.files.agg(F.min(level).alias("_key")) if key is None else model.files.limit(1).select(F.lit(key).alias("_key"))
+    rows = model.changes.join(F.broadcast(one), F.col(level) == F.col("_key"))  # one row
     per = rows.groupBy("commit_id").agg(F.max("ts").alias("ts"), F.max("author").alias("author"), F.max("subject").alias("subject"), F.sum("added").alias("added"), F.sum("deleted").alias("deleted"))
     return per.orderBy(F.desc("ts"), "commit_id").limit(limit)
 
@@ -42,30 +70,78 @@ def ticket_files(model: Model) -> DataFrame:
     return rows.join(wide, "ticket", "left_semi").groupBy("ticket", "file").agg(F.sum("added").alias("added"), F.sum("deleted").alias("deleted"))
 
 
-def change_risk(model: Model) -> DataFrame:
-    """Each repo's newest commit as a change: risk from 0 to 100 and its level.
+def ticket_rollup(model: Model) -> DataFrame:
+    """ticket, commits, files, repos, authors, added, deleted, last_ts: what was done for each ticket, and by how many."""
+    rows = model.changes.select(F.explode("tickets").alias("ticket"), "commit_id", "repo", "file", "authors", "added", "deleted", "ts")
+    people = rows.select("ticket", F.explode("authors").alias("author")).distinct().groupBy("ticket").agg(F.count("*").alias("authors"))
+    rows = rows.groupBy("ticket").agg(
+        F.count_distinct("commit_id").alias("commits"), F.count_distinct("file").alias("files"), F.count_distinct("repo").alias("repos"),
+        F.sum("added").alias("added"), F.sum("deleted").alias("deleted"), F.max("ts").alias("last_ts"),
+    )
+    return rows.join(people, "ticket")
+
+
+def owners_by_loc(model: Model, level: str = "entity") -> DataFrame:
+    """author, keys, loc: people by the lines of code of which they are the main developer."""
+    loc = sizes(model, level).select(F.col(level).alias("name"), "loc")
+    owned = ownership(model, level).select("name", F.col("main_dev").alias("author")).join(loc, "name")
+    return owned.groupBy("author").agg(F.count("*").alias("keys"), F.sum("loc").alias("loc")).orderBy(F.desc("loc"), "author")
+
+
+def reviewers(model: Model, changes: DataFrame, limit: int = 3) -> DataFrame:
+    """change, reviewer, share for changes(change, commit_id): active people who know most of what is touched and are no authors of it."""
+    touched = changes.join(model.changes.select("commit_id", "file"), "commit_id").select("change", "file").distinct()
+    own = changes.join(model.commits.select("commit_id", F.explode("authors").alias("author")), "commit_id").select("change", "author").distinct()
+    k = touched.join(knowledge(model, "file"), "file").join(own, ["change", "author"], "left_anti").groupBy("change", "author").agg(F.sum("lines").alias("lines"))
+    k = k.join(model.active().filter("active").select("author"), "author", "left_semi")
+    share = F.round(F.col("lines") / F.sum("lines").over(Window.partitionBy("change")), 3)
+    first = Window.partitionBy("change").orderBy(F.desc("share"), "author")
+    return k.withColumn("share", share).withColumn("k", F.row_number().over(first)).filter(F.col("k") <= limit).select("change", F.col("author").alias("reviewer"), "share")
 
-    Counts the worst hotspot that is touched, the hotspots among the touched files, the size of the change, and whether
-    the author knows what is touched.
+
+def change_risk(model: Model, changes: DataFrame, level: str = "file", metrics: DataFrame | None = None) -> DataFrame:
+    """change, risk, level, missed for changes(change, commit_id): risk from 0 to 100 and low, medium or high.
+
+    Counts the worst hotspot that is touched, the hotspots among the touched files, keys of level that usually change
+    along and did not, the size of the change, and whether its authors know what is touched. What comes of a source
+    parser counts where metrics(change, file, cc_before, cc_after, health_before, health_after) are given: how much more
+    complex functions got, and whether health drops; a file that is new or gone has null on one side.
     """
-    newest = model.commits.groupBy("repo").agg(F.max(F.struct("ts", "commit_id")).alias("p")).select(F.col("repo").alias("of_repo"), F.col("p.commit_id").alias("commit_id"))
-    touched = model.changes.join(F.broadcast(newest), "commit_id").select("of_repo", "commit_id", "file", "author", "added", "deleted")
+    rows = changes.join(model.changes, "commit_id").select("change", "file", F.col(level).alias("key"), "alive", "authors", "added", "deleted")
+    touched = rows.groupBy("change", "file").agg(F.sum(F.col("added") + F.col("deleted")).alias("lines"), F.max("alive").alias("alive"))
+    own = rows.select("change", F.explode("authors").alias("author")).distinct()
+    k = knowledge(model, "file").withColumnRenamed("lines", "own_lines")
+    k = k.withColumn("part", F.col("own_lines") / F.sum("own_lines").over(Window.partitionBy("file")))
+    known = touched.filter("alive").join(own, "change").join(k, ["file", "author"]).groupBy("change", "file").agg(F.sum("part").alias("part")).groupBy("change").agg(F.round(F.max("part"), 6).alias("known"))
     h = hotspots(model, "file").select(F.col("name").alias("file"), "score", "revisions")
-    k = knowledge(model, "file")
-    total = k.groupBy("file").agg(F.sum("lines").alias("all_lines"))
-    t = touched.join(h, "file", "left").join(k, ["file", "author"], "left").join(total, "file", "left")
-    g = t.groupBy("of_repo", "commit_id").agg(
+    g = touched.join(h, "file", "left").groupBy("change").agg(
         F.coalesce(F.max("score"), F.lit(0.0)).alias("worst"),
-        F.count_distinct(F.when(F.col("score") >= 0.5, F.col("file"))).alias("hot"),
-        F.sum(F.col("added") + F.col("deleted")).alias("lines"),
-        F.max(F.coalesce(F.round(F.col("lines") / F.col("all_lines"), 6), F.lit(0.0))).alias("known"),
+        F.count_if(F.col("score") >= 0.5).alias("hot"),
+        F.sum("lines").alias("lines"),
         F.max(F.coalesce("revisions", F.lit(0))).alias("busiest"),
     )
+    missed = missed_by_change(model, rows.select("change", "key"), level).groupBy("change").agg(F.count_if(F.col("kind") != "test").alias("missed"), F.count_if(F.col("kind") == "test").alias("missed_tests"))
+    g = g.join(known, "change", "left").join(missed, "change", "left").fillna(0, ["known", "missed", "missed_tests"])
     size = F.when(F.col("lines") > 1500, 15).when(F.col("lines") > 500, 10).otherwise(0)
     new = F.when((F.col("known") < 0.1) & (F.col("busiest") >= 5), 10).otherwise(0)
-    risk = F.round(F.least(F.lit(100.0), 40 * F.col("worst") + F.least(5 * F.col("hot"), F.lit(15)) + size + new)).cast("long")
-    g = g.withColumn("risk", risk)
-    return g.select(F.col("of_repo").alias("repo"), "commit_id", "risk", F.when(F.col("risk") < 30, "low").when(F.col("risk") < 60, "medium").otherwise("high").alias("level"))
+    risk = 40 * F.col("worst") + F.least(5 * F.col("hot"), F.lit(15)) + F.least(7 * F.col("missed") + 3 * F.col("missed_tests"), F.lit(20)) + size + new
+    if metrics is not None:
+        rise = F.greatest(F.coalesce("cc_after", F.lit(0)) - F.coalesce("cc_before", F.lit(0)), F.lit(0))
+        m = metrics.groupBy("change").agg(F.sum(rise).alias("rise"), F.max(F.coalesce(F.col("health_after") + 0.5 <= F.col("health_before"), F.lit(False))).alias("drops"))
+        g = g.join(m, "change", "left").fillna(0, ["rise"]).fillna(False, ["drops"])
+        risk = risk + F.least("rise", F.lit(15)) + F.when(F.col("drops"), 5).otherwise(0)
+    g = g.withColumn("risk", F.round(F.least(F.lit(100.0), risk)).cast("long"))
+    return g.select("change", "risk", F.when(F.col("risk") < 30, "low").when(F.col("risk") < 60, "medium").otherwise("high").alias("level"), (F.col("missed") + F.col("missed_tests")).alias("missed"))
+
+
+def newest_commits(model: Model) -> DataFrame:
+    """(change, commit_id): each repo's newest commit as a change."""
+    return model.commits.groupBy("repo").agg(F.max(F.struct("ts", "commit_id")).alias("p")).select(F.col("repo").alias("change"), F.col("p.commit_id").alias("commit_id"))
+
+
+def ticket_changes(model: Model) -> DataFrame:
+    """(change, commit_id): each ticket's commits as a change."""
+    return model.commits.select(F.explode("tickets").alias("change"), "commit_id").distinct()
 
 
 def size_rollup(model: Model) -> DataFrame:

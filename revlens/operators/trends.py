@@ -57,14 +57,15 @@ def innermost(lines: DataFrame, ranges: DataFrame) -> DataFrame:
 
 
 def function_hotspots(changes: DataFrame, functions: DataFrame, half_life_days: float = 180.0) -> DataFrame:
-    """file, fn, revisions, rev_w, churn, defects, cc, score for changes(file, fn, commit_id, ts, now, added, deleted, defect, weight)."""
+    """file, fn, revisions, rev_w, churn, defects, authors, last_ts, cc, score for changes(file, fn, commit_id, ts, now, added, deleted, defect, weight, authors)."""
     w = F.col("weight") * decay(F.col("now") - F.col("ts"), half_life_days)
-    per = changes.groupBy("file", "fn", "commit_id").agg(F.max(w).alias("w"), F.sum(F.col("added") + F.col("deleted")).alias("churn"), F.max("defect").alias("defect"))
-    h = per.groupBy("file", "fn").agg(F.count("*").alias("revisions"), F.sum("w").alias("rev_w"), F.sum("churn").alias("churn"), F.sum(F.col("defect").cast("long")).alias("defects"))
-    h = h.join(functions, ["file", "fn"])
+    per = changes.groupBy("file", "fn", "commit_id").agg(F.max(w).alias("w"), F.sum(F.col("added") + F.col("deleted")).alias("churn"), F.max("defect").alias("defect"), F.max("ts").alias("ts"))
+    people = changes.select("file", "fn", F.explode("authors").alias("author")).distinct().groupBy("file", "fn").agg(F.count("*").alias("authors"))
+    h = per.groupBy("file", "fn").agg(F.count("*").alias("revisions"), F.sum("w").alias("rev_w"), F.sum("churn").alias("churn"), F.sum(F.col("defect").cast("long")).alias("defects"), F.max("ts").alias("last_ts"))
+    h = h.join(functions, ["file", "fn"]).join(people, ["file", "fn"], "left").fillna(0, ["authors"])
     top = F.max("rev_w").over(Window.partitionBy("file"))
     freq = F.when(top > 0, F.log(1 + F.col("rev_w")) / F.log(1 + top)).otherwise(0.0)
-    return h.select("file", "fn", "revisions", F.round("rev_w", 4).alias("rev_w"), "churn", "defects", "cc", F.round(freq * (0.4 + 0.6 * F.least(F.col("cc") / 15, F.lit(1.0))), 3).alias("score"))
+    return h.select("file", "fn", "revisions", F.round("rev_w", 4).alias("rev_w"), "churn", "defects", "authors", "last_ts", "cc", F.round(freq * (0.4 + 0.6 * F.least(F.col("cc") / 15, F.lit(1.0))), 3).alias("score"))
 
 
 def function_coupling(changes: DataFrame, min_support: int = 3, min_confidence: float = 0.5, top: int = 20) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from revlens.functions.numeric import DAY
+from revlens.plans.staging import stage
 
 # What subjects and messages are matched with.
 TICKET = r"\b[A-Z][A-Z0-9]+-\d+\b"
@@ -37,6 +38,15 @@ class Params:
     session_hours: float = 4.0
     trend_samples: int = 12
     format_min_changes: int = 10
+    recent_days: int = 180
+    hidden_degree: float = 0.5
+    shotgun_average: float = 5.0
+    graph_confidence: float = 0.1
+    missed_confidence: float = 0.6
+    defect_density: float = 0.4
+    defect_ratio: float = 1.5
+    bus_people: int = 1
+    bus_share: float = 0.6
 
 
 @dataclass(frozen=True)
@@ -78,12 +88,16 @@ class Model:
         return rolled.join(self.authors, "author", "left").join(F.broadcast(now)).withColumn("active", active).drop("now")
 
 
-def build(raw_commits: DataFrame, raw_changes: DataFrame, files: DataFrame, authors: DataFrame, bots: DataFrame, params: Params) -> Model:
+def build(raw_commits: DataFrame, raw_changes: DataFrame, files: DataFrame, authors: DataFrame, bots: DataFrame, params: Params, staged: bool = False) -> Model:
     """Clean raw commits(commit_id, repo, ts, author, coauthors, message) and changes(commit_id, file, added, deleted).
 
     Commits by bots go, bot co-authors are taken off; commits without an analyzable change go. The newest commit that
-    is left is the reference time. Files are expected without excluded, generated and binary ones.
+    is left is the reference time. Files are expected without excluded, generated and binary ones, as clean_files() gives
+    them. If staged, each table of the model is written once to the shared folder: what is asked of it later neither
+    cleans nor joins again.
     """
+    save = stage if staged else lambda d, name: d
+    files, raw_changes = save(files, "model-files"), save(raw_changes, "raw-changes")
     counts = raw_changes.join(files.select("file"), "file", "left_semi").groupBy("commit_id").agg(F.count("*").alias("n_changes"))
     c = raw_commits.join(bots.select(F.col("author")), "author", "left_anti").join(counts, "commit_id")
     co = c.select("commit_id", F.explode("coauthors").alias("author")).join(bots, "author", "left_anti").groupBy("commit_id").agg(F.sort_array(F.collect_list("author")).alias("humans"))
@@ -94,11 +108,10 @@ def build(raw_commits: DataFrame, raw_changes: DataFrame, files: DataFrame, auth
     c = c.withColumn("format", (F.col("subject").rlike(FORMAT) & (F.col("n_changes") >= params.format_min_changes)) | F.col("subject").rlike(RELEASE))
     c = c.withColumn("mega", F.col("n_changes") > params.max_commit_files)
     c = c.withColumn("weight", F.when(F.col("format"), 0.0).when(F.col("mega"), 0.25).otherwise(1.0)).withColumn("couples", ~F.col("mega") & ~F.col("format"))
-    c = c.withColumn("authors", F.concat(F.array("author"), "coauthors"))
-    now = c.agg(F.max("ts").alias("now"))
-    c = c.join(F.broadcast(now))  # one row
+    c = save(c.withColumn("authors", F.concat(F.array("author"), "coauthors")), "model-commits")
+    c = c.join(F.broadcast(c.agg(F.max("ts").alias("now"))))  # one row
     changes = raw_changes.join(files, "file").join(c.drop("repo", "message"), "commit_id")
-    return Model(c, files, changes, authors, params)
+    return Model(c, files, save(changes, "model-changes"), save(authors, "model-authors"), params)
 
 
 def author_rollup(model: Model) -> DataFrame:

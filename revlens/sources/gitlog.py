@@ -10,6 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from revlens.functions.text import unquoted
+
+# The fields of a record, and the arguments that a log is made with.
 LOG_FORMAT = "%x1e%H%x1f%aN%x1f%aE%x1f%at%x1f%B%x1f"
 MESSAGE_CHARS = 4000
 
@@ -24,19 +27,26 @@ def dump_log(repo: str, out: str, revisions: str = "HEAD", since: str | None = N
 
 
 def read_log(spark: SparkSession, path: str, repo: str) -> DataFrame:
-    """One row for each commit: repo, seq, sha, author_name, author_email, ts, message, coauthors, lines."""
-    records = spark.read.option("lineSep", "\x1e").text(path).filter(F.length(F.trim("value")) > 0)
+    """One row for each commit: repo, seq, sha, author_name, author_email, ts, message, coauthors, lines.
+
+    seq follows the order of the records in the log: where a record's part of the file begins, and its place in it.
+    Records without a hash are skipped, a time that is no number is null. Of a log in several files each has its own
+    order, so that a repository's log is one file.
+    """
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    records = spark.read.option("lineSep", "\x1e").text(path).select("value", (F.col("_metadata.file_block_start") + place).alias("seq")).filter(F.length(F.trim("value")) > 0)
     fields = F.split("value", "\x1f", 6)
     p = [F.get(fields, k) for k in range(6)]  # what stands before the first record has no fields
     trailers = F.regexp_extract_all(p[4], F.lit(r"(?im)^\s*co-authored-by:\s*(.+?)\s*$"), F.lit(1))
     coauthors = F.transform(trailers, lambda t: F.struct(F.trim(F.regexp_extract(t, r"^(.*?)\s*<", 1)).alias("name"), F.regexp_extract(t, r"<([^>]*)>", 1).alias("email")))
     d = records.select(
         F.lit(repo).alias("repo"),
+        "seq",
         p[0].alias("sha"),
         p[1].alias("author_name"),
         p[2].alias("author_email"),
         p[3].try_cast("long").alias("ts"),
-        F.substring(F.trim(p[4]), 1, MESSAGE_CHARS).alias("message"),
+        F.substring(F.regexp_replace(p[4], r"^\s+|\s+$", ""), 1, MESSAGE_CHARS).alias("message"),
         coauthors.alias("coauthors"),
         F.filter(F.split(p[5], "\n"), lambda x: F.trim(x) != "").alias("lines"),
     )
@@ -59,7 +69,7 @@ def log_changes(log: DataFrame) -> DataFrame:
     row = log.select("repo", "sha", "ts", F.posexplode("lines").alias("pos", "line")).filter(F.col("line").rlike(r"^(\d+|-)\t(\d+|-)\t"))
     p = F.split("line", "\t", 3)
     n = lambda k: F.when(p[k].rlike(r"^\d+$"), p[k].cast("long")).otherwise(0)
-    return row.select("repo", "sha", "ts", "pos", new_path(p[2]).alias("path"), old_path(p[2]).alias("old_path"), n(0).alias("added"), n(1).alias("deleted"))
+    return row.select("repo", "sha", "ts", "pos", new_path(unquoted(p[2])).alias("path"), old_path(unquoted(p[2])).alias("old_path"), n(0).alias("added"), n(1).alias("deleted"))
 
 
 def follow_renames(changes: DataFrame, order: DataFrame) -> DataFrame:
@@ -86,16 +96,24 @@ def follow_renames(changes: DataFrame, order: DataFrame) -> DataFrame:
     return d.mapInPandas(fold, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in d.schema) + ", file_id string")
 
 
-def append_new(spark: SparkSession, rows: DataFrame, path: str, keys: list[str]) -> int:
-    """Append the rows whose keys are not in the table at path yet; the number appended."""
-    try:
+def append_new(spark: SparkSession, rows: DataFrame, path: str, keys: list[str]) -> DataFrame:
+    """Append the rows whose keys the table at path has not yet, each key once; the table as it is then.
+
+    The table is partitioned by repo. What is new is found by its keys, so that a job that died on the way can be
+    repeated: rows that it wrote are there, others are appended.
+    """
+    rows = rows.dropDuplicates(keys)
+    if exists(spark, path):
         rows = rows.join(spark.read.parquet(path).select(*keys), keys, "left_anti")
-    except Exception as error:
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-    rows = rows.persist()
-    n = rows.count()
-    if n:
-        rows.write.mode("append").partitionBy("repo").parquet(path)
-    rows.unpersist()
-    return n
+    rows.write.mode("append").partitionBy("repo").parquet(path)
+    return spark.read.parquet(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def replace_repos(rows: DataFrame, path: str) -> None:
+    """Write rows in place of what the table at path has of their repositories; others stay."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repo").parquet(path)

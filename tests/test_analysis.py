@@ -1,58 +1,143 @@
 import pytest
 from pyspark.sql import functions as F
 
+from revlens.operators import coupling as cp
+from revlens.operators import findings as fd
+from revlens.operators import overview as ov
 from revlens.operators.coupling import anchored_sessions, coupling
 from revlens.operators.hotspots import hotspots
 from revlens.operators.identity import resolve
 from revlens.operators.social import ownership
 from revlens.operators.trends import classify, innermost
-from revlens.plans.model import Params, build
-from revlens.sources.gitlog import append_new, dump_log, follow_renames, log_changes, read_log
-
-NOW, DAY = 1_750_000_000, 86_400
-
-
-def world(spark, params=Params(min_lift=1.0)):
-    """Two repos: alice and carl change cart and pricing together, bob's legacy file is old; one bot, one mega commit."""
-    commits, changes = [], []
-
-    def commit(cid, repo, author, days, message, files, co=()):
-        commits.append((cid, repo, NOW - int(days * DAY), author, list(co), message))
-        changes.extend((cid, f, 10, 2) for f in files)
-
-    for i in range(6):
-        commit(f"l{i}", "shop", 2, 590 - 20 * i, "tweak legacy", ["legacy.ts"])
-    for i in range(14):
-        commit(f"c{i}", "shop", 1 if i % 3 else 3, 200 - 10 * i, f"SHOP-{100 + i} {'feat' if i % 3 else 'fix'}", ["cart.ts", "pricing.ts"] if i % 7 != 6 else ["cart.ts"])
-        if i % 2 == 0:
-            commit(f"a{i}", "api", 3, 199.5 - 10 * i, f"SHOP-{100 + i} api", ["CartController.php"])
-    commit("mega", "shop", 3, 15, "move everything", [f"gen{i}.ts" for i in range(70)])
-    commit("bot", "shop", 9, 10, "bump x", ["cart.ts"])
-    names = [("legacy.ts", "shop"), ("cart.ts", "shop"), ("pricing.ts", "shop"), ("CartController.php", "api"), *[(f"gen{i}.ts", "shop") for i in range(70)]]
-    rows = [(f, f.split(".")[0], "unit-" + f.split(".")[0][:3], r, True, False, "typescript", 1.0, 100, 50.0 if f == "cart.ts" else 5.0, 8.0) for f, r in names]
-    files = spark.createDataFrame(rows, "file string, entity string, unit string, repo string, alive boolean, test boolean, lang string, lang_weight double, loc long, complexity double, health double")
-    c = spark.createDataFrame(commits, "commit_id string, repo string, ts long, author long, coauthors array<bigint>, message string")
-    ch = spark.createDataFrame(changes, "commit_id string, file string, added long, deleted long")
-    authors = spark.createDataFrame([(1, "payments"), (2, "old"), (3, "payments")], "author long, team string")
-    return build(c, ch, files, authors, spark.createDataFrame([(9,)], "author long"), params)
-
-
-def test_world(spark):
-    m = world(spark)
-    flags = {r["commit_id"]: r for r in m.commits.collect()}
-    assert "bot" not in flags and flags["mega"]["mega"] and not flags["mega"]["couples"]
-    h = {r["name"]: r for r in hotspots(m, "entity").collect()}
-    assert h["cart"]["rank"] == 1 and h["cart"]["revisions"] == 14 and h["cart"]["defects"] == 5
-    pairs = {(r["a"], r["b"]): r for r in coupling(m, "entity").collect()}
-    assert pairs["cart", "pricing"]["support"] == 12 and pairs["cart", "pricing"]["cross_unit"]
-    assert any(r["cross_repo"] and "CartController" in (r["a"], r["b"]) for r in coupling(m, "entity", "ticket").collect())
-    o = {r["name"]: r for r in ownership(m, "entity").collect()}
-    assert o["legacy"]["knowledge_loss"] == 1 and o["legacy"]["main_dev"] == 2 and o["legacy"]["bus_factor"] == 1
+from revlens.plans.model import Params, Scope, build
+
+NOW, DAY = 1_700_000_000, 86_400
+FILES = "file string, entity string, unit string, repo string, alive boolean, test boolean, lang string, lang_weight double, loc long, complexity double, health double"
+COMMITS = "commit_id string, repo string, ts long, author long, coauthors array<bigint>, message string"
+
+
+def make(spark, commits, files, params, bots=(), staged=False):
+    """commits: (id, repo, days ago, author, message, files); files: (file, repo, complexity, test, lang)."""
+    rows = [(i, r, NOW - int(d * DAY), a, [], m) for i, r, d, a, m, _ in commits]
+    changes = [(i, f, 6, 1) for i, _, _, _, _, fs in commits for f in fs]
+    about = [(f, f.rsplit(".", 1)[0].removesuffix(".spec"), f"{r}/{f[:2]}", r, True, t, lang, 1.0, 50, float(x), 6.0) for f, r, x, t, lang in files]
+    people = sorted({a for _, _, _, a, _, _ in commits})
+    return build(
+        spark.createDataFrame(rows, COMMITS), spark.createDataFrame(changes, "commit_id string, file string, added long, deleted long"), spark.createDataFrame(about, FILES),
+        spark.createDataFrame([(a, f"team{a % 2}") for a in people], "author long, team string"), spark.createDataFrame([(b,) for b in bots], "author long"), params, staged,
+    )
+
+
+@pytest.fixture(scope="module")
+def bakery(spark):
+    """The oven's dough and yeast change together eight times, the till's receipt follows in six tickets, the cellar is an old hand's own."""
+    commits = [(f"d{i}", "oven", 8 * i, 10, f"BAKE-{i} {'fix' if i % 2 else 'add'} rising", ["dough.ts", "yeast.ts"]) for i in range(1, 9)]
+    commits += [(f"e{i}", "oven", 70 + i, 11, "knead longer", ["dough.ts"]) for i in range(2)]
+    commits += [(f"r{i}", "till", 8 * i - 0.1, 20, f"BAKE-{i} print it", ["receipt.php"]) for i in range(1, 7)]
+    commits += [(f"c{i}", "oven", 900 - i, 30, "shelves", ["cellar.ts"]) for i in range(5)]
+    commits += [(f"t{i}", "oven", 8 * i + 0.5, 10, "check rising", ["dough.ts", "dough.spec.ts", "oven.json"]) for i in range(1, 7)]
+    commits += [("big", "oven", 5, 11, "move all", [f"x{k}.ts" for k in range(11)]), ("rel", "oven", 4, 11, "chore: release 2.0", ["dough.ts"]), ("bot", "oven", 0, 99, "bump", ["dough.ts"])]
+    files = [("dough.ts", "oven", 40, False, "typescript"), ("yeast.ts", "oven", 9, False, "typescript"), ("receipt.php", "till", 12, False, "php"), ("cellar.ts", "oven", 3, False, "typescript")]
+    files += [("dough.spec.ts", "oven", 2, True, "typescript"), ("oven.json", "oven", 1, False, "data")] + [(f"x{k}.ts", "oven", 1, False, "typescript") for k in range(11)]
+    return make(spark, commits, files, Params(max_commit_files=10, min_lift=1.0, shotgun_average=0.5), bots=[99], staged=True)
+
+
+def test_commits_are_classified(bakery):
+    c = {r["commit_id"]: r for r in bakery.commits.collect()}
+    assert "bot" not in c and c["big"]["mega"] and not c["big"]["couples"] and c["rel"]["format"] and c["rel"]["weight"] == 0
+    assert c["d1"]["defect"] and not c["d2"]["defect"] and c["d3"]["tickets"] == ["BAKE-3"] and {r["now"] for r in c.values()} == {NOW - 4 * DAY}
+
+
+def test_hotspots_and_owners(bakery):
+    h = {r["name"]: r for r in hotspots(bakery, "entity").collect()}
+    # Eight with yeast, two alone, six with the test, one release.
+    assert h["dough"]["rank"] == 1 and h["dough"]["revisions"] == 17 and h["dough"]["defects"] == 4 and h["cellar"]["age_days"] == 892
+    assert sorted(r["rank"] for r in h.values()) == list(range(1, len(h) + 1))
+    assert {r["name"] for r in hotspots(bakery, "entity", Scope(repo="till")).collect()} == {"receipt"}
+    assert {r["name"]: r["revisions"] for r in hotspots(bakery, "file", Scope(path="./yeast", days=20)).collect()} == {"yeast.ts": 3}  # before the newest commit, four days ago
+    o = {r["name"]: r for r in ownership(bakery, "entity").collect()}
+    assert (o["cellar"]["main_dev"], o["cellar"]["knowledge_loss"], o["cellar"]["bus_factor"]) == (30, 1, 1) and o["yeast"]["main_dev"] == 10
+
+
+def test_pairs_and_their_flags(bakery):
+    pairs = lambda **k: {(r["a"], r["b"]): r for r in coupling(bakery, "file", **k).collect()}
+    assert {k: r["support"] for k, r in pairs().items()} == {("dough.ts", "yeast.ts"): 8}
+    every = pairs(include_tests=True, include_config=True, include_expected=True)
+    spec = every["dough.spec.ts", "dough.ts"]
+    assert spec["support"] == 6 and spec["test_pair"] and spec["same_entity"] and every["dough.ts", "oven.json"]["involves_config"]
+    assert not every["dough.spec.ts", "oven.json"]["test_pair"]
+    assert {k for k, r in pairs(by="ticket").items() if r["cross_repo"]} == {("dough.ts", "receipt.php"), ("receipt.php", "yeast.ts")}
+    assert coupling(bakery, "file", scope=Scope(repo="till")).count() == 0 and coupling(bakery, "file", "ticket", scope=Scope(repo="till")).count() == 2
+
+
+def test_partners_and_missed_changes(spark, bakery):
+    assert [(r["name"], r["confidence"], r["by"]) for r in cp.partners(bakery, "yeast.ts", "file").collect()] == [("dough.ts", 1.0, "commit"), ("receipt.php", 0.75, "ticket")]
+    touched = spark.createDataFrame([("dough.spec.ts",), ("yeast.ts",)], "key string")
+    got = [(r["target"], r["source"], r["kind"]) for r in cp.missed_changes(bakery, touched).collect()]
+    assert got == [("dough.ts", "yeast.ts", "coupled"), ("receipt.php", "yeast.ts", "cross-repo")]
+    assert [(r["target"], r["kind"]) for r in cp.missed_changes(bakery, spark.createDataFrame([("dough.spec.ts",)], "key string")).collect()] == [("dough.ts", "test")]
+
+
+def test_every_rule_finds_something(spark):
+    """Twelve entities in a tangle that one person of a small unit keeps, with many people on one of them, and old ones that nobody knows."""
+    commits = []
+    for i in range(24):
+        commits.append((f"a{i}", "r", 3 * i, 1, f"AB-{i} fix it" if i % 4 else f"AB-{i} more", ["hub.ts", "s1.ts", "s2.ts"]))
+        commits.append((f"b{i}", "q", 3 * i + 0.1, 1, f"AB-{i} too", ["far.ts"]))
+    commits += [(f"m{i}", "r", 2 + i, 100 + i, "tidy", ["crowd.ts"]) for i in range(9)]
+    commits += [(f"o{i}", "r", 1500 + i, 50, "old", ["lost.ts"]) for i in range(30)] + [(f"p{i}", "r", 5 + i, 1, "fix again", ["buggy.ts"]) for i in range(6)] + [(f"z{i}", "r", 200 + i, 1, "calm", ["calm.ts"]) for i in range(40)]
+    files = [("hub.ts", "r", 90, False, "typescript"), ("s1.ts", "r", 60, False, "typescript"), ("s2.ts", "r", 50, False, "typescript"), ("far.ts", "q", 40, False, "typescript")]
+    files += [("crowd.ts", "r", 30, False, "typescript"), ("lost.ts", "r", 95, False, "typescript"), ("buggy.ts", "r", 20, False, "typescript"), ("calm.ts", "r", 10, False, "typescript")]
+    m = make(spark, commits, files, Params(half_life_days=1000, min_lift=0.1, shotgun_average=2.0))
+    m = m.__class__(m.commits, m.files.withColumn("loc", F.lit(1200)).withColumn("loc", F.col("loc").cast("long")), m.changes, m.authors, m.params)
+    trends = spark.createDataFrame([("hub", "deteriorating")], "name string, direction string")
+    functions = spark.createDataFrame([("hub.ts", "f", 22, 9, 0.8), ("hub.ts", "g", 30, 5, 0.5), ("hub.ts", "h", 31, 5, 0.45), ("s1.ts", "k", 15, 9, 0.9)], "file string, fn string, cc int, revisions int, score double")
+    parts = spark.createDataFrame([("s1", 9, 11, 3), ("s2", 1, 1, 1)], "name string, deps int, inputs int, template_complexity int")
+    got = [r.asDict() for r in fd.findings(m, trends, functions, parts).collect()]
+    by = {}
+    for r in got:
+        by.setdefault(r["kind"], []).append(r["subject"])
+    assert set(by) == set(fd.LABELS) and all(r["label"] for r in got)
+    assert by["deteriorating_hotspot"] == ["hub"] and "hub" not in by["hotspot"] and sorted(by["xray_hotspot"]) == ["hub.ts f", "hub.ts g"]
+    assert by["bloated_component"] == ["s1"] and by["knowledge_loss"] == ["lost"] and by["coordination"] == ["crowd"] and "buggy" in by["defect_magnet"]
+    assert [r["id"] for r in sorted(got, key=lambda r: (-r["severity"], r["kind"], r["subject"]))] == [f"F{k:03d}" for k in range(1, len(got) + 1)]
+    # Each of the four is in three pairs: the first by name is the hub. A pair by ticket is no surer than those by commit, in one repo.
+    (c,) = fd.coupling_clusters(fd.Facts(m)).collect()
+    assert (c["hub"], c["members"], c["degree"], c["support"], c["cross_repo"]) == ("far", 3, 1.0, 24, False)
+    (f,) = [r for r in got if r["kind"] == "hidden_coupling"]
+    assert f["severity"] == 35 + 45 + 2
+
+
+def test_thresholds_by_default():
+    p = Params()
+    assert (p.hidden_degree, p.shotgun_average, p.graph_confidence, p.missed_confidence) == (0.5, 5.0, 0.1, 0.6)
+
+
+def test_risk_of_a_change(spark, bakery):
+    """A newcomer changes yeast alone: dough is missed, and so is the receipt; then the same with what a parser found."""
+    c = spark.createDataFrame([("one", "d1"), ("two", "e0"), ("two", "e1")], "change string, commit_id string")
+    h = {r["name"]: r["score"] for r in hotspots(bakery, "file").collect()}
+    got = {r["change"]: r for r in ov.change_risk(bakery, c).collect()}
+    # One: dough and yeast, by their main author; receipt, by ticket, and the test of dough are missed.
+    hot = sum(x >= 0.5 for x in (h["dough.ts"], h["yeast.ts"]))
+    assert got["one"]["missed"] == 1 and got["one"]["risk"] == round(40 * max(h["dough.ts"], h["yeast.ts"]) + 5 * hot + 7)
+    metrics = spark.createDataFrame([("one", "dough.ts", 3, 9, 8.0, 7.5), ("one", "yeast.ts", 9, 2, 5.0, 5.0), ("one", "new.ts", None, 2, None, 9.0)], "change string, file string, cc_before int, cc_after int, health_before double, health_after double")
+    assert ov.change_risk(bakery, c, metrics=metrics).filter("change = \'one\'").first()["risk"] == min(100, got["one"]["risk"] + 8 + 5)
+    assert {(r["change"], r["reviewer"]) for r in ov.reviewers(bakery, c).collect()} == {("one", 11), ("two", 10)}
+
+
+def test_overview_and_tree(bakery):
+    o = ov.overview(bakery).first()
+    assert (o["tickets"], o["authors"], o["active_authors"], o["cross_unit_pairs"], o["cross_repo_pairs"]) == (8, 4, 3, 1, 2)
+    t = {r["path"]: r for r in ov.hotspot_tree(bakery).collect()}
+    assert t["oven"]["parent"] == "" and t["oven"]["depth"] == 1 and t["oven"]["loc"] == sum(r["loc"] for p, r in t.items() if r["parent"] == "oven")
+    assert t["till"]["loc"] == 50 and all(r["parent"] in t for r in t.values() if r["depth"] > 1)
+    assert {r["ticket"]: (r["commits"], r["repos"], r["authors"]) for r in ov.ticket_rollup(bakery).collect()}["BAKE-2"] == (2, 2, 2)
 
 
 def test_sessions_hang_on_their_first_row(spark):
-    e = spark.createDataFrame([(1, h * 3600, h) for h in (0, 3, 5, 8, 10)], "author long, ts long, id long")
-    assert sorted((r["ts"] // 3600, r["anchor"] // 3600) for r in anchored_sessions(e, 4 * 3600).collect()) == [(0, 0), (3, 0), (5, 5), (8, 5), (10, 10)]
+    e = spark.createDataFrame([(7, m * 60, m) for m in (0, 50, 61, 100, 121, 125)], "author long, ts long, id long")
+    assert sorted((r["id"], r["anchor"] // 60) for r in anchored_sessions(e, 3600).collect()) == [(0, 0), (50, 0), (61, 61), (100, 61), (121, 61), (125, 125)]
 
 
 def test_sessions_of_one_busy_author(spark):
@@ -73,24 +158,13 @@ def test_sessions_of_one_busy_author(spark):
 
 
 def test_commits_without_tickets_couple_by_session(spark):
-    """Six times alice changes the shop and an hour later the api; bob changes each once, days apart."""
-    commits, changes = [], []
-    for i in range(6):
-        for hour, repo, f in ((0, "shop", "cart.ts"), (1, "api", "Cart.php")):
-            commits.append((f"{repo}{i}", repo, NOW - (20 - i) * DAY + hour * 3600, 1, [], "tweak"))
-            changes.append((f"{repo}{i}", f, 1, 1))
-    for i, (repo, f) in enumerate((("shop", "cart.ts"), ("api", "Cart.php"), ("shop", "other.ts"))):
-        commits.append((f"b{i}", repo, NOW - 5 * DAY + i * DAY, 2, [], "SHOP-1 tweak" if i == 2 else "tweak"))
-        changes.append((f"b{i}", f, 1, 1))
-    rows = [(f, f, r, r, True, False, "php", 1.0, 9, 5.0, 8.0) for f, r in (("cart.ts", "shop"), ("Cart.php", "api"), ("other.ts", "shop"))]
-    files = spark.createDataFrame(rows, "file string, entity string, unit string, repo string, alive boolean, test boolean, lang string, lang_weight double, loc long, complexity double, health double")
-    c = spark.createDataFrame(commits, "commit_id string, repo string, ts long, author long, coauthors array<bigint>, message string")
-    ch = spark.createDataFrame(changes, "commit_id string, file string, added long, deleted long")
-    authors = spark.createDataFrame([(1, "a"), (2, "b")], "author long, team string")
-    m = build(c, ch, files, authors, spark.createDataFrame([(9,)], "author long"), Params(min_lift=1.0))
+    """Six mornings one baker changes the oven and an hour later the till; another changes each once, days apart."""
+    commits = [(f"{r}{i}", r, 20 - i - hour / 24, 1, "tweak", [f]) for i in range(6) for hour, r, f in ((0, "oven", "heat.ts"), (1, "till", "Sum.php"))]
+    commits += [(f"b{i}", r, 5 - i, 2, "OV-1 tweak" if i == 2 else "tweak", [f]) for i, (r, f) in enumerate((("oven", "heat.ts"), ("till", "Sum.php"), ("oven", "lamp.ts")))]
+    m = make(spark, commits, [(f, r, 5, False, "php") for f, r in (("heat.ts", "oven"), ("Sum.php", "till"), ("lamp.ts", "oven"))], Params(min_lift=1.0))
     for by in ("ticket", "session"):
         (r,) = coupling(m, "file", by).collect()
-        assert (r["a"], r["b"], r["support"], r["n_a"], r["n_b"], r["cross_repo"]) == ("Cart.php", "cart.ts", 6, 7, 7, True)
+        assert (r["a"], r["b"], r["support"], r["n_a"], r["n_b"], r["cross_repo"]) == ("Sum.php", "heat.ts", 6, 7, 7, True)
         assert r["lift"] == round(6 * 9 / 49, 3)  # 6 sessions, 2 single commits, and the ticket
     assert coupling(m, "file", "commit").count() == 0
     with pytest.raises(ValueError, match="by is one of"):
@@ -98,34 +172,27 @@ def test_commits_without_tickets_couple_by_session(spark):
 
 
 def test_identities(spark):
-    rows = [(1, "Alice Müller", "alice@x.io", 5), (2, "alice muller", "am@y.io", 9), (3, "A. M.", "AM@y.io", 1), (4, "Bob", "bob@x.io", 2), (5, "dependabot[bot]", "d@x.io", 3)]
-    got = {r["id"]: r for r in resolve(spark.createDataFrame(rows, "id long, name string, email string, commits int")).collect()}
-    assert got[1]["person"] == got[2]["person"] == got[3]["person"] == 1 and got[4]["person"] == 4
-    assert got[3]["display"] == "alice muller" and got[5]["bot"] and not got[4]["bot"]
+    rows = [(4, "Zoé Fournier", "zoe@home.org", 3), (7, "zoe fournier", "zf@work.org", 8), (8, "ZF", "ZF@work.org", 1), (9, "Yu", "yu@work.org", 2), (10, "Yu", "yu@play.org", 2), (11, "renovate", "r@x.org", 5), (12, "Marta K", "mk@work.org", 2)]
+    aliases = spark.createDataFrame([("Marta Kowalska", "mk@work.org"), ("Marta Kowalska", "Zoe Fournier")], "canonical string, alias string")
+    teams = spark.createDataFrame([("bread", "ZF@WORK.org"), ("cake", "yu@play.org")], "team string, member string")
+    i = spark.createDataFrame(rows, "id long, name string, email string, commits int")
+    got = {r["id"]: r for r in resolve(i).collect()}
+    # Names of two letters join nobody.
+    assert got[4]["person"] == got[7]["person"] == got[8]["person"] == 4 and got[9]["person"] == 9 and got[10]["person"] == 10
+    assert got[8]["display"] == "zoe fournier" and got[11]["bot"] and not got[9]["bot"] and got[4]["team"] is None
+    got = {r["id"]: r for r in resolve(i, aliases, teams).collect()}
+    assert got[12]["person"] == got[4]["person"] == 4 and got[7]["display"] == "Marta Kowalska" and (got[12]["team"], got[10]["team"], got[9]["team"]) == ("bread", "cake", None)
+    assert resolve(i.limit(0)).count() == 0
 
 
 def test_trends(spark):
-    series = {"up": [10, 12, 30], "flat": [20, 21, 20], "down": [50, 30, 20], "short": [1, 2]}
-    rows = [(f, NOW - (len(v) - i) * 30 * DAY, i, float(x)) for f, v in series.items() for i, x in enumerate(v)]
+    series = {"up": [31, 33, 50], "flat": [7, 9, 8], "down": [60, 40, 41], "short": [1, 90], "small": [4, 5, 8]}
+    rows = [(f, NOW - (len(v) - i) * 50 * DAY, i, float(x)) for f, v in series.items() for i, x in enumerate(v)]
     got = {r["file"]: r for r in classify(spark.createDataFrame(rows, "file string, ts long, seq long, complexity double"), spark.createDataFrame([(NOW,)], "now long")).collect()}
-    assert {f: r["direction"] for f, r in got.items()} == {"up": "deteriorating", "flat": "stable", "down": "improving"} and got["down"]["refactored"]
+    assert {f: r["direction"] for f, r in got.items()} == {"up": "deteriorating", "flat": "stable", "down": "improving", "small": "stable"} and got["down"]["refactored"] and not got["up"]["refactored"]
 
 
 def test_innermost(spark):
-    lines = spark.createDataFrame([("f", 5), ("f", 8), ("f", 30)], "key string, line long")
-    ranges = spark.createDataFrame([("f", "outer", 1, 20), ("f", "inner", 4, 6)], "key string, fn string, start long, end long")
-    assert {r["line"]: r["fn"] for r in innermost(lines, ranges).collect()} == {5: "inner", 8: "outer", 30: "(top level)"}
-
-
-def test_history(spark, tmp_path):
-    record = "\x1e{}\x1fAnn\x1fann@x.io\x1f{}\x1ffix: it\n\nCo-authored-by: Bo <bo@x.io>\n\x1f\n{}\n"
-    log = record.format("a" * 40, 100, "3\t1\tsrc/a.ts\n-\t-\tlogo.png") + record.format("b" * 40, 200, "1\t0\tsrc/{a.ts => b.ts}") + record.format("c" * 40, 300, "2\t2\tsrc/b.ts")
-    (tmp_path / "log").write_text(log)
-    read = read_log(spark, str(tmp_path / "log"), "r")
-    assert [r["name"] for r in read.first()["coauthors"]] == ["Bo"]
-    order = read.select("repo", "sha", F.col("ts").alias("seq"))
-    got = sorted((r["ts"], r["path"], r["file_id"], r["added"]) for r in follow_renames(log_changes(read), order).collect())
-    assert got == [(100, "logo.png", "logo.png", 0), (100, "src/a.ts", "src/a.ts", 3), (200, "src/b.ts", "src/a.ts", 1), (300, "src/b.ts", "src/a.ts", 2)]
-    rows = read.select("repo", "sha", "ts")
-    assert [append_new(spark, rows, str(tmp_path / "t"), ["repo", "sha"]) for _ in range(2)] == [3, 0]
-    assert dump_log.__doc__
+    lines = spark.createDataFrame([("f", 2), ("f", 7), ("f", 9), ("f", 99)], "key string, line long")
+    ranges = spark.createDataFrame([("f", "whole", 1, 40), ("f", "part", 6, 9), ("f", "twin", 6, 9), ("f", "bit", 9, 9)], "key string, fn string, start long, end long")
+    assert {r["line"]: r["fn"] for r in innermost(lines, ranges).collect()} == {2: "whole", 7: "part", 9: "bit", 99: "(top level)"}
