@@ -73,7 +73,6 @@ _JUNK = re.compile(r"[\W\d_]+")
 _BITS = 21
 
 
-@lru_cache(CACHE_WORDS)
 def unit_of(word: str) -> str:
     """A word as the kernel sees it: lower case, letters only without accents, digits in words read as the letters they look like."""
     w = word.lower()
@@ -300,9 +299,12 @@ def _spread(texts: list[str]) -> list[int]:
     return out
 
 
+_unit_again = lru_cache(50_000)(unit_of)  # for training, which sees its few words often
+
+
 def tokens_of(text: str) -> list[str]:
     """The words of a text as the kernel sees them, long ones in pieces."""
-    return [c for w in words_of(text) for c in _chunks(unit_of(w)) if c]
+    return [c for w in words_of(text) for c in _chunks(_unit_again(w)) if c]
 
 
 def _windows(d: np.ndarray) -> np.ndarray:
