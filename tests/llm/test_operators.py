@@ -339,6 +339,35 @@ def test_urls(spark):
     assert url_filter.judge_urls(p.limit(0)).count() == 0
 
 
+def test_urls_by_joined_rules(spark, tmp_path, monkeypatch):
+    """A table of some thousand rules from a file, and a long list: as the rules one by one say, for repeats, nulls, long urls and clashing columns too."""
+    rng = np.random.default_rng(4)
+    name = lambda: str(rng.choice(["alpha", "beta", "gamma", "delta", "eps1"])) + str(rng.integers(0, 40))
+    lines = ["# rules", ""] + [f"{rng.choice(['allow', 'block'])} {name()}.{rng.choice(['net', 'org'])}/{name() + '/' if rng.random() < 0.5 else ''}" for _ in range(2000)]
+    lines += [f"block *{p}" for p in ("/ads/", ".poker-", "-x*y-", "?")] + ["allow net/"]
+    (tmp_path / "rules.txt").write_text("\n".join(lines))
+    urls = [f"https://{'www.' if rng.random() < 0.5 else ''}{name().upper()}.{rng.choice(['net', 'org'])}/{name()}/{rng.choice(['ads/', '', 'a-x1y-b'])}?q=1" for _ in range(400)]
+    urls += [None, "", "no url", urls[0], urls[0], "http://alpha1.net/" + "a/" * 50_000 + "ads/"]
+    p = spark.createDataFrame([(k if k % 50 else None, u, "h", 3) for k, u in enumerate(urls)], "page_id long, url string, host string, rank int").repartition(3)
+    rules = [url_filter.pattern_rule(t[1:], v) if t.startswith("*") else url_filter.host_rule(v, t) for v, t in (x.split() for x in lines[2:])]
+    index = url_filter.RuleIndex(rules, {})
+    want = sorted(((k if k % 50 else None, *url_filter.split_url(u), *index.judge(*url_filter.split_url(u))) for k, u in enumerate(urls)), key=str)
+    table = url_filter.read_rules(spark, str(tmp_path / "rules.txt"))
+    got = lambda r: sorted((tuple(x) for x in url_filter.judge_urls(p, r).collect()), key=str)
+    assert got(table) == want and got(rules) == want
+    assert {v for *_, v in want} == {"allow", "block"} and sum(r is not None for *_, r, _ in want) > 50
+    monkeypatch.setattr(url_filter, "HELD_RULES", 100)
+    assert got(rules) == want
+    assert url_filter.judge_urls(p.limit(0), table).count() == 0 and {v for *_, v in got(table.limit(0))} == {"allow"}
+
+
+def test_chats_with_long_texts_and_other_columns(spark):
+    long = "word </turn> " * 100_000
+    c = spark.createDataFrame([(1, 0, "user", long, "f", 1), (1, 1, "assistant", long, "f", 1)], "conv_id long, turn long, role string, text string, formatted string, loss_spans int")
+    (r,) = chat.format_chats(c).collect()
+    assert chat.read_back(r["formatted"], r["loss_spans"]) == ([("user", long), ("assistant", long)], long)
+
+
 def brute_leaks(docs, items):
     """All documents against all items: every diagonal on which two windows agree at a mask's positions."""
     import re
