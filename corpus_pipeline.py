@@ -31,7 +31,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows as often as the mix takes them, in training order; rows without words are not taken, null sources are one source."""
+    """Rows as often as the mix takes them, in training order; rows without words as often as all of their source, null sources are one source."""
     return take_mix(docs)
 
 
