@@ -128,7 +128,7 @@ def in_training_order(mix: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def take_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """docs, all columns, each row as often as curriculum_mix() takes it, range-sorted by training position.
 
-    Rows without words, null texts among them, are never taken. Repeated rows are taken each as often as its own place
+    Rows without words, null texts among them, are taken as often as all of their source, never once more. Repeated rows are taken each as often as its own place
     says, copies of a row at the positions of their own. Null ids and sources, and an empty table, as told there. Other
     columns are handed on, whatever their names.
     """

@@ -664,3 +664,29 @@ def test_pipeline(spark):
     assert set(out.columns) == {"doc_id", "start", "n_tokens", "ids_crc32"} and 0 < out.count()
 
 
+def test_pipeline_stages(spark, tmp_path):
+    """Nulls, repeats, ties, long texts, clashing columns and empty tables, through all stages but the last with all columns."""
+    import corpus_pipeline
+
+    rows = [(i, t, None if k % 4 == 0 else "en", None if k % 5 == 0 else f"src{k % 3}", 1.5, "x", "y") for k, (i, t) in enumerate(ROWS)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, score double, predicted string, _id string")
+    spark.createDataFrame([(1, 0), (12, 1), (None, 1), (3, None)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, " ".join(BASE.split()[50:90])), (None, None), (2, "")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for docs in (d, d.limit(0)):
+        n = docs.count()
+        for name, step in corpus_pipeline.STAGES:
+            out = near_dup.stage(step(spark, docs, str(tmp_path)), "step")
+            left = out.collect()
+            if name != "token_output":
+                assert out.columns == d.columns, name
+                assert all(r["score"] == 1.5 and r["predicted"] == "x" and r["_id"] == "y" for r in left), name
+                assert name == "mixing" or len(left) <= n
+                before, docs, n = n, out, len(left)
+            if name == "near_dedup" and n:
+                ids = [r["doc_id"] for r in left]
+                assert ids.count(7) == 1 and 2 not in ids and 3 not in ids and {4, 5, 6, 8}.issubset(ids)
+            if name == "decontamination" and n:
+                assert not {1, 13} & {r["doc_id"] for r in left} and {4, 5} <= {r["doc_id"] for r in left}
+            if name == "mixing" and n:
+                assert None in {r["source"] for r in left} and n >= before
+        assert len(left) == n
