@@ -7,11 +7,19 @@ from pyspark.sql import functions as F
 
 from revlens.plans.staging import new_path, shared_dir, stage
 
-__all__ = ["NO_ID", "WORD", "new_path", "shared_dir", "stage", "table", "text_of"]
+__all__ = ["NO_ID", "WORD", "new_path", "shared_dir", "small_batches", "stage", "table", "text_of"]
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 NO_ID = (1 << 63) - 1
+BATCH_ROWS = 2000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session hands rows to Python BATCH_ROWS at a time at most: whole texts, of which ten thousand would be much."""
+    if int(spark.conf.get(_BATCH)) > BATCH_ROWS or int(spark.conf.get(_BATCH)) <= 0:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
 
 
 def text_of(col: str = "text") -> Column:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revlens.llm.common import stage, table, text_of
+from revlens.llm.common import small_batches, stage, table, text_of
 
 # Fixed masks over 12 tokens: each looks at 7.
 MASKS = ("111010010111", "110110101101", "101101110011", "111111100000", "000001111111")
@@ -40,7 +40,7 @@ PROBES = 5
 FILTER_BITS = 1 << 27
 SLICE_BITS = 1 << 19
 #: Texts are hashed so many bytes at a time, or one text.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 #: Parts that a seed's documents, or an item's, are dealt to in joins.
 SALTS = 8
 #: Pairs of places of one seed in a document and an item that are looked at at a time.
@@ -266,6 +266,7 @@ def _salt(*columns: str) -> Column:
 def _leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(id, mark, item_id, start, n_tokens, n_matched) for docs(id, mark, text), a row for each copy of a document."""
     spark = docs.sparkSession
+    small_batches(spark)
     items = benchmark.select(F.col("item_id").cast("long").alias("id"), text_of().alias("text")).select("id", F.xxhash64("text").alias("mark"), "text").distinct()
     items = stage(items.mapInArrow(_token_rows, "id long, mark long, tokens binary, n long").filter("n > 0"), "benchmark-items")
     seeds = stage(items.select("id", "mark", "tokens").mapInArrow(_seed_rows, "hash long, item_id long, item_mark long"), "benchmark-seeds")

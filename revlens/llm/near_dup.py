@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revlens.llm.common import NO_ID, stage, table, text_of
+from revlens.llm.common import NO_ID, small_batches, stage, table, text_of
 from revlens.operators.identity import components as connected_components
 
 TREES = 24
@@ -157,20 +157,16 @@ def _candidate_edges(classes: DataFrame, percent: int) -> DataFrame:
     level = stage(classes.select("set_key", "paths").mapInArrow(_exploded, "set_key binary, " + ", ".join(f"k{i} long" for i in range(DEPTH))), "paths")
     sketches = classes.select("set_key", "sketch")
     leaves, edges = None, None
-    every = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    salt = F.pmod(F.xxhash64("set_key"), F.lit(SALTS)).cast("int")
     for i in range(DEPTH):
         key = f"k{i}"
-        counts = stage(level.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1"), f"counts-{i}")
-        # Large nodes are few and have very many classes each: these are told apart first, dealt to several parts.
-        large = stage(counts.filter(F.col("n") > NODE).select(key, F.lit(True).alias("large")), f"large-{i}").select(key, "large", every)
-        told = level.withColumn("salt", salt).join(large, [key, "salt"], "left").drop("salt")
-        small = told.filter("large is null").join(counts.filter(F.col("n") <= NODE).select(key), key, "left_semi").select("set_key", F.col(key).alias("node"))
+        counts = level.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1")
+        met = stage(level.join(counts, key), f"nodes-{i}")
+        small = met.filter(F.col("n") <= NODE).select("set_key", F.col(key).alias("node"))
         leaves = small if leaves is None else leaves.union(small)
-        level = stage(told.filter("large").drop("large"), f"level-{i}")
+        level = met.filter(F.col("n") > NODE).drop("n")
     # Still large at the last level: all of a node's classes go together, around its smallest.
-    center = level.groupBy(key).agg(F.min("set_key").alias("a")).select(key, "a", every)
-    edges = level.withColumn("salt", salt).join(center, [key, "salt"]).filter(F.col("a") != F.col("set_key")).select("a", F.col("set_key").alias("b")).distinct()
+    center = level.groupBy(key).agg(F.min("set_key").alias("a"))
+    edges = level.join(center, key).filter(F.col("a") != F.col("set_key")).select("a", F.col("set_key").alias("b")).distinct()
     # NODE classes at most meet here.
     nodes = leaves.join(sketches, "set_key").groupBy("node").agg(F.collect_list(F.struct("set_key", "sketch")).alias("members"))
     return edges.union(nodes.select("members").mapInArrow(_agreeing(percent), "a binary, b binary").distinct())
@@ -270,6 +266,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, id_col:
     other. Repeated rows with one id and text share a component, and all with the smallest id are kept; keeper marks the
     smallest row by id and text_hash alone. An empty table gives an empty result. Other columns are ignored, whatever their names.
     """
+    small_batches(docs.sparkSession)
     d = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
     d = d.withColumn("text_hash", F.xxhash64("text"))
     kinds = "id long, text_hash long, n_shingles long, set_key binary, paths binary, sketch binary"

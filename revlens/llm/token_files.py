@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from revlens.llm.common import new_path, table, text_of
+from revlens.llm.common import new_path, small_batches, table, text_of
 
 MAGIC = b"FWB1"
 HEADER = struct.Struct("<4sIQQQ")  # magic, bits an id, ids a block, documents, ids
@@ -32,7 +32,7 @@ BLOB_IDS = 1 << 20
 END_ID = 0
 BLOBS = "part int, seq int, n_docs long, n_ids long, data binary"
 #: Pieces, and pre-tokens, that an encoder remembers; beyond that it starts afresh.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 500_000
 #: Texts are encoded so many bytes at a time, or one text.
 PIECE_BYTES = 8 << 20
 
@@ -326,6 +326,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k
             yield row()
 
     spark = docs.sparkSession
+    small_batches(spark)
     d = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     d = d.repartitionByRange(n, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), F.xxhash64("text"))

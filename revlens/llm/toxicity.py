@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revlens.llm.common import table, text_of
+from revlens.llm.common import small_batches, table, text_of
 
 DECAY = 0.7
 #: A subsequence spans so many characters at most.
@@ -51,7 +51,7 @@ CACHE_WORDS = 200_000
 CHUNK = 2048
 BLOCK = 1 << 15
 #: Texts are cut into words so many characters at a time, or one text.
-PIECE_CHARS = 1 << 20
+PIECE_CHARS = 1 << 18
 #: Least log-likelihood ratio of a window that stands for the label. Where none has it, FALLBACK best ones are taken.
 LEAST_RATIO = 15.0
 FALLBACK = 50
@@ -502,6 +502,7 @@ def score_texts(docs: DataFrame, model: Model, text_col: str = "text") -> Column
             scorers.append(Scorer(model))
         for texts in batches:
             yield pa.array(scorers[0].model.probability(scorers[0].features(texts.to_pylist())))
+            pa.default_memory_pool().release_unused()
 
     return score(text_of(text_col))
 
@@ -515,6 +516,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """
     if taken := {c.lower() for c in docs.columns} & {score_col.lower(), predicted_col.lower()}:
         raise ValueError(f"the documents have {', '.join(sorted(taken))} already: give score_col and predicted_col")
+    small_batches(docs.sparkSession)
     model = train(*training_sample(docs, labels, id_col, text_col))
     return docs.withColumn(score_col, score_texts(docs, model, text_col)).withColumn(predicted_col, (F.col(score_col) >= 0.5).cast("int"))
 
