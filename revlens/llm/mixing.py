@@ -53,17 +53,23 @@ def _invert(share: Column, slope: Column) -> Column:
 
 
 def _marked(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """docs with __mix_source, __mix_size and __mix_place: a number below 2^52 by a hash of id and text."""
+    """docs with __mix_source, __mix_key, the same without nulls, __mix_size and __mix_place: a number below 2^52 by a hash of id and text."""
     key = F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), text_of(text_col))
     return docs.withColumns(
         {
             "__mix_source": F.col(source_col).cast("string"),
+            "__mix_key": _source_key(F.col(source_col)),
             "__mix_size": F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long"),
             "__mix_place": F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("long"),
         }
     )
 
 
+def _source_key(source: Column) -> Column:
+    """A key without nulls: rows that meet by it and a block stay where they are for a window over both, so that texts move once."""
+    return F.coalesce(F.concat(F.lit("+"), source.cast("string")), F.lit("-"))
+
+
 def _block() -> Column:
     return F.floor(F.col("__mix_place") / F.lit(float(1 << 52)) * F.ceil(F.col("__mix_n_docs") / BLOCK))
 
@@ -75,13 +81,13 @@ def _copied(docs: DataFrame, marks: DataFrame, tie: Column) -> DataFrame:
     each block's beginning comes from sums by block, and a place in the block from a running sum there.
     """
     targets = source_targets(marks.select(F.col("__mix_source").alias("source"), F.col("__mix_size").alias("size")))
-    targets = targets.select(F.col("source").alias("__mix_of"), *[F.col(c).alias(f"__mix_{c}") for c in ("source_size", "n_docs", "slope", "target")])
-    with_targets = lambda d: d.join(targets, F.col("__mix_source").eqNullSafe(F.col("__mix_of"))).drop("__mix_of").withColumn("__mix_block", _block())
-    sums = with_targets(marks).groupBy("__mix_source", "__mix_block").agg(F.sum("__mix_size").alias("size"))
-    earlier = Window.partitionBy("__mix_source").orderBy("__mix_block").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(F.col("__mix_source").alias("__mix_of"), F.col("__mix_block").alias("__mix_of_block"), F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("__mix_before"))
-    d = with_targets(docs).join(sums, F.col("__mix_source").eqNullSafe(F.col("__mix_of")) & (F.col("__mix_block") == F.col("__mix_of_block"))).drop("__mix_of", "__mix_of_block")
-    inside = Window.partitionBy("__mix_source", "__mix_block").orderBy("__mix_place", tie, "__mix_size").rowsBetween(Window.unboundedPreceding, -1)
+    targets = targets.select(_source_key(F.col("source")).alias("__mix_of"), *[F.col(c).alias(f"__mix_{c}") for c in ("source_size", "n_docs", "slope", "target")])
+    with_targets = lambda d: d.join(targets, F.col("__mix_key") == F.col("__mix_of")).drop("__mix_of").withColumn("__mix_block", _block())
+    sums = with_targets(marks).groupBy("__mix_key", "__mix_block").agg(F.sum("__mix_size").alias("size"))
+    earlier = Window.partitionBy("__mix_key").orderBy("__mix_block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(F.col("__mix_key").alias("__mix_of"), F.col("__mix_block").alias("__mix_of_block"), F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("__mix_before"))
+    d = with_targets(docs).join(sums, (F.col("__mix_key") == F.col("__mix_of")) & (F.col("__mix_block") == F.col("__mix_of_block"))).drop("__mix_of", "__mix_of_block")
+    inside = Window.partitionBy("__mix_key", "__mix_block").orderBy("__mix_place", tie, "__mix_size").rowsBetween(Window.unboundedPreceding, -1)
     size, target, whole = F.col("__mix_size"), F.col("__mix_target"), F.col("__mix_source_size")
     d = d.withColumn("__mix_at", F.col("__mix_before") + F.coalesce(F.sum(size).over(inside), F.lit(0)) + size / 2)
     epochs = F.when(whole > 0, F.floor(target / whole)).otherwise(0)
@@ -133,7 +139,7 @@ def take_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     columns are handed on, whatever their names.
     """
     marked = _marked(docs, id_col, text_col, source_col)
-    marks = stage(marked.select("__mix_source", "__mix_size", "__mix_place"), "mix-sizes")
+    marks = stage(marked.select("__mix_source", "__mix_key", "__mix_size", "__mix_place"), "mix-sizes")
     d = _copied(marked, marks, F.col(id_col)).filter("__mix_copies > 0")
     d = d.withColumn("__mix_copy", F.explode(F.sequence(F.lit(0), F.col("__mix_copies") - 1)))
     return d.withColumn("__mix_position", _position(F.col("__mix_copy"))).orderBy("__mix_position", id_col, "__mix_copy").select(*docs.columns)
