@@ -22,6 +22,8 @@ MAX_EPOCHS = 2
 #: Slopes of the weight schedules, dealt to sources in order: early, even, late.
 SLOPES = (-0.5, 0.0, 0.5)
 BLOCK = 4096
+#: Parts that a source's rows are dealt to where they meet its target.
+SALTS = 8
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -82,7 +84,10 @@ def _copied(docs: DataFrame, marks: DataFrame, tie: Column) -> DataFrame:
     """
     targets = source_targets(marks.select(F.col("__mix_source").alias("source"), F.col("__mix_size").alias("size")))
     targets = targets.select(_source_key(F.col("source")).alias("__mix_of"), *[F.col(c).alias(f"__mix_{c}") for c in ("source_size", "n_docs", "slope", "target")])
-    with_targets = lambda d: d.join(targets, F.col("__mix_key") == F.col("__mix_of")).drop("__mix_of").withColumn("__mix_block", _block())
+    # Written, so that Spark knows how few they are before it deals any text by source; should they be many, in parts.
+    targets = stage(targets, "mix-targets").withColumn("__mix_of_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    mine = (F.col("__mix_key") == F.col("__mix_of")) & (F.pmod("__mix_place", F.lit(SALTS)) == F.col("__mix_of_salt"))
+    with_targets = lambda d: d.join(targets, mine).drop("__mix_of", "__mix_of_salt").withColumn("__mix_block", _block())
     sums = with_targets(marks).groupBy("__mix_key", "__mix_block").agg(F.sum("__mix_size").alias("size"))
     earlier = Window.partitionBy("__mix_key").orderBy("__mix_block").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col("__mix_key").alias("__mix_of"), F.col("__mix_block").alias("__mix_of_block"), F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("__mix_before"))
