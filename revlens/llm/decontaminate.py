@@ -3,8 +3,8 @@
 A seed is a mask over consecutive tokens that looks at some positions and ignores the others, so that a window hashes
 alike when tokens at ignored positions were substituted. All windows of all benchmark items are hashed under fixed masks
 into a table of seeds; every window of every document is hashed likewise and joined with it. Around each hit the two
-texts are aligned on the hit's diagonal, and the stretch that agrees best, with substitutions counted against it, is
-verified. Items under SPAN tokens have masks of their own length, which leave out what may be substituted in them.
+texts are aligned on the hit's diagonal, and any stretch of it with MIN_OVERLAP equal tokens and a share of MIN_SIMILARITY
+is a verified overlap; the one with the most equal tokens is told. Items under SPAN tokens have masks of their own length, which leave out what may be substituted in them.
 
 Neither side passes the driver: it gathers a bit table of FILTER_BITS bits at most, made from the seeds by Spark. Tasks
 test windows against it, so that only documents with likely hits are staged and joined. With more seeds than the table
@@ -14,7 +14,6 @@ is made for, more documents are joined in vain, none is missed.
 from __future__ import annotations
 
 import itertools
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,13 +26,11 @@ from pyspark.sql import functions as F
 from revlens.llm.common import small_batches, stage, table, text_of
 
 # Fixed masks over 12 tokens: each looks at 7.
-MASKS = ("111010010111", "110110101101", "101101110011", "111111100000", "000001111111")
+MASKS = ("111010100011", "110110001101", "100011011011", "101001010111", "110011110010")
 SPAN = 12
-#: A verified overlap has so many equal tokens and this share of equal ones. Of a shorter item it has the whole.
+#: A verified overlap has so many equal tokens and this share of equal ones, a fraction. Of a shorter item it has the whole.
 MIN_OVERLAP = 12
-MIN_SIMILARITY = 0.8
-#: What a differing token takes from a stretch of equal ones, each worth 1.
-SUBSTITUTION = 3
+MIN_SIMILARITY = (4, 5)
 #: Bits of the table for each seed, tests for each window, and bits at most (16 MB).
 BITS_PER_SEED = 32
 PROBES = 5
@@ -69,7 +66,8 @@ def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def short_masks(length: int) -> tuple[str, ...]:
     """Masks over a whole item: its tokens fall into groups, and each mask leaves out as many as may be substituted."""
-    loose = length - math.ceil(MIN_SIMILARITY * length)
+    above, below = MIN_SIMILARITY
+    loose = (below - above) * length // below
     if not loose:
         return ("1" * length,)
     groups = [i * (loose + 2) // length for i in range(length)]
@@ -129,24 +127,40 @@ def diagonals(doc: np.ndarray, item: np.ndarray) -> np.ndarray:
     return np.flatnonzero(seen) - len(item)
 
 
+def stretch(same: np.ndarray) -> tuple[int, int, int] | None:
+    """(first, tokens, equal tokens) of the stretch with the most equal tokens among those that have MIN_OVERLAP of them and
+    a share of MIN_SIMILARITY; of several the shortest, then the first.
+
+    It begins and ends with equal tokens. From the i-th to the j-th of these, at p[i] and p[j], the share is reached where
+    j + 1 - S * (p[j] + 1) >= i - S * p[i]; for each j the first such i is found by the least values up to each i.
+    """
+    p = np.flatnonzero(same)
+    if len(p) < MIN_OVERLAP:
+        return None
+    above, below = MIN_SIMILARITY
+    k = np.arange(len(p))
+    begin = below * k - above * p
+    first = np.searchsorted(-np.minimum.accumulate(begin), -(begin + below - above), "left")
+    matched = k - first + 1
+    n = p - p[first] + 1
+    at = int(np.lexsort((p[first], n, -matched))[0])
+    return (int(p[first[at]]), int(n[at]), int(matched[at])) if matched[at] >= MIN_OVERLAP else None
+
+
 def overlap(doc: np.ndarray, item: np.ndarray) -> tuple[int, int, int] | None:
-    """(first token, tokens, equal tokens) of the best verified overlap: most equal tokens, then first."""
+    """(first token, tokens, equal tokens) of the best verified overlap: most equal tokens, then fewest tokens, then first."""
     best = None
+    above, below = MIN_SIMILARITY
     for d in diagonals(doc, item).tolist():
         start, stop = max(0, d), min(len(doc), d + len(item))
         same = doc[start:stop] == item[start - d : stop - d]
         if len(item) < SPAN:
-            n, matched, first = stop - start, int(same.sum()), 0
-            ok = n == len(item) and matched >= MIN_SIMILARITY * n
+            n, matched = stop - start, int(same.sum())
+            found = (0, n, matched) if n == len(item) and below * matched >= above * n else None
         else:
-            score = np.cumsum(np.where(same, 1, -SUBSTITUTION))
-            floor = np.minimum.accumulate(np.concatenate([[0], score[:-1]]))
-            end = int(np.argmax(score - floor)) + 1
-            first = int(np.argmin(np.concatenate([[0], score[: end - 1]])))
-            n, matched = end - first, int(same[first:end].sum())
-            ok = matched >= MIN_OVERLAP and matched >= MIN_SIMILARITY * n
-        if ok and (best is None or (matched, -start - first) > (best[2], -best[0])):
-            best = (start + first, n, matched)
+            found = stretch(same)
+        if found is not None and (best is None or (-found[2], found[1], start + found[0]) < (-best[2], best[1], best[0])):
+            best = (start + found[0], *found[1:])
         if best is not None and best[2] == len(item):
             break
     return best

@@ -385,14 +385,11 @@ def brute_leaks(docs, items):
                 if len(q) < 12:
                     found = [(same[0][0], len(same), sum(s for _, s in same))] if len(same) == len(q) else []
                     found = [f for f in found if f[2] >= 0.8 * f[1]]
-                else:  # the stretch whose equal tokens outweigh the others most, the first and shortest of those
-                    spans = [(sum(1 if s else -3 for _, s in same[a:z]), -z, a, z) for a in range(len(same)) for z in range(a + 1, len(same) + 1)]
-                    top = max(s[:2] for s in spans)
-                    _, _, a, z = min((s for s in spans if s[:2] == top), key=lambda s: s[2])
-                    found = [(same[a][0], z - a, sum(s for _, s in same[a:z]))]
-                    found = [f for f in found if f[2] >= 12 and f[2] >= 0.8 * f[1]]
+                else:  # all stretches
+                    spans = [(same[a][0], z - a, sum(s for _, s in same[a:z])) for a in range(len(same)) for z in range(a + 1, len(same) + 1)]
+                    found = [f for f in spans if f[2] >= 12 and 5 * f[2] >= 4 * f[1]]
                 for f in found:
-                    if best is None or (f[2], -f[0]) > (best[2], -best[0]):
+                    if best is None or (-f[2], f[1], f[0]) < (-best[2], best[1], best[0]):
                         best = f
             if best:
                 yield (i, k, *best)
@@ -428,6 +425,20 @@ def test_leaks_by_brute_force(spark):
     assert sorted(got) == sorted(brute_leaks(docs, items)) and {i for _, i, *_ in got} >= set(range(1, 16))
 
 
+def test_recall_of_quotes_with_substitutions():
+    """Whole items quoted with as many random substitutions as the limits allow."""
+    rng = np.random.default_rng(12)
+    for n, k in ((5, 1), (11, 2), (13, 1), (14, 1), (14, 2), (15, 2), (15, 3), (16, 3), (20, 3), (20, 4), (25, 4), (25, 5), (30, 6)):
+        found = 0
+        for _ in range(300):
+            item = rng.integers(1, 1 << 62, n).astype(np.uint64)
+            quote = item.copy()
+            quote[rng.choice(n, k, replace=False)] ^= np.uint64(1 << 63)
+            noise = rng.integers(1, 1 << 62, 60).astype(np.uint64)
+            found += decontaminate.overlap(np.concatenate([noise[:30], quote, noise[30:]]), item) is not None
+        assert found >= 0.9 * 300, (n, k, found)
+
+
 def test_substituted_short_items(spark):
     d = spark.createDataFrame([(1, "so one two three FOO five six seven eight there"), (2, "quoted: Is it So. Yes"), (3, "one two three five six seven eight")], "doc_id long, text string")
     b = spark.createDataFrame([(8, "one two three four five six seven eight"), (4, "is it so yes")], "item_id long, text string")
