@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Beyond these a file loses health.
+# Beyond these a file loses health, and what the reasons below say of it.
 BRAIN_CC = 15
 DEEP_NESTING = 4
 LONG_FUNCTION = 80

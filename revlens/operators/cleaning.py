@@ -19,7 +19,7 @@ DEFAULT_EXCLUDES = (
 # Attributes that mark a pattern's files as not the repository's own.
 MARKS = ("linguist-generated", "linguist-generated=true", "linguist-vendored", "linguist-vendored=true")
 BINARY_HEAD = 8000
-MAX_BYTES = 1_000_000
+MAX_BYTES = 524_288
 
 
 def glob_regex(glob: Column) -> Column:

@@ -76,6 +76,16 @@ def function_findings(facts: Facts, functions: DataFrame) -> DataFrame:
     return _finding(f, "xray_hotspot", F.concat_ws(" ", "file", "fn"), sev, "cc", "revisions", "score")
 
 
+def components_of(model: Model) -> DataFrame:
+    """name, deps, inputs, template_complexity of the entities that are components: the most that any of their living files has.
+
+    How complex a template is only a parser tells; without template_complexity among the model's files it is null.
+    """
+    f = model.files.filter((F.col("entity_kind") == "component") & F.col("alive"))
+    template = F.col("template_complexity") if "template_complexity" in model.files.columns else F.lit(None).cast("double")
+    return f.groupBy(F.col("entity").alias("name")).agg(F.max("deps").alias("deps"), F.max("inputs").alias("inputs"), F.max(template).alias("template_complexity"))
+
+
 def bloated_findings(facts: Facts, components: DataFrame) -> DataFrame:
     """Components of components(name, deps, inputs, template_complexity) with too many dependencies or inputs or too complex a template."""
     h = _top(facts.entities, 0.1, 10, F.asc("rank")).select("name", "score").join(components, "name")
@@ -165,9 +175,10 @@ RULES = {
     "defect_magnet": defect_findings,
 }
 
+# What kinds are called.
 LABELS = {
     "hotspot": "Hotspot", "deteriorating_hotspot": "Deteriorating hotspot", "xray_hotspot": "Function hotspot", "hidden_coupling": "Hidden coupling", "shotgun_surgery": "Ripple effect",
-    "knowledge_loss": "Knowledge loss", "bus_factor": "Bus factor", "coordination": "Coordination", "defect_magnet": "Defect magnet", "bloated_component": "Bloated component",
+    "knowledge_loss": "Knowledge loss", "bus_factor": "Bus factor", "coordination": "Coordination bottleneck", "defect_magnet": "Defect magnet", "bloated_component": "Bloated component",
 }
 
 
@@ -175,8 +186,10 @@ def findings(model: Model, trends: DataFrame | None = None, functions: DataFrame
     """All rules' findings, worst first, numbered F001 and on, with the label of their kind.
 
     The rules' limits bound the number of rows. What comes of a source parser is taken where it is given: trends of
-    entities, functions and components, as the rules for them tell.
+    entities and functions, as the rules for them tell. components are the model's own where its files tell of them.
     """
+    if components is None and {"entity_kind", "deps", "inputs"} <= set(model.files.columns):
+        components = components_of(model)
     facts = Facts(model, trends)
     every = [rule(facts) for rule in RULES.values()]
     every += [function_findings(facts, functions)] if functions is not None else []

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from revlens.functions.numeric import DAY, decay
+from revlens.plans.model import Model
 
 
 def classify(points: DataFrame, now: DataFrame) -> DataFrame:
@@ -48,12 +49,59 @@ def sample(series: DataFrame, now: DataFrame, samples: int = 12) -> DataFrame:
     return even(s, samples).union(even(s.filter(F.col("ts") >= year), samples // 2 + 1)).union(before).distinct()
 
 
-def innermost(lines: DataFrame, ranges: DataFrame) -> DataFrame:
-    """lines(key, line) with fn: the innermost of ranges(key, fn, start, end) that holds the line, or (top level)."""
+#: Bins of lines by which lines meet ranges: a range is filed at the first size that holds its length, in two bins at most.
+BINS = (64, 4096, 262_144)
+TOP_LEVEL = "(top level)"
+
+
+def innermost(lines: DataFrame, ranges: DataFrame, *carry: str) -> DataFrame:
+    """lines(key, line, and columns to carry along) with fn: the innermost of ranges(key, fn, start, end) that holds the line, or (top level).
+
+    Lines and ranges meet by key and bin. A range is filed in the bins of its size that it reaches into, a line looks into
+    its bin of each size, so that a line meets the ranges around it and not all of its key. Equal rows are one. Ranges that
+    end before they begin hold nothing; those longer than the largest bin are filed in several.
+    """
+    length = F.col("end") - F.col("start")
+    size = F.lit(BINS[-1])
+    for n in reversed(BINS[:-1]):
+        size = F.when(length <= n, n).otherwise(size)
+    at = lambda x, n: F.floor(x / n).cast("long")
+    r = ranges.filter("start <= end").withColumn("size", size)
+    r = r.select(F.col("key").alias("of"), "fn", "start", "end", F.col("size").alias("of_size"), F.explode(F.sequence(at(F.col("start"), F.col("size")), at(F.col("end"), F.col("size")))).alias("of_bin"))
+    bins = F.explode(F.array(*[F.struct(F.lit(n).alias("size"), at(F.col("line"), n).alias("bin")) for n in BINS])).alias("b")
+    own = lines.select("key", "line", *carry).distinct().select("*", bins)
     inside = (F.col("line") >= F.col("start")) & (F.col("line") <= F.col("end"))
-    r = ranges.withColumnRenamed("key", "of")
-    j = lines.join(r, (F.col("key") == F.col("of")) & inside, "left")
-    return j.groupBy("key", "line").agg(F.coalesce(F.min_by("fn", F.struct(F.col("end") - F.col("start"), "fn")), F.lit("(top level)")).alias("fn"))
+    j = own.join(r, (F.col("key") == F.col("of")) & (F.col("b.size") == F.col("of_size")) & (F.col("b.bin") == F.col("of_bin")) & inside, "left")
+    least = F.min(F.when(F.col("fn").isNotNull(), F.struct((F.col("end") - F.col("start")).alias("n"), "fn")))
+    return j.groupBy("key", "line", *carry).agg(F.coalesce(least["fn"], F.lit(TOP_LEVEL)).alias("fn"))
+
+
+def function_changes(files: DataFrame, functions: DataFrame) -> DataFrame:
+    """repo, sha, path, fn, added, deleted: how many lines each change of a patch's files added to, and took from, each function.
+
+    files is what parse_patches() gives, functions(blob, fn, start, end) are the functions of contents. New lines fall into
+    the functions of the new content, old ones into those of the old; lines outside of all, and of contents without
+    functions, are (top level). Files without lines have no row.
+    """
+    h = files.select("repo", "sha", "path", "old_blob", "new_blob", F.explode("hunks").alias("h"))
+
+    def side(kind: str) -> DataFrame:
+        first, n = F.col(f"h.{kind}_start").cast("long"), F.col(f"h.{kind}_count").cast("long")
+        return h.filter(n > 0).select("repo", "sha", "path", F.coalesce(f"{kind}_blob", F.lit("")).alias("key"), F.lit(kind).alias("side"), F.explode(F.sequence(first, first + n - 1)).alias("line"))
+
+    ranges = functions.select(F.col("blob").alias("key"), "fn", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+    found = innermost(side("new").unionByName(side("old")), ranges, "repo", "sha", "path", "side")
+    return found.groupBy("repo", "sha", "path", "fn").agg(F.count_if(F.col("side") == "new").alias("added"), F.count_if(F.col("side") == "old").alias("deleted"))
+
+
+def function_history(model: Model, changes: DataFrame) -> DataFrame:
+    """What function_hotspots() and function_coupling() take, of function_changes() rows: those of commits and files of the model."""
+    named = changes.withColumn("commit_id", F.concat_ws(":", "repo", "sha")).drop("repo")
+    if model.paths is not None:
+        named = named.join(model.paths.select("commit_id", "path", "file").distinct(), ["commit_id", "path"])
+    else:
+        named = named.withColumnRenamed("path", "file")
+    return named.join(model.commits.select("commit_id", "ts", "now", "defect", "weight", "authors"), "commit_id").select("file", "fn", "commit_id", "ts", "now", "added", "deleted", "defect", "weight", "authors")
 
 
 def function_hotspots(changes: DataFrame, functions: DataFrame, half_life_days: float = 180.0) -> DataFrame:

@@ -25,6 +25,8 @@ RELEASE = (
     r"|^(\w+(\([^)]*\))?:\s*)?(update|upgrade|migrate)\s+(to\s+)?(angular|nx|node|typescript|laravel|symfony|php)\s*v?\d"
 )
 LEVELS = ("file", "entity", "unit", "repo")
+#: What files may have besides, and changes don't repeat.
+ABOUT = ("path", "blob", "entity_kind", "deps", "inputs", "health_reasons")
 
 
 @dataclass(frozen=True)
@@ -47,6 +49,9 @@ class Params:
     defect_ratio: float = 1.5
     bus_people: int = 1
     bus_share: float = 0.6
+    max_file_bytes: int = 524_288
+    ticket_pattern: str = TICKET
+    defect_pattern: str = DEFECT
 
 
 @dataclass(frozen=True)
@@ -75,20 +80,26 @@ class Scope:
 @dataclass(frozen=True)
 class Model:
     commits: DataFrame  # commit_id, repo, ts, author, coauthors, authors, subject, tickets, defect, format, mega, weight, couples, now
-    files: DataFrame  # file, entity, unit, repo, alive, test, lang, lang_weight, loc, complexity, health
+    files: DataFrame  # file, entity, unit, repo, alive, test, lang, lang_weight, loc, complexity, health; from sources also ABOUT
     changes: DataFrame  # a commit's and its file's columns, added, deleted
-    authors: DataFrame  # author, team
+    authors: DataFrame  # author, team, and name where known
     params: Params = field(default_factory=Params)
+    paths: DataFrame | None = None  # commit_id, path, file: what a file was called in a commit, if not always the same
+
+    def names(self) -> DataFrame:
+        """author and name, which is the author's key where no name is known."""
+        key = F.col("author").cast("string")
+        return self.authors.select("author", (F.coalesce("name", key) if "name" in self.authors.columns else key).alias("name"))
 
     def active(self) -> DataFrame:
         """author, commits, first_ts, last_ts, team, active."""
         rolled = author_rollup(self)
         now = self.commits.agg(F.max("now").alias("now"))
         active = F.col("now") - F.col("last_ts") <= F.lit(int(self.params.inactive_after_days * DAY))
-        return rolled.join(self.authors, "author", "left").join(F.broadcast(now)).withColumn("active", active).drop("now")
+        return rolled.join(self.authors.select("author", "team"), "author", "left").join(F.broadcast(now)).withColumn("active", active).drop("now")
 
 
-def build(raw_commits: DataFrame, raw_changes: DataFrame, files: DataFrame, authors: DataFrame, bots: DataFrame, params: Params, staged: bool = False) -> Model:
+def build(raw_commits: DataFrame, raw_changes: DataFrame, files: DataFrame, authors: DataFrame, bots: DataFrame, params: Params, staged: bool = False, paths: DataFrame | None = None) -> Model:
     """Clean raw commits(commit_id, repo, ts, author, coauthors, message) and changes(commit_id, file, added, deleted).
 
     Commits by bots go, bot co-authors are taken off; commits without an analyzable change go. The newest commit that
@@ -103,15 +114,15 @@ def build(raw_commits: DataFrame, raw_changes: DataFrame, files: DataFrame, auth
     co = c.select("commit_id", F.explode("coauthors").alias("author")).join(bots, "author", "left_anti").groupBy("commit_id").agg(F.sort_array(F.collect_list("author")).alias("humans"))
     c = c.join(co, "commit_id", "left").withColumn("coauthors", F.coalesce("humans", F.array().cast(c.schema["coauthors"].dataType))).drop("humans")
     subject = F.trim(F.element_at(F.split("message", "\n"), 1))
-    c = c.withColumn("subject", subject).withColumn("tickets", F.array_distinct(F.regexp_extract_all("message", F.lit(TICKET), F.lit(0))))
-    c = c.withColumn("defect", F.col("subject").rlike(DEFECT))
+    c = c.withColumn("subject", subject).withColumn("tickets", F.array_distinct(F.regexp_extract_all("message", F.lit(params.ticket_pattern), F.lit(0))))
+    c = c.withColumn("defect", F.col("subject").rlike(params.defect_pattern))
     c = c.withColumn("format", (F.col("subject").rlike(FORMAT) & (F.col("n_changes") >= params.format_min_changes)) | F.col("subject").rlike(RELEASE))
     c = c.withColumn("mega", F.col("n_changes") > params.max_commit_files)
     c = c.withColumn("weight", F.when(F.col("format"), 0.0).when(F.col("mega"), 0.25).otherwise(1.0)).withColumn("couples", ~F.col("mega") & ~F.col("format"))
     c = save(c.withColumn("authors", F.concat(F.array("author"), "coauthors")), "model-commits")
     c = c.join(F.broadcast(c.agg(F.max("ts").alias("now"))))  # one row
-    changes = raw_changes.join(files, "file").join(c.drop("repo", "message"), "commit_id")
-    return Model(c, files, save(changes, "model-changes"), save(authors, "model-authors"), params)
+    changes = raw_changes.join(files.drop(*ABOUT), "file").join(c.drop("repo", "message"), "commit_id")
+    return Model(c, files, save(changes, "model-changes"), save(authors, "model-authors"), params, paths)
 
 
 def author_rollup(model: Model) -> DataFrame:

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revlens.functions import paths
-from revlens.operators.cleaning import DEFAULT_EXCLUDES, clean_files
+from revlens.operators.cleaning import DEFAULT_EXCLUDES, without_excluded
 from revlens.operators.identity import resolve
+from revlens.operators.metrics import tree_metrics
 from revlens.operators.resolution import group_entities, resolve_units
 from revlens.plans.model import Model, Params, build
 from revlens.plans.staging import stage
@@ -33,24 +34,27 @@ def from_history(
     globs: tuple[str, ...] = DEFAULT_EXCLUDES,
     units: tuple[DataFrame, DataFrame] | None = None,
     staged: bool = True,
+    cache: str | None = None,
 ) -> Model:
     """The model of read_log() rows and tree(repo, path, content), for any number of repositories.
 
     Files are followed through renames and named by repository and first path; they are alive where the tree has their
     newest path. Excluded, generated, binary and oversize files are left out. units has what resolve_units() takes.
-    Complexity is by indentation, health is 10, since no source parser is at hand.
+    Complexity is by indentation, since no source parser is at hand; components, their links and what health costs are read
+    from the texts. With cache, the path of a table, only contents that it lacks are measured.
     """
     log = stage(log, "log")
     changes = stage(follow_renames(log_changes(log), log.select("repo", "sha", "seq")), "followed")
     file = F.concat_ws(":", "repo", "file_id")
     newest = changes.groupBy("repo", "file_id").agg(F.max_by("path", F.struct("seq", "pos")).alias("path"))
-    f = newest.select("repo", "path", file.alias("file")).join(tree.select("repo", "path", "content"), ["repo", "path"], "left")
-    f = clean_files(f.withColumn("alive", F.col("content").isNotNull()), excludes, globs)
+    f = without_excluded(newest.select("repo", "path", file.alias("file")), excludes, globs)
+    about = stage(tree_metrics(tree, params.max_file_bytes, cache).drop("lang"), "tree-metrics")
+    f = f.join(about, ["repo", "path"], "left").withColumn("alive", F.col("blob").isNotNull())
+    f = f.filter(F.coalesce("state", F.lit("text")) == "text")
     none = lambda schema: log.sparkSession.createDataFrame([], schema)
     manual, roots = units or (none("repo string, place int, glob string, unit string, kind string"), none("repo string, root string, unit string, kind string"))
     f = resolve_units(f.withColumns({"test": paths.is_test_path(F.col("path")), "lang": paths.language(F.col("path"))}), manual, roots)
-    f = group_entities(f.withColumns({"links": F.array().cast("array<string>"), "component": F.lit(None).cast("string")}))
-    text = F.coalesce("text", F.lit(""))
+    f = group_entities(f.withColumns({"about": F.col("component"), "component": F.col("component.kind"), "links": F.coalesce("links", F.array().cast("array<string>"))}))
     f = f.select(
         "file",
         F.concat_ws(":", "repo", "entity").alias("entity"),
@@ -60,17 +64,24 @@ def from_history(
         "test",
         "lang",
         paths.language_weight(F.col("lang")).alias("lang_weight"),
-        paths.non_blank_lines(text).cast("long").alias("loc"),
-        paths.indent_complexity(text).alias("complexity"),
-        F.lit(10.0).alias("health"),
+        F.coalesce("loc", F.lit(0)).cast("long").alias("loc"),
+        F.coalesce("complexity", F.lit(1.0)).alias("complexity"),
+        F.coalesce("health", F.lit(10.0)).alias("health"),
+        "path",
+        "blob",
+        "entity_kind",
+        F.col("about.deps").alias("deps"),
+        F.col("about.inputs").alias("inputs"),
+        F.coalesce("health_reasons", F.array().cast("array<string>")).alias("health_reasons"),
     )
     people = stage(people_of(log, aliases, teams), "people")
     who = people.select("name", "email", F.col("person").alias("author"))
     commit = F.concat_ws(":", "repo", "sha")
     own = log.select("*", commit.alias("commit_id")).join(who, (F.col("author_name").eqNullSafe(F.col("name"))) & (F.col("author_email").eqNullSafe(F.col("email")))).drop("name", "email")
     co = own.select("commit_id", F.col("author").alias("main"), F.explode("coauthors").alias("w")).join(who, (F.coalesce("w.name", F.lit("")) == F.col("name")) & (F.coalesce("w.email", F.lit("")) == F.col("email")))
-    co = co.filter(F.col("author") != F.col("main")).groupBy("commit_id").agg(F.sort_array(F.collect_set("author")).alias("co"))
+    co = co.filter(F.col("author") != F.col("main")).groupBy("commit_id").agg(F.sort_array(F.collect_list("author")).alias("co"))
     commits = own.join(co, "commit_id", "left").select("commit_id", "repo", "ts", "author", F.coalesce("co", F.array().cast("array<bigint>")).alias("coauthors"), "message")
     bots = people.filter("bot").select(F.col("person").alias("author")).distinct()
-    authors = people.groupBy(F.col("person").alias("author")).agg(F.max("team").alias("team"))
-    return build(commits, changes.select(commit.alias("commit_id"), file.alias("file"), "added", "deleted"), f, authors, bots, params, staged)
+    authors = people.groupBy(F.col("person").alias("author")).agg(F.max("team").alias("team"), F.min("display").alias("name"))
+    called = changes.select(commit.alias("commit_id"), "path", file.alias("file"))
+    return build(commits, changes.select(commit.alias("commit_id"), file.alias("file"), "added", "deleted"), f, authors, bots, params, staged, called)

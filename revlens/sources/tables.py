@@ -78,6 +78,6 @@ def from_tables(spark: SparkSession, sf_dir: str, params: Params = TABLE_PARAMS,
     # An order and its lines' types, before the ids are put together and the messages joined.
     commits = lines.select("l_orderkey", F.col("p_type").alias("repo")).distinct().join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     commits = commits.withColumn("commit_id", F.concat_ws(":", F.col("l_orderkey").cast("string"), "repo")).drop("l_orderkey", "o_orderkey")
-    authors = customers.select(F.col("c_custkey").alias("author"), F.col("c_nationkey").cast("string").alias("team"))
+    authors = customers.select(F.col("c_custkey").alias("author"), F.col("c_nationkey").cast("string").alias("team"), F.col("c_name").alias("name"))
     bots = customers.filter(F.col("c_mktsegment") == "MACHINERY").select(F.col("c_custkey").alias("author"))
     return build(commits, changes, part_files(spark, sf_dir), authors, bots, params, staged)
