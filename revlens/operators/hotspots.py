@@ -51,8 +51,14 @@ def author_lines(model: Model, level: str, scope: Scope = Scope()) -> DataFrame:
 
 
 def sizes(model: Model, level: str, scope: Scope = Scope()) -> DataFrame:
-    """level's size from its alive files, tests only where there is nothing else."""
-    f = normalized_files(model).filter(scope.files())
+    """level's size from its alive files, tests only where there is nothing else.
+
+    A file's or entity's size is that of all its files, wherever one of them is in scope; units and repos have the size of
+    what is in scope.
+    """
+    f = normalized_files(model)
+    inside = f.filter(scope.files())
+    f = inside if level in ("unit", "repo") or not scope.narrows() else f.join(inside.select(level).distinct(), level, "left_semi")
     some = F.max((~F.col("test")).cast("int")).over(Window.partitionBy(level)) == 1
     f = f.withColumn("some", some).filter(~F.col("some") | ~F.col("test"))
     return f.groupBy(level).agg(
@@ -67,8 +73,8 @@ def sizes(model: Model, level: str, scope: Scope = Scope()) -> DataFrame:
     )
 
 
-def hotspots(model: Model, level: str = "entity", scope: Scope = Scope()) -> DataFrame:
-    """One ranked row for each key with an alive file in scope, its score from 0 to 1."""
+def scored(model: Model, level: str = "entity", scope: Scope = Scope()) -> DataFrame:
+    """A row for each key with an alive file in scope: its size, history and people, norm and score, not ranked."""
     r = sizes(model, level, scope).join(history(model, level, scope), level, "left").join(author_lines(model, level, scope), level, "left")
     r = r.fillna(0, ["revisions", "rev_w", "defects", "churn", "authors", "active_authors"])
     r = r.withColumn("weighted_r", F.round("weighted", 6))
@@ -79,8 +85,12 @@ def hotspots(model: Model, level: str = "entity", scope: Scope = Scope()) -> Dat
     r = r.join(F.broadcast(top))  # one row
     freq = F.when(F.col("max_rw") > 0, F.least(F.log(1 + F.col("rev_w")) / F.log(1 + F.col("max_rw")), F.lit(1.0))).otherwise(0.0)
     r = r.withColumn("score", F.when(F.col("revisions") == 0, 0.0).otherwise(F.round(freq * F.col("norm"), 3)))
-    r = r.withColumn("rev_w", F.round("rev_w", 4))
-    r = with_rank(r, "rank", F.desc("score"), F.desc("rev_w"), F.asc(level))
+    return r.withColumn("rev_w", F.round("rev_w", 4))
+
+
+def hotspots(model: Model, level: str = "entity", scope: Scope = Scope()) -> DataFrame:
+    """One ranked row for each key with an alive file in scope, its score from 0 to 1."""
+    r = with_rank(scored(model, level, scope), "rank", F.desc("score"), F.desc("rev_w"), F.asc(level))
     return r.select(
         "rank",
         F.col(level).alias("name"),

@@ -1,13 +1,13 @@
-"""One-row overview, the leaves of the hotspot tree, commit timelines and change risk."""
+"""One-row overview, the leaves of the hotspot tree, commit timelines, and what changes consist of."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revlens.operators.coupling import coupling, missed_by_change
+from revlens.operators.coupling import coupling
 from revlens.operators.hotspots import hotspots, sizes
-from revlens.operators.social import knowledge, ownership
+from revlens.operators.social import ownership
 from revlens.plans.model import Model
 
 
@@ -88,52 +88,6 @@ def owners_by_loc(model: Model, level: str = "entity") -> DataFrame:
     return owned.groupBy("author").agg(F.count("*").alias("keys"), F.sum("loc").alias("loc")).orderBy(F.desc("loc"), "author")
 
 
-def reviewers(model: Model, changes: DataFrame, limit: int = 3) -> DataFrame:
-    """change, reviewer, share for changes(change, commit_id): active people who know most of what is touched and are no authors of it."""
-    touched = changes.join(model.changes.select("commit_id", "file"), "commit_id").select("change", "file").distinct()
-    own = changes.join(model.commits.select("commit_id", F.explode("authors").alias("author")), "commit_id").select("change", "author").distinct()
-    k = touched.join(knowledge(model, "file"), "file").join(own, ["change", "author"], "left_anti").groupBy("change", "author").agg(F.sum("lines").alias("lines"))
-    k = k.join(model.active().filter("active").select("author"), "author", "left_semi")
-    share = F.round(F.col("lines") / F.sum("lines").over(Window.partitionBy("change")), 3)
-    first = Window.partitionBy("change").orderBy(F.desc("share"), "author")
-    return k.withColumn("share", share).withColumn("k", F.row_number().over(first)).filter(F.col("k") <= limit).select("change", F.col("author").alias("reviewer"), "share")
-
-
-def change_risk(model: Model, changes: DataFrame, level: str = "file", metrics: DataFrame | None = None) -> DataFrame:
-    """change, risk, level, missed for changes(change, commit_id): risk from 0 to 100 and low, medium or high.
-
-    Counts the worst hotspot that is touched, the hotspots among the touched files, keys of level that usually change
-    along and did not, the size of the change, and whether its authors know what is touched. What comes of a source
-    parser counts where metrics(change, file, cc_before, cc_after, health_before, health_after) are given: how much more
-    complex functions got, and whether health drops; a file that is new or gone has null on one side.
-    """
-    rows = changes.join(model.changes, "commit_id").select("change", "file", F.col(level).alias("key"), "alive", "authors", "added", "deleted")
-    touched = rows.groupBy("change", "file").agg(F.sum(F.col("added") + F.col("deleted")).alias("lines"), F.max("alive").alias("alive"))
-    own = rows.select("change", F.explode("authors").alias("author")).distinct()
-    k = knowledge(model, "file").withColumnRenamed("lines", "own_lines")
-    k = k.withColumn("part", F.col("own_lines") / F.sum("own_lines").over(Window.partitionBy("file")))
-    known = touched.filter("alive").join(own, "change").join(k, ["file", "author"]).groupBy("change", "file").agg(F.sum("part").alias("part")).groupBy("change").agg(F.round(F.max("part"), 6).alias("known"))
-    h = hotspots(model, "file").select(F.col("name").alias("file"), "score", "revisions")
-    g = touched.join(h, "file", "left").groupBy("change").agg(
-        F.coalesce(F.max("score"), F.lit(0.0)).alias("worst"),
-        F.count_if(F.col("score") >= 0.5).alias("hot"),
-        F.sum("lines").alias("lines"),
-        F.max(F.coalesce("revisions", F.lit(0))).alias("busiest"),
-    )
-    missed = missed_by_change(model, rows.select("change", "key"), level).groupBy("change").agg(F.count_if(F.col("kind") != "test").alias("missed"), F.count_if(F.col("kind") == "test").alias("missed_tests"))
-    g = g.join(known, "change", "left").join(missed, "change", "left").fillna(0, ["known", "missed", "missed_tests"])
-    size = F.when(F.col("lines") > 1500, 15).when(F.col("lines") > 500, 10).otherwise(0)
-    new = F.when((F.col("known") < 0.1) & (F.col("busiest") >= 5), 10).otherwise(0)
-    risk = 40 * F.col("worst") + F.least(5 * F.col("hot"), F.lit(15)) + F.least(7 * F.col("missed") + 3 * F.col("missed_tests"), F.lit(20)) + size + new
-    if metrics is not None:
-        rise = F.greatest(F.coalesce("cc_after", F.lit(0)) - F.coalesce("cc_before", F.lit(0)), F.lit(0))
-        m = metrics.groupBy("change").agg(F.sum(rise).alias("rise"), F.max(F.coalesce(F.col("health_after") + 0.5 <= F.col("health_before"), F.lit(False))).alias("drops"))
-        g = g.join(m, "change", "left").fillna(0, ["rise"]).fillna(False, ["drops"])
-        risk = risk + F.least("rise", F.lit(15)) + F.when(F.col("drops"), 5).otherwise(0)
-    g = g.withColumn("risk", F.round(F.least(F.lit(100.0), risk)).cast("long"))
-    return g.select("change", "risk", F.when(F.col("risk") < 30, "low").when(F.col("risk") < 60, "medium").otherwise("high").alias("level"), (F.col("missed") + F.col("missed_tests")).alias("missed"))
-
-
 def newest_commits(model: Model) -> DataFrame:
     """(change, commit_id): each repo's newest commit as a change."""
     return model.commits.groupBy("repo").agg(F.max(F.struct("ts", "commit_id")).alias("p")).select(F.col("repo").alias("change"), F.col("p.commit_id").alias("commit_id"))

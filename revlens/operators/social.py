@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from revlens.functions.numeric import DAY, decay
+from revlens.functions.numeric import DAY, decay, with_rank
+from revlens.operators.hotspots import scored
 from revlens.plans.model import Model, Scope
 
 
@@ -44,15 +45,54 @@ def team_shares(model: Model, level: str = "unit") -> DataFrame:
     return k.select(F.col(level).alias("name"), "team", F.round(F.col("lines") / F.sum("lines").over(Window.partitionBy(level)), 4).alias("share"))
 
 
-def experts(model: Model, files: DataFrame, exclude: tuple[int, ...] = ()) -> DataFrame:
-    """author, score, touches, last_ts: recent work on files(file); a commit counts for each file that it touches."""
-    rows = model.changes.join(files.select("file").distinct(), "file", "left_semi")
-    per = rows.groupBy("commit_id").agg(F.count_distinct("file").alias("k"), F.sum(F.col("added") + 1).alias("lines"), F.max("ts").alias("ts"), F.max("now").alias("now"), F.first("authors").alias("authors"))
+def experts_by(model: Model, touched: DataFrame, exclude: DataFrame | None = None) -> DataFrame:
+    """change, place, author, name, score, touches, last_ts for touched(change, file): active people by their recent work on a change's files.
+
+    A commit counts for each of these files that it touches. score is the share of all active people's work; those of
+    exclude(change, author) are left out after that. People next to each other with one name are told once.
+    """
+    t = touched.select("change", "file").distinct()
+    rows = model.changes.select("file", "commit_id", "added", "ts", "now", "authors").join(t, "file")
+    per = rows.groupBy("change", "commit_id").agg(F.count_distinct("file").alias("k"), F.sum(F.col("added") + 1).alias("lines"), F.max("ts").alias("ts"), F.max("now").alias("now"), F.first("authors").alias("authors"))
     value = F.col("k") * decay(F.col("now") - F.col("ts"), 2 * model.params.half_life_days) * F.log(1 + F.col("lines"))
-    e = per.select(F.explode("authors").alias("author"), value.alias("v"), "k", "ts").groupBy("author").agg(F.sum("v").alias("v"), F.sum("k").alias("touches"), F.max("ts").alias("last_ts"))
+    e = per.select("change", F.explode("authors").alias("author"), value.alias("v"), "k", "ts").groupBy("change", "author").agg(F.sum("v").alias("v"), F.sum("k").alias("touches"), F.max("ts").alias("last_ts"))
     e = e.join(model.active().filter("active").select("author"), "author", "left_semi")
-    e = e.withColumn("score", F.round(F.col("v") / F.sum("v").over(Window.partitionBy()), 4)).filter(~F.col("author").isin(*exclude) if exclude else F.lit(True))
-    return e.select("author", "score", "touches", "last_ts").orderBy(F.desc("score"), "author")
+    total = F.sum("v").over(Window.partitionBy("change"))
+    e = e.withColumn("score", F.when(total > 0, F.round(F.col("v") / total, 3)).otherwise(0.0))
+    if exclude is not None:
+        e = e.join(exclude.select("change", "author").distinct(), ["change", "author"], "left_anti")
+    e = e.join(model.names(), "author", "left")
+    order = Window.partitionBy("change").orderBy(F.desc("score"), "name", "author")
+    e = e.withColumn("before", F.lag("name").over(order)).filter(~F.col("name").eqNullSafe(F.col("before")) | F.col("name").isNull())
+    return e.select("change", F.row_number().over(order).cast("long").alias("place"), "author", "name", "score", "touches", "last_ts")
+
+
+def experts(model: Model, files: DataFrame, exclude: tuple[int, ...] = ()) -> DataFrame:
+    """author, name, score, touches, last_ts: experts_by() for one set of files(file), best first."""
+    without = None if not exclude else model.authors.select(F.lit(0).alias("change"), "author").filter(F.col("author").isin(*exclude))
+    found = experts_by(model, files.select(F.lit(0).alias("change"), "file"), without)
+    return found.orderBy("place").select("author", "name", "score", "touches", "last_ts")
+
+
+def ownership_report(model: Model, level: str = "entity", scope: Scope = Scope(), top: int = 8) -> DataFrame:
+    """ownership() with place, test, score, the first authors and the teams of each key: code before tests, then by hotspot score, then by name.
+
+    top_authors are (author, share), largest share first; teams are (team, share) of all authors, people without a team apart.
+    """
+    k = knowledge(model, level, scope).join(model.active().select("author", "team"), "author")
+    share = F.col("lines") / F.sum("lines").over(Window.partitionBy(level))
+    k = k.withColumn("share", F.round(share, 9))
+    order = Window.partitionBy(level).orderBy(F.desc("share"), "author")
+    first = k.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= top).groupBy(level).agg(F.sort_array(F.collect_list(F.struct("k", "author", F.round("share", 3).alias("share")))).alias("a"))
+    first = first.select(F.col(level).alias("name"), F.transform("a", lambda x: F.struct(x["author"].alias("author"), x["share"].alias("share"))).alias("top_authors"))
+    teams = k.filter("team is not null").groupBy(level, "team").agg(F.round(F.sum("share"), 3).alias("share")).groupBy(level).agg(F.sort_array(F.collect_list(F.struct((-F.col("share")).alias("less"), "team", "share"))).alias("t"))
+    teams = teams.select(F.col(level).alias("name"), F.transform("t", lambda x: F.struct(x["team"].alias("team"), x["share"].alias("share"))).alias("teams"))
+    o = ownership(model, level, scope).join(first, "name").join(teams, "name", "left")
+    o = o.withColumn("teams", F.coalesce("teams", F.array().cast(o.schema["teams"].dataType)))
+    test = F.min("test") if level in ("file", "entity") else F.lit(False)  # over a key's files; units and repos are no tests
+    o = o.join(model.files.groupBy(F.col(level).alias("name")).agg(test.alias("test")), "name")
+    o = o.join(scored(model, level, scope).select(F.col(level).alias("name"), "score"), "name", "left").fillna(0.0, ["score"])
+    return with_rank(o, "place", F.asc("test"), F.desc("score"), F.asc("name"))
 
 
 def defect_baseline(model: Model) -> DataFrame:

@@ -73,6 +73,10 @@ class Scope:
             ok &= F.col("file").startswith(self.path.removeprefix("./"))
         return ok
 
+    def narrows(self) -> bool:
+        """Whether it leaves out files."""
+        return (self.repo, self.unit, self.path) != (None, None, None)
+
     def commits(self) -> Column:
         return F.lit(True) if self.days is None else F.col("ts") >= F.col("now") - F.lit(int(self.days * DAY))
 

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from revlens.operators import coupling as cp
 from revlens.operators import findings as fd
+from revlens.operators import diff as df
 from revlens.operators import overview as ov
 from revlens.operators.coupling import anchored_sessions, coupling
 from revlens.operators.hotspots import hotspots
@@ -117,13 +118,14 @@ def test_risk_of_a_change(spark, bakery):
     """A newcomer changes yeast alone: dough is missed, and so is the receipt; then the same with what a parser found."""
     c = spark.createDataFrame([("one", "d1"), ("two", "e0"), ("two", "e1")], "change string, commit_id string")
     h = {r["name"]: r["score"] for r in hotspots(bakery, "file").collect()}
-    got = {r["change"]: r for r in ov.change_risk(bakery, c).collect()}
+    got = {r["change"]: r for r in df.change_risk(bakery, c).collect()}
     # One: dough and yeast, by their main author; receipt, by ticket, and the test of dough are missed.
     hot = sum(x >= 0.5 for x in (h["dough.ts"], h["yeast.ts"]))
     assert got["one"]["missed"] == 1 and got["one"]["risk"] == round(40 * max(h["dough.ts"], h["yeast.ts"]) + 5 * hot + 7)
-    metrics = spark.createDataFrame([("one", "dough.ts", 3, 9, 8.0, 7.5), ("one", "yeast.ts", 9, 2, 5.0, 5.0), ("one", "new.ts", None, 2, None, 9.0)], "change string, file string, cc_before int, cc_after int, health_before double, health_after double")
-    assert ov.change_risk(bakery, c, metrics=metrics).filter("change = \'one\'").first()["risk"] == min(100, got["one"]["risk"] + 8 + 5)
-    assert {(r["change"], r["reviewer"]) for r in ov.reviewers(bakery, c).collect()} == {("one", 11), ("two", 10)}
+    worse = spark.createDataFrame([("one", 8, True)], "change string, rise long, drops boolean")
+    assert df.change_risk(bakery, c, worse=worse).filter("change = 'one'").first()["risk"] == min(100, got["one"]["risk"] + 8 + 5)
+    # Dough is known by 10 and 11, the first of whom wrote change one.
+    assert [(r["change"], r["place"], r["reviewer"]) for r in df.reviewers(bakery, c).orderBy("change").collect()] == [("one", 1, 11), ("two", 1, 10)]
 
 
 def test_overview_and_tree(bakery):
