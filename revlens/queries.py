@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from revlens.functions import paths
 from revlens.functions.numeric import with_percentile
 from revlens.operators import coupling as cp
+from revlens.operators import diff as df
 from revlens.operators import findings as fd
 from revlens.operators import hotspots as hs
 from revlens.operators import overview as ov
@@ -45,8 +46,10 @@ nf AS (SELECT *, (CASE WHEN count(*) OVER (PARTITION BY lang) < 5 THEN least(com
                   ELSE (rank() OVER (PARTITION BY lang ORDER BY complexity) - 1 + (count(*) OVER (PARTITION BY lang, complexity) - 1) / 2.0::DOUBLE) / (count(*) OVER (PARTITION BY lang) - 1) END) * lw AS norm_cx FROM fl WHERE alive)"""
 
 
-def hotspot_ctes(level: str, days: int | None = None, tag: str = "") -> str:
-    when = f"AND ts >= now - {days} * 86400" if days else ""
+def hotspot_ctes(level: str, days: int | None = None, tag: str = "", path: str | None = None) -> str:
+    """path: a beginning of file names; files and entities with one such file keep the size of all their files."""
+    when = (f"AND ts >= now - {days} * 86400 " if days else "") + (f"AND starts_with(file, '{path}')" if path else "")
+    sized = f"nf WHERE {level} IN (SELECT {level} FROM nf WHERE starts_with(file, '{path}'))" if path else "nf"
     norm = "CASE WHEN count(*) OVER () = 1 THEN 1.0 ELSE (rank() OVER (ORDER BY wr) - 1 + (count(*) OVER (PARTITION BY wr) - 1) / 2.0::DOUBLE) / (count(*) OVER () - 1) END" if level in ("unit", "repo") else "max_norm"
     return f""",
 hp{tag} AS (SELECT {level} AS name, commit_id, max(weight * exp(-(greatest((now - ts) / 86400.0::DOUBLE, 0.0) / 180.0::DOUBLE) * 0.6931471805599453::DOUBLE)) AS w, max(defect) AS defect, max(ts) AS ts, sum(added + deleted) AS churn
@@ -55,7 +58,7 @@ hh{tag} AS (SELECT name, count(*) AS revisions, sum(w) AS rev_w, sum(defect::INT
 hl{tag} AS (SELECT name, author, sum(l) AS lines FROM (SELECT {level} AS name, unnest(authors) AS author, (added + 1) / len(authors)::DOUBLE AS l FROM ch WHERE true {when}) GROUP BY 1, 2),
 ha{tag} AS (SELECT name, count(*) AS authors, sum(active::INT) AS active_authors, arg_max(author, (round(lines, 6), -author)) AS main_dev, round(max(lines) / sum(lines), 4) AS main_share FROM hl{tag} LEFT JOIN ac USING (author) GROUP BY 1),
 hz{tag} AS (SELECT {level} AS name, sum(loc) AS loc, sum(complexity) AS complexity, count(*) AS files, min(health) AS health, bool_and(test) AS test, bool_or(lw >= 0.5) AS code, max(norm_cx) AS max_norm, round(sum(complexity * lw), 6) AS wr
-       FROM (SELECT *, bool_or(NOT test) OVER (PARTITION BY {level}) AS sm FROM nf) WHERE NOT sm OR NOT test GROUP BY 1),
+       FROM (SELECT *, bool_or(NOT test) OVER (PARTITION BY {level}) AS sm FROM {sized}) WHERE NOT sm OR NOT test GROUP BY 1),
 hj{tag} AS (SELECT name, hz{tag}.* EXCLUDE (name), coalesce(revisions, 0) AS revisions, coalesce(rev_w, 0) AS rev_w, coalesce(defects, 0) AS defects, coalesce(churn, 0) AS churn, last_ts, coalesce(authors, 0) AS authors, coalesce(active_authors, 0) AS active_authors, main_dev, main_share,
               {norm} * CASE WHEN test THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS norm FROM hz{tag} LEFT JOIN hh{tag} USING (name) LEFT JOIN ha{tag} USING (name)),
 ht{tag} AS (SELECT CASE WHEN coalesce(max(rev_w) FILTER (code AND NOT test), 0) > 0 THEN max(rev_w) FILTER (code AND NOT test) ELSE max(rev_w) END AS m FROM hj{tag}),
@@ -74,11 +77,16 @@ own{tag} AS (SELECT name, arg_max(author, (share, -author)) AS main_dev, round(m
         count(*) FILTER (before <= 0.5) AS bus_factor, count(*) AS authors, coalesce(any_value(recent_authors), 0) AS recent_authors FROM kb{tag} LEFT JOIN ra{tag} USING (name) GROUP BY 1)"""
 
 
-def coupling_ctes(level: str, by: str = "commit", tag: str = "", support: int = 5, conf: float = 0.05, lift: float = 1.5) -> str:
+def coupling_ctes(level: str, by: str = "commit", tag: str = "", support: int = 5, conf: float = 0.05, lift: float = 1.5, every: bool = False) -> str:
+    """every: also pairs with tests, of configuration, and of files of one entity."""
     small = level in ("file", "entity")
+    hidden = "" if every else "AND NOT ka.test AND NOT kb.test AND NOT ka.config AND NOT kb.config AND NOT same_entity "
+    stem = lambda k: rf"regexp_replace(regexp_replace(string_split({k}, '/')[-1], '(.)\.[^.]*$', '\1'), '{paths.TEST_SUFFIX}', '')"
     sets = (
         f"SELECT commit_id AS set_id, {level} AS key, max(ts) AS ts FROM ch WHERE couples GROUP BY 1, 2"
         if by == "commit"
+        else f"SELECT set_id, {level} AS key, max(sts) AS ts FROM cs JOIN ch ON ch.commit_id = cs.id WHERE couples GROUP BY 1, 2"
+        if by == "session"
         else f"SELECT ticket AS set_id, {level} AS key, max(sts) AS ts FROM (SELECT *, count(*) OVER (PARTITION BY ticket) AS n, max(ts) OVER (PARTITION BY ticket) AS sts FROM ch WHERE couples) WHERE n <= 8 GROUP BY 1, 2"
     )
     return f""",
@@ -87,10 +95,24 @@ mg{tag} AS (SELECT key, count(*) AS n FROM st{tag} GROUP BY 1),
 pr{tag} AS (SELECT x.key AS a, y.key AS b, count(*) AS support, sum((x.ts >= now - 180 * 86400)::INT) AS recent FROM st{tag} x JOIN st{tag} y ON x.set_id = y.set_id AND x.key < y.key, ctx GROUP BY 1, 2),
 pm{tag} AS (SELECT pr{tag}.*, ma.n AS n_a, mb.n AS n_b, support / ma.n::DOUBLE AS conf_ab, support / mb.n::DOUBLE AS conf_ba, support * (SELECT count(DISTINCT set_id) FROM st{tag}) / (ma.n * mb.n)::DOUBLE AS lift, support / (ma.n + mb.n - support)::DOUBLE AS jaccard
        FROM pr{tag} JOIN mg{tag} ma ON a = ma.key JOIN mg{tag} mb ON b = mb.key WHERE support >= {support}),
-ky{tag} AS (SELECT {level} AS key, max(repo) AS repo, {"NULL" if level == "repo" else "arg_min(unit, (test, file))"} AS unit, bool_or(alive) AS alive, {"bool_and(test)" if small else "false"} AS test, {"bool_and(lang = 'data')" if small else "false"} AS config FROM fl GROUP BY 1),
+ky{tag} AS (SELECT {level} AS key, max(repo) AS repo, {"NULL" if level == "repo" else "arg_min(unit, (test, file))"} AS unit, min(entity) AS entity, bool_or(alive) AS alive, {"bool_and(test)" if small else "false"} AS test, {"bool_and(lang = 'data')" if small else "false"} AS config FROM fl GROUP BY 1),
 cpl{tag} AS (SELECT a, b, support, recent::BIGINT AS recent, n_a, n_b, round(conf_ab, 3) AS conf_ab, round(conf_ba, 3) AS conf_ba, round(lift, 3) AS lift, round(jaccard, 3) AS jaccard,
-        ka.repo <> kb.repo OR ka.unit IS DISTINCT FROM kb.unit AS cross_unit, ka.repo <> kb.repo AS cross_repo, false AS same_entity, false AS test_pair, false AS involves_test, false AS involves_config, round(greatest(conf_ab, conf_ba) * (1 - 1 / sqrt(support)), 6) AS strength
-        FROM pm{tag} JOIN ky{tag} ka ON a = ka.key JOIN ky{tag} kb ON b = kb.key WHERE ka.alive AND kb.alive AND NOT ka.test AND NOT kb.test AND NOT ka.config AND NOT kb.config AND greatest(conf_ab, conf_ba) >= {conf} AND lift >= {lift})"""
+        ka.repo <> kb.repo OR ka.unit IS DISTINCT FROM kb.unit AS cross_unit, ka.repo <> kb.repo AS cross_repo, {"ka.entity = kb.entity" if level == "file" else "false"} AS same_entity, ka.test <> kb.test AND {stem("a")} = {stem("b")} AS test_pair, ka.test OR kb.test AS involves_test, ka.config OR kb.config AS involves_config, round(greatest(conf_ab, conf_ba) * (1 - 1 / sqrt(support)), 6) AS strength
+        FROM pm{tag} JOIN ky{tag} ka ON a = ka.key JOIN ky{tag} kb ON b = kb.key WHERE ka.alive AND kb.alive {hidden}AND greatest(conf_ab, conf_ba) >= {conf} AND lift >= {lift})"""
+
+
+def expert_ctes(touched: str, authors: str = "SELECT NULL AS change, NULL AS author WHERE false") -> str:
+    """ex: change, place, author, name, score, touches, last_ts for touched as SQL for (change, file), but for authors(change, author)."""
+    return f""",
+et AS ({touched}),
+ep AS (SELECT change, commit_id, count(DISTINCT file) AS k, sum(added + 1) AS lines, max(ts) AS ts, any_value(authors) AS authors FROM ch JOIN et USING (file) GROUP BY 1, 2),
+ev AS (SELECT change, unnest(authors) AS author, k * exp(-(greatest((now - ts) / 86400.0::DOUBLE, 0.0) / 360.0::DOUBLE) * 0.6931471805599453::DOUBLE) * ln(1 + lines) AS v, k, ts FROM ep, ctx),
+eg AS (SELECT change, author, sum(v) AS v, sum(k)::BIGINT AS touches, max(ts) AS last_ts FROM ev WHERE author IN (SELECT author FROM ac WHERE active) GROUP BY 1, 2),
+es AS (SELECT change, author, c_name AS name, round(v / sum(v) OVER (PARTITION BY change), 3) AS score, touches, last_ts FROM eg JOIN customer ON author = c_custkey),
+ex AS (SELECT *, row_number() OVER (PARTITION BY change ORDER BY score DESC, name) AS place FROM es WHERE NOT EXISTS (SELECT 1 FROM ({authors}) o WHERE o.change = es.change AND o.author = es.author))"""
+
+
+_BRAND_FILES = "SELECT 0 AS change, file FROM fl WHERE unit LIKE '%Brand#11'"
 
 
 def query(name: str, sql: str | None = None):
@@ -172,9 +194,7 @@ query("bus_factor", f"{BASE}{ownership_ctes('repo')} SELECT name, bus_factor, au
 query("team_shares", f"{BASE}{ownership_ctes('unit')}, ts AS (SELECT name, c_nationkey::VARCHAR AS team, sum(lines) AS l FROM kn JOIN customer ON author = c_custkey GROUP BY 1, 2) SELECT name, team, round(l / sum(l) OVER (PARTITION BY name), 4) AS share FROM ts")(lambda s, d: so.team_shares(model_of(s, d)))
 query(
     "experts",
-    f"{BASE}, pc AS (SELECT commit_id, count(DISTINCT file) AS k, sum(added + 1) AS lines, max(ts) AS ts, any_value(authors) AS authors FROM ch WHERE unit LIKE '%Brand#11' GROUP BY 1), "
-    "ev AS (SELECT unnest(authors) AS author, k * exp(-(greatest((now - ts) / 86400.0::DOUBLE, 0.0) / 360.0::DOUBLE) * 0.6931471805599453::DOUBLE) * ln(1 + lines) AS v, k, ts FROM pc, ctx), "
-    "eg AS (SELECT author, sum(v) AS v, sum(k)::BIGINT AS touches, max(ts) AS last_ts FROM ev GROUP BY 1) SELECT author, round(v / sum(v) OVER (), 4) AS score, touches, last_ts FROM eg WHERE author IN (SELECT author FROM ac WHERE active)",
+    f"{BASE}{expert_ctes(_BRAND_FILES)} SELECT author, name, score, touches, last_ts FROM ex",
 )(lambda s, d: (lambda m: so.experts(m, m.files.filter(F.col("unit").endswith("Brand#11"))))(model_of(s, d)))
 query("recent_authors", f"{BASE}{ownership_ctes('entity')} SELECT name AS entity, recent_authors FROM ra")(lambda s, d: so.recent_authors(model_of(s, d), "entity"))
 query("repo_defect_baseline", f"{BASE} SELECT repo, round(avg(defect::INT), 4) AS baseline, count(*) AS commits FROM c WHERE NOT format GROUP BY 1")(lambda s, d: so.defect_baseline(model_of(s, d)))
@@ -257,29 +277,35 @@ query(
 query("owners_by_loc", f"{BASE}{hotspot_ctes('entity')}{ownership_ctes('entity')} SELECT own.main_dev AS author, count(*) AS keys, sum(loc)::BIGINT AS loc FROM own JOIN hz USING (name) GROUP BY 1")(lambda s, d: ov.owners_by_loc(model_of(s, d)))
 query(
     "reviewers",
-    f"{BASE}{ownership_ctes('file')}, tf AS (SELECT DISTINCT ticket AS change, file FROM ch), wa AS (SELECT DISTINCT ticket AS change, unnest(authors) AS author FROM c), "
-    "kr AS (SELECT change, author, sum(lines) AS l FROM tf JOIN kn ON name = file WHERE NOT EXISTS (SELECT 1 FROM wa WHERE wa.change = tf.change AND wa.author = kn.author) AND author IN (SELECT author FROM ac WHERE active) GROUP BY 1, 2), "
-    "sr AS (SELECT change, author, round(l / sum(l) OVER (PARTITION BY change), 3) AS share FROM kr), rr AS (SELECT *, row_number() OVER (PARTITION BY change ORDER BY share DESC, author) AS k FROM sr) SELECT change, author AS reviewer, share FROM rr WHERE k <= 3",
-)(lambda s, d: (lambda m: ov.reviewers(m, ov.ticket_changes(m)))(model_of(s, d)))
+    f"{BASE}{expert_ctes('SELECT DISTINCT ticket AS change, file FROM ch', 'SELECT DISTINCT ticket AS change, unnest(authors) AS author FROM c')} SELECT change, place, author AS reviewer, name, score FROM ex WHERE place <= 5",
+)(lambda s, d: (lambda m: df.reviewers(m, ov.ticket_changes(m)))(model_of(s, d)))
 
 
-def risk_sql(changes: str) -> str:
-    """For changes as SQL for (change, commit_id)."""
-    return f"""{BASE}{hotspot_ctes("file")}{ownership_ctes("file")}, cg AS ({changes}),
-rw AS (SELECT change, ch.* FROM cg JOIN ch USING (commit_id)){missed_ctes("SELECT DISTINCT change, unit AS key FROM rw")},
-tf AS (SELECT change, file, sum(added + deleted) AS n, bool_or(alive) AS alive FROM rw GROUP BY 1, 2),
-wa AS (SELECT DISTINCT change, unnest(authors) AS author FROM rw),
+def risk_ctes(touched: str, people: str, worse: str = "SELECT NULL AS change, 0 AS rise, false AS drops WHERE false") -> str:
+    """rs: change, risk, missed for touched(change, file, n), people(change, author) and worse(change, rise, drops), each as SQL; units are missed."""
+    return f"""{hotspot_ctes("file")}{ownership_ctes("file")},
+tf AS (SELECT t.change, t.file, sum(n) AS n, any_value(unit) AS unit, bool_or(alive) AS alive FROM ({touched}) t LEFT JOIN fl USING (file) GROUP BY 1, 2){missed_ctes("SELECT DISTINCT change, unit AS key FROM tf WHERE unit IS NOT NULL")},
+wa AS ({people}),
+wo AS ({worse}),
 kp AS (SELECT name, author, lines / sum(lines) OVER (PARTITION BY name) AS part FROM kn),
 kc AS (SELECT change, round(max(p), 6) AS known FROM (SELECT tf.change, tf.file, sum(part) AS p FROM tf JOIN wa USING (change) JOIN kp ON kp.name = tf.file AND kp.author = wa.author WHERE alive GROUP BY 1, 2) GROUP BY 1),
 rg AS (SELECT change, coalesce(max(score), 0) AS worst, count(*) FILTER (score >= 0.5) AS hot_, sum(n) AS n, max(coalesce(revisions, 0)) AS busiest FROM tf LEFT JOIN hot ON hot.name = tf.file GROUP BY 1),
 mn AS (SELECT change, count(*) AS missed FROM ms GROUP BY 1),
 rs AS (SELECT change, coalesce(missed, 0) AS missed, round(least(100.0, 40 * worst + least(5 * hot_, 15) + least(7 * coalesce(missed, 0), 20) + CASE WHEN n > 1500 THEN 15 WHEN n > 500 THEN 10 ELSE 0 END
-         + CASE WHEN coalesce(known, 0) < 0.1 AND busiest >= 5 THEN 10 ELSE 0 END))::BIGINT AS risk FROM rg LEFT JOIN kc USING (change) LEFT JOIN mn USING (change))
-SELECT change, risk, CASE WHEN risk < 30 THEN 'low' WHEN risk < 60 THEN 'medium' ELSE 'high' END AS level, missed FROM rs"""
+         + CASE WHEN change IN (SELECT change FROM wa) AND coalesce(known, 0) < 0.1 AND busiest >= 5 THEN 10 ELSE 0 END
+         + least(coalesce(rise, 0), 15) + CASE WHEN drops THEN 5 ELSE 0 END))::BIGINT AS risk FROM rg LEFT JOIN kc USING (change) LEFT JOIN mn USING (change) LEFT JOIN wo USING (change))"""
 
 
-query("diff_risk", risk_sql("SELECT repo AS change, arg_max(commit_id, (ts, commit_id)) AS commit_id FROM c GROUP BY 1"))(lambda s, d: (lambda m: ov.change_risk(m, ov.newest_commits(m), "unit"))(model_of(s, d)))
-query("ticket_risk", risk_sql("SELECT DISTINCT ticket AS change, commit_id FROM c"))(lambda s, d: (lambda m: ov.change_risk(m, ov.ticket_changes(m), "unit"))(model_of(s, d)))
+RISK = "SELECT change, risk, CASE WHEN risk < 30 THEN 'low' WHEN risk < 60 THEN 'medium' ELSE 'high' END AS level, missed FROM rs"
+
+
+def risk_sql(changes: str) -> str:
+    """For changes as SQL for (change, commit_id)."""
+    return f"{BASE}, cg AS ({changes}), rw AS (SELECT change, ch.* FROM cg JOIN ch USING (commit_id)){risk_ctes('SELECT change, file, added + deleted AS n FROM rw', 'SELECT DISTINCT change, unnest(authors) AS author FROM rw')} {RISK}"
+
+
+query("diff_risk", risk_sql("SELECT repo AS change, arg_max(commit_id, (ts, commit_id)) AS commit_id FROM c GROUP BY 1"))(lambda s, d: (lambda m: df.change_risk(m, ov.newest_commits(m), "unit"))(model_of(s, d)))
+query("ticket_risk", risk_sql("SELECT DISTINCT ticket AS change, commit_id FROM c"))(lambda s, d: (lambda m: df.change_risk(m, ov.ticket_changes(m), "unit"))(model_of(s, d)))
 
 _SEV = "round(greatest(1.0, least(100.0, {})))::BIGINT AS severity"
 for _kind, _sql in {
@@ -305,7 +331,10 @@ t AS (SELECT hub, members, crs, w, best[1] AS dg, best[2] AS support FROM cl JOI
 SELECT 'hidden_coupling' AS kind, hub AS subject, {_SEV.format("35 + 45 * dg * least(support / 15.0::DOUBLE, 1.0) + CASE WHEN crs THEN 8 ELSE 0 END + least(members - 1, 5)")} FROM t""",
 }.items():
     query(f"finding_{_kind}", _sql)(lambda s, d, rule=fd.RULES[_kind]: rule(fd.Facts(model_of(s, d))).select("kind", "subject", "severity"))
-_LABELS = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in fd.LABELS.items())
+_LABELS = (
+    "WHEN 'hotspot' THEN 'Hotspot' WHEN 'deteriorating_hotspot' THEN 'Deteriorating hotspot' WHEN 'hidden_coupling' THEN 'Hidden coupling' WHEN 'shotgun_surgery' THEN 'Ripple effect' "
+    "WHEN 'knowledge_loss' THEN 'Knowledge loss' WHEN 'bus_factor' THEN 'Bus factor' WHEN 'coordination' THEN 'Coordination bottleneck' WHEN 'defect_magnet' THEN 'Defect magnet'"
+)
 query(
     "findings_all",
     "SELECT printf('F%03d', row_number() OVER (ORDER BY severity DESC, kind, subject)) AS id, kind, CASE kind " + _LABELS + " END AS label, subject, severity FROM (" + " UNION ALL ".join(f"SELECT * FROM ({ORACLE[f'finding_{k}']})" for k in fd.RULES) + ")",

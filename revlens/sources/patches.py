@@ -43,7 +43,7 @@ def parse_patches(records: DataFrame) -> DataFrame:
     Records are cut into sections and hunks where they are read, without a shuffle. Records without a name have no rows.
     """
     sections = F.split("value", r"(?md)^diff --git ")
-    r = records.select("repo", F.trim(F.element_at(F.split(sections[0], "\n"), 1)).alias("sha"), F.explode(F.slice(sections, F.lit(2), F.size(sections))).alias("section")).filter(F.length("sha") >= 7)
+    r = records.select("repo", F.trim(F.element_at(F.split(sections[0], "\n"), 1)).alias("sha"), F.explode(F.slice(sections, F.lit(2), F.size(sections))).alias("section")).filter("sha <> ''")
     r = r.withColumn("head", F.regexp_extract("section", r"(?sd)^(.*?)(?=\n@@ |\z)", 1)).withColumn("names", F.element_at(F.split("head", "\n"), 1))
     line = lambda start: F.nullif(F.regexp_extract("head", rf"(?md)^{start} (.*)$", 1), F.lit(""))
     # A name that did not change stands there twice, in quotes if it is unusual.
