@@ -23,8 +23,8 @@ FUNCTION_KINDS = {"HttpInterceptorFn": "interceptor", "ResolveFn": "resolver", "
 VIEWS = ("component", "directive", "pipe")
 SCRIPTS = ("typescript", "tsx", "javascript")
 
-#: Comments and quoted texts, in which brackets and commas mean nothing.
-_ASIDE = r"""(?s)//[^\n]*+|/\*.*?\*/|"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'|`[^`\\]*+(?:\\.[^`\\]*+)*+`"""
+#: Comments, and quoted texts with their quote as a group: brackets and commas mean nothing in them.
+_ASIDE = r"""(?s)//[^\n]*+|/\*.*?\*/|(")[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|(')[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'|(`)[^`\\]*+(?:\\.[^`\\]*+)*+`"""
 _CONSTRUCTOR = r"(?<![\w.$])constructor\s*\("
 #: An arrow is no bracket; words only tell that something stands there.
 _TOKEN = r"=>|[()\[\]{}<>,]|[^\s()\[\]{}<>,=]+|="
@@ -36,7 +36,7 @@ def constructor_params(text: Column) -> Column:
     After each opening bracket the tokens are folded with the depth of brackets: commas outside of all brackets part the
     parameters, and the bracket that closes the list ends it.
     """
-    tails = F.slice(F.split(F.regexp_replace(text, _ASIDE, "''"), _CONSTRUCTOR), F.lit(2), F.lit(1 << 30))
+    tails = F.slice(F.split(F.regexp_replace(text, _ASIDE, " $1$2$3 "), _CONSTRUCTOR), F.lit(2), F.lit(1 << 30))
     start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("params"), F.lit(False).alias("some"), F.lit(False).alias("closed"), F.lit("").alias("behind"))
 
     def step(s: Column, t: Column) -> Column:

@@ -127,14 +127,14 @@ def change_risk(model: Model, changes: DataFrame, level: str = "file", worse: Da
     return risk_of(model, rows.select("change", "file", (F.col("added") + F.col("deleted")).alias("lines")), rows.select("change", F.explode("authors").alias("author")), level, worse)
 
 
-def diff_risk(model: Model, files: DataFrame, people: DataFrame, metrics: DataFrame, functions: DataFrame) -> DataFrame:
+def diff_risk(model: Model, files: DataFrame, people: DataFrame, metrics: DataFrame, functions: DataFrame, level: str = "file") -> DataFrame:
     """risk_of() for files(change, repo, path, old_path, status, old_blob, new_blob, added, deleted, and hunks where known) of revisions the model may not have.
 
     people(change, author) wrote it, null for whom the model does not know; metrics(blob, complexity, health) and
     functions(blob, fn, start, end, cc) are those of contents.
     """
     touched = with_file(model, files).select("change", "file", (F.col("added") + F.col("deleted")).alias("lines"))
-    return risk_of(model, touched, people, "file", rises(diff_functions(files, functions), diff_files(model, files, metrics)))
+    return risk_of(model, touched, people, level, rises(diff_functions(files, functions), diff_files(model, files, metrics)))
 
 
 def reviewers(model: Model, changes: DataFrame, limit: int = REVIEWERS) -> DataFrame:
