@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revlens.functions import paths
+from revlens.operators.architecture import detect_units, tree_excludes
 from revlens.operators.cleaning import DEFAULT_EXCLUDES, without_excluded
 from revlens.operators.identity import resolve
 from revlens.operators.metrics import tree_metrics
@@ -39,7 +40,8 @@ def from_history(
     """The model of read_log() rows and tree(repo, path, content), for any number of repositories.
 
     Files are followed through renames and named by repository and first path; they are alive where the tree has their
-    newest path. Excluded, generated, binary and oversize files are left out. units has what resolve_units() takes.
+    newest path. Excluded, generated, binary and oversize files are left out, by the tree's own attributes unless told
+    otherwise. units has what resolve_units() takes, by default none by hand and those of the tree's manifests.
     Complexity is by indentation, since no source parser is at hand; components, their links and what health costs are read
     from the texts. With cache, the path of a table, only contents that it lacks are measured.
     """
@@ -47,12 +49,13 @@ def from_history(
     changes = stage(follow_renames(log_changes(log), log.select("repo", "sha", "seq")), "followed")
     file = F.concat_ws(":", "repo", "file_id")
     newest = changes.groupBy("repo", "file_id").agg(F.max_by("path", F.struct("seq", "pos")).alias("path"))
+    excludes = tree_excludes(tree) if excludes is None else excludes
     f = without_excluded(newest.select("repo", "path", file.alias("file")), excludes, globs)
     about = stage(tree_metrics(tree, params.max_file_bytes, cache).drop("lang"), "tree-metrics")
     f = f.join(about, ["repo", "path"], "left").withColumn("alive", F.col("blob").isNotNull())
     f = f.filter(F.coalesce("state", F.lit("text")) == "text")
     none = lambda schema: log.sparkSession.createDataFrame([], schema)
-    manual, roots = units or (none("repo string, place int, glob string, unit string, kind string"), none("repo string, root string, unit string, kind string"))
+    manual, roots = units or (none("repo string, place int, glob string, unit string, kind string"), stage(detect_units(tree), "unit-roots"))
     f = resolve_units(f.withColumns({"test": paths.is_test_path(F.col("path")), "lang": paths.language(F.col("path"))}), manual, roots)
     f = group_entities(f.withColumns({"about": F.col("component"), "component": F.col("component.kind"), "links": F.coalesce("links", F.array().cast("array<string>"))}))
     f = f.select(
