@@ -1,16 +1,16 @@
-"""Version-control history as tables: log text is split and parsed by Spark, renames are followed by an ordered fold."""
+"""Version-control history as tables: log text is split and parsed by Spark, renames join the versions of paths."""
 
 from __future__ import annotations
 
 import subprocess
-from collections.abc import Iterator
 from pathlib import Path
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from revlens.functions.text import unquoted
+from revlens.operators.identity import components
+from revlens.plans.staging import stage
 
 # The fields of a record, and the arguments that a log is made with.
 LOG_FORMAT = "%x1e%H%x1f%aN%x1f%aE%x1f%at%x1f%B%x1f"
@@ -67,33 +67,44 @@ def old_path(path: Column) -> Column:
 def log_changes(log: DataFrame) -> DataFrame:
     """repo, sha, ts, pos, path, old_path, added, deleted from the numstat lines; binary files changed no lines."""
     row = log.select("repo", "sha", "ts", F.posexplode("lines").alias("pos", "line")).filter(F.col("line").rlike(r"^(\d+|-)\t(\d+|-)\t"))
-    p = F.split("line", "\t", 3)
+    fields = F.split("line", "\t", 3)
+    p = [F.get(fields, k) for k in range(3)]  # a filter above may be asked before the one on the line
     n = lambda k: F.when(p[k].rlike(r"^\d+$"), p[k].cast("long")).otherwise(0)
     return row.select("repo", "sha", "ts", "pos", new_path(unquoted(p[2])).alias("path"), old_path(unquoted(p[2])).alias("old_path"), n(0).alias("added"), n(1).alias("deleted"))
 
 
 def follow_renames(changes: DataFrame, order: DataFrame) -> DataFrame:
-    """changes with file_id: the first path of each file, kept through renames. order(repo, sha, seq) is the log's order.
+    """changes with file_id, the same for all rows of one file. order(repo, sha, seq) is the log's order.
 
-    A rename takes the old path's id along and frees the old path. This hangs on all before it, so that a repository is
-    folded by one task, batch by batch, holding the map of its paths only.
+    A rename takes the file along and frees its old path: what comes to that path later is another file. A path's rows are
+    cut into versions where a file comes to it, or where it was freed before; a rename joins the version that ends with it
+    to the one that begins. Versions that hang together are a file. Paths are dealt to tasks, so that no task holds a
+    repository. A file is called by its first path, a later one of the same first path with its number.
     """
-    d = changes.join(order, ["repo", "sha"]).repartition("repo").sortWithinPartitions("repo", "seq", "pos")
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids: dict[str, str] = {}
-        repo = None
-        for b in batches:
-            found = []
-            for r in b[["repo", "path", "old_path"]].itertuples(index=False):
-                if r.repo != repo:
-                    repo, ids = r.repo, {}
-                if isinstance(r.old_path, str):
-                    ids[r.path] = ids.pop(r.old_path, r.old_path)
-                found.append(ids.setdefault(r.path, r.path))
-            yield b.assign(file_id=found)
-
-    return d.mapInPandas(fold, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in d.schema) + ", file_id string")
+    d = changes.join(order, ["repo", "sha"])
+    come, go, stay = 1, -1, 0
+    moved = F.col("old_path").isNotNull()
+    events = d.select("repo", "path", "seq", "pos", F.when(moved, come).otherwise(stay).alias("kind"))
+    events = events.unionByName(d.filter(moved).select("repo", F.col("old_path").alias("path"), "seq", "pos", F.lit(go).alias("kind")))
+    in_order = Window.partitionBy("repo", "path").orderBy("seq", "pos")
+    before = F.lag("kind").over(in_order)
+    events = events.withColumn("begins", (before.isNull() | (F.col("kind") == come) | (before == go)).cast("int"))
+    events = stage(events.withColumn("version", F.sum("begins").over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow))), "path-versions")
+    node = F.concat_ws("\x1f", "repo", "path", F.format_string("%09d", "version"))
+    left, came = events.filter(F.col("kind") == go), events.filter(F.col("kind") == come)
+    edges = stage(came.select("repo", "seq", "pos", node.alias("b"), F.col("path").alias("b_path"), F.col("version").alias("b_version")).join(left.select("repo", "seq", "pos", node.alias("a"), F.col("path").alias("a_path"), F.col("version").alias("a_version")), ["repo", "seq", "pos"]), "renames")
+    labels = components(edges.select("a", "b"))
+    # A file begins with the version that no rename leads to.
+    ends = edges.select(F.col("a").alias("node"), "repo", F.col("a_path").alias("path"), F.col("a_version").alias("version")).unionByName(edges.select(F.col("b").alias("node"), "repo", F.col("b_path").alias("path"), F.col("b_version").alias("version"))).distinct()
+    first = ends.join(edges.select(F.col("b").alias("node")), "node", "left_anti").join(labels, "node").select("label", F.col("repo").alias("r"), F.col("path").alias("first_path"), F.col("version").alias("first_version"))
+    renamed = ends.join(labels, "node").join(first, "label").select("repo", "path", "version", "first_path", "first_version")
+    versions = events.select("repo", "path", "version").distinct().join(renamed, ["repo", "path", "version"], "left")
+    versions = versions.withColumns({"first_path": F.coalesce("first_path", "path"), "first_version": F.coalesce("first_version", "version")})
+    again = F.dense_rank().over(Window.partitionBy("repo", "first_path").orderBy("first_version"))
+    name = F.when(F.col("again") == 1, F.col("first_path")).otherwise(F.concat_ws("#", "first_path", F.col("again").cast("string")))
+    versions = versions.withColumn("again", again).select("repo", "path", "version", name.alias("file_id"))
+    rows = events.filter(F.col("kind") != go).join(versions, ["repo", "path", "version"]).select("repo", "path", "seq", "pos", "file_id")
+    return d.join(rows, ["repo", "path", "seq", "pos"]).select(*d.columns, "file_id")
 
 
 def append_new(spark: SparkSession, rows: DataFrame, path: str, keys: list[str]) -> DataFrame:

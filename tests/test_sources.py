@@ -1,3 +1,4 @@
+import random
 import subprocess
 
 from pyspark.sql import functions as F
@@ -37,6 +38,38 @@ def test_log_and_renames(spark, tmp_path):
     assert ids[2, "grain/whole/rye.ts"] == ids[4, "grain/whole/rye.ts"] == "grain/rye.ts" and ids[4, "flour/new.ts"] == "old.ts" and (3, "café.ts") in ids
 
 
+def folded(rows):
+    """A number for each row's file, by a plain fold over (path, old_path)."""
+    ids, out = {}, []
+    for path, old in rows:
+        if old is not None:
+            ids[path] = ids.pop(old, len(out) * 2 + 1)
+        out.append(ids.setdefault(path, len(out) * 2))
+    return out
+
+
+def test_renames_against_a_fold(spark):
+    """Random histories of few paths, which files leave and come back to, also over others and from paths never seen."""
+    rnd = random.Random(6)
+    rows, want = [], {}
+    for repo in range(12):
+        history = []
+        for k in range(60):
+            path = rnd.choice("abcde")
+            old = rnd.choice("abcdef") if rnd.random() < 0.4 else None
+            history.append((path, old if old != path else None))
+            rows.append((f"r{repo}", f"c{k // 3}", k % 3, *history[-1]))
+        for k, f in enumerate(folded(history)):
+            want.setdefault((f"r{repo}", f), set()).add((f"c{k // 3}", k % 3))
+    changes = spark.createDataFrame(rows, "repo string, sha string, pos int, path string, old_path string")
+    order = spark.createDataFrame([(f"r{r}", f"c{k}", k) for r in range(12) for k in range(20)], "repo string, sha string, seq long")
+    got = {}
+    for r in follow_renames(changes, order).collect():
+        got.setdefault((r["repo"], r["file_id"]), set()).add((r["sha"], r["pos"]))
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values())) and {r for r, _ in got} == {r for r, _ in want}
+    assert {f for _, f in got} >= {"a", "b", "a#2"} and follow_renames(changes.limit(0), order).count() == 0
+
+
 def test_log_of_a_repository(spark, tmp_path):
     git = lambda *a: subprocess.run(["git", "-C", str(tmp_path / "r"), "-c", "user.name=Ida", "-c", "user.email=ida@mill.org", *a], check=True, capture_output=True)
     (tmp_path / "r").mkdir()
