@@ -9,8 +9,7 @@ from revlens.functions import paths
 from revlens.functions.components import SCRIPTS, component_of, links_of
 from revlens.functions.health import health
 from revlens.operators.cleaning import is_binary
-from revlens.plans.staging import stage
-from revlens.sources.gitlog import exists
+from revlens.plans.staging import exists, stage
 
 KEY = ("blob", "lang")
 

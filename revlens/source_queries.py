@@ -14,6 +14,7 @@ from revlens.operators import coupling as cp
 from revlens.operators import diff as df
 from revlens.operators import findings as fd
 from revlens.operators import hotspots as hs
+from revlens.operators import levels as lv
 from revlens.operators import social as so
 from revlens.operators import trends as tr
 from revlens.operators.identity import resolve
@@ -315,3 +316,12 @@ query(
     "tb AS (SELECT *, count(*) OVER (ORDER BY rank RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n FROM ta WHERE k <= 2) "
     "SELECT 'xray_hotspot' AS kind, file || ' ' || fn AS subject, round(greatest(1.0, least(100.0, 35 + 0.6::DOUBLE * least(cc, 40) + 0.6::DOUBLE * least(revisions, 40) + 15 * score)))::BIGINT AS severity FROM tb WHERE n < 8",
 )(_hot_functions)
+
+
+def _levels(f: Callable[[str], str], columns: str) -> str:
+    """The same of each level, put together."""
+    return " UNION ALL ".join(f"SELECT '{level}' AS level, {columns} FROM ({f(level)})" for level in ("file", "entity", "unit", "repo"))
+
+
+query("hotspots_all_levels", _levels(lambda level: f"{BASE}{hotspot_ctes(level)} SELECT * FROM hot", "*"))(lambda s, d: lv.hotspots_of_levels(model_of(s, d)))
+query("ownership_all_levels", _levels(lambda level: f"{BASE}{ownership_ctes(level)} SELECT * FROM own", "*"))(lambda s, d: lv.ownership_of_levels(model_of(s, d)))

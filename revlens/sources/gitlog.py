@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from revlens.functions.text import unquoted
 from revlens.operators.identity import components
-from revlens.plans.staging import stage
+from revlens.plans.staging import exists, stage
 
 # The fields of a record, and the arguments that a log is made with.
 LOG_FORMAT = "%x1e%H%x1f%aN%x1f%aE%x1f%at%x1f%B%x1f"
@@ -120,11 +120,6 @@ def append_new(spark: SparkSession, rows: DataFrame, path: str, keys: list[str])
     return spark.read.parquet(path)
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
-
-
 def replace_repos(rows: DataFrame, path: str) -> None:
     """Write rows in place of what the table at path has of their repositories; others stay."""
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repo").parquet(path)

@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revlens.plans.model import Model, Params
-from revlens.sources.gitlog import dump_log, exists, read_log
+from revlens.plans.staging import exists
+from revlens.sources.gitlog import dump_log, read_log
 from revlens.sources.history import from_history
 from revlens.sources.tree import dump_contents, dump_tree, read_contents, read_listing, read_tree
 

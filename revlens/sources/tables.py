@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revlens.plans.model import Model, Params, build
+from revlens.plans.staging import exists
 
 #: The tables are small commits drawn at random: confidences are low, few commits are large, and nobody owns anything.
 #: These thresholds let every rule find something in them.
@@ -44,17 +45,23 @@ def part_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _STAGED: dict[tuple, Model] = {}
+KEPT_MODELS = 8
 
 
 def model_of(spark: SparkSession, sf_dir: str) -> Model:
-    """from_tables(), staged: cleaned once in a session for as long as its tables are the same files."""
+    """from_tables(), staged: cleaned once in a session for as long as its tables are the same files, and what was written is there.
+
+    The first call of a session runs the cleaning; queries on the model run what they stage while they are built.
+    """
     state = []
     for name in ("part", "customer", "orders", "lineitem"):
         path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
         files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
         state += sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files)
     key = (spark.sparkContext.applicationId, *state)
-    if key not in _STAGED:
+    if key not in _STAGED or not all(exists(spark, f) for d in (_STAGED[key].commits, _STAGED[key].changes, _STAGED[key].files) for f in d.inputFiles()[:1]):
+        while len(_STAGED) >= KEPT_MODELS:
+            _STAGED.pop(next(iter(_STAGED)))
         _STAGED[key] = from_tables(spark, sf_dir, staged=True)
     return _STAGED[key]
 
