@@ -208,7 +208,7 @@ SETS = {"commit": commit_sets, "ticket": ticket_sets, "session": commit_session_
 def unit_graph(model: Model, limit: int = 400) -> DataFrame:
     """Edges between units: by commit first, by ticket across repos where there is none yet."""
     loose = replace(model, params=replace(model.params, min_support=3, min_confidence=model.params.graph_confidence, min_lift=1.0))
-    cols = ["a", "b", "support", "strength"]
+    cols = ["a", "b", "support", "conf_ab", "conf_ba", "lift", "cross_repo", "strength"]
     top = lambda by, cross: coupling(loose, "unit", by, cross_repo=cross).select(*cols).limit(limit)
     by_commit = top("commit", False)
     by_ticket = top("ticket", True).join(by_commit.select("a", "b"), ["a", "b"], "left_anti")

@@ -61,7 +61,9 @@ def sizes(model: Model, level: str, scope: Scope = Scope()) -> DataFrame:
     f = inside if level in ("unit", "repo") or not scope.narrows() else f.join(inside.select(level).distinct(), level, "left_semi")
     some = F.max((~F.col("test")).cast("int")).over(Window.partitionBy(level)) == 1
     f = f.withColumn("some", some).filter(~F.col("some") | ~F.col("test"))
+    reasons = [F.min_by("health_reasons", F.struct("health", "file")).alias("health_reasons")] if "health_reasons" in f.columns else []
     return f.groupBy(level).agg(
+        *reasons,
         F.sum("loc").alias("loc"),
         F.sum("complexity").alias("complexity"),
         F.count("*").alias("files"),
@@ -89,7 +91,7 @@ def scored(model: Model, level: str = "entity", scope: Scope = Scope()) -> DataF
 
 
 def hotspots(model: Model, level: str = "entity", scope: Scope = Scope()) -> DataFrame:
-    """One ranked row for each key with an alive file in scope, its score from 0 to 1."""
+    """One ranked row for each key with an alive file in scope, its score from 0 to 1, with the reasons of its worst file's health where known."""
     r = with_rank(scored(model, level, scope), "rank", F.desc("score"), F.desc("rev_w"), F.asc(level))
     return r.select(
         "rank",
@@ -112,6 +114,7 @@ def hotspots(model: Model, level: str = "entity", scope: Scope = Scope()) -> Dat
         "active_authors",
         "main_dev",
         "main_share",
+        *[c for c in ("health_reasons",) if c in r.columns],
     )
 
 

@@ -38,17 +38,33 @@ def path_index(files: DataFrame) -> DataFrame:
     return files.withColumn("_k", F.row_number().over(order)).filter("_k = 1").drop("_k")
 
 
-def find_file(files: DataFrame, wanted: DataFrame) -> DataFrame:
-    """asked, file for wanted(asked): the file at that path, else the only living one whose path ends so; no row where there is none, or several."""
-    w = wanted.select("asked", F.regexp_replace("asked", r"^(\./)+", "").alias("rel")).distinct()
-    exact = path_index(files).join(w, F.col("path") == F.col("rel"))
-    exact = exact.groupBy("asked").agg(F.min_by("file", F.struct("repo", "file")).alias("file"))
+def find_file(files: DataFrame, wanted: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """asked, file for wanted(asked, and repo where only one is meant): the file at that path, else the only living one whose path ends so; no row where there is none, or several.
+
+    With roots(repo, root), where repositories lie, a path that begins with a slash is looked for in the repository that it
+    lies in. Of several repositories with one path the first by name has it.
+    """
+    columns = ["asked", "repo"] if "repo" in wanted.columns else ["asked"]
+    w = wanted.select(*columns).distinct().withColumnRenamed("repo", "in_repo").withColumn("rel", F.regexp_replace("asked", r"^(\./)+", ""))
+    w = w if "in_repo" in w.columns else w.withColumn("in_repo", F.lit(None).cast("string"))
+    meant = (F.col("in_repo") == F.col("repo")) | F.col("in_repo").isNull()
+    known = path_index(files)
+    first = lambda d: d.groupBy("asked", "in_repo").agg(F.min_by("file", F.struct("repo", "file")).alias("file"))
+    found = first(known.join(w, (F.col("path") == F.col("rel")) & meant))
+    if roots is not None:
+        # A path meets a root at one of its own beginnings.
+        parts = F.split("asked", "/")
+        starts = w.filter(F.col("asked").startswith("/")).select("*", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, 1, k), "/"))).alias("root"))
+        r = roots.select(F.col("repo").alias("root_repo"), F.regexp_replace("root", "/+$", "").alias("root"))
+        inside = starts.join(r, "root").withColumn("below", F.expr("substring(asked, length(root) + 2)"))
+        inside = first(known.join(inside, (F.col("path") == F.col("below")) & (F.col("repo") == F.col("root_repo")) & meant))
+        found = inside.unionByName(found.join(inside, ["asked"], "left_anti"))
     # Ends are compared by their last name first, so that paths meet by a key.
     name = lambda c: F.element_at(F.split(c, "/"), -1)
-    rest = w.join(exact, "asked", "left_anti").withColumn("name", name(F.col("rel")))
-    ends = files.filter("alive").withColumn("name", name(F.col("path"))).join(rest, "name").filter(F.col("path").endswith(F.concat(F.lit("/"), F.col("rel"))))
-    ends = ends.groupBy("asked").agg(F.min("file").alias("file"), F.count("*").alias("n")).filter("n = 1").drop("n")
-    return exact.unionByName(ends)
+    rest = w.join(found.select(F.col("asked").alias("_asked"), F.col("in_repo").alias("_in")), (F.col("asked") == F.col("_asked")) & F.col("in_repo").eqNullSafe(F.col("_in")), "left_anti").withColumn("name", name(F.col("rel")))
+    ends = files.filter("alive").withColumn("name", name(F.col("path"))).join(rest, "name").filter(F.col("path").endswith(F.concat(F.lit("/"), F.col("rel"))) & meant)
+    ends = ends.groupBy("asked", "in_repo").agg(F.min("file").alias("file"), F.count("*").alias("n")).filter("n = 1").drop("n")
+    return found.unionByName(ends).select(*columns[:1], *([F.col("in_repo").alias("repo")] if len(columns) > 1 else []), "file")
 
 
 def resolve_units(files: DataFrame, manual: DataFrame, roots: DataFrame, depth: int | None = None) -> DataFrame:

@@ -26,7 +26,7 @@ RELEASE = (
 )
 LEVELS = ("file", "entity", "unit", "repo")
 #: What files may have besides, and changes don't repeat.
-ABOUT = ("path", "blob", "entity_kind", "deps", "inputs", "health_reasons")
+ABOUT = ("path", "blob", "entity_kind", "unit_kind", "deps", "inputs", "health_reasons")
 
 
 @dataclass(frozen=True)

@@ -46,10 +46,10 @@ nf AS (SELECT *, (CASE WHEN count(*) OVER (PARTITION BY lang) < 5 THEN least(com
                   ELSE (rank() OVER (PARTITION BY lang ORDER BY complexity) - 1 + (count(*) OVER (PARTITION BY lang, complexity) - 1) / 2.0::DOUBLE) / (count(*) OVER (PARTITION BY lang) - 1) END) * lw AS norm_cx FROM fl WHERE alive)"""
 
 
-def hotspot_ctes(level: str, days: int | None = None, tag: str = "", path: str | None = None) -> str:
-    """path: a beginning of file names; files and entities with one such file keep the size of all their files."""
-    when = (f"AND ts >= now - {days} * 86400 " if days else "") + (f"AND starts_with(file, '{path}')" if path else "")
-    sized = f"nf WHERE {level} IN (SELECT {level} FROM nf WHERE starts_with(file, '{path}'))" if path else "nf"
+def hotspot_ctes(level: str, days: int | None = None, tag: str = "", where: str | None = None) -> str:
+    """where: the files in scope, as SQL; files and entities with one such file keep the size of all their files."""
+    when = (f"AND ts >= now - {days} * 86400 " if days else "") + (f"AND {where}" if where else "")
+    sized = f"nf WHERE {level} IN (SELECT {level} FROM nf WHERE {where})" if where else "nf"
     norm = "CASE WHEN count(*) OVER () = 1 THEN 1.0 ELSE (rank() OVER (ORDER BY wr) - 1 + (count(*) OVER (PARTITION BY wr) - 1) / 2.0::DOUBLE) / (count(*) OVER () - 1) END" if level in ("unit", "repo") else "max_norm"
     return f""",
 hp{tag} AS (SELECT {level} AS name, commit_id, max(weight * exp(-(greatest((now - ts) / 86400.0::DOUBLE, 0.0) / 180.0::DOUBLE) * 0.6931471805599453::DOUBLE)) AS w, max(defect) AS defect, max(ts) AS ts, sum(added + deleted) AS churn
@@ -158,7 +158,7 @@ query(
 )(lambda s, d: cp.session_sets(_events(s, d), 14_400, 120))
 query(
     "unit_graph_edges",
-    f"{BASE}{coupling_ctes('unit', 'commit', '1', 3, 0.05, 1.0)}{coupling_ctes('unit', 'ticket', '2', 3, 0.05, 1.0)}, e1 AS (SELECT a, b, support, strength FROM cpl1 ORDER BY strength DESC, support DESC, a, b LIMIT 400), e2 AS (SELECT a, b, support, strength FROM cpl2 WHERE cross_repo ORDER BY strength DESC, support DESC, a, b LIMIT 400) "
+    f"{BASE}{coupling_ctes('unit', 'commit', '1', 3, 0.05, 1.0)}{coupling_ctes('unit', 'ticket', '2', 3, 0.05, 1.0)}, e1 AS (SELECT a, b, support, conf_ab, conf_ba, lift, cross_repo, strength FROM cpl1 ORDER BY strength DESC, support DESC, a, b LIMIT 400), e2 AS (SELECT a, b, support, conf_ab, conf_ba, lift, cross_repo, strength FROM cpl2 WHERE cross_repo ORDER BY strength DESC, support DESC, a, b LIMIT 400) "
     "SELECT *, 'commit' AS kind FROM e1 UNION ALL SELECT *, 'ticket' FROM e2 WHERE NOT EXISTS (SELECT 1 FROM e1 WHERE e1.a = e2.a AND e1.b = e2.b)",
 )(lambda s, d: cp.unit_graph(model_of(s, d)))
 

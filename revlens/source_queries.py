@@ -17,10 +17,11 @@ from revlens.operators import hotspots as hs
 from revlens.operators import levels as lv
 from revlens.operators import social as so
 from revlens.operators import trends as tr
+from revlens.operators.detail import architecture_units, detail
 from revlens.operators.identity import resolve
-from revlens.operators.resolution import group_entities
+from revlens.operators.resolution import find_file, group_entities
 from revlens.plans.model import Scope
-from revlens.queries import BASE, RISK, coupling_ctes, hotspot_ctes, ownership_ctes, risk_ctes
+from revlens.queries import BASE, RISK, coupling_ctes, expert_ctes, hotspot_ctes, ownership_ctes, risk_ctes
 from revlens.sources.patches import parse_patches
 from revlens.sources.tables import model_of, read
 
@@ -257,7 +258,7 @@ query(
     f"{_PEOPLE}, d AS (SELECT person, arg_max(name, (commits, -id)) AS display, bool_or(name = 'renovate') AS bot, count(*) AS n FROM i JOIN p USING (id) GROUP BY 1) SELECT id, person, display, bot FROM p JOIN d USING (person)",
 )(lambda s, d: resolve(_identities(s, d)).select("id", "person", "display", "bot"))
 
-query("hotspots_scoped_path", f"{BASE}{hotspot_ctes('entity', path='part-1')} SELECT * FROM hot")(lambda s, d: hs.hotspots(model_of(s, d), "entity", Scope(path="./part-1")))
+query("hotspots_scoped_path", f"{BASE}{hotspot_ctes('entity', where="starts_with(file, 'part-1')")} SELECT * FROM hot")(lambda s, d: hs.hotspots(model_of(s, d), "entity", Scope(path="./part-1")))
 query(
     "ownership_report_unit",
     f"{BASE}{ownership_ctes('unit')}{hotspot_ctes('unit')}, to8 AS (SELECT name, string_agg(author || '=' || round(share, 3), ' ' ORDER BY k) AS top_authors FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY share DESC, author) AS k FROM ks) WHERE k <= 8 GROUP BY 1), "
@@ -325,3 +326,56 @@ def _levels(f: Callable[[str], str], columns: str) -> str:
 
 query("hotspots_all_levels", _levels(lambda level: f"{BASE}{hotspot_ctes(level)} SELECT * FROM hot", "*"))(lambda s, d: lv.hotspots_of_levels(model_of(s, d)))
 query("ownership_all_levels", _levels(lambda level: f"{BASE}{ownership_ctes(level)} SELECT * FROM own", "*"))(lambda s, d: lv.ownership_of_levels(model_of(s, d)))
+
+
+def _detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first unit by name; its lists as text."""
+    m = model_of(spark, sf_dir)
+    d = detail(m, "unit", m.files.agg(F.min("unit")).first()[0])
+    text = lambda items, f: F.array_join(F.transform(items, f), " ")
+    s = lambda *xs: F.concat_ws(":", *[x.cast("string") for x in xs])
+    return d.select(
+        "level", "name", "repo", "total_ranked", "hotspot.rank", "hotspot.score", "ownership.main_dev", "ownership.bus_factor",
+        text("files", lambda f: s(f["file"], f["test"], f["revisions"])).alias("files"), text("experts", lambda e: s(e["author"], e["score"])).alias("experts"),
+        text("partners", lambda p: s(p["name"], p["by"], p["support"], p["confidence"])).alias("partners"), text("commits", lambda c: s(c["commit_id"], c["added"], c["deleted"])).alias("commits"), F.array_join("tickets", " ").alias("tickets"),
+    )
+
+
+_FIRST = "(SELECT min(unit) FROM fl)"
+query(
+    "unit_detail",
+    f"{BASE}{hotspot_ctes('unit', where=f'repo = (SELECT min(repo) FROM fl WHERE unit = {_FIRST})')}{ownership_ctes('unit')}{expert_ctes(f'SELECT 0 AS change, file FROM fl WHERE unit = {_FIRST}')}{coupling_ctes('unit', 'commit', '1', lift=1.0)}{coupling_ctes('unit', 'ticket', '2', lift=1.0)}, "
+    f"k0 AS (SELECT {_FIRST} AS k), bo AS (SELECT *, 'commit' AS how FROM cpl1 UNION ALL SELECT *, 'ticket' FROM cpl2 WHERE cross_repo), "
+    "dr AS (SELECT b AS name, support, conf_ab AS confidence, how FROM bo, k0 WHERE a = k UNION ALL SELECT a, support, conf_ba, how FROM bo, k0 WHERE b = k), d25 AS (SELECT * FROM dr ORDER BY confidence DESC, support DESC, name, how LIMIT 25), "
+    "fr AS (SELECT fl.file, test, complexity, count(DISTINCT commit_id) AS n FROM fl LEFT JOIN (SELECT file, commit_id FROM ch) USING (file), k0 WHERE unit = k AND alive GROUP BY ALL), "
+    "cm AS (SELECT commit_id, max(ts) AS ts, sum(added)::BIGINT AS added, sum(deleted)::BIGINT AS deleted, any_value(ticket) AS ticket FROM ch, k0 WHERE unit = k GROUP BY 1 ORDER BY ts DESC, commit_id LIMIT 30), "
+    "tk AS (SELECT ticket, min(i) AS i FROM (SELECT ticket, row_number() OVER (ORDER BY ts DESC, commit_id) AS i FROM cm) GROUP BY 1 ORDER BY i LIMIT 15) "
+    "SELECT 'unit' AS level, k AS name, (SELECT min(repo) FROM fl WHERE unit = k) AS repo, (SELECT count(*) FROM hot) AS total_ranked, hot.rank, hot.score, own.main_dev, own.bus_factor, "
+    "(SELECT string_agg(file || ':' || test || ':' || n, ' ' ORDER BY test, complexity DESC, file) FROM fr) AS files, (SELECT string_agg(author || ':' || score, ' ' ORDER BY place) FROM ex WHERE place <= 5) AS experts, "
+    "coalesce((SELECT string_agg(name || ':' || how || ':' || support || ':' || confidence, ' ' ORDER BY confidence DESC, support DESC, name, how) FROM d25), '') AS partners, "
+    "(SELECT string_agg(commit_id || ':' || added || ':' || deleted, ' ' ORDER BY ts DESC, commit_id) FROM cm) AS commits, (SELECT string_agg(ticket, ' ' ORDER BY i) FROM tk) AS tickets FROM k0 LEFT JOIN hot ON hot.name = k LEFT JOIN own ON own.name = k",
+)(_detail)
+query(
+    "architecture_units",
+    f"{BASE}{hotspot_ctes('unit')}{ownership_ctes('unit')} SELECT rank, hot.name, (SELECT min(repo) FROM fl WHERE unit = hot.name) AS repo, NULL::VARCHAR AS kind, loc, files, score, revisions, health, bus_factor, knowledge_loss, own.main_dev FROM hot LEFT JOIN own ON own.name = hot.name",
+)(lambda s, d: architecture_units(model_of(s, d)))
+
+
+def _lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths of pages, asked for whole, by their ends, and from the root of a repository, which is a host."""
+    p = read(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "://([^/?#]*)", 1).alias("repo"), F.regexp_extract("url", "://[^/]*/([^?#]*)", 1).alias("path")).filter("path <> ''")
+    files = p.groupBy("repo", "path").agg(F.min("page_id").alias("file")).withColumn("alive", F.col("file") % 3 != 0)
+    asked = F.when(F.col("file") % 4 == 0, F.col("path")).when(F.col("file") % 4 == 1, F.element_at(F.split("path", "/"), -1)).when(F.col("file") % 4 == 2, F.concat(F.lit("/srv/"), "repo", F.lit("/"), "path")).otherwise(F.concat(F.lit("./"), "path"))
+    roots = files.select("repo", F.concat(F.lit("/srv/"), "repo").alias("root")).distinct()
+    return find_file(files, files.select(asked.alias("asked")).filter("asked <> ''"), roots)
+
+
+query(
+    "path_lookup",
+    r"""WITH f AS (SELECT repo, path, min(page_id) AS file, min(page_id) % 3 <> 0 AS alive FROM (SELECT page_id, regexp_extract(url, '://([^/?#]*)', 1) AS repo, regexp_extract(url, '://[^/]*/([^?#]*)', 1) AS path FROM pages) WHERE path <> '' GROUP BY 1, 2),
+w AS (SELECT DISTINCT asked, regexp_replace(asked, '^(\./)+', '') AS rel FROM (SELECT CASE file % 4 WHEN 0 THEN path WHEN 1 THEN string_split(path, '/')[-1] WHEN 2 THEN '/srv/' || repo || '/' || path ELSE './' || path END AS asked FROM f) WHERE asked <> ''),
+a AS (SELECT asked, arg_min(file, (repo, file)) AS file FROM w JOIN f ON asked = '/srv/' || repo || '/' || path GROUP BY 1),
+e AS (SELECT asked, arg_min(file, (repo, file)) AS file FROM w JOIN f ON path = rel WHERE asked NOT IN (SELECT asked FROM a) GROUP BY 1),
+s AS (SELECT asked, min(file) AS file FROM w JOIN f ON alive AND ends_with(path, '/' || rel) WHERE asked NOT IN (SELECT asked FROM a UNION ALL SELECT asked FROM e) GROUP BY 1 HAVING count(*) = 1)
+SELECT * FROM a UNION ALL SELECT * FROM e UNION ALL SELECT * FROM s""",
+)(_lookups)

@@ -73,6 +73,7 @@ def from_history(
         "path",
         "blob",
         "entity_kind",
+        "unit_kind",
         F.col("about.deps").alias("deps"),
         F.col("about.inputs").alias("inputs"),
         F.coalesce("health_reasons", F.array().cast("array<string>")).alias("health_reasons"),

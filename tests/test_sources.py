@@ -131,6 +131,11 @@ def test_paths_are_found(spark):
     assert {r["path"]: r["file"] for r in resolution.path_index(f).collect()}["a/x.ts"] == 2
     w = spark.createDataFrame([("./a/x.ts",), ("z.ts",), ("y.ts",), ("b/y.ts",), ("no.ts",)], "asked string")
     assert {r["asked"]: r["file"] for r in resolution.find_file(f, w).collect()} == {"./a/x.ts": 2, "z.ts": 5, "b/y.ts": 3}
+    two = f.unionByName(spark.createDataFrame([("s", "b/y.ts", 7, True), ("s", "only.ts", 8, True)], f.schema))
+    roots = spark.createDataFrame([("r", "/home/r/"), ("s", "/home/r/sub")], "repo string, root string")
+    asked = [("/home/r/b/y.ts", None), ("/home/r/sub/b/y.ts", None), ("/home/r/sub/b/y.ts", "r"), ("b/y.ts", "s"), ("y.ts", "s"), ("b/y.ts", None), ("only.ts", "r"), ("/only.ts", None)]
+    got = {(r["asked"], r["repo"]): r["file"] for r in resolution.find_file(two, spark.createDataFrame(asked, "asked string, repo string"), roots).collect()}
+    assert got == {("/home/r/b/y.ts", None): 3, ("/home/r/sub/b/y.ts", None): 7, ("b/y.ts", "s"): 7, ("y.ts", "s"): 7, ("b/y.ts", None): 3}
     tree = spark.createDataFrame([("r", "d/z.ts", "h1"), ("r", "new.ts", "h2")], "repo string, path string, blob string")
     assert {(r["path"], r["alive"]) for r in resolution.alive_snapshot(f.drop("file").distinct(), tree).collect()} == {("a/x.ts", False), ("b/y.ts", False), ("c/y.ts", False), ("d/z.ts", True), ("new.ts", True)}
     j = spark.createDataFrame([("a/b", "../c/./d.ts"), ("", "x.ts"), ("a", "../../up.ts")], "dir string, rel string").select(resolution.joined_path(F.col("dir"), F.col("rel")))
