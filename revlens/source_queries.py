@@ -15,12 +15,13 @@ from revlens.operators import diff as df
 from revlens.operators import findings as fd
 from revlens.operators import hotspots as hs
 from revlens.operators import levels as lv
+from revlens.operators import overview as ov
 from revlens.operators import social as so
 from revlens.operators import trends as tr
 from revlens.operators.detail import architecture_units, detail
 from revlens.operators.identity import resolve
-from revlens.operators.resolution import find_file, group_entities
-from revlens.plans.model import Scope
+from revlens.operators.resolution import find_file, group_entities, resolve_units
+from revlens.plans.model import Model, Params, Scope
 from revlens.queries import BASE, RISK, coupling_ctes, expert_ctes, hotspot_ctes, ownership_ctes, risk_ctes
 from revlens.sources.patches import parse_patches
 from revlens.sources.tables import model_of, read
@@ -379,3 +380,73 @@ e AS (SELECT asked, arg_min(file, (repo, file)) AS file FROM w JOIN f ON path =
 s AS (SELECT asked, min(file) AS file FROM w JOIN f ON alive AND ends_with(path, '/' || rel) WHERE asked NOT IN (SELECT asked FROM a UNION ALL SELECT asked FROM e) GROUP BY 1 HAVING count(*) = 1)
 SELECT * FROM a UNION ALL SELECT * FROM e UNION ALL SELECT * FROM s""",
 )(_lookups)
+
+
+def _ticketless(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third of the tickets is not named: those commits come together by their authors' sessions, the others by ticket."""
+    m = model_of(spark, sf_dir)
+    named = F.filter("tickets", lambda t: F.regexp_extract(t, r"(\d+)$", 1).cast("long") % 3 != 0)
+    return cp.coupling(replace(m, changes=m.changes.withColumn("tickets", named)), "unit", "ticket")
+
+
+_UNNAMED = "string_split(ticket, '-')[2]::BIGINT % 3 = 0"
+_MIXED_SETS = f"""{_SESSION_SETS.replace("WHERE couples GROUP BY 1)", f"WHERE couples AND {_UNNAMED} GROUP BY 1)", 1)},
+mx0 AS (SELECT commit_id AS id, ticket AS set_id, max(ts) OVER (PARTITION BY ticket) AS sts, count(*) OVER (PARTITION BY ticket) AS n FROM ch WHERE couples AND NOT ({_UNNAMED}))"""
+_MIXED = _MIXED_SETS.replace("cs AS (", "cs0 AS (") + ", cs AS (SELECT DISTINCT id, set_id, sts FROM mx0 WHERE n <= 8 UNION ALL SELECT id, set_id, sts FROM cs0)"
+query("coupling_without_tickets", f"{BASE.replace('WITH', 'WITH RECURSIVE', 1)}{_MIXED}{coupling_ctes('unit', 'session')} SELECT * FROM cpl")(_ticketless)
+
+
+def _unit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    s = lambda c: c.cast("string")
+    path = F.when(k % 4 == 0, _text("apps/a", s(k % 7), "/src/x", s(k), ".ts")).when(k % 4 == 1, _text("libs/l", s(k % 5), "/deep/y", s(k), ".ts")).when(k % 4 == 2, _text("src/app/t", s(k % 3), "/z", s(k), ".ts")).otherwise(_text("w", s(k), ".ts"))
+    p = read(spark, sf_dir, "part")
+    files = p.select(F.col("p_type").alias("repo"), path.alias("path"), k.alias("part"))
+    repos = p.select(F.col("p_type").alias("repo")).distinct()
+    roots = repos.select("repo", F.explode(F.array(*[F.struct(F.lit(r).alias("root"), F.lit(u).alias("unit"), F.lit("app").alias("kind")) for r, u in (("apps", "apps"), ("apps/a1", "one"), ("apps/a2", "two"), ("libs/l3/deep", "deep"), ("", "top"))])).alias("r")).select("repo", "r.*")
+    manual = repos.select("repo", F.explode(F.array(*[F.struct(F.lit(i).alias("place"), F.lit(g).alias("glob"), F.lit(u).alias("unit"), F.lit("hand").alias("kind")) for i, (g, u) in enumerate((("**/x*0.ts", "zeros"), ("apps/a1/**", "never"), ("w?.ts", "few")))])).alias("m")).select("repo", "m.*")
+    return resolve_units(files, manual.filter("glob <> 'apps/a1/**' or repo = 'none'"), roots).select("part", "unit", "unit_kind")
+
+
+query(
+    "unit_resolution",
+    """WITH p AS (SELECT p_partkey AS k, p_partkey % 4 AS m FROM part)
+SELECT k AS part, CASE WHEN m = 0 AND k % 10 = 0 THEN 'zeros' WHEN m = 3 AND k < 10 THEN 'few' WHEN m = 0 THEN CASE k % 7 WHEN 1 THEN 'one' WHEN 2 THEN 'two' ELSE 'apps' END WHEN m = 1 THEN CASE WHEN k % 5 = 3 THEN 'deep' ELSE 'libs/l' || (k % 5) END
+       WHEN m = 2 THEN 'src/app/t' || (k % 3) ELSE '(root)' END AS unit, CASE WHEN m = 0 AND k % 10 = 0 OR m = 3 AND k < 10 THEN 'hand' WHEN m = 0 OR m = 1 AND k % 5 = 3 THEN 'app' ELSE 'dir' END AS unit_kind FROM p""",
+)(_unit_resolution)
+query(
+    "hotspot_tree",
+    f"{BASE}{hotspot_ctes('entity')}, en AS (SELECT entity AS name, min(repo) AS repo, arg_min(unit, (test, file)) AS unit FROM fl WHERE alive GROUP BY 1), "
+    "le AS (SELECT [repo, unit] || string_split(CASE WHEN starts_with(name, unit || '/') THEN name[length(unit) + 2:] ELSE name END, '/') AS parts, loc, score FROM hot JOIN en USING (name) WHERE loc > 0), "
+    "no AS (SELECT parts[1:k] AS parts, sum(loc)::BIGINT AS loc, max(score) AS score FROM (SELECT parts, loc, score, unnest(range(1, len(parts) + 1)) AS k FROM le) GROUP BY 1), "
+    "ki AS (SELECT parts[1:len(parts) - 1] AS parts, count(*) AS n FROM no WHERE len(parts) > 1 GROUP BY 1), "
+    "ke AS (SELECT no.* FROM no LEFT JOIN ki USING (parts) WHERE coalesce(n, 0) <> 1 OR len(no.parts) <= 2), "
+    "ab AS (SELECT parts, max_by(up, len(up)) AS above FROM (SELECT parts, unnest(list_transform(range(0, len(parts)), lambda k: parts[1:k])) AS up FROM ke) WHERE up IN (SELECT parts FROM ke) GROUP BY 1) "
+    "SELECT array_to_string(ke.parts, '/') AS path, coalesce(array_to_string(above, '/'), '') AS parent, len(ke.parts)::BIGINT AS depth, loc, score FROM ke LEFT JOIN ab USING (parts)",
+)(lambda s, d: ov.hotspot_tree(model_of(s, d)))
+
+
+def owned_model(spark: SparkSession, sf_dir: str) -> Model:
+    """The tables' model with each commit by the owner of its first brand, whose number also says whether it mends a defect; thresholds by default."""
+    m = model_of(spark, sf_dir)
+    owner = m.changes.groupBy("commit_id").agg(F.min(F.regexp_extract("unit", r"(\d+)$", 1).cast("long")).alias("owner"))
+    by_owner = lambda d: d.join(owner, "commit_id").withColumns({"author": F.col("owner"), "authors": F.array("owner"), "defect": F.col("owner") % 10 == 1}).drop("owner")
+    return replace(m, commits=by_owner(m.commits), changes=by_owner(m.changes), params=Params())
+
+
+OWNED = (
+    BASE.replace("AS file, l_orderkey, l_quantity", "AS file, l_orderkey, p_brand, l_quantity")
+    .replace("count(*) AS n_changes FROM raw GROUP BY ALL", "count(*) AS n_changes, min(regexp_extract(p_brand, '(\\d+)$', 1)::BIGINT) AS owner FROM raw GROUP BY ALL")
+    .replace("o_custkey AS author", "owner AS author")
+    .replace("CASE WHEN o_orderkey % 5 = 0 THEN (o_custkey + 1) % n END AS co", "NULL::BIGINT AS co")
+    .replace(r"regexp_matches(subject, '\b(fix|bugfix)\b') AS defect", "author % 10 = 1 AS defect")
+)
+_SEVERITY = "round(greatest(1.0, least(100.0, {})))::BIGINT AS severity"
+for _kind, _sql in {
+    "bus_factor": f"{OWNED}{hotspot_ctes('unit')}{ownership_ctes('unit')}, t AS (SELECT own.main_dev, count(*) AS units, sum(loc) AS loc, avg(own.main_share) AS share FROM hot JOIN own USING (name) WHERE loc >= 1000 AND revisions >= 10 AND recent_authors > 0 AND bus_factor <= 1 AND own.main_share >= 0.6 GROUP BY 1 ORDER BY loc DESC, 1 LIMIT 5) "
+    f"SELECT 'bus_factor' AS kind, main_dev::VARCHAR AS subject, {_SEVERITY.format('30 + 25 * share + 4 * log10(loc) + least(units, 5)')} FROM t",
+    "defect_magnet": f"{OWNED}{hotspot_ctes('entity')}, bl AS (SELECT repo, round(avg(defect::INT), 4) AS baseline FROM c WHERE NOT format GROUP BY 1), er AS (SELECT entity AS name, min(repo) AS repo FROM fl GROUP BY 1), "
+    "t AS (SELECT *, round((defects / revisions::DOUBLE) / greatest(baseline, 0.05), 4) AS ratio FROM hot JOIN er USING (name) JOIN bl USING (repo) WHERE NOT test AND revisions > 0 AND defects >= 5), u AS (SELECT * FROM t WHERE defect_density >= 0.4 AND ratio >= 1.5 ORDER BY ratio * defects DESC, name LIMIT 5) "
+    f"SELECT 'defect_magnet' AS kind, name AS subject, {_SEVERITY.format('30 + 20 * least(ratio - 1, 1.5) + 0.5 * least(defects, 30) + 10 * score')} FROM u",
+}.items():
+    query(f"finding_{_kind}_by_default", _sql)(lambda s, d, rule=fd.RULES[_kind]: rule(fd.Facts(owned_model(s, d))).select("kind", "subject", "severity"))

@@ -27,7 +27,7 @@ def dump_log(repo: str, out: str, revisions: str = "HEAD", since: str | None = N
 
 
 def read_log(spark: SparkSession, path: str, repo: str) -> DataFrame:
-    """One row for each commit: repo, seq, sha, author_name, author_email, ts, message, coauthors, lines.
+    """One row for each commit: repo, seq, sha, author_name, author_email, ts, message, coauthors, lines, created, removed.
 
     seq follows the order of the records in the log: where a record's part of the file begins, and its place in it.
     Records without a hash are skipped, a time that is no number is null. Of a log in several files each has its own
@@ -49,10 +49,17 @@ def read_log(spark: SparkSession, path: str, repo: str) -> DataFrame:
         F.substring(F.regexp_replace(p[4], r"^\s+|\s+$", ""), 1, MESSAGE_CHARS).alias("message"),
         coauthors.alias("coauthors"),
         F.filter(F.split(p[5], "\n"), lambda x: F.trim(x) != "").alias("lines"),
+        *[_mode_paths(p[5], kind).alias(name) for kind, name in (("create", "created"), ("delete", "removed"))],
     )
     return d.filter(F.length("sha") >= 7)
 
 
+def _mode_paths(lines: Column, kind: str) -> Column:
+    """The paths of lines like " create mode 100644 path"."""
+    paths = F.regexp_extract_all(lines, F.lit(rf"(?md)^ {kind} mode \S+ (.*)$"), F.lit(1))
+    return F.transform(F.coalesce(paths, F.array().cast("array<string>")), unquoted)
+
+
 def new_path(path: Column) -> Column:
     """Where a rename like a/{b => c}/d or x => y leads."""
     braced = F.regexp_replace(F.regexp_replace(path, r"\{(.*?) => (.*?)\}", "$2"), "//", "/")

@@ -80,6 +80,13 @@ def test_log_of_a_repository(spark, tmp_path):
         git("commit", "-q", "-m", f"step {k}")
     rows = read_log(spark, dump_log(str(tmp_path / "r"), str(tmp_path / "out.log")), "r").orderBy("seq").collect()
     assert [r["message"] for r in rows] == ["step 0", "step 1", "step 2"] and rows[0]["author_name"] == "Ida"
+    assert [(r["created"], r["removed"]) for r in rows] == [(["a.ts"], []), ([], []), ([], [])]
+    git("rm", "-q", "a.ts")
+    (tmp_path / "r" / "caf\u00e9 b.ts").write_text("x")
+    git("add", ".")
+    git("commit", "-q", "-m", "last")
+    last = read_log(spark, dump_log(str(tmp_path / "r"), str(tmp_path / "out.log")), "r").orderBy(F.desc("seq")).first()
+    assert (last["created"], last["removed"]) == (["caf\u00e9 b.ts"], ["a.ts"])
 
 
 def test_append_and_replace(spark, tmp_path):
