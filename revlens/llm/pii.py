@@ -399,7 +399,8 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Null texts count as empty and give no spans. Ids of any type are handed on, nulls too; repeated rows each get their own
     result, the same for the same text. A text's spans are gathered in one row, and a text is held whole by one task; time
     is linear in its length. An empty table gives an empty result, and a field that adds nothing. Other columns of docs
-    are ignored, whatever their names. field: the trained potentials; by default those of a sample of docs.
+    are ignored, whatever their names. field: the trained potentials; by default those of a sample of docs, for which jobs run.
+    The session hands rows to Python in small batches from then on.
     """
     small_batches(docs.sparkSession)
     field = fit(docs, text_col) if field is None else field

@@ -231,7 +231,8 @@ def prefix_trie(conversations: DataFrame, base: Column | None = None, heads: Col
     Turns stand in order of turn, nulls first, ties in order of role and text; null roles and texts count as empty. Equal
     rows are turns of their own. Rows without a conv_id are left out; conv_id must be an integer. base and heads are as
     conversation_paths() has them, at most HEADS turns. An empty table gives an empty result, without a root; other columns
-    are ignored, whatever their names. A conversation's digests, 16 bytes a turn, have to fit in a task's memory.
+    are ignored, whatever their names. A conversation's digests, 16 bytes a turn, have to fit in a task's memory. Jobs run while
+    the result is built, and the session hands rows to Python in small batches from then on.
     """
     paths = stage(conversation_paths(conversations, base, heads), "trie-paths")
     rows = stage(screened(paths, cells), "trie-prefixes")

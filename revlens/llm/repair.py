@@ -160,7 +160,7 @@ def repair_conversations(rows: DataFrame, copies: Column | None = None) -> DataF
     are turns of their own, all but the first of them duplicates. Rows with a null conv_id are one conversation. copies
     tells how often a row counts (once by default); conversations whose rows all count 0 times are returned as empty.
     An empty table gives an empty result; other columns are ignored, whatever their names. A conversation is one output
-    text, so that its texts have to fit in a task's memory.
+    text, so that its texts have to fit in a task's memory. The session hands rows to Python in small batches from then on.
     """
     spark = rows.sparkSession
     small_batches(spark)
