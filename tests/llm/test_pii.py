@@ -46,14 +46,14 @@ def test_base_spans_against_plain_patterns():
 
 
 def test_long_runs_take_linear_time():
-    """Runs that a pattern would enter at every place: twenty times the length takes no more than some sixty times the time."""
+    """Runs that a pattern would enter at every place: ten times the length takes no more than some thirty times the time."""
     spent = []
-    for n in (20_000, 400_000):
+    for n in (20_000, 200_000):
         began = time.process_time()
         for unit in ("a", "1", "1.", "@", "a@", "+1", "+", "(", "1-", " 1"):
             pii.added_spans([unit * n], [pii.base_spans(unit * n)], FIELD)
         spent.append(time.process_time() - began)
-    assert spent[1] < 60 * spent[0] + 1
+    assert spent[1] < 30 * spent[0] + 1
 
 
 def some_texts(n, seed=1):
