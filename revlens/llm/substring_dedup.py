@@ -4,11 +4,12 @@ Shards are by content. The three-word run with the smallest hash in a window of
 equal windows always meet; neighbouring windows with one such run travel together as one passage. Runs that are frequent
 by the counts of a bounded sample come after all others: where they begin a passage that very many documents share,
 each document's own words before it do not travel along. Passages that share their run with no other document are
-dropped there. The others are indexed: word ids, a suffix array sorted to the depth of a window, its Burrows-Wheeler
-transform in a wavelet matrix of packed bits, and the document that each suffix stands for. Streaming the passages through
-backward search gives the matching statistics of each window's end, up to a window: a search ends where nothing but the
-window itself is left in its interval; what reaches a whole window has the smallest document in its interval. Word ranges
-whose windows also start in a smaller document are reported and removed.
+dropped there. The others are indexed: the Burrows-Wheeler transform of their word ids, sorted to the depth of a window,
+and the documents of the suffixes in that order, each in a wavelet matrix of packed bits. No suffix array is kept.
+Backward search over the passages gives their matching statistics: for each place the length of the longest stretch
+that ends there and occurs elsewhere too. Lengths stop at a window, the threshold. Stretches that reach it have a suffix
+interval, whose smallest document is a range minimum in the wavelet matrix of documents. Word ranges whose windows also
+start in a smaller document are reported and removed.
 
 Windows of frequent runs alone, such as the inside of a passage that a third of all documents hold, take another way:
 tasks reduce each such passage to its smallest and largest document, so that a shard has it once, and the places
@@ -157,7 +158,7 @@ def _cells(shards: int, frequent: np.ndarray, parts: list[int]):
 
 
 class WaveletMatrix:
-    """Occurrences of symbols in prefixes of a sequence, from packed bits and their running counts."""
+    """A sequence of symbols below size as packed bits and their running counts: 1.5 bits for each bit of a symbol."""
 
     def __init__(self, symbols: np.ndarray, size: int) -> None:
         self.levels = max(1, int(size - 1).bit_length())
@@ -168,51 +169,78 @@ class WaveletMatrix:
             packed = np.packbits(bit, bitorder="little")
             packed = np.concatenate([packed, np.zeros(-len(packed) % 8 + 8, np.uint8)]).view(np.uint64)
             self.bits.append(packed)
-            self.counts.append(np.concatenate([[0], np.cumsum(np.bitwise_count(packed))]).astype(np.int64))
+            self.counts.append(np.concatenate([[0], np.cumsum(np.bitwise_count(packed))]).astype(np.uint32))
             self.zeros.append(int(len(x) - bit.sum()))
             x = np.concatenate([x[bit == 0], x[bit == 1]])
-        self.begin = self._walk(np.arange(size), np.zeros(size, np.int64))
 
-    def _walk(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
+    @property
+    def nbytes(self) -> int:
+        return sum(x.nbytes for x in self.bits) + sum(x.nbytes for x in self.counts)
+
+    def _ones(self, k: int, at: np.ndarray) -> np.ndarray:
+        word = at >> 6
+        below = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
+        return self.counts[k][word].astype(np.int64) + np.bitwise_count(self.bits[k][word] & below)
+
+    def walk(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Where the places before at of each symbol end on the last level, from where walk(symbol, 0) has them begin."""
         for k, level in enumerate(range(self.levels - 1, -1, -1)):
-            word = at >> 6
-            below = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
-            ones = self.counts[k][word] + np.bitwise_count(self.bits[k][word] & below)
+            ones = self._ones(k, at)
             at = np.where((symbol >> level) & 1, self.zeros[k] + ones, at - ones)
         return at
 
-    def occurrences(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
-        return self._walk(symbol, at) - self.begin[symbol]
+    def least(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The smallest symbol at the places from low to before high, of which there is one at least."""
+        symbol = np.zeros(len(low), np.int64)
+        for k, level in enumerate(range(self.levels - 1, -1, -1)):
+            a, b = self._ones(k, low), self._ones(k, high)
+            small = high - b > low - a
+            symbol += np.where(small, 0, 1 << level)
+            low, high = np.where(small, low - a, self.zeros[k] + a), np.where(small, high - b, self.zeros[k] + b)
+        return symbol
 
 
 class FMIndex:
-    """Backward search for patterns of up to depth symbols in a sequence of symbols from 1; 0 separates passages."""
+    """Backward search for patterns of up to depth symbols in a sequence of symbols from 1; 0 ends each of its passages.
 
-    def __init__(self, sequence: np.ndarray, depth: int = WINDOW) -> None:
+    documents has a number from 0 for each place of the sequence. What is kept of a place is 1.5 bits for each bit of a
+    symbol and of a document's number; of a symbol 8 bytes.
+    """
+
+    def __init__(self, sequence: np.ndarray, documents: np.ndarray, depth: int = WINDOW) -> None:
         rank, k = sequence.astype(np.int64), 1
         while k < depth:
             shifted = np.concatenate([rank[k:], np.zeros(min(k, len(rank)), np.int64)])
             _, rank = np.unique(rank * (rank.max() + 1) + shifted, return_inverse=True)
             k *= 2
-        self.size = len(sequence)
-        self.order = np.argsort(rank, kind="stable").astype(np.int32)
+        self.size, self.depth = len(sequence), depth
+        order = np.argsort(rank, kind="stable")
         symbols = int(sequence.max()) + 1
-        self.wavelet = WaveletMatrix(sequence[self.order - 1].astype(np.int64), symbols)
-        self.smaller = np.concatenate([[0], np.cumsum(np.bincount(sequence, minlength=symbols))])
+        self.transform = WaveletMatrix(sequence[order - 1], symbols)
+        self.documents = WaveletMatrix(documents[order], int(documents.max()) + 1)
+        # A symbol's suffixes start so much further on than its places on the transform's last level.
+        smaller = np.concatenate([[0], np.cumsum(np.bincount(sequence, minlength=symbols))])[:-1]
+        self.ahead = smaller - self.transform.walk(np.arange(symbols), np.zeros(symbols, np.int64))
+
+    @property
+    def nbytes(self) -> int:
+        return self.transform.nbytes + self.documents.nbytes + self.ahead.nbytes
 
-    def search(self, sequence: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Which of the patterns of so many symbols before the places ends occur more than once, and their suffix intervals.
+    def matching_statistics(self, sequence: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each of the places ends the length of the longest stretch before it that occurs twice or more, and its suffix interval.
 
-        A pattern is given up as soon as a suffix of it occurs once.
+        sequence is made of the index's symbols and holds passages that are indexed too, each after a 0. Lengths stop at
+        depth. All places are searched side by side, so that each step is one pass over those that still match.
         """
-        low, high, on = np.zeros(len(ends), np.int64), np.full(len(ends), self.size, np.int64), np.arange(len(ends))
-        for k in range(1, length + 1):
+        length, low, high, on = np.zeros(len(ends), np.int64), np.zeros(len(ends), np.int64), np.full(len(ends), self.size, np.int64), np.arange(len(ends))
+        for k in range(1, self.depth + 1):
+            on = on[ends[on] >= k]
             symbol = sequence[ends[on] - k]
-            both = self.wavelet.occurrences(np.concatenate([symbol, symbol]), np.concatenate([low, high]))
-            low, high = self.smaller[symbol] + both[: len(on)], self.smaller[symbol] + both[len(on) :]
-            more = high - low > 1
-            low, high, on = low[more], high[more], on[more]
-        return on, low, high
+            both = self.transform.walk(np.concatenate([symbol, symbol]), np.concatenate([low[on], high[on]])).reshape(2, -1) + self.ahead[symbol]
+            more = (both[1] - both[0] > 1) & (symbol > 0)
+            on = on[more]
+            low[on], high[on], length[on] = both[0][more], both[1][more], k
+        return length, low, high
 
 
 def smallest_documents(texts: list[bytes], least: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -227,19 +255,17 @@ def smallest_documents(texts: list[bytes], least: np.ndarray, window: int = WIND
     sequence = np.zeros(total, np.int32)
     begin = np.cumsum(sizes + 1) - (sizes + 1)
     sequence[np.arange(int(sizes.sum())) + np.repeat(np.arange(len(sizes)), sizes)] = ids + 1
-    index = FMIndex(sequence, window)
+    ids_of, rank = np.unique(least, return_inverse=True)
+    index = FMIndex(sequence, np.repeat(rank, sizes + 1), window)
     windows = sizes - window + 1
     at = np.cumsum(windows) - windows
     ends = np.repeat(begin - at, windows) + np.arange(int(windows.sum())) + window
-    holder = np.append(np.repeat(least, sizes + 1)[index.order], NO_ID)
     found = np.repeat(least, windows)
     for i in range(0, len(ends), SEARCH):
-        on, low, high = index.search(sequence, ends[i : i + SEARCH], window)
-        if len(on):
-            starts, back = np.unique(low, return_inverse=True)
-            stops = np.zeros(len(starts), np.int64)
-            stops[back] = high
-            found[i + on] = np.minimum.reduceat(holder, np.stack([starts, stops], 1).reshape(-1))[::2][back]
+        length, low, high = index.matching_statistics(sequence, ends[i : i + SEARCH])
+        on = np.flatnonzero(length == window)
+        starts, first, back = np.unique(low[on], return_index=True, return_inverse=True)  # equal windows have one interval
+        found[i + on] = ids_of[index.documents.least(starts, high[on][first])][back]
     return found, at
 
 

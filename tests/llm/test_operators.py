@@ -236,15 +236,34 @@ def test_equal_rows_share_one_list(spark):
 
 
 def test_fm_index():
+    """Lengths, intervals and smallest documents as by brute force; places before the first and behind the last passage too."""
     rng = np.random.default_rng(1)
-    sequence = np.append(rng.integers(1, 4, 500), 0).astype(np.int32)
-    index = substring_dedup.FMIndex(sequence, 5)
-    ends = np.arange(5, 500)
-    on, low, high = index.search(sequence, ends, 5)
-    found = dict(zip(on.tolist(), zip(low, high, strict=True), strict=True))
-    for k, e in enumerate(ends):
-        want = [i for i in range(496) if (sequence[i : i + 5] == sequence[e - 5 : e]).all()]
-        assert (sorted(index.order[slice(*found[k])]) if k in found else [e - 5]) == want
+    for symbols, depth, passages in ((3, 5, 12), (1, 4, 3), (60, 13, 40)):
+        parts = [rng.integers(1, symbols + 1, rng.integers(1, 60)) for _ in range(passages)]
+        parts += [parts[i] for i in rng.integers(0, passages, passages // 3)]
+        sequence = np.concatenate([np.append(p, 0) for p in parts]).astype(np.int32)
+        documents = np.repeat(rng.integers(0, 9, len(parts)), [len(p) + 1 for p in parts])
+        index = substring_dedup.FMIndex(sequence, documents, depth)
+        ends = np.arange(len(sequence))
+        length, low, high = index.matching_statistics(sequence, ends)
+        least = index.documents.least(low, high)
+        where = {}
+        for p, d in zip(np.split(sequence, np.flatnonzero(sequence == 0) + 1), np.split(documents, np.flatnonzero(sequence == 0) + 1), strict=True):
+            for i in range(len(p)):
+                for k in range(1, min(depth, len(p) - 1 - i) + 1):
+                    where.setdefault(tuple(p[i : i + k]), []).append(d[i])
+        for e in ends:
+            held = [k for k in range(1, min(depth, e) + 1) if len(where.get(tuple(sequence[e - k : e]), [])) > 1]
+            want = where[tuple(sequence[e - max(held) : e])] if held else documents
+            assert (length[e], high[e] - low[e], least[e]) == (max(held, default=0), len(want) if held else len(sequence), min(want))
+
+
+def test_fm_index_is_compressed():
+    """With 2^17 words and 2^12 documents a place takes under 6 bytes; a suffix array and its documents alone would take 12."""
+    rng = np.random.default_rng(2)
+    sequence = np.append(rng.permutation(np.arange(400_000) % 2**17) + 1, 0).astype(np.int32)
+    index = substring_dedup.FMIndex(sequence, np.arange(len(sequence)) % 2**12)
+    assert index.transform.nbytes + index.documents.nbytes < 6 * len(sequence) and index.ahead.nbytes == 8 * (2**17 + 1)
 
 
 def brute_components(rows, width, share):
