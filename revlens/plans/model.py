@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -89,6 +89,7 @@ class Model:
     authors: DataFrame  # author, team, and name where known
     params: Params = field(default_factory=Params)
     paths: DataFrame | None = None  # commit_id, path, file: what a file was called in a commit, if not always the same
+    people: DataFrame | None = None  # author_rollup() of the commits, where it is written
 
     def names(self) -> DataFrame:
         """author and name, which is the author's key where no name is known."""
@@ -97,7 +98,7 @@ class Model:
 
     def active(self) -> DataFrame:
         """author, commits, first_ts, last_ts, team, active."""
-        rolled = author_rollup(self)
+        rolled = author_rollup(self) if self.people is None else self.people
         now = self.commits.agg(F.max("now").alias("now"))
         active = F.col("now") - F.col("last_ts") <= F.lit(int(self.params.inactive_after_days * DAY))
         return rolled.join(self.authors.select("author", "team"), "author", "left").join(F.broadcast(now)).withColumn("active", active).drop("now")
@@ -124,9 +125,12 @@ def build(raw_commits: DataFrame, raw_changes: DataFrame, files: DataFrame, auth
     c = c.withColumn("mega", F.col("n_changes") > params.max_commit_files)
     c = c.withColumn("weight", F.when(F.col("format"), 0.0).when(F.col("mega"), 0.25).otherwise(1.0)).withColumn("couples", ~F.col("mega") & ~F.col("format"))
     c = save(c.withColumn("authors", F.concat(F.array("author"), "coauthors")), "model-commits")
-    c = c.join(F.broadcast(c.agg(F.max("ts").alias("now"))))  # one row
+    newest = c.agg(F.max("ts").alias("now"))  # one row
+    # Of a written table it is read once, so that no later query has to look for it.
+    c = c.withColumn("now", F.lit(newest.first()[0]).cast("long")) if staged else c.join(F.broadcast(newest))
     changes = raw_changes.join(files.drop(*ABOUT), "file").join(c.drop("repo", "message"), "commit_id")
-    return Model(c, files, save(changes, "model-changes"), save(authors, "model-authors"), params, paths)
+    model = Model(c, files, save(changes, "model-changes"), save(authors, "model-authors"), params, paths)
+    return replace(model, people=save(author_rollup(model), "model-people")) if staged else model
 
 
 def author_rollup(model: Model) -> DataFrame:
