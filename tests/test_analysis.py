@@ -1,3 +1,5 @@
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,6 +62,13 @@ def test_hotspots_and_owners(bakery):
     assert (o["cellar"]["main_dev"], o["cellar"]["knowledge_loss"], o["cellar"]["bus_factor"]) == (30, 1, 1) and o["yeast"]["main_dev"] == 10
 
 
+def test_people_are_those_of_the_commits(bakery):
+    """A written model's people are not those of other commits."""
+    by_one = replace(bakery, commits=bakery.commits.withColumns({"author": F.lit(77), "authors": F.array(F.lit(77).cast("long"))}))
+    assert [(r["author"], r["commits"]) for r in by_one.active().collect()] == [(77, by_one.commits.count())]
+    assert {r["author"] for r in bakery.active().collect()} == {10, 11, 20, 30}
+
+
 def test_pairs_and_their_flags(bakery):
     pairs = lambda **k: {(r["a"], r["b"]): r for r in coupling(bakery, "file", **k).collect()}
     assert {k: r["support"] for k, r in pairs().items()} == {("dough.ts", "yeast.ts"): 8}
