@@ -59,7 +59,8 @@ def innermost(lines: DataFrame, ranges: DataFrame, *carry: str) -> DataFrame:
 
     Lines and ranges meet by key and bin. A range is filed in the bins of its size that it reaches into, a line looks into
     its bin of each size, so that a line meets the ranges around it and not all of its key. Equal rows are one. Ranges that
-    end before they begin hold nothing; those longer than the largest bin are filed in several.
+    end before they begin hold nothing; those longer than the largest bin are filed in several. Only keys and lines are
+    looked up, each once; what is carried along meets the answers by them.
     """
     length = F.col("end") - F.col("start")
     size = F.lit(BINS[-1])
@@ -69,11 +70,13 @@ def innermost(lines: DataFrame, ranges: DataFrame, *carry: str) -> DataFrame:
     r = ranges.filter("start <= end").withColumn("size", size)
     r = r.select(F.col("key").alias("of"), "fn", "start", "end", F.col("size").alias("of_size"), F.explode(F.sequence(at(F.col("start"), F.col("size")), at(F.col("end"), F.col("size")))).alias("of_bin"))
     bins = F.explode(F.array(*[F.struct(F.lit(n).alias("size"), at(F.col("line"), n).alias("bin")) for n in BINS])).alias("b")
-    own = lines.select("key", "line", *carry).distinct().select("*", bins)
+    places = lines.select("key", "line").distinct().select("*", bins)
     inside = (F.col("line") >= F.col("start")) & (F.col("line") <= F.col("end"))
-    j = own.join(r, (F.col("key") == F.col("of")) & (F.col("b.size") == F.col("of_size")) & (F.col("b.bin") == F.col("of_bin")) & inside, "left")
-    least = F.min(F.when(F.col("fn").isNotNull(), F.struct((F.col("end") - F.col("start")).alias("n"), "fn")))
-    return j.groupBy("key", "line", *carry).agg(F.coalesce(least["fn"], F.lit(TOP_LEVEL)).alias("fn"))
+    # Ranges that are exploded look as small as what they were made of: without the hint the driver would gather them to broadcast.
+    j = places.join(r.hint("merge"), (F.col("key") == F.col("of")) & (F.col("b.size") == F.col("of_size")) & (F.col("b.bin") == F.col("of_bin")) & inside)
+    found = j.groupBy("key", "line").agg(F.min(F.struct((F.col("end") - F.col("start")).alias("n"), "fn")).alias("least")).select("key", "line", F.col("least.fn").alias("fn"))
+    own = lines.select("key", "line", *carry).repartition("key", "line").distinct()  # one shuffle for both
+    return own.join(found.hint("merge"), ["key", "line"], "left").select("key", "line", *carry, F.coalesce("fn", F.lit(TOP_LEVEL)).alias("fn"))
 
 
 def function_changes(files: DataFrame, functions: DataFrame) -> DataFrame:
@@ -84,13 +87,11 @@ def function_changes(files: DataFrame, functions: DataFrame) -> DataFrame:
     functions, are (top level). Files without lines have no row.
     """
     h = files.select("repo", "sha", "path", "old_blob", "new_blob", F.explode("hunks").alias("h"))
-
-    def side(kind: str) -> DataFrame:
-        first, n = F.col(f"h.{kind}_start").cast("long"), F.col(f"h.{kind}_count").cast("long")
-        return h.filter(n > 0).select("repo", "sha", "path", F.coalesce(f"{kind}_blob", F.lit("")).alias("key"), F.lit(kind).alias("side"), F.explode(F.sequence(first, first + n - 1)).alias("line"))
-
+    side = lambda kind: F.struct(F.coalesce(f"{kind}_blob", F.lit("")).alias("key"), F.lit(kind).alias("side"), F.col(f"h.{kind}_start").cast("long").alias("first"), F.col(f"h.{kind}_count").cast("long").alias("n"))
+    h = h.select("repo", "sha", "path", F.explode(F.array(side("new"), side("old"))).alias("s")).select("repo", "sha", "path", "s.*").filter("n > 0")
+    lines = h.select("repo", "sha", "path", "key", "side", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("line"))
     ranges = functions.select(F.col("blob").alias("key"), "fn", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
-    found = innermost(side("new").unionByName(side("old")), ranges, "repo", "sha", "path", "side")
+    found = innermost(lines, ranges, "repo", "sha", "path", "side")
     return found.groupBy("repo", "sha", "path", "fn").agg(F.count_if(F.col("side") == "new").alias("added"), F.count_if(F.col("side") == "old").alias("deleted"))
 
 
@@ -110,7 +111,7 @@ def function_hotspots(changes: DataFrame, functions: DataFrame, half_life_days:
     per = changes.groupBy("file", "fn", "commit_id").agg(F.max(w).alias("w"), F.sum(F.col("added") + F.col("deleted")).alias("churn"), F.max("defect").alias("defect"), F.max("ts").alias("ts"))
     people = changes.select("file", "fn", F.explode("authors").alias("author")).distinct().groupBy("file", "fn").agg(F.count("*").alias("authors"))
     h = per.groupBy("file", "fn").agg(F.count("*").alias("revisions"), F.sum("w").alias("rev_w"), F.sum("churn").alias("churn"), F.sum(F.col("defect").cast("long")).alias("defects"), F.max("ts").alias("last_ts"))
-    h = h.join(functions, ["file", "fn"]).join(people, ["file", "fn"], "left").fillna(0, ["authors"])
+    h = h.join(functions.hint("merge"), ["file", "fn"]).join(people.hint("merge"), ["file", "fn"], "left").fillna(0, ["authors"])
     top = F.max("rev_w").over(Window.partitionBy("file"))
     freq = F.when(top > 0, F.log(1 + F.col("rev_w")) / F.log(1 + top)).otherwise(0.0)
     return h.select("file", "fn", "revisions", F.round("rev_w", 4).alias("rev_w"), "churn", "defects", "authors", "last_ts", "cc", F.round(freq * (0.4 + 0.6 * F.least(F.col("cc") / 15, F.lit(1.0))), 3).alias("score"))

@@ -4,6 +4,7 @@ from itertools import pairwise
 import pytest
 from pyspark.sql import functions as F
 
+from revlens.operators.diff import diff_functions
 from revlens.operators.trends import BINS, TOP_LEVEL, function_changes, function_coupling, function_history, function_hotspots, innermost
 from revlens.sources.gitlog import dump_log, read_log
 from revlens.sources.history import from_history
@@ -104,3 +105,15 @@ def test_innermost_with_many_ranges_of_one_key(spark):
     for r in rows:
         assert r["fn"] == (TOP_LEVEL if r["key"] == "gone" or r["line"] > 10 * n else expected(r["line"])), r
     assert BINS[0] < 95 < BINS[1] and "fn" in got.columns
+
+
+def test_ranges_are_not_broadcast(spark):
+    """Exploded ranges look small to the planner: they are merged, and equal rows with the same line are answered once."""
+    lines = spark.range(40).selectExpr("concat('k', id % 4) key", "id % 5 line", "id % 2 side")
+    ranges = spark.range(4).selectExpr("concat('k', id) key", "explode(array(named_struct('fn', 'out', 'start', 0L, 'end', 3L), named_struct('fn', 'in', 'start', 1L, 'end', 2L))) r").selectExpr("key", "r.*")
+    found = innermost(lines, ranges, "side")
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {(r["line"], r["fn"]) for r in found.collect()} == {(0, "out"), (1, "in"), (2, "in"), (3, "out"), (4, TOP_LEVEL)} and found.count() == 20
+    cc = ranges.selectExpr("key blob", "fn", "start", "end", "1 cc")
+    files = lines.selectExpr("'c' change", "'r' repo", "key path", "key old_blob", "key new_blob").distinct()
+    assert "Broadcast" not in diff_functions(files, cc)._jdf.queryExecution().executedPlan().toString()
