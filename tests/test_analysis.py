@@ -7,6 +7,7 @@ from revlens.operators import coupling as cp
 from revlens.operators import findings as fd
 from revlens.operators import diff as df
 from revlens.operators import overview as ov
+from revlens.operators import social as so
 from revlens.operators.coupling import anchored_sessions, coupling
 from revlens.operators.hotspots import hotspots
 from revlens.operators.identity import resolve
@@ -137,6 +138,17 @@ def test_risk_of_a_change(spark, bakery):
     assert [(r["change"], r["place"], r["reviewer"]) for r in df.reviewers(bakery, c).orderBy("change").collect()] == [("one", 1, 11), ("two", 1, 10)]
 
 
+def test_experts_of_many_changes(spark, bakery):
+    """The same as one by one, with commits of several files and people who are named twice; what a change is sent does not grow with its files' commits."""
+    m = replace(bakery, changes=bakery.changes.withColumn("authors", F.when(F.col("commit_id").isin("d1", "e0"), F.array("author", "author", F.lit(20).cast("long"))).otherwise(F.col("authors"))))
+    touched = spark.createDataFrame([("a", "dough.ts"), ("a", "yeast.ts"), ("b", "dough.ts"), ("b", "dough.spec.ts"), ("b", "receipt.php"), ("c", "cellar.ts"), ("c", "x1.ts")], "change string, file string")
+    without = spark.createDataFrame([("a", 11), ("b", 20)], "change string, author long")
+    key = lambda d: sorted((r["change"], r["place"], r["author"], r["name"], r["score"], r["touches"], r["last_ts"]) for r in d.collect())
+    got, want = so.experts_of_many(m, touched, without), so.experts_by(m, touched, without)
+    assert key(got) == key(want) and {r["change"] for r in got.collect()} == {"a", "b", "c"}
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression [change") == 1
+
+
 def test_overview_and_tree(bakery):
     o = ov.overview(bakery).first()
     assert (o["tickets"], o["authors"], o["active_authors"], o["cross_unit_pairs"], o["cross_repo_pairs"]) == (8, 4, 3, 1, 2)
