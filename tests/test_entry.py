@@ -7,3 +7,10 @@ def test_names_match():
 
 def test_entry(spark):
     assert e.entry(spark).limit(1).count() == 1
+
+
+def test_component_sources_are_dealt_out(spark):
+    """One file with one row group is not one task's work."""
+    from revlens.source_queries import component_sources
+
+    assert component_sources(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 4
