@@ -52,6 +52,14 @@ def test_commits_are_classified(bakery):
     assert c["d1"]["defect"] and not c["d2"]["defect"] and c["d3"]["tickets"] == ["BAKE-3"] and {r["now"] for r in c.values()} == {NOW - 4 * DAY}
 
 
+def test_changes_meet_their_commits_first(spark):
+    """What files have is the widest and joins last, so that it is not shuffled by commit."""
+    m = make(spark, [("a", "r", 1, 1, "fix", ["x.ts", "y.ts"]), ("b", "r", 2, 2, "add", ["y.ts"])], [("x.ts", "r", 1, False, "php"), ("y.ts", "r", 2, False, "php")], Params())
+    joins = [line for line in m.changes._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner, (" in line]
+    assert "(file#" in joins[0] and "(commit_id#" in joins[1]
+    assert sorted((r["commit_id"], r["file"], r["authors"], r["now"]) for r in m.changes.collect()) == [("a", "x.ts", [1], NOW - DAY), ("a", "y.ts", [1], NOW - DAY), ("b", "y.ts", [2], NOW - DAY)]
+
+
 def test_hotspots_and_owners(bakery):
     h = {r["name"]: r for r in hotspots(bakery, "entity").collect()}
     # Eight with yeast, two alone, six with the test, one release.
