@@ -6,35 +6,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from revlens.functions.numeric import DAY, decay, with_percentile, with_rank
-from revlens.operators.hotspots import normalized_files
+from revlens.operators.hotspots import normalized_files, once_a_commit
 from revlens.plans.model import LEVELS, Model, Scope
+from revlens.plans.staging import stage
 
 
-def _sets(df: DataFrame, *by: str):
-    """df grouped by each level's key with the columns of by: a row counts once for each level."""
-    levels = [F.col(c) for c in LEVELS]
-    also = [F.col(c) for c in by]
-    return df.groupingSets([[level, *also] for level in levels], *levels, *also)
-
-
-def _level() -> tuple[Column, Column]:
-    """The level that a row of grouping sets is of, and its key."""
-    level = F.coalesce(*[F.when(F.grouping(c) == 0, F.lit(c)) for c in LEVELS])
-    key = F.coalesce(*[F.when(F.grouping(c) == 0, F.col(c)) for c in LEVELS])
-    return level.alias("level"), key.alias("name")
-
-
-def _aggregated(df: DataFrame, by: tuple[str, ...], *aggregates: Column) -> DataFrame:
-    """level, name, by and the aggregates for each level's keys."""
-    level, name = _level()
-    return _sets(df, *by).agg(level, name, *aggregates).drop(*LEVELS)
+def _of_each_level(df: DataFrame, *columns: str | Column) -> DataFrame:
+    """level, name and columns: a row for each level's key. Rows stay where they are, so that they can be dealt out before."""
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("level"), F.col(c).alias("name")) for c in LEVELS])).alias("k")
+    return df.select(each, *columns).select("k.level", "k.name", "*").drop("k")
 
 
 def history_of_levels(model: Model, scope: Scope = Scope()) -> DataFrame:
     """level, name, revisions, rev_w, defects, last_ts, churn, now: a commit counts once for each key."""
     rows = model.changes.filter(scope.files() & scope.commits())
-    rows = rows.select(*LEVELS, "commit_id", "defect", "ts", "now", (F.col("added") + F.col("deleted")).alias("lines"), (F.col("weight") * decay(F.col("now") - F.col("ts"), model.params.half_life_days)).alias("w"))
-    per = _aggregated(rows, ("commit_id",), F.max("w").alias("w"), F.max("defect").alias("defect"), F.max("ts").alias("ts"), F.sum("lines").alias("churn"), F.max("now").alias("now"))
+    rows = rows.withColumn("w", F.col("weight") * decay(F.col("now") - F.col("ts"), model.params.half_life_days)).withColumn("churn", F.col("added") + F.col("deleted"))
+    rows = _of_each_level(rows, "commit_id", "n_changes", "w", "defect", "ts", "churn", "now")
+    per = once_a_commit(rows, ("level", "name"), F.max("w").alias("w"), F.max("defect").alias("defect"), F.max("ts").alias("ts"), F.sum("churn").alias("churn"), F.max("now").alias("now"))
     return per.groupBy("level", "name").agg(
         F.count("*").alias("revisions"), F.sum("w").alias("rev_w"), F.sum(F.col("defect").cast("long")).alias("defects"), F.max("ts").alias("last_ts"), F.sum("churn").alias("churn"), F.max("now").alias("now")
     )
@@ -44,7 +32,8 @@ def people_of_levels(model: Model, scope: Scope = Scope()) -> DataFrame:
     """level, name, authors, active_authors, main_dev, main_share: a change's lines are split among its authors."""
     rows = model.changes.filter(scope.files() & scope.commits())
     rows = rows.select(*LEVELS, F.explode("authors").alias("author"), ((F.col("added") + 1) / F.size("authors")).alias("part"))
-    lines = _aggregated(rows, ("author",), F.sum("part").alias("lines")).join(model.active().select("author", "active"), "author", "left")
+    rows = _of_each_level(rows.repartition("author"), "author", "part")
+    lines = rows.groupBy("level", "name", "author").agg(F.sum("part").alias("lines")).join(model.active().select("author", "active"), "author", "left")
     return lines.groupBy("level", "name").agg(
         F.count("*").alias("authors"),
         F.sum(F.col("active").cast("long")).alias("active_authors"),
@@ -69,9 +58,10 @@ def sizes_of_levels(model: Model, scope: Scope = Scope()) -> DataFrame:
 
 def hotspots_of_levels(model: Model, scope: Scope = Scope()) -> DataFrame:
     """hotspots() of every level, with the level; each level is ranked by itself."""
-    r = sizes_of_levels(model, scope).join(history_of_levels(model, scope), ["level", "name"], "left").join(people_of_levels(model, scope), ["level", "name"], "left")
-    r = r.fillna(0, ["revisions", "rev_w", "defects", "churn", "authors", "active_authors"])
-    r = with_percentile(r, "among", "weighted", "level").withColumn("norm", F.when(F.col("level").isin("unit", "repo"), F.col("among")).otherwise(F.col("max_norm")))
+    r = with_percentile(sizes_of_levels(model, scope), "among", "weighted", "level").withColumn("norm", F.when(F.col("level").isin("unit", "repo"), F.col("among")).otherwise(F.col("max_norm")))
+    r = r.join(history_of_levels(model, scope), ["level", "name"], "left").join(people_of_levels(model, scope), ["level", "name"], "left")
+    # A row for each key, written once: the largest of them would read all changes again.
+    r = stage(r.fillna(0, ["revisions", "rev_w", "defects", "churn", "authors", "active_authors"]), "scored")
     r = r.withColumn("norm", F.when(F.col("test"), F.col("norm") * 0.5).otherwise(F.col("norm")))
     top = r.groupBy("level").agg(F.max(F.when(F.col("code") & ~F.col("test"), F.col("rev_w"))).alias("a"), F.max("rev_w").alias("b"))
     r = r.join(F.broadcast(top.select("level", F.when(F.coalesce("a", F.lit(0.0)) > 0, F.col("a")).otherwise(F.col("b")).alias("max_rw"))), "level")  # four rows
@@ -90,19 +80,20 @@ def hotspots_of_levels(model: Model, scope: Scope = Scope()) -> DataFrame:
 def ownership_of_levels(model: Model, scope: Scope = Scope()) -> DataFrame:
     """ownership() of every level, with the level."""
     alive = model.changes.filter("alive").select(*LEVELS, "added", "authors", "format", "ts", "now", (scope.files() & scope.commits()).alias("inside"))
-    rows = alive.select("*", F.explode("authors").alias("author"))
     known = F.when(F.col("inside") & ~F.col("format"), (F.col("added") + 1) / F.size("authors"))
     recent = F.col("ts") >= F.col("now") - 365 * DAY
-    # One pass: an author's lines and whether they are recent, for each key of each level.
-    k = _aggregated(rows, ("author",), F.sum(known).alias("lines"), F.max(recent).alias("recent"))
-    some = k.groupBy(F.col("level").alias("l"), F.col("name").alias("n")).agg(F.count_if("recent").alias("recent_authors"))
-    k = k.filter("lines is not null").join(model.active().select("author", "active"), "author")
+    rows = alive.select(*LEVELS, F.explode("authors").alias("author"), known.alias("part"), recent.alias("recent"))
+    # One pass: an author's lines and whether they are recent, for each key of each level. Rows are dealt by author before they are made more.
+    k = _of_each_level(rows.repartition("author"), "author", "part", "recent").groupBy("level", "name", "author").agg(F.sum("part").alias("lines"), F.max("recent").alias("recent"))
+    k = k.join(model.active().select("author", "active"), "author")
     key = Window.partitionBy("level", "name")
+    k = k.withColumn("recent_authors", F.count_if("recent").over(key)).filter("lines is not null")
     k = k.withColumn("share", F.round(F.col("lines") / F.sum("lines").over(key), 9))
     before = F.sum("share").over(key.orderBy(F.desc("share"), "author").rowsBetween(Window.unboundedPreceding, -1))
     k = k.withColumn("before", F.round(F.coalesce(before, F.lit(0.0)), 6))
     owned = k.groupBy("level", "name").agg(
         F.max_by("author", F.struct("share", -F.col("author"))).alias("main_dev"), F.round(F.max("share"), 3).alias("main_share"), F.round(1 - F.sum(F.col("share") * F.col("share")), 3).alias("fragmentation"),
         F.round(F.sum(F.when(~F.col("active"), F.col("share")).otherwise(0.0)), 3).alias("knowledge_loss"), F.sum((F.col("before") <= 0.5).cast("long")).alias("bus_factor"), F.count("*").alias("authors"),
+        F.max("recent_authors").alias("recent_authors"),
     )
-    return owned.join(some, (F.col("level") == F.col("l")) & F.col("name").eqNullSafe(F.col("n"))).drop("l", "n")
+    return owned
