@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from revlens.functions.numeric import DAY, decay
+from revlens.operators.hotspots import once_a_commit
 from revlens.plans.model import Model
 
 
@@ -106,9 +107,14 @@ def function_history(model: Model, changes: DataFrame) -> DataFrame:
 
 
 def function_hotspots(changes: DataFrame, functions: DataFrame, half_life_days: float = 180.0) -> DataFrame:
-    """file, fn, revisions, rev_w, churn, defects, authors, last_ts, cc, score for changes(file, fn, commit_id, ts, now, added, deleted, defect, weight, authors)."""
+    """file, fn, revisions, rev_w, churn, defects, authors, last_ts, cc, score for changes(file, fn, commit_id, ts, now, added, deleted, defect, weight, authors).
+
+    Where changes have n_changes, how many rows their commit has, a commit's only row is not looked for among others.
+    """
     w = F.col("weight") * decay(F.col("now") - F.col("ts"), half_life_days)
-    per = changes.groupBy("file", "fn", "commit_id").agg(F.max(w).alias("w"), F.sum(F.col("added") + F.col("deleted")).alias("churn"), F.max("defect").alias("defect"), F.max("ts").alias("ts"))
+    n = F.col("n_changes") if "n_changes" in changes.columns else F.lit(None).cast("long")
+    per = changes.select("file", "fn", "commit_id", F.coalesce(n, F.lit(2)).alias("n_changes"), w.alias("w"), (F.col("added") + F.col("deleted")).alias("churn"), "defect", "ts")
+    per = once_a_commit(per, ("file", "fn"), F.max("w").alias("w"), F.sum("churn").alias("churn"), F.max("defect").alias("defect"), F.max("ts").alias("ts"))
     people = changes.select("file", "fn", F.explode("authors").alias("author")).distinct().groupBy("file", "fn").agg(F.count("*").alias("authors"))
     h = per.groupBy("file", "fn").agg(F.count("*").alias("revisions"), F.sum("w").alias("rev_w"), F.sum("churn").alias("churn"), F.sum(F.col("defect").cast("long")).alias("defects"), F.max("ts").alias("last_ts"))
     h = h.join(functions.hint("merge"), ["file", "fn"]).join(people.hint("merge"), ["file", "fn"], "left").fillna(0, ["authors"])

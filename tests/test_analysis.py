@@ -9,10 +9,11 @@ from revlens.operators import diff as df
 from revlens.operators import overview as ov
 from revlens.operators import social as so
 from revlens.operators.coupling import anchored_sessions, coupling
-from revlens.operators.hotspots import hotspots
+from revlens.operators.hotspots import hotspots, once_a_commit, scored
 from revlens.operators.identity import resolve
+from revlens.operators.levels import ownership_of_levels, people_of_levels
 from revlens.operators.social import ownership
-from revlens.operators.trends import classify, innermost
+from revlens.operators.trends import classify, function_hotspots, innermost
 from revlens.plans.model import Params, Scope, build
 
 NOW, DAY = 1_700_000_000, 86_400
@@ -227,3 +228,46 @@ def test_innermost(spark):
     lines = spark.createDataFrame([("f", 2), ("f", 7), ("f", 9), ("f", 99)], "key string, line long")
     ranges = spark.createDataFrame([("f", "whole", 1, 40), ("f", "part", 6, 9), ("f", "twin", 6, 9), ("f", "bit", 9, 9)], "key string, fn string, start long, end long")
     assert {r["line"]: r["fn"] for r in innermost(lines, ranges).collect()} == {2: "whole", 7: "part", 9: "bit", 99: "(top level)"}
+
+
+def test_change_sets_are_one_row_each(spark, bakery):
+    sets = cp.commit_sets(bakery, "file")
+    assert sorted(sorted(r["keys"]) for r in sets.collect()) == sorted(
+        [["dough.ts", "yeast.ts"]] * 8 + [["dough.ts"]] * 2 + [["receipt.php"]] * 6 + [["cellar.ts"]] * 5 + [["dough.spec.ts", "dough.ts", "oven.json"]] * 6
+    )
+    now = spark.range(1).select(F.lit(NOW).cast("long").alias("now"))
+    for rare in ([], [["a", "b", "z"]]):
+        rows = [["b", "a"], ["a", "c", "b"], ["c", None, "a"], ["a"], [None], []] + rare
+        d = spark.createDataFrame([(r, NOW) for r in rows], "keys array<string>, ts long")
+        got = {(r["a"], r["b"]): (r["support"], r["recent"], r["n_a"], r["n_b"], round(r["lift"], 6)) for r in cp.pair_counts(d, Params(min_support=2, min_lift=0.0, min_confidence=0.0), now).collect()}
+        n, ab, a = len(rows), 2 + len(rare), 4 + len(rare)
+        assert got == {("a", "b"): (ab, ab, a, ab, round(ab * n / (a * ab), 6)), ("a", "c"): (2, 2, a, 2, round(2 * n / (a * 2), 6))}
+
+
+def test_a_commits_only_change_is_not_shuffled(spark):
+    rows = spark.createDataFrame([("k", "c1", 1, 5), ("k", "c2", 2, 7), ("k", "c2", 2, 1), (None, "c3", 1, 2)], "key string, commit_id string, n_changes long, churn long")
+    once = once_a_commit(rows, ("key",), F.sum("churn").alias("churn"))
+    assert sorted((r["key"] or "", r["churn"]) for r in once.collect()) == [("", 2), ("k", 5), ("k", 8)]
+    assert "Aggregate" not in once._jdf.queryExecution().optimizedPlan().children().head().toString()
+
+
+def test_a_scored_key_is_written_once(bakery):
+    """What is read again for the largest is a row for each key, not all changes."""
+    assert not [f for f in scored(bakery, "unit").inputFiles() if "model-changes" in f]
+
+
+def test_levels_are_made_after_rows_are_dealt(bakery):
+    for made in (people_of_levels(bakery), ownership_of_levels(bakery)):
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        # Upper lines come later: the levels' explode() stands above the shuffle by author.
+        assert "Expand" not in plan and plan.index("Generate explode(array(struct(level") < plan.index("RepartitionByExpression [author")
+    own = {r["name"]: (r["main_dev"], r["recent_authors"]) for r in ownership(bakery, "unit").collect()}
+    assert own == {r["name"]: (r["main_dev"], r["recent_authors"]) for r in ownership_of_levels(bakery).filter("level = 'unit'").collect()}
+
+
+def test_functions_of_commits_with_one_change(bakery):
+    c = bakery.changes.select(F.col("unit").alias("file"), F.col("entity").alias("fn"), "commit_id", "ts", "now", "added", "deleted", "defect", "weight", "authors", "n_changes")
+    functions = c.groupBy("file", "fn").agg(F.lit(20).alias("cc"))
+    known = function_hotspots(c, functions)
+    assert sorted(known.collect()) == sorted(function_hotspots(c.drop("n_changes"), functions).collect())
+    assert "(n_changes" in known._jdf.queryExecution().optimizedPlan().toString()
