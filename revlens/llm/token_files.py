@@ -33,8 +33,8 @@ END_ID = 0
 BLOBS = "part int, seq int, n_docs long, n_ids long, data binary"
 #: Pieces, and pre-tokens, that an encoder remembers; beyond that it starts afresh.
 CACHE_WORDS = 500_000
-#: Texts are encoded so many bytes at a time, or one text.
-PIECE_BYTES = 8 << 20
+#: Texts are encoded so many bytes at a time, or one text; a byte takes some twenty while it is encoded.
+PIECE_BYTES = 1 << 20
 
 
 def width_of(vocabulary: int) -> int:
@@ -324,6 +324,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k
                     doc_ids, lengths, ids = [], [], []
         if doc_ids:
             yield row()
+        # The worker lives on: what its Arrow memory has kept would stay beside the next task's.
+        pa.default_memory_pool().release_unused()
 
     spark = docs.sparkSession
     small_batches(spark)

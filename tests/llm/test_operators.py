@@ -1,7 +1,9 @@
+import tracemalloc
 import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -650,6 +652,23 @@ def test_tokenizers_that_do_not_split_at_spaces(spark):
         assert got[i] == (len(ids), zlib.crc32(np.array(ids, "<u4"))), x
 
 
+def test_encoding_takes_little_memory_at_once():
+    import public_tokenizers
+
+    encoder = token_files.WordEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    text = " ".join(f"word{i % 5000}" for i in range(500))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2000)), pa.array([text] * 2000)], ["id", "text"])
+    encode = lambda pieces: [encoder.encode(p.column(1), 0)[0] for p in pieces]
+    whole = encode([batch])
+    tracemalloc.start()
+    ids = encode(token_files._pieces_of(batch, token_files.PIECE_BYTES))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.array_equal(np.concatenate(ids), whole[0])
+    # What is kept are 4 bytes for each id.
+    assert peak < 4 * len(whole[0]) + (20 << 20)
+
+
 def test_encoder_with_a_small_cache(monkeypatch):
     import public_tokenizers
     import pyarrow as pa
