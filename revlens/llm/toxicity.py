@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revlens.llm.common import small_batches, table, text_of
+from revlens.llm.common import release_memory, small_batches, table, text_of
 
 DECAY = 0.7
 #: A subsequence spans so many characters at most.
@@ -48,13 +48,15 @@ WINDOW = 3
 MOST_LETTERS = 40
 CACHE_WORDS = 200_000
 #: Windows are judged so many at a time in training, and the gaps of texts in scoring.
-CHUNK = 2048
+CHUNK = 512
 BLOCK = 1 << 15
 #: Texts are cut into words so many characters at a time, or one text.
 PIECE_CHARS = 1 << 18
 #: Least log-likelihood ratio of a window that stands for the label. Where none has it, FALLBACK best ones are taken.
 LEAST_RATIO = 15.0
 FALLBACK = 50
+#: Windows of toxic texts are counted in so many parts, one after another.
+WINDOW_PARTS = 8
 #: Rounds of labelling sentences and training, and a round's positive and further negative windows at most.
 ROUNDS = 3
 MOST_WINDOWS = 1000
@@ -242,25 +244,30 @@ class Scorer:
         scores, windows = [np.zeros(0)], []
         for i in range(0, len(texts), CHUNK):
             flat, gaps, first, _, best, reach = self._judged(texts[i : i + CHUNK])
+            some = []
             for a, z in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
                 k = a + int(best[a : z - 1].argmax()) if z - a >= 2 else -1
-                scores.append(best[k : k + 1] if k >= 0 else np.array([-np.inf]))
+                some.append(float(best[k]) if k >= 0 else -np.inf)
                 windows.append("".join(map(_ALPHABET.__getitem__, flat[gaps[k] + 1 : gaps[k + reach[k]]].tolist())) if k >= 0 else "")
+            scores.append(np.array(some))
         return np.concatenate(scores), windows
 
 
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-3) -> np.ndarray:
-    """A linear machine with squared hinge loss, by Newton steps; the last weight is the bias."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(x.shape[1])
-    ridge = np.full(x.shape[1], penalty * weight.sum())
+    """A linear machine with squared hinge loss, by Newton steps whose sums are taken CHUNK rows at a time; the last weight is the bias."""
+    w = np.zeros(x.shape[1] + 1)
+    ridge = np.full(len(w), penalty * weight.sum())
     ridge[-1] = 1e-6
     for _ in range(30):
-        slack = 1 - y * (x @ w)
-        on = slack > 0
-        xs = x[on] * weight[on, None]
-        grad = ridge * w - xs.T @ (y[on] * slack[on])
-        step = np.linalg.solve(xs.T @ x[on] + np.diag(ridge), grad)
+        grad, curvature = ridge * w, np.diag(ridge)
+        for i in range(0, len(x), CHUNK):
+            rows, label = np.hstack([x[i : i + CHUNK], np.ones((len(x[i : i + CHUNK]), 1))]), y[i : i + CHUNK]
+            slack = 1 - label * (rows @ w)
+            on = slack > 0
+            rows, scaled = rows[on], rows[on] * weight[i : i + CHUNK][on, None]
+            grad -= scaled.T @ (label[on] * slack[on])
+            curvature += scaled.T @ rows
+        step = np.linalg.solve(curvature, grad)
         w -= step
         if np.abs(step).max() < 1e-8:
             break
@@ -331,19 +338,24 @@ def _ratio(a: np.ndarray, b: np.ndarray, share: float) -> np.ndarray:
 def _own_windows(bad: list[np.ndarray], good: list[np.ndarray], text_of_key) -> dict[str, float]:
     """Windows that are the toxic texts' own, of which none holds another: in several of them, far more often than in others, and not by chance."""
     share = len(bad) / max(1, len(bad) + len(good))
-    keys, in_bad = np.unique(np.concatenate([np.zeros(0, np.int64), *bad]), return_counts=True)
-    in_good = np.zeros(len(keys), np.int64)
-    for w in good:
-        at = np.searchsorted(keys, w)
-        at = at[(at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == w)] if len(keys) else at[:0]
-        in_good[at] += 1
-    own = np.flatnonzero(in_bad > 8 * in_good * share / max(1e-9, 1 - share))
-    strength = _ratio(in_bad[own], in_good[own], share) if share else np.zeros(0)
-    enough = np.flatnonzero(strength > LEAST_RATIO)
-    if not len(enough):
-        enough = np.argsort(-strength, kind="stable")[:FALLBACK]
+    best: list[tuple[float, int]] = []  # negative strengths and windows
+    for part in range(WINDOW_PARTS):
+        keys, in_bad = np.unique(np.concatenate([np.zeros(0, np.int64), *(w[w % WINDOW_PARTS == part] for w in bad)]), return_counts=True)
+        in_good = np.zeros(len(keys), np.int64)
+        for w in good:
+            w = w[w % WINDOW_PARTS == part]
+            at = np.searchsorted(keys, w)
+            at = at[(at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == w)] if len(keys) else at[:0]
+            in_good[at] += 1
+        own = np.flatnonzero(in_bad > 8 * in_good * share / max(1e-9, 1 - share))
+        strength = _ratio(in_bad[own], in_good[own], share) if share else np.zeros(0)
+        # Those that are strong enough, and FALLBACK in any case.
+        order = np.argsort(-strength, kind="stable")
+        order = order[: max(FALLBACK, int((strength > LEAST_RATIO).sum()))]
+        best += zip((-strength[order]).tolist(), keys[own[order]].tolist(), strict=True)
+    enough = [x for x in best if -x[0] > LEAST_RATIO] or sorted(best)[:FALLBACK]
     odd: dict[str, float] = {}
-    for k, x in sorted(((text_of_key(int(keys[own[i]])), float(strength[i])) for i in enough), key=lambda r: (r[0].count(" "), r[0])):
+    for k, x in sorted(((text_of_key(key), -lost) for lost, key in enough), key=lambda r: (r[0].count(" "), r[0])):
         parts = k.split(" ")
         if len(k) > 2 and not any(" ".join(parts[i:j]) in odd for i in range(len(parts)) for j in range(i + 1, len(parts) + 1) if j - i < len(parts)):
             odd[k] = x
@@ -368,7 +380,10 @@ def _nystroem(landmarks: list[str]):
     root = vectors / np.sqrt(np.maximum(values, 1e-9))
 
     def mapped(units: list[str]) -> np.ndarray:
-        return np.vstack([dense(units[i : i + 512]) @ held.T for i in range(0, len(units), 512)]) @ root
+        out = np.empty((len(units), len(landmarks)))
+        for i in range(0, len(units), CHUNK):
+            out[i : i + CHUNK] = dense(units[i : i + CHUNK]) @ held.T @ root
+        return out
 
     def folded(w: np.ndarray) -> np.ndarray:
         weights = np.zeros(FEATURES)
@@ -378,10 +393,8 @@ def _nystroem(landmarks: list[str]):
     return mapped, folded
 
 
-def fit(toxic: list[str], clean: list[str], seed: int = 7) -> Model | None:
-    """A machine without a curve, from sentences of toxic and of clean texts. None where no window tells them apart."""
-    rng = np.random.default_rng(seed)
-    bad, good = ([[x for x in sentences_of(texts[i])] for i in _spread(texts)] for texts in (toxic, clean))
+def _marks(bad: list[list[str]], good: list[list[str]], rng: np.random.Generator) -> tuple[dict[str, float], list[str], list[str]]:
+    """Windows that are the toxic texts' own, with their strength; the strongest of them; and windows drawn from clean texts. Texts are lists of sentences."""
     names: dict[str, int] = {}
     numbered = lambda t: np.array([names.setdefault(u, len(names) + 1) for u in tokens_of(t)], np.int64)
     windows_of = lambda d: np.unique(np.concatenate([np.zeros(0, np.int64), *(_windows(numbered(x)) for x in d)]))
@@ -390,9 +403,6 @@ def fit(toxic: list[str], clean: list[str], seed: int = 7) -> Model | None:
     text_of_key = lambda k: " ".join(word[i - 1] for i in (k >> 2 * _BITS, (k >> _BITS) % 2**_BITS, k % 2**_BITS) if i)
     odd = _own_windows(bad_windows, good_windows, text_of_key)
     marks = sorted(odd, key=lambda u: (-odd[u], u))[:LANDMARKS]
-    if not marks:
-        return None
-    pick = lambda xs, n: [xs[i] for i in sorted(rng.choice(len(xs), min(n, len(xs)), replace=False))]
     # Windows of clean sentences: words, and some of several words, drawn from all and from those with a word of a mark.
     held_words = np.array(sorted({names[p] for u in marks for p in u.split(" ")}), np.int64)
     drawn = [np.zeros(0, np.int64)]
@@ -400,7 +410,17 @@ def fit(toxic: list[str], clean: list[str], seed: int = 7) -> Model | None:
         many = w[w >= 2**_BITS]
         near = np.isin(many % 2**_BITS, held_words) | np.isin((many >> _BITS) % 2**_BITS, held_words) | np.isin(many >> 2 * _BITS, held_words)
         drawn += [w[w < 2**_BITS], rng.permutation(many[near])[:20], rng.permutation(many)[:20]]
-    others = sorted({text_of_key(int(k)) for k in np.unique(np.concatenate(drawn))} - set(odd))
+    return odd, marks, sorted({text_of_key(int(k)) for k in np.unique(np.concatenate(drawn))} - set(odd))
+
+
+def fit(toxic: list[str], clean: list[str], seed: int = 7) -> Model | None:
+    """A machine without a curve, from sentences of toxic and of clean texts. None where no window tells them apart."""
+    rng = np.random.default_rng(seed)
+    bad, good = ([[x for x in sentences_of(texts[i])] for i in _spread(texts)] for texts in (toxic, clean))
+    odd, marks, others = _marks(bad, good, rng)
+    if not marks:
+        return None
+    pick = lambda xs, n: [xs[i] for i in sorted(rng.choice(len(xs), min(n, len(xs)), replace=False))]
     negatives = pick(others, 3000)
     mapped, folded = _nystroem((marks[: LANDMARKS // 2] + pick(others, LANDMARKS))[:LANDMARKS])
     bad_sentences, good_sentences = ([x for d in part for x in d] for part in (bad, good))
@@ -416,6 +436,7 @@ def fit(toxic: list[str], clean: list[str], seed: int = 7) -> Model | None:
     clean_windows = set(others)
     known: dict[str, bytes] = {}
     for _ in range(ROUNDS):
+        release_memory()
         positives = [u for u, _ in sorted(found.items(), key=lambda r: (-r[1], r[0]))[:MOST_WINDOWS]]
         # Each also with a letter put in somewhere, twice, and words with a space, at a lower weight.
         inserted = [u[:k] + chr(97 + c) + u[k:] for u in positives for k, c in zip(rng.integers(1, max(2, len(u)), 2), rng.integers(0, 26, 2), strict=True)]
@@ -518,6 +539,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         raise ValueError(f"the documents have {', '.join(sorted(taken))} already: give score_col and predicted_col")
     small_batches(docs.sparkSession)
     model = train(*training_sample(docs, labels, id_col, text_col))
+    # The driver goes on for long after: what training took is given back.
+    _unit_again.cache_clear()
+    release_memory()
     return docs.withColumn(score_col, score_texts(docs, model, text_col)).withColumn(predicted_col, (F.col(score_col) >= 0.5).cast("int"))
 
 

@@ -739,3 +739,31 @@ def test_pipeline_stages(spark, tmp_path):
             if name == "mixing" and n:
                 assert None in {r["source"] for r in left} and n >= before
         assert len(left) == n
+
+
+def test_training_holds_no_copies(monkeypatch):
+    """The machine is fitted and sentences are judged a piece at a time, and what was free is given back."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(12_000, 60))
+    y, weight = np.where(x[:, 0] + 0.3 * rng.normal(size=len(x)) > 0, 1.0, -1.0), rng.uniform(0.5, 2, len(x))
+    tracemalloc.start()
+    w = toxicity._svm(x, y, weight)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < x.nbytes / 2
+    monkeypatch.setattr(toxicity, "CHUNK", len(x))
+    assert np.allclose(w, toxicity._svm(x, y, weight), rtol=1e-9, atol=1e-12)
+    scores, windows = toxicity.Scorer(toxicity.Model(rng.normal(size=toxicity.FEATURES), -0.1, np.ones(6))).worst(["", BASE, "a b"])
+    assert scores[0] == -np.inf and scores[2] > -np.inf and windows[0] == "" and windows[1]
+
+
+def test_windows_counted_in_parts_are_the_same(monkeypatch):
+    rng = np.random.default_rng(8)
+    windows = lambda n, top: [np.unique(rng.integers(1, top, 60)) for _ in range(n)]
+    name = lambda k: f"w{k}"
+    for bad, good in ((windows(40, 100), windows(40, 3000)), (windows(3, 500), windows(3, 500)), ([], windows(2, 9)), (windows(2, 9), [])):
+        got = []
+        for parts in (8, 1):
+            monkeypatch.setattr(toxicity, "WINDOW_PARTS", parts)
+            got.append(toxicity._own_windows(bad, good, name))
+        assert list(got[0].items()) == list(got[1].items())
