@@ -133,6 +133,16 @@ def test_thresholds_by_default():
     assert (p.hidden_degree, p.shotgun_average, p.graph_confidence, p.missed_confidence) == (0.5, 5.0, 0.1, 0.6)
 
 
+def test_risk_of_tickets(bakery):
+    """As of a change with the ticket's commits, without asking who wrote the files and without looking for the commits' changes."""
+    for level in ("file", "unit"):
+        of_tickets = df.ticket_risk(bakery, level)
+        assert of_tickets.count() and sorted(of_tickets.collect()) == sorted(df.change_risk(bakery, ov.ticket_changes(bakery), level).collect())
+    h = scored(bakery, "file", people=False)
+    assert "authors" not in h.columns
+    assert sorted(h.select("file", "score", "revisions").collect()) == sorted(scored(bakery, "file").select("file", "score", "revisions").collect())
+
+
 def test_risk_of_a_change(spark, bakery):
     """A newcomer changes yeast alone: dough is missed, and so is the receipt; then the same with what a parser found."""
     c = spark.createDataFrame([("one", "d1"), ("two", "e0"), ("two", "e1")], "change string, commit_id string")
