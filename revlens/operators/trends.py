@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from revlens.functions.numeric import DAY, decay
@@ -80,6 +80,69 @@ def innermost(lines: DataFrame, ranges: DataFrame, *carry: str) -> DataFrame:
     return own.join(found.hint("merge"), ["key", "line"], "left").select("key", "line", *carry, F.coalesce("fn", F.lit(TOP_LEVEL)).alias("fn"))
 
 
+#: Functions of a content up to which each of its lines is asked for all of them.
+FEW = 200
+
+
+def segments(ranges: DataFrame) -> DataFrame:
+    """key, segments of ranges(key, fn, start, end): stretches of lines, array of (first, last, fn), with the innermost range that holds them; lines outside of all are in none.
+
+    They begin where a range begins or one has ended. Of keys with many ranges the beginnings are looked up like lines.
+    """
+    r = ranges.filter("start <= end").groupBy("key").agg(F.collect_set(F.struct("start", "end", "fn")).alias("fns"))
+    first = F.array_sort(F.array_distinct(F.flatten(F.transform("fns", lambda f: F.array(f["start"], f["end"] + 1)))))
+    r = r.withColumn("first", first)
+    least = lambda x: F.array_min(F.transform(F.filter("fns", lambda f: (f["start"] <= x) & (f["end"] >= x)), lambda f: F.struct((f["end"] - f["start"]).alias("n"), f["fn"].alias("fn"))))["fn"]
+    few = r.filter(F.size("fns") <= FEW).select("key", F.transform("first", lambda x: F.struct(x.alias("first"), F.coalesce(least(x), F.lit(TOP_LEVEL)).alias("fn"))).alias("at"))
+    many = r.filter(F.size("fns") > FEW)
+    found = innermost(many.select("key", F.explode("first").alias("line")), many.select("key", F.explode("fns").alias("f")).select("key", "f.fn", "f.start", "f.end"))
+    at = few.unionByName(found.groupBy("key").agg(F.sort_array(F.collect_list(F.struct(F.col("line").alias("first"), "fn"))).alias("at")))
+    # The last begins after all ranges.
+    each = F.transform("at", lambda x, i: F.struct(x["first"].alias("first"), (F.get("at", i + 1)["first"] - 1).alias("last"), x["fn"].alias("fn")))
+    return at.select("key", F.filter(each, lambda x: x["last"].isNotNull() & (x["fn"] != TOP_LEVEL)).alias("segments"))
+
+
+def disjoint(runs: Column) -> Column:
+    """Runs of lines, array of (first, last), in order and without what an earlier one has. Where none meet, as in a patch, nothing is put together anew."""
+    runs = F.array_sort(runs)
+    before, no = F.lit(-(1 << 62)), F.lit(False)
+    meet = F.aggregate(runs, F.struct(before.alias("last"), no.alias("meet")), lambda a, x: F.struct(F.greatest(a["last"], x["last"]).alias("last"), (a["meet"] | (x["first"] <= a["last"])).alias("meet")))["meet"]
+
+    def put(a: Column, x: Column) -> Column:
+        left = F.struct(F.greatest(x["first"], a["last"] + 1).alias("first"), x["last"].alias("last"))
+        return F.struct(F.greatest(a["last"], x["last"]).alias("last"), F.when(x["last"] > a["last"], F.concat(a["runs"], F.array(left))).otherwise(a["runs"]).alias("runs"))
+
+    none = F.array().cast("array<struct<first:bigint,last:bigint>>")
+    return F.when(meet, F.aggregate(runs, F.struct(before.alias("last"), none.alias("runs")), put)["runs"]).otherwise(runs)
+
+
+def commit_functions(files: DataFrame, functions: DataFrame) -> DataFrame:
+    """function_changes() with commit_id, by which the rows are dealt, so that they meet their commits where they are.
+
+    Hunks are never made lines: those of one side of a file are one row, which meets the functions of its content and
+    comes back with a number for each of them.
+    """
+    # No content has these names: what has none meets nothing, and not in one task.
+    none = F.concat(F.lit(":"), F.pmod(F.xxhash64("repo", "sha", "path"), F.lit(1 << 20)).cast("string"))
+    side = lambda kind: F.struct(F.coalesce(f"{kind}_blob", none).alias("key"), F.lit(kind == "new").alias("new"), F.filter(F.transform("hunks", lambda h: F.struct(h[f"{kind}_start"].cast("long").alias("first"), (h[f"{kind}_start"].cast("long") + h[f"{kind}_count"] - 1).alias("last"))), lambda x: x["first"] <= x["last"]).alias("runs"))
+    # A file that stands in a patch twice has each line once.
+    h = files.groupBy("repo", "sha", "path").agg(F.flatten(F.collect_list(F.array(side("new"), side("old")))).alias("sides"))
+    h = h.select("repo", "sha", "path", F.explode("sides").alias("s")).select("repo", "sha", "path", "s.*").filter(F.size("runs") > 0)
+    h = h.groupBy("repo", "sha", "path", "key", "new").agg(F.flatten(F.collect_list("runs")).alias("runs")).withColumn("runs", disjoint(F.col("runs")))
+    ranges = functions.select(F.col("blob").alias("key"), "fn", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+    h = h.join(segments(ranges).hint("merge"), "key", "left")
+    zero = F.lit(0).cast("long")
+    within = lambda x: F.aggregate("runs", zero, lambda n, r: n + F.greatest(F.least(x["last"], r["last"]) - F.greatest(x["first"], r["first"]) + 1, zero))
+    inside = F.filter(F.transform("segments", lambda x: F.struct(x["fn"].alias("fn"), within(x).alias("n"))), lambda x: x["n"] > 0)
+    h = h.withColumn("of", F.coalesce(inside, F.array().cast("array<struct<fn:string,n:bigint>>")))
+    rest = F.aggregate("runs", zero, lambda n, r: n + r["last"] - r["first"] + 1) - F.aggregate("of", zero, lambda n, x: n + x["n"])
+    h = h.select("repo", "sha", "path", "new", F.concat("of", F.filter(F.array(F.struct(F.lit(TOP_LEVEL).alias("fn"), rest.alias("n"))), lambda x: x["n"] > 0)).alias("of"))
+    commit = F.concat_ws(":", "repo", "sha")
+    h = h.repartition(commit).withColumn("commit_id", commit).select("commit_id", "repo", "sha", "path", "new", F.explode_outer("of").alias("f"))  # never empty, and not asked for twice
+    of = lambda new: F.sum(F.when(F.col("new") == new, F.col("f.n")).otherwise(0))
+    return h.groupBy("commit_id", "repo", "sha", "path", F.col("f.fn").alias("fn")).agg(of(True).alias("added"), of(False).alias("deleted"))
+
+
 def function_changes(files: DataFrame, functions: DataFrame) -> DataFrame:
     """repo, sha, path, fn, added, deleted: how many lines each change of a patch's files added to, and took from, each function.
 
@@ -87,13 +150,7 @@ def function_changes(files: DataFrame, functions: DataFrame) -> DataFrame:
     the functions of the new content, old ones into those of the old; lines outside of all, and of contents without
     functions, are (top level). Files without lines have no row.
     """
-    h = files.select("repo", "sha", "path", "old_blob", "new_blob", F.explode("hunks").alias("h"))
-    side = lambda kind: F.struct(F.coalesce(f"{kind}_blob", F.lit("")).alias("key"), F.lit(kind).alias("side"), F.col(f"h.{kind}_start").cast("long").alias("first"), F.col(f"h.{kind}_count").cast("long").alias("n"))
-    h = h.select("repo", "sha", "path", F.explode(F.array(side("new"), side("old"))).alias("s")).select("repo", "sha", "path", "s.*").filter("n > 0")
-    lines = h.select("repo", "sha", "path", "key", "side", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("line"))
-    ranges = functions.select(F.col("blob").alias("key"), "fn", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
-    found = innermost(lines, ranges, "repo", "sha", "path", "side")
-    return found.groupBy("repo", "sha", "path", "fn").agg(F.count_if(F.col("side") == "new").alias("added"), F.count_if(F.col("side") == "old").alias("deleted"))
+    return commit_functions(files, functions).drop("commit_id")
 
 
 def function_history(model: Model, changes: DataFrame) -> DataFrame:

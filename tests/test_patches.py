@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from revlens.operators.diff import diff_functions
-from revlens.operators.trends import BINS, TOP_LEVEL, function_changes, function_coupling, function_history, function_hotspots, innermost
+from revlens.operators.trends import BINS, FEW, TOP_LEVEL, function_changes, function_coupling, function_history, function_hotspots, innermost
 from revlens.sources.gitlog import dump_log, read_log
 from revlens.sources.history import from_history
 from revlens.sources.patches import dump_diff, dump_patches, read_patches
@@ -117,3 +117,32 @@ def test_ranges_are_not_broadcast(spark):
     cc = ranges.selectExpr("key blob", "fn", "start", "end", "1 cc")
     files = lines.selectExpr("'c' change", "'r' repo", "key path", "key old_blob", "key new_blob").distinct()
     assert "Broadcast" not in diff_functions(files, cc)._jdf.queryExecution().executedPlan().toString()
+
+
+HUNKS = "repo string, sha string, path string, old_blob string, new_blob string, hunks array<struct<old_start:int,old_count:int,new_start:int,new_count:int>>"
+
+
+def test_hunks_meet_functions_without_being_lines(spark):
+    """Hunks that overlap, a file that stands twice in a patch, contents with few and with many functions, none, and no content: each line once."""
+    few = [("out", 1, 60), ("in", 10, 20), ("deep", 12, 13), ("twin", 12, 13), ("late", 50, 70), ("wrong", 9, 3)]
+    many = [(f"f{k}", 3 * k, 3 * k + k % 7) for k in range(FEW + 50)]
+    functions = spark.createDataFrame([(b, *f) for b, fs in (("few", few), ("many", many)) for f in fs], "blob string, fn string, start int, end int")
+    rows = [
+        ("r", "s1", "a", "few", "many", [(5, 10, 2, 90), (12, 3, 80, 30), (0, 0, 500, 0)]), ("r", "s1", "a", "few", "many", [(1, 6, 100, 40), (55, 30, 900, 5)]),
+        ("r", "s2", "a", "many", "few", [(1, 400, 1, 100)]), ("r", "s2", "b", None, "gone", [(3, 2, 1, 4)]), ("q", "s2", "b", "few", "few", [(71, 1, 12, 1)]), ("q", "s3", "b", "few", None, []),
+    ]
+    want, of = {}, {"few": few, "many": many}
+    for repo, sha, path, key, new, line in {(r, s, p, b, n, x) for r, s, p, old, to, hs in rows for h in hs for b, n, start, count in ((old, False, *h[:2]), (to, True, *h[2:])) for x in range(start, start + count)}:
+        fn = min(((e - b, f) for f, b, e in of.get(key, []) if b <= line <= e), default=(0, TOP_LEVEL))[1]
+        want.setdefault((repo, sha, path, fn), [0, 0])[0 if new else 1] += 1
+    got = function_changes(spark.createDataFrame(rows, HUNKS), functions)
+    assert got.columns == ["repo", "sha", "path", "fn", "added", "deleted"]
+    assert {tuple(r)[:4]: list(r)[4:] for r in got.collect()} == want
+
+
+def test_a_hunk_of_two_billion_lines(spark):
+    """It is a run of lines and never as many rows."""
+    n = 2_147_483_000
+    functions = spark.createDataFrame([("k", "f", 11, 20)], "blob string, fn string, start int, end int")
+    got = function_changes(spark.createDataFrame([("r", "s", "a", None, "k", [(0, 0, 1, n)])], HUNKS), functions)
+    assert {(r["fn"], r["added"], r["deleted"]) for r in got.collect()} == {("f", 10, 0), (TOP_LEVEL, n - 10, 0)}
