@@ -154,27 +154,37 @@ def function_changes(files: DataFrame, functions: DataFrame) -> DataFrame:
 
 
 def function_history(model: Model, changes: DataFrame) -> DataFrame:
-    """What function_hotspots() and function_coupling() take, of function_changes() rows: those of commits and files of the model."""
-    named = changes.withColumn("commit_id", F.concat_ws(":", "repo", "sha")).drop("repo")
+    """What function_hotspots() and function_coupling() take, of function_changes() or commit_functions() rows: those of commits and files of the model."""
+    named = (changes if "commit_id" in changes.columns else changes.withColumn("commit_id", F.concat_ws(":", "repo", "sha"))).drop("repo", "sha")
+    # How many rows a file's function has in a commit: one, unless several paths are one file.
+    rows = F.lit(1) if model.paths is None else F.lit(2)
     if model.paths is not None:
         named = named.join(model.paths.select("commit_id", "path", "file").distinct(), ["commit_id", "path"])
     else:
         named = named.withColumnRenamed("path", "file")
-    return named.join(model.commits.select("commit_id", "ts", "now", "defect", "weight", "authors"), "commit_id").select("file", "fn", "commit_id", "ts", "now", "added", "deleted", "defect", "weight", "authors")
+    commits = model.commits.select("commit_id", "ts", "now", "defect", "weight", "authors").hint("merge")
+    return named.join(commits, "commit_id").select("file", "fn", "commit_id", "ts", "now", "added", "deleted", "defect", "weight", "authors", rows.cast("long").alias("n_changes"))
 
 
 def function_hotspots(changes: DataFrame, functions: DataFrame, half_life_days: float = 180.0) -> DataFrame:
     """file, fn, revisions, rev_w, churn, defects, authors, last_ts, cc, score for changes(file, fn, commit_id, ts, now, added, deleted, defect, weight, authors).
 
-    Where changes have n_changes, how many rows their commit has, a commit's only row is not looked for among others.
+    Where changes have n_changes, a row with 1 is the only one that its file's function has in its commit, and is not looked for among others.
     """
-    w = F.col("weight") * decay(F.col("now") - F.col("ts"), half_life_days)
     n = F.col("n_changes") if "n_changes" in changes.columns else F.lit(None).cast("long")
-    per = changes.select("file", "fn", "commit_id", F.coalesce(n, F.lit(2)).alias("n_changes"), w.alias("w"), (F.col("added") + F.col("deleted")).alias("churn"), "defect", "ts")
-    per = once_a_commit(per, ("file", "fn"), F.max("w").alias("w"), F.sum("churn").alias("churn"), F.max("defect").alias("defect"), F.max("ts").alias("ts"))
-    people = changes.select("file", "fn", F.explode("authors").alias("author")).distinct().groupBy("file", "fn").agg(F.count("*").alias("authors"))
-    h = per.groupBy("file", "fn").agg(F.count("*").alias("revisions"), F.sum("w").alias("rev_w"), F.sum("churn").alias("churn"), F.sum(F.col("defect").cast("long")).alias("defects"), F.max("ts").alias("last_ts"))
-    h = h.join(functions.hint("merge"), ["file", "fn"]).join(people.hint("merge"), ["file", "fn"], "left").fillna(0, ["authors"])
+    per = changes.select("file", "fn", "commit_id", F.coalesce(n, F.lit(2)).alias("n_changes"), "weight", "now", (F.col("added") + F.col("deleted")).alias("churn"), "defect", "ts", "authors")
+    same = [F.max(c).alias(c) for c in ("weight", "now", "defect", "ts")]  # a commit's own
+    per = once_a_commit(per, ("file", "fn"), *same, F.sum("churn").alias("churn"), F.array_distinct(F.flatten(F.collect_list("authors"))).alias("authors"))
+    # One pass: what a person did in a function, the commit's own numbers with its first author.
+    per = per.repartition("file", "fn")
+    w = F.col("weight") * decay(F.col("now") - F.col("ts"), half_life_days)
+    who = per.select("file", "fn", w.alias("w"), "churn", F.col("defect").cast("long").alias("defect"), "ts", F.posexplode_outer("authors").alias("at", "author"))
+    first = F.coalesce("at", F.lit(0)) == 0
+    who = who.groupBy("file", "fn", "author").agg(
+        F.count_if(first).alias("revisions"), F.sum(F.when(first, F.col("w"))).alias("w"), F.sum(F.when(first, F.col("churn"))).alias("churn"), F.sum(F.when(first, F.col("defect"))).alias("defects"), F.max("ts").alias("ts"), F.count("at").alias("named")
+    )
+    h = who.groupBy("file", "fn").agg(F.sum("revisions").alias("revisions"), F.sum("w").alias("rev_w"), F.sum("churn").alias("churn"), F.sum("defects").alias("defects"), F.max("ts").alias("last_ts"), F.count_if(F.col("named") > 0).alias("authors"))
+    h = h.join(functions.hint("merge"), ["file", "fn"])
     top = F.max("rev_w").over(Window.partitionBy("file"))
     freq = F.when(top > 0, F.log(1 + F.col("rev_w")) / F.log(1 + top)).otherwise(0.0)
     return h.select("file", "fn", "revisions", F.round("rev_w", 4).alias("rev_w"), "churn", "defects", "authors", "last_ts", "cc", F.round(freq * (0.4 + 0.6 * F.least(F.col("cc") / 15, F.lit(1.0))), 3).alias("score"))

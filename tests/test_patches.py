@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from revlens.operators.diff import diff_functions
-from revlens.operators.trends import BINS, FEW, TOP_LEVEL, function_changes, function_coupling, function_history, function_hotspots, innermost
+from revlens.operators.trends import BINS, FEW, TOP_LEVEL, commit_functions, function_changes, function_coupling, function_history, function_hotspots, innermost
+from revlens.plans.model import Model
 from revlens.sources.gitlog import dump_log, read_log
 from revlens.sources.history import from_history
 from revlens.sources.patches import dump_diff, dump_patches, read_patches
@@ -146,3 +147,16 @@ def test_a_hunk_of_two_billion_lines(spark):
     functions = spark.createDataFrame([("k", "f", 11, 20)], "blob string, fn string, start int, end int")
     got = function_changes(spark.createDataFrame([("r", "s", "a", None, "k", [(0, 0, 1, n)])], HUNKS), functions)
     assert {(r["fn"], r["added"], r["deleted"]) for r in got.collect()} == {("f", 10, 0), (TOP_LEVEL, n - 10, 0)}
+
+
+def test_functions_of_a_commit_stay_where_it_is(spark):
+    """Rows of functions are dealt by commit once, people are counted where a function's rows are: no shuffle for the join, for a commit's rows or for people."""
+    files = spark.createDataFrame([("r", f"s{k % 9}", f"p{k}", "k", "k", [(1, 2, 1, 3)]) for k in range(30)], HUNKS)
+    functions = spark.createDataFrame([("k", "f", 1, 2)], "blob string, fn string, start int, end int")
+    commits = spark.range(9).selectExpr("concat('r:s', id) commit_id", "id * 86400 ts", "864000L now", "id % 2 = 0 defect", "1.0D weight", "array(id % 3, 7L) authors")
+    model = Model(commits, None, None, None)
+    got = function_hotspots(function_history(model, commit_functions(files, functions)), spark.range(30).selectExpr("concat('p', id) file", "'f' fn", "5 cc"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(commit_id") == 1 and "fn#" in plan and plan.count("Exchange hashpartitioning(author") == 0
+    rows = {r["file"]: r for r in got.collect()}
+    assert len(rows) == 30 and all((r["revisions"], r["churn"], r["authors"], r["defects"]) == (1, 4, 2, int(f[1:]) % 9 % 2 == 0) for f, r in rows.items())
