@@ -15,6 +15,7 @@ from revlens.operators.levels import ownership_of_levels, people_of_levels
 from revlens.operators.social import ownership
 from revlens.operators.trends import classify, function_hotspots, innermost
 from revlens.plans.model import Params, Scope, build
+from revlens.sources.tables import from_tables
 
 NOW, DAY = 1_700_000_000, 86_400
 FILES = "file string, entity string, unit string, repo string, alive boolean, test boolean, lang string, lang_weight double, loc long, complexity double, health double"
@@ -281,3 +282,16 @@ def test_functions_of_commits_with_one_change(bakery):
     known = function_hotspots(c, functions)
     assert sorted(known.collect()) == sorted(function_hotspots(c.drop("n_changes"), functions).collect())
     assert "(n_changes" in known._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_staged_model_is_the_same_and_written_once(spark):
+    """Commits are the first changes of what is written; orders that tell of several commits, bots among people and files that are not known count as they do without staging."""
+    staged, plain = from_tables(spark, "/root/testdata/sf0.001", staged=True), from_tables(spark, "/root/testdata/sf0.001")
+    assert staged.commits.inputFiles() == staged.changes.inputFiles() and all("model-changes" in f for f in staged.changes.inputFiles())
+    for a, b in ((staged.commits, plain.commits), (staged.changes, plain.changes)):
+        assert a.columns == b.columns and a.count() > 1000
+        assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    commits = [("a", "r", 1, 1, "fix\n\nR-1", ["x.php", "gone.php", "y.php"]), ("b", "s", 2, 2, "add", ["gone.php"]), ("c", "s", 3, 3, "add", ["y.php"]), ("d", "s", 4, 9, "bot", ["y.php"])]
+    one, two = (make(spark, commits, [("x.php", "r", 1, False, "php"), ("y.php", "r", 2, False, "php")], Params(), (9,), staged) for staged in (True, False))
+    assert sorted(map(str, one.commits.collect())) == sorted(map(str, two.commits.collect())) and sorted(map(str, one.changes.collect())) == sorted(map(str, two.changes.collect()))
+    assert {(r["commit_id"], r["repo"], r["n_changes"], r["message"]) for r in one.commits.collect()} == {("a", "r", 2, "fix\n\nR-1"), ("c", "s", 1, "add")}
