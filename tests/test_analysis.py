@@ -295,3 +295,23 @@ def test_a_staged_model_is_the_same_and_written_once(spark):
     one, two = (make(spark, commits, [("x.php", "r", 1, False, "php"), ("y.php", "r", 2, False, "php")], Params(), (9,), staged) for staged in (True, False))
     assert sorted(map(str, one.commits.collect())) == sorted(map(str, two.commits.collect())) and sorted(map(str, one.changes.collect())) == sorted(map(str, two.changes.collect()))
     assert {(r["commit_id"], r["repo"], r["n_changes"], r["message"]) for r in one.commits.collect()} == {("a", "r", 2, "fix\n\nR-1"), ("c", "s", 1, "add")}
+
+
+def test_what_a_change_is_sent_of_people(spark):
+    """Commits of one author and one time stay apart, people of one name are told once, places end where they shall; neither names nor commits travel to changes."""
+    files = [(f"{x}.php", "r", 1, False, "php") for x in "xyz"]
+    commits = [("w1", "r", 3, 1, "RX-1 add", ["x.php", "y.php"]), ("w2", "r", 3, 1, "RX-1 add", ["x.php", "y.php"]), ("w3", "r", 3, 1, "RX-2 add", ["y.php", "z.php"]), ("n1", "r", 5, 2, "RX-3 add", ["x.php"]), ("n2", "r", 6, 2, "RX-3 add", ["x.php"])]
+    commits += [(f"p{k}", "r", 7, k, "RX-4 add", ["x.php"]) for k in range(3, 9)]
+    m = make(spark, commits, files, Params())
+    m = replace(m, authors=spark.createDataFrame([(k, "t", "Ida" if k in (3, 4, 6) else f"n{k}" if k != 5 else None) for k in range(1, 9)], "author long, team string, name string"))
+    touched = spark.createDataFrame([("a", "x.php"), ("a", "y.php"), ("b", "y.php"), ("c", "z.php"), ("c", "x.php")], "change string, file string")
+    without = spark.createDataFrame([("a", 2), ("c", 99)], "change string, author long")
+    want = sorted(map(tuple, so.experts_by(m, touched, without).collect()), key=str)
+    got = so.experts_of_many(m, touched, without)
+    assert sorted(map(tuple, got.collect()), key=str) == want and len(want) == 12
+    assert sorted(map(tuple, so.experts_of_many(m, touched, without, 2).collect()), key=str) == [r for r in want if r[1] <= 2]
+    lines = got._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    (sent,) = [lines[k + 1] for k, line in enumerate(lines) if "RepartitionByExpression [change" in line]
+    assert "lines#" in sent and "name#" not in sent and "commit#" not in sent and "entries#" not in sent
+    of_tickets = sorted(map(tuple, df.ticket_reviewers(m).collect()), key=str)
+    assert of_tickets and of_tickets == sorted(map(tuple, df.reviewers(m, ov.ticket_changes(m)).collect()), key=str)
