@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from revlens.functions.numeric import DAY, decay, with_percentile, with_rank
-from revlens.operators.hotspots import normalized_files, once_a_commit
+from revlens.operators.hotspots import normalized_files
 from revlens.plans.model import LEVELS, Model, Scope
 from revlens.plans.staging import stage
 
@@ -21,8 +21,11 @@ def history_of_levels(model: Model, scope: Scope = Scope()) -> DataFrame:
     """level, name, revisions, rev_w, defects, last_ts, churn, now: a commit counts once for each key."""
     rows = model.changes.filter(scope.files() & scope.commits())
     rows = rows.withColumn("w", F.col("weight") * decay(F.col("now") - F.col("ts"), model.params.half_life_days)).withColumn("churn", F.col("added") + F.col("deleted"))
-    rows = _of_each_level(rows, "commit_id", "n_changes", "w", "defect", "ts", "churn", "now")
-    per = once_a_commit(rows, ("level", "name"), F.max("w").alias("w"), F.max("defect").alias("defect"), F.max("ts").alias("ts"), F.sum("churn").alias("churn"), F.max("now").alias("now"))
+    # Changes that have others in their commit are dealt by it before they are made one for each level.
+    one, many = rows.filter("n_changes = 1"), rows.filter("n_changes > 1").repartition("commit_id")
+    per = _of_each_level(many, "commit_id", "w", "defect", "ts", "churn", "now").groupBy("level", "name", "commit_id")
+    per = per.agg(F.max("w").alias("w"), F.max("defect").alias("defect"), F.max("ts").alias("ts"), F.sum("churn").alias("churn"), F.max("now").alias("now")).drop("commit_id")
+    per = _of_each_level(one, "w", "defect", "ts", "churn", "now").unionByName(per)
     return per.groupBy("level", "name").agg(
         F.count("*").alias("revisions"), F.sum("w").alias("rev_w"), F.sum(F.col("defect").cast("long")).alias("defects"), F.max("ts").alias("last_ts"), F.sum("churn").alias("churn"), F.max("now").alias("now")
     )

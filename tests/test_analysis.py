@@ -9,9 +9,9 @@ from revlens.operators import diff as df
 from revlens.operators import overview as ov
 from revlens.operators import social as so
 from revlens.operators.coupling import anchored_sessions, coupling
-from revlens.operators.hotspots import hotspots, once_a_commit, scored
+from revlens.operators.hotspots import history, hotspots, once_a_commit, scored
 from revlens.operators.identity import resolve
-from revlens.operators.levels import ownership_of_levels, people_of_levels
+from revlens.operators.levels import history_of_levels, ownership_of_levels, people_of_levels
 from revlens.operators.social import ownership
 from revlens.operators.trends import classify, function_hotspots, innermost
 from revlens.plans.model import Params, Scope, build
@@ -315,3 +315,17 @@ def test_what_a_change_is_sent_of_people(spark):
     assert "lines#" in sent and "name#" not in sent and "commit#" not in sent and "entries#" not in sent
     of_tickets = sorted(map(tuple, df.ticket_reviewers(m).collect()), key=str)
     assert of_tickets and of_tickets == sorted(map(tuple, df.reviewers(m, ov.ticket_changes(m)).collect()), key=str)
+
+
+def test_commits_are_dealt_before_levels(bakery):
+    """A change travels to its commit's others once, not once for each level, and counts there as it does level by level."""
+    h = history_of_levels(bakery)
+    plan = h._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert [k for k, line in enumerate(plan) if "Generate explode" in line][-1] < next(k for k, line in enumerate(plan) if "RepartitionByExpression [commit_id" in line)
+    rows = {(r["level"], r["name"]): r for r in h.collect()}
+    for level in ("file", "entity", "unit", "repo"):
+        want = {r[level]: r for r in history(bakery, level).collect()}
+        assert want.keys() == {n for x, n in rows if x == level}
+        for name, r in want.items():
+            got = rows[level, name]
+            assert got["rev_w"] == pytest.approx(r["rev_w"], abs=1e-9) and all(got[c] == r[c] for c in ("revisions", "defects", "last_ts", "churn", "now"))
